@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from auditlake.llm import packing
+from auditlake.llm import bytebpe, packing, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +17,25 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in shards 0 to 39 that match the mixture of sources."""
+    return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text and what they decode to, as digests."""
+    return bytebpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_pivot_top_k": op2_pivot_top_k,
+    "op5_stratified_interleaving": op5_stratified_interleaving,
+    "op9_rank_queue_bpe": op9_rank_queue_bpe,
+}
 ORACLE_SQL: dict[str, str] = {}

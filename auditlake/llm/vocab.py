@@ -10,7 +10,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Entries that a worker's word cache may hold before it is emptied.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 700_000
 #: Longest key that is cached, so that a cache's bytes are bounded as well.
 CACHE_KEY = 64
 
