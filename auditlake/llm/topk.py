@@ -147,7 +147,7 @@ def top_k(
     cand_blocks, query_blocks = max(1, -(-n["n"] // block_rows)), max(1, -(-n["q"] // block_rows))
     cand = _blocks(rows, F.pmod(F.xxhash64("id"), F.lit(cand_blocks)), "cb")
     query = _blocks(asked, F.pmod(F.xxhash64("id"), F.lit(query_blocks)), "qb")
-    every = F.explode(F.sequence(F.lit(0), F.lit(cand_blocks - 1))).cast("long")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cand_blocks - 1).cast("long")))
     pairs = query.withColumn("cb", every).join(cand, ["cb", "dim"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
