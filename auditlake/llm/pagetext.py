@@ -219,7 +219,7 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
             yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(content, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(spans, kind)], names=["page_id", "url", "host", "content", "blocks", "templates"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit("")))
-    rows = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), host, F.col(html_col).cast("string"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(run, PARSED)
 
 

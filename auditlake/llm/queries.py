@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, packing, pagetext, sharding, topk
+from auditlake.llm import bytebpe, chat, packing, pagetext, quality, sharding, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every text."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
     return bytebpe.encode_decode(table(spark, sf_dir, "documents"))
@@ -50,6 +58,7 @@ QUERIES = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_template_removal": op3_template_removal,
     "op5_stratified_interleaving": op5_stratified_interleaving,
+    "op8_factorisation_machine": op8_factorisation_machine,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_grammar_round_trip": op10_grammar_round_trip,
 }
