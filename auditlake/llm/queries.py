@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, topk
+from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op6_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of 35 words that occur twice."""
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+
+
 def op7_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents by 4-word shingles."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_template_removal": op3_template_removal,
     "op5_stratified_interleaving": op5_stratified_interleaving,
+    "op6_fingerprint_index": op6_fingerprint_index,
     "op7_coordinate_join": op7_coordinate_join,
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,

@@ -31,7 +31,7 @@ def run_hashes(hashes: np.ndarray, length: int, column: int) -> np.ndarray:
     n = len(hashes) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base, h = np.uint64(_BASES[column]), hashes[:, column]
+    base, h = np.array([_BASES[column]], np.uint64), hashes[:, column]  # arrays wrap around silently
     out = np.zeros(n, np.uint64)
     # Horner's rule, all runs at once; doubling steps keep it to log2(length) passes.
     power, done, block = base, 0, h.copy()
