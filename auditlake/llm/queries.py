@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk
+from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk, vecdup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pagetext.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of at least 0.93 cosine between vectors of one label, and their components."""
+    return vecdup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 39 that match the mixture of sources."""
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=40)
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pivot_top_k": op2_pivot_top_k,
     "op3_template_removal": op3_template_removal,
+    "op4_projection_forest": op4_projection_forest,
     "op5_stratified_interleaving": op5_stratified_interleaving,
     "op6_fingerprint_index": op6_fingerprint_index,
     "op7_coordinate_join": op7_coordinate_join,
