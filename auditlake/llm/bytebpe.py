@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.vocab import CACHE_ENTRIES, CACHE_KEY, default_dir, read_ranks
+from auditlake.llm.vocab import CACHE_BYTES, CACHE_ENTRIES, CACHE_KEY, default_dir, read_ranks
 
 #: Bits in a bitmap word.  Python integers have no fixed width; 240 is eight of their digits.
 _WIDTH = 240
@@ -37,6 +37,8 @@ class ByteBpe(dict):
         super().__init__()
         self.ranks = read_ranks(path)
         self.size = max(self.ranks.values()) + 1
+        self.loose: dict[str, bytes] = {}
+        self.held = 0
         self.words = [0] * (self.size // _WIDTH + 1)
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         # Every way to split a token in two known tokens may merge to it: (left id, right id) -> rank.
@@ -202,43 +204,63 @@ class ByteBpe(dict):
         return np.where((self.pair_keys[found] == keys) & (left >= 0) & (right >= 0), self.pair_values[found], -1)
 
     def learn(self, texts: list[str]) -> None:
-        """Remember the words of some texts that aren't known yet."""
-        missing: set[str] = set()
+        """Remember the words of some texts, which must be encoded next.
+
+        Once the memory is full it is emptied, and holds these texts' words only.
+        """
+        words: set[str] = set()
+        loose: set[str] = set()
         for text in texts:
-            if not self.other_space(text):
-                missing.update(w for w in set(text.split(" ")) if w not in self and len(w) <= CACHE_KEY)
-        if len(self) + len(missing) > CACHE_ENTRIES:
+            if self.other_space(text):
+                loose.update(self.split(text))
+            else:
+                head, *rest = text.split(" ")
+                words.update(rest)
+                loose.update(self.split(head))
+        if len(self) + len(words) > CACHE_ENTRIES or self.held > CACHE_BYTES:
             self.clear()
-        words = list(missing)
-        split = [self.split(" " + w) for w in words]
-        tokens = list({t for ts in split for t in ts})
-        # Tokens of the vocabulary need no merges.
-        ready = {t: self.ranks.get(t.encode()) for t in tokens}
-        out = {t: r.to_bytes(4, "little") for t, r in ready.items() if r is not None}
-        rest = [t for t in tokens if ready[t] is None]
+            self.held = 0
+        fresh = [w for w in words if w not in self]
+        split = [self.split(" " + w) for w in fresh]
+        loose.update(t for ts in split for t in ts)
+        rest = []
+        known = dict.fromkeys(loose)
+        for token in loose:
+            if (rank := self.ranks.get(token.encode())) is not None:
+                known[token] = rank.to_bytes(4, "little")
+            elif len(token) > CACHE_KEY:
+                known[token] = np.array(self.merge(token.encode()), dtype="<u4").tobytes()
+            else:
+                rest.append(token)
         if rest:
-            out.update(zip(rest, self.merge_many([t.encode() for t in rest])))
-        self.update((w, b"".join([out[t] for t in ts])) for w, ts in zip(words, split))
-
-    def _token(self, token: str) -> bytes:
-        """Ids of a pre-token."""
-        return np.array(self.merge(token.encode()), dtype="<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        """Ids of a space and ``word``, which holds no space and hasn't been learnt."""
-        return b"".join(map(self._token, self.split(" " + word)))
+            known.update(zip(rest, self.merge_many([t.encode() for t in rest])))
+        self.update((w, b"".join([known[t] for t in ts])) for w, ts in zip(fresh, split))
+        self.held += sum(len(w) + len(self[w]) for w in fresh)
+        self.loose = known
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers.
+        """Ids of a learnt text as little-endian unsigned 32-bit integers.
 
         A space before a character that isn't white space starts a pre-token
         always, so the words after such spaces are looked up one by one; texts
         with other spaces are split by the pattern as a whole.
         """
         if self.other_space(text):
-            return b"".join(map(self._token, self.split(text)))
+            return b"".join([self.loose[t] for t in self.split(text)])
         head, *rest = text.split(" ")
-        return b"".join([*map(self._token, self.split(head)), *map(self.__getitem__, rest)])
+        return b"".join([*[self.loose[t] for t in self.split(head)], *map(self.__getitem__, rest)])
+
+    def encode_all(self, texts: list[str], block: int = 1 << 22) -> Iterator[bytes]:
+        """Ids of each text; texts are learnt in groups of about ``block`` characters."""
+        group: list[str] = []
+        size = 0
+        for i, text in enumerate(texts):
+            group.append(text)
+            size += len(text)
+            if size >= block or i == len(texts) - 1:
+                self.learn(group)
+                yield from map(self.encode, group)
+                group, size = [], 0
 
     def decode(self, ids: bytes, block: int = 1 << 20) -> Iterator[bytes]:
         """Bytes of the ids, in blocks of at most ``block`` ids."""
@@ -320,9 +342,7 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             n, ids_hash, text_hash, kept = [], [], [], []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            bpe.learn(texts)
-            for text in texts:
-                ids = bpe.encode(text)
+            for ids in bpe.encode_all(texts):
                 digest = hashlib.sha256()
                 for part in bpe.decode(ids):
                     digest.update(part)

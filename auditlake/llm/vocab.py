@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 #: Entries that a worker's word cache may hold before it is emptied.
 CACHE_ENTRIES = 700_000
+#: Bytes of words and ids in such a cache before it is emptied.
+CACHE_BYTES = 64 << 20
 #: Longest key that is cached, so that a cache's bytes are bounded as well.
 CACHE_KEY = 64
 
