@@ -7,13 +7,13 @@
    that agree in at least ``MATCHES`` coordinates share one of the first
    ``COORDS - MATCHES + 1``, so other postings aren't needed.  Lists of one
    document, nearly all, are skipped before anything but keys is moved.
-3. First merge: in each list every class meets the list's first one only.  Pairs
-   whose sizes allow the similarity and whose signatures agree in enough
-   coordinates are confirmed on the full sets.  So a list of any number of
-   copies costs as many pairs as it has members.
-4. Second merge: lists whose members now lie in one component are skipped.  In
-   the others every pair from two components meets, in blocks, with the same
-   filters; the confirmed links of both merges give the components.
+3. In each list, in blocks, members whose signatures agree in ``MATCHES``
+   coordinates and whose sizes allow the similarity are candidates.  Only a
+   spanning forest of them leaves a list, so a list of any number of copies
+   costs as many rows as it has members.  The components are families.
+4. The full sets of each family are compared, in blocks again, exactly; once
+   more a spanning forest of the confirmed links leaves a block pair, and its
+   components are the answer.
 
 A pair at the threshold of 0.8 fails the match threshold with a probability of
 about 1e-7; links are confirmed exactly, so none is reported below it.
@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
-from auditlake.llm.scratch import materialize
+from auditlake.llm.scratch import discard, materialize
 from auditlake.llm.words import mix, run_hashes, split_words, word_hashes
 
 COORDS, MATCHES = 48, 22
 PREFIX = COORDS - MATCHES + 1
-#: Rows of a posting list that one task holds of either side of a block pair.
-BLOCK = 2000
+#: Rows of a posting list, and sets of a family, that one task holds of either side of a block pair.
+BLOCK, FAMILY_BLOCK = 2000, 400
+#: Columns of a block pair's incidence matrix that are held at once.
+_COLUMNS = 4096
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64))
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -106,91 +108,141 @@ def _size_ok(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
-def _with_first(rows: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a row and its list's first row that may be similar enough."""
+def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars (node, root) of the components of ``n`` nodes under batches of links."""
+    root = np.arange(n)
+    for i, j in pairs:
+        while len(i):
+            a, b = root[i], root[j]
+            differ = a != b
+            if not differ.any():
+                break
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            low = np.minimum(a, b)
+            np.minimum.at(root, a, low)
+            np.minimum.at(root, b, low)
+            while (root[root] != root).any():
+                root = root[root]
+    at = np.flatnonzero(root != np.arange(n))
+    return at, root[at]
+
+
+def _block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """Rows of each key dealt into blocks, once for every pair with another block: ``lo, hi``, and their own, ``mine``."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("c"))
+    rows = rows.join(sizes, key).withColumn("nb", F.ceil(F.col("c") / F.lit(block)).cast("long"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("c", "nb", "other")
+    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Whole block pairs of sorted batches, one after the other."""
+    parts: list[pa.Table] = []
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
             if not batch.num_rows:
                 continue
-            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, COORDS) for i in (4, 5))
-            ok = (_agree(x, y) >= MATCHES) & _size_ok(n, m, percent)
-            yield pa.record_batch([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
+            parts.append(pa.Table.from_batches([batch]))
+            last = [[parts[i].column(c)[-k].as_py() for c in (key, "lo", "hi")] for i, k in ((0, parts[0].num_rows), (-1, 1))]
+            if last[0] == last[1]:  # a block pair that goes on
+                continue
+        if not parts:
+            continue
+        table = pa.concat_tables(parts)
+        k, lo, hi = (table.column(c).to_numpy() for c in (key, "lo", "hi"))
+        cuts = (np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()
+        ends = [*cuts, *[len(k)] * (batch is None)]  # the last may go on in the next batch
+        start = 0
+        for end in ends:
+            yield table.slice(start, end - start)
+            start = end
+        parts = [table.slice(start)] if start < len(k) else []
+
+
+def _stars(groups: Iterator[tuple[np.ndarray, Iterator]]) -> Iterator[pa.RecordBatch]:
+    """Batches of (a, b) from (ids, link batches) of groups."""
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    for ids, pairs in groups:
+        at, root = _forest(len(ids), pairs)
+        a.append(ids[at])
+        b.append(ids[root])
+        if len(a) == 4096:
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            a, b = [], []
+    if a:
+        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    pairs = rows.join(first, "key").filter("id <> first.id").select("id", F.col("first.id").alias("other"), "n", F.col("first.n").alias("m"), "sig", F.col("first.sig").alias("sig2"))
-    return pairs.mapInArrow(run, "a long, b long").distinct()
 
+def list_forest(sig: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the candidate pairs of a list.  Members of one component aren't compared, so copies are met once."""
+    root = np.arange(len(n))
+    for i in range(len(n) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        rest = rest[_size_ok(n[rest], n[i], percent)]
+        rest = rest[_agree(sig[rest], sig[i]) >= MATCHES]
+        if len(rest):
+            joined = np.append(np.unique(root[rest]), root[i])
+            root[np.isin(root, joined)] = joined.min()
+    at = np.flatnonzero(root != np.arange(len(n)))
+    return at, root[at]
 
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs of ``key, id, n, sig, comp`` rows of one list and two components that may be similar enough.
 
-    A list is dealt into blocks; each pair of blocks is a group of its own, so
-    none is larger than two blocks.
-    """
-    sizes = rows.groupBy("key").agg(F.count("*").alias("c"))
-    rows = rows.join(sizes, "key").withColumn("nb", F.ceil(F.col("c") / F.lit(BLOCK)).cast("long"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-
-    def compare(key: tuple, ids: np.ndarray, n: np.ndarray, sig: np.ndarray, comp: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.flatnonzero(mine == key[1]), np.flatnonzero(mine == key[2])
-        a, b = [], []
-        for i in left.tolist():
-            with_ = right[(comp[right] != comp[i]) & _size_ok(n[right], n[i], percent)]
-            if key[1] == key[2]:
-                with_ = with_[with_ > i]
-            with_ = with_[_agree(sig[with_], sig[i]) >= MATCHES]
-            if len(with_):
-                a.append(np.minimum(ids[with_], ids[i]))
-                b.append(np.maximum(ids[with_], ids[i]))
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *a]), np.concatenate([none, *b])
+def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests ``a, b`` of the candidates of each posting list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in itertools.chain(batches, [None]):
-            if batch is not None:
-                rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if rest is None or not rest.num_rows:
-                continue
-            rest = rest.combine_chunks()
-            key, lo, hi, ids, n, comp, mine = (rest.column(c).to_numpy() for c in ("key", "lo", "hi", "id", "n", "comp", "mine"))
-            sig = np.frombuffer(b"".join(rest.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            ends = [*cuts.tolist(), *[len(key)] * (batch is None)]  # the last group may go on in the next batch
-            start, a, b = 0, [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for end in ends:
-                g = slice(start, end)
-                x, y = compare((key[start], lo[start], hi[start]), ids[g], n[g], sig[g], comp[g], mine[g])
-                a.append(x)
-                b.append(y)
-                start = end
-            rest = rest.slice(start)
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    rows = rows.select("key", "lo", "hi", "id", "n", "sig", "comp", "mine")
-    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have ``100 * intersection >= percent * union``."""
+        def groups() -> Iterator[tuple[np.ndarray, Iterator]]:
+            for table in _groups(batches, "key"):
+                sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
+                yield table.column("id").to_numpy(), iter([list_forest(sig, table.column("n").to_numpy(), percent)])
+
+        yield from _stars(groups())
+
+    dealt = _block_pairs(postings.select("key", "id", "n", "sig"), "key", BLOCK)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def set_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of sets with ``100 * intersection >= percent * union``, by products of incidence matrices."""
+    n = np.array([len(s) for s in sets])
+    if len(sets) == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if 100 * common >= percent * (n.sum() - common):
+            yield np.array([0]), np.array([1])
+        return
+    owner = np.repeat(np.arange(len(sets)), n)
+    items, column = np.unique(np.concatenate(sets), return_inverse=True)
+    shared = np.bincount(column, minlength=len(items)) > 1  # others are in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = int(shared.sum())
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, total, _COLUMNS):
+        a, z = np.searchsorted(column, [start, start + _COLUMNS])
+        part = np.zeros((len(sets), min(_COLUMNS, total - start)), np.float32)
+        part[owner[a:z], column[a:z] - start] = 1
+        common += part @ part.T  # counts below 2 ** 24 are exact
+    linked = 100 * common.astype(np.float64) >= percent * (n[:, None] + n[None, :] - common.astype(np.float64))
+    yield np.nonzero(np.triu(linked, 1))
+
+
+def _confirmed(family: DataFrame, percent: int) -> DataFrame:
+    """Spanning forests ``a, b`` of the links within families, from ``fam, id, items``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = np.concatenate([s, t])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        def groups() -> Iterator[tuple[np.ndarray, Iterator]]:
+            for table in _groups(batches, "fam"):
+                sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("items")]
+                yield table.column("id").to_numpy(), set_links(sets, percent) if len(sets) > 1 else iter(())
 
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+        yield from _stars(groups())
+
+    return _block_pairs(family, "fam", FAMILY_BLOCK).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -210,29 +262,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = materialize(_postings(reps).select("key").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
     shared = materialize(_postings(reps).join(keys, "key"), "postings")
-    first = materialize(shared.groupBy("key").agg(F.min(F.struct("id", "n", "sig")).alias("first")), "first")
-    pairs = materialize(_with_first(shared, first, percent), "pairs")
-
-    # Full sets of the documents in any list of two, hashed from their whole texts again.
-    wanted = materialize(shared.select("id").distinct(), "ids")
+    families = materialize(connected_components(_candidates(shared, percent)).select(F.col("node").alias("id"), F.col("component").alias("fam")), "families")
+    discard(keys, shared)
 
+    # Full sets of the families' members, hashed from their whole texts again.
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)], pa.binary())], names=["id", "items"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)], pa.binary())], names=["fam", "id", "items"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    full = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(items, "id long, items binary"), "items")
-
-    links = materialize(_confirm(pairs, full, percent), "links")
-    comps = connected_components(links)
-    marked = shared.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    marked = materialize(marked, "marked")
-    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    more = _across(marked.join(mixed, "key"), percent).join(pairs, ["a", "b"], "left_anti")
+    members = texts.join(families, "id").select("fam", "id", "text").mapInArrow(items, "fam long, id long, items binary")
+    members = materialize(members, "items")
+    links = materialize(_confirmed(members, percent), "links")
+    discard(members, families)
     # An id that repeats with other texts stands for all of them.
     many = worded.groupBy("doc_id").agg((F.min("set_hi") < F.max("set_hi")).alias("m")).filter("m").select("doc_id")
     again = worded.join(many, "doc_id").join(reps.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    comps = connected_components(links.union(_confirm(more, full, percent)).union(again))
+    comps = connected_components(links.union(again))
 
     classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
     rows = all_sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")

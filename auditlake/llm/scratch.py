@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -33,26 +33,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
     Unlike ``localCheckpoint`` the files survive lost executors, and unlike
-    ``cache`` they hold no executor memory.
+    ``cache`` they hold no executor memory.  The shuffle files of the finished
+    write go as soon as the driver's collector finds them unused, so it is asked to look.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/auditlake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_scratch() -> None:
-    """Delete all scratch tables of this process; results built on them end here."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-            fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(hadoop_path, True)
-        except Exception:  # the session may have ended; the folder's owner cleans up then
-            continue
+    df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    for table in tables:
+        _delete(getattr(table, "_scratch_path", ""))
+
+
+def written() -> set[str]:
+    """Paths of the scratch tables that are there."""
+    return set(_WRITTEN)
+
+
+def release_scratch(paths: set[str] | None = None) -> None:
+    """Delete the named scratch tables, or all of this process; results built on them end here."""
+    for path in list(_WRITTEN if paths is None else paths):
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path, None)
+    if spark is None:
+        return
+    try:
+        hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(hadoop_path, True)
+    except Exception:  # at exit the session may have ended; the folder's owner cleans up then
+        return
 
 
 atexit.register(release_scratch)
