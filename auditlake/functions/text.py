@@ -47,18 +47,34 @@ def signal_pattern(signal: str) -> str:
     return f"{FLAGS}{head}{quoted}{tail}"
 
 
-def has_signal(value: Column, low: Column, odd: Column, signal: str) -> Column:
-    """Whether ``value`` holds the signal.  A plain search in the lower-cased text goes first, as it is cheap.
-
-    Signals hold ASCII only, so the search misses only texts with other characters that fold to ASCII (``odd``).
+def first_signals(value: Column, groups: list[tuple[str, ...]], bounded: bool = True) -> Column:
+    """Array of (``g``: number of a group of signals, ``signal``: its first one that ``value`` holds), by group.
+
+    The signals are one literal array that a higher-order filter runs over, so the
+    expression stays small for packs of any size.  A plain search in the lower-cased
+    text goes first; only signals it finds are tried as patterns.  Signals
+    hold ASCII mostly, so the search misses only texts with other characters that
+    fold to ASCII, and those skip it.  Without ``bounded`` the plain search decides.
     """
-    test = value.rlike(signal_pattern(signal))
-    return (low.contains(signal.lower()) | odd) & test if signal.isascii() else test
+    rows = [F.struct(F.lit(g).alias("g"), F.lit(s).alias("signal"), F.lit(s.lower()).alias("low"), F.lit(signal_pattern(s)).alias("pattern")) for g, signals in enumerate(groups) for s in signals]
+    if not rows:
+        return F.array().cast("array<struct<g:int,signal:string>>")
+    signals = F.array(*rows)
+
+    def found(t: Column) -> Column:
+        def test(s: Column) -> Column:
+            plain = F.contains(t["low"], s["low"])
+            return (plain | t["odd"]) & F.rlike(t["value"], s["pattern"]) if bounded else plain
+
+        return F.filter(signals, test)
 
+    def first(hits: Column) -> Column:
+        return F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["g"] != h["g"]))
 
-def first_signal(value: Column, low: Column, odd: Column, signals: tuple[str, ...]) -> Column:
-    """The first signal, in the pack's order, that ``value`` holds; null if none."""
-    return F.coalesce(*(F.when(has_signal(value, low, odd, s), F.lit(s)) for s in signals), F.lit(None).cast("string"))
+    # A lambda's variable is evaluated once, so the lower-cased text and the hits aren't computed anew for each signal.
+    prepared = F.array(F.struct(value.alias("value"), F.lower(value).alias("low"), value.rlike(ODD_FOLDS).alias("odd")))
+    hits = F.flatten(F.transform(F.transform(prepared, found), first))
+    return F.transform(hits, lambda h: F.struct(h["g"].alias("g"), h["signal"].alias("signal")))
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -83,14 +99,14 @@ def context_ok(value: Column, step: Step) -> tuple[Column, Column]:
     return (holds_context(value, step.require), denied) if step.require else (~denied, F.lit(False))
 
 
-def step_signal(source: Column, value: Column, low: Column, odd: Column, step: Step) -> Column:
-    """First signal of one side of an ordered pair; here a denied context always stops it."""
+def step_ok(source: Column, value: Column, step: Step) -> Column:
+    """Source kinds and contexts of one side of an ordered pair; here a denied context always stops it."""
     ok = kind_ok(source, step.source_kinds)
     if step.require:
         ok = ok & holds_context(value, step.require)
     if step.deny:
         ok = ok & ~holds_context(value, step.deny)
-    return F.when(ok, first_signal(value, low, odd, step.signals))
+    return ok
 
 
 def glob_regex(glob: str) -> str:
@@ -141,12 +157,6 @@ def normalize(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(composed, r"(?U)\s+", " "), "^ | $", "")
 
 
-def naive_hit(value: Column, signals: tuple[str, ...]) -> Column:
-    """First signal that occurs as a plain substring in any case: the baseline without contexts."""
-    low = F.lower(value)
-    return F.coalesce(*(F.when(low.contains(s.lower()), F.lit(s)) for s in signals), F.lit(None).cast("string"))
-
-
 def rule_signal_label(rule: Rule) -> str:
     """Label of a shell rule's findings."""
     return rule.constructs[0] if rule.constructs else f"{rule.binary} {''.join(rule.flags)}"

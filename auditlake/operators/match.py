@@ -1,7 +1,8 @@
 """The five matching passes: actions and a rule pack make hits.
 
-All tests are literal-pattern expressions of one projection, so a pass reads
-the actions once and no rule table is joined.  Only hits are ever shuffled.
+Signals are a literal array that each row is filtered against, contexts are
+tested for hits only, so a pass reads the actions once and no rule table is
+joined.  Only hits are ever shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +19,6 @@ from auditlake.plans.schema import PASSES
 _HIT = ["scan_id", "pass", "seq", "rule_ord", "code", "signal", "source", "ambiguity"]
 
 
-def _prepared(actions: DataFrame) -> DataFrame:
-    return actions.withColumn("_low", F.lower("value")).withColumn("_odd", F.col("value").rlike(text.ODD_FOLDS))
-
-
 def _no_hits(actions: DataFrame) -> DataFrame:
     return actions.filter(F.lit(False)).select("scan_id", F.lit(0).alias("pass"), "seq", F.lit(0).alias("rule_ord"), F.lit("").alias("code"), F.lit("").alias("signal"), "source", F.lit(False).alias("ambiguity"))
 
@@ -34,14 +31,19 @@ def single_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     rules = pack.of_kind("single")
     if not rules:
         return _no_hits(actions)
-    source, value, low, odd = F.col("source"), F.col("value"), F.col("_low"), F.col("_odd")
-    structs = []
-    for r in rules:
-        fires, ambiguous = text.context_ok(value, r.main)
-        signal = F.when(text.kind_ok(source, r.main.source_kinds) & fires, text.first_signal(value, low, odd, r.main.signals))
-        structs.append(F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(r.code).alias("code"), signal.alias("signal"), ambiguous.alias("ambiguity")))
-    found = _prepared(actions.filter(~source.startswith("sink:"))).select("scan_id", "seq", "source", F.explode(F.filter(F.array(*structs), lambda s: s["signal"].isNotNull())).alias("h"))
-    return found.select("scan_id", F.lit(PASSES["single"]).alias("pass"), "seq", "h.rule_ord", "h.code", "h.signal", "source", "h.ambiguity")
+    source, value = F.col("source"), F.col("value")
+    hits = text.first_signals(value, [r.main.signals for r in rules])
+    found = actions.filter(~source.startswith("sink:")).select("scan_id", "seq", "source", "value", F.explode(hits).alias("h"))
+    # Kinds and contexts are looked at for hits only.
+    fires, ambiguous = F.lit(False), F.lit(False)
+    for g, r in enumerate(rules):
+        ok, unsure = text.context_ok(value, r.main)
+        fires = F.when(F.col("h.g") == g, text.kind_ok(source, r.main.source_kinds) & ok).otherwise(fires)
+        if r.main.require and r.main.deny:
+            ambiguous = F.when(F.col("h.g") == g, unsure).otherwise(ambiguous)
+    found = found.filter(fires).withColumn("ambiguity", ambiguous)
+    ords, codes = F.array(*(F.lit(r.ord) for r in rules)), F.array(*(F.lit(r.code) for r in rules))
+    return found.select("scan_id", F.lit(PASSES["single"]).alias("pass"), "seq", F.get(ords, F.col("h.g")).alias("rule_ord"), F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"), "source", "ambiguity")
 
 
 def first_per_signal(hits: DataFrame) -> DataFrame:
@@ -59,12 +61,17 @@ def _step_table(actions: DataFrame, rules: list[Rule]) -> DataFrame:
     for r in rules:
         for s in (r.source, r.sink):
             steps.setdefault(s, len(steps))
-    source, value, low, odd = F.col("source"), F.col("value"), F.col("_low"), F.col("_odd")
-    tested = _prepared(actions).select("scan_id", "seq", "source", "value", *(text.step_signal(source, value, low, odd, s).alias(f"s{i}") for s, i in steps.items()))
-    sides = [F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(role).alias("role"), F.col(f"s{steps[s]}").alias("signal")) for r in rules for role, s in (("source", r.source), ("sink", r.sink))]
-    tested = tested.filter(text.any_of([F.col(f"s{i}").isNotNull() for i in steps.values()]))
-    found = tested.select("scan_id", "seq", "source", "value", F.explode(F.filter(F.array(*sides), lambda s: s["signal"].isNotNull())).alias("h"))
-    return found.select("scan_id", "seq", "source", "value", "h.rule_ord", "h.role", "h.signal")
+    source, value = F.col("source"), F.col("value")
+    hits = text.first_signals(value, [s.signals for s in steps])
+    found = actions.select("scan_id", "seq", "source", "value", F.explode(hits).alias("h"))
+    ok = F.lit(False)
+    for s, g in steps.items():
+        ok = F.when(F.col("h.g") == g, text.step_ok(source, value, s)).otherwise(ok)
+    kind = "array<struct<rule_ord:int,role:string>>"
+    sides = [[F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(role).alias("role")) for r in rules for role, x in (("source", r.source), ("sink", r.sink)) if x == s] for s in steps]
+    of_step = F.array(*(F.array(*x).cast(kind) for x in sides))
+    found = found.filter(ok).select("scan_id", "seq", "source", "value", F.col("h.signal").alias("signal"), F.explode(F.get(of_step, F.col("h.g"))).alias("r"))
+    return found.select("scan_id", "seq", "source", "value", "r.rule_ord", "r.role", "signal")
 
 
 def latched_pairs(actions: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -170,9 +177,9 @@ def all_hits(actions: DataFrame, pack: RulePack, shell_ast: bool = False) -> Dat
 def naive_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     """The baseline: plain substrings of any single-action rule, no boundaries and no contexts."""
     rules = pack.of_kind("single")
-    structs = [F.struct(F.lit(r.code).alias("code"), text.naive_hit(F.col("value"), r.main.signals).alias("signal")) for r in rules]
-    found = actions.select("scan_id", "seq", F.explode(F.filter(F.array(*structs), lambda s: s["signal"].isNotNull())).alias("h"))
-    return found.select("scan_id", "seq", "h.code", "h.signal")
+    hits = text.first_signals(F.col("value"), [r.main.signals for r in rules], bounded=False)
+    codes = F.array(*(F.lit(r.code) for r in rules))
+    return actions.select("scan_id", "seq", F.explode(hits).alias("h")).select("scan_id", "seq", F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"))
 
 
 def marker_then_call(rows: DataFrame, marker: Column, call: Column, keys: list[str], order: str) -> DataFrame:

@@ -59,7 +59,7 @@ def coverage(items: DataFrame, fired: DataFrame) -> DataFrame:
 
 def code_counts(fired: DataFrame, codes: list[str], by: str = "model") -> DataFrame:
     """Traces per code and model, a column a code."""
-    return fired.select(by, "item", "code").distinct().groupBy(by).pivot("code", codes).agg(F.count("*"))
+    return fired.select(by, "item", "code").distinct().groupBy(by).pivot("code", codes).agg(F.count(F.lit(1)))
 
 
 def overlap_counts(traces: DataFrame) -> DataFrame:
