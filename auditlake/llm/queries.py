@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk, vecdup
+from auditlake.llm.sql import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,8 @@ def op10_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows)
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_pivot_top_k": op2_pivot_top_k,
@@ -80,4 +83,3 @@ QUERIES = {
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_grammar_round_trip": op10_grammar_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {}
