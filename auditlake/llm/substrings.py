@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.scratch import materialize
+from auditlake.llm.scratch import discard, materialize
 from auditlake.llm.words import run_hashes, split_words, word_hashes
 
 GRAM = 12
@@ -57,7 +57,8 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Merge all runs into one."""
         merged = reduce(DataFrame.union, self.runs).groupBy("fp").agg(F.sum("n").alias("n"))
-        self.runs = [materialize(merged.sortWithinPartitions("fp"), "run")]
+        old, self.runs = self.runs, [materialize(merged.sortWithinPartitions("fp"), "run")]
+        discard(*old)
 
 
 def window_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -182,17 +183,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         part = classes.filter(F.pmod(F.xxhash64("seq_hi", "seq_lo"), F.lit(batches)) == i)
         found.append(index.add(part.select(F.explode("anchors").alias("fp"))))
     repeated = materialize(reduce(DataFrame.union, found).distinct(), "repeated")
+    discard(*index.runs, *found)
 
     single = classes.filter("copies = 1")
     hit = classes.select("doc_id", "th", F.explode("anchors").alias("fp")).join(repeated, "fp").groupBy("doc_id", "th").agg(F.collect_set("fp").alias("fps"))  # at most a text's own
+    hit = materialize(hit, "hit")
+    discard(repeated)
     texts = materialize(_join_key(rows, hit, "inner").dropDuplicates(["doc_id", "th"]), "texts")
+    discard(hit)
     windows = materialize(_windows(texts, window), "windows")
     each = windows.select("doc_id", "th", "fp", F.posexplode("hashes").alias("i", "h"), "first")
     twice = materialize(windows.select("fp", F.explode("hashes").alias("h")).groupBy("fp", "h").agg(F.count("*").alias("c")).filter("c > 1").select("fp", "h"), "twice")
     starts = each.join(twice, ["fp", "h"]).groupBy("doc_id", "th").agg(F.collect_list(F.col("first") + F.col("i")).alias("starts"))  # at most a text's own
     starts = _join_key(starts, single.select("doc_id", "th"), "left_semi")
+    starts = materialize(starts, "starts")
+    discard(windows, twice)
     cuts = materialize(_cut(_join_key(texts.select("doc_id", "th", "text"), starts, "inner"), window), "cuts")
 
+    discard(texts, starts)
     copies = classes.filter("copies > 1").select("seq_hi", "seq_lo", F.lit(True).alias("copied"))
     whole = about.drop("anchors").join(copies, ["seq_hi", "seq_lo"], "left")
     out = _join_key(whole, cuts.drop("kept"), "left")
