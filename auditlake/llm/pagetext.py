@@ -241,7 +241,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     often = often.select("host", "hash").withColumn("salt", salts)
     hits = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(often, ["host", "hash", "salt"])
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))  # at most a page's elements
-    whole = parsed.select("row", "page_id", "url", "blocks").join(hits, "row", "left")
+    # Pages without candidates, which may be most, have nothing to look up and aren't shuffled.
+    asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "blocks").join(hits, "row", "left").drop("row")
+    plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "blocks", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
+    whole = asked.union(plain)
     left = F.filter("blocks", lambda b, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i < c["stop"])))
     text = F.array_join(F.when(F.col("cuts").isNull(), F.col("blocks")).otherwise(left), "\n")
     return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
