@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
 from auditlake.llm.scratch import discard, materialize
-from auditlake.llm.words import mix, run_hashes, split_words, word_hashes
+from auditlake.llm.words import mix, run_hashes, word_hashes
 
 COORDS, MATCHES = 48, 22
 PREFIX = COORDS - MATCHES + 1
