@@ -6,13 +6,33 @@ kept, and returns the columns of ``documents``; the last returns the pieces.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import neardup, packing, quality, substrings
-from auditlake.llm.scratch import materialize
+from auditlake.llm.scratch import discard, materialize, release_scratch, written
+
+_stage_tables: set[str] = set()
+
+
+def stage(make):
+    """A stage that first drops the scratch tables of the stage before, whose result has been written by then."""
+
+    @wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_scratch(_stage_tables)
+        _stage_tables.clear()
+        before = written()
+        out = make(spark, docs, sf_dir)
+        _stage_tables.update(written() - before)
+        return out
+
+    return run_stage
 
 
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at 0.7 or more; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -20,6 +40,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored.filter("predicted = 1").select(docs.columns)
 
 
+@stage
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the smallest id, of each group of near-duplicates; rows without an id stay."""
     groups = neardup.near_duplicates(docs)
@@ -28,11 +49,13 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages of 50 words that occur more than once."""
     return substrings.remove_repeats(docs)
 
 
+@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens, a row per piece."""
     return packing.pack_documents(docs)
@@ -52,6 +75,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, make in STAGES:
+        done = docs
+        docs = materialize(make(spark, done, sf_dir), name.replace(" ", "-"))
+        discard(done)
     return docs
