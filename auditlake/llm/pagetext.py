@@ -39,7 +39,9 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # Element names by their part in a page.
 _RAW = frozenset("script style textarea title noscript template iframe noframes noembed xmp".split())
-_SKIP = frozenset("head svg math canvas audio video object select option datalist button applet map".split())
+_SKIP = frozenset("svg math canvas audio video object select option datalist button applet map".split())
+_NESTS = frozenset("svg math object applet".split())  # of these, one may stand in another
+_ENDS_OPTION = frozenset("option optgroup select datalist".split())
 _BOILER = frozenset("nav footer aside form menu dialog fieldset header".split())
 _MAIN = frozenset(["main", "article"])
 _BLOCK = frozenset(
@@ -89,7 +91,19 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     candidates: list[tuple[int, int, int, str]] = []
     # An open element: tag, first block, says boilerplate, is a main element, hash parts
     stack: list[tuple[str, int, bool, bool, list[str]]] = []
-    open_mains = at = skipping = 0
+    open_mains = at = 0
+    # The outermost skipped element, where its content starts, and what is open in it: tag, content start
+    skip, start = "", 0
+    inside: list[tuple[str, int]] = []
+    unclosed: set[int] = set()  # where the content of elements of _SKIP without an end starts
+
+    def unskip() -> int:
+        """Where to read on when the skipped element turns out to have no end, so that it hides nothing."""
+        nonlocal skip
+        unclosed.update([start, *(i for _, i in inside)])
+        inside.clear()
+        skip = ""
+        return start
 
     def flush() -> None:
         if inline:
@@ -119,10 +133,13 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
 
     while True:
         found = _TAG.search(page, at)
-        if not skipping:
+        if not skip:
             inline.append(page[at : found.start() if found else len(page)])
         if found is None:
-            break
+            if skip in ("", "option"):
+                break
+            at = unskip()
+            continue
         at = found.end()
         name = found[2] or found[5]
         if not name:
@@ -132,12 +149,28 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
             at = end.start() if end else len(page)
             continue
-        if tag in _SKIP:
-            skipping = max(0, skipping - 1) if ends else skipping + (not rest.rstrip().endswith("/"))
+        if skip == "option":  # its end tag may be left out, and it holds text only
+            if tag in _ENDS_OPTION and (ends or tag in ("option", "optgroup")):
+                skip = "" if ends else skip
+                continue
+            if ends and not any(x[0] == tag for x in stack):
+                continue
+            skip = ""
+        elif skip:
+            if ends and any(x[0] == tag for x in inside):
+                while inside[-1][0] != tag:
+                    unclosed.add(inside.pop()[1])
+                inside.pop()
+            elif ends and tag == skip:
+                skip = ""
+                inside.clear()
+            elif any(x[0] == tag for x in stack) if ends else tag == skip not in _NESTS or (tag == "body" and skip not in ("svg", "math")):
+                at = unskip()
+            elif not ends and tag != "option" and (tag in _BLOCK or tag in _SKIP) and tag not in _VOID and not rest.rstrip().endswith("/"):
+                inside.append((tag, at))
             continue
-        if tag == "body" and not ends:
-            skipping = 0  # a head that isn't closed
-        if skipping:
+        if tag in _SKIP and not ends and at not in unclosed and not rest.rstrip().endswith("/"):
+            skip, start = tag, at
             continue
         if tag in _SPACED:
             inline.append(" ")

@@ -88,6 +88,32 @@ def test_page(page, blocks):
     assert parse_page(page)[0] == blocks
 
 
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<body><form><select><option>A<option>B</select></form><p>text", ["text"]),
+        ("<p>a</p><select><optgroup label=x><option>A<optgroup label=y><option>B</select><p>b", ["a", "b"]),
+        ("<input list=d><datalist id=d><option>A<option>B</datalist><p>text", ["text"]),
+        ("<div><select><option>A<option>B</div><p>text</p><select><option>C</select>end", ["text", "end"]),
+        ("<select><option>A<option>B<p>text", ["text"]),
+        ("<html><head><title>T</title><meta charset=utf-8><link rel=x><p>text<p>more", ["text", "more"]),
+        ("<head><script>x</script>plain text", ["plain text"]),
+        ("<head><title>T</title><body><p>text", ["text"]),
+        ("<div><button>Menu</div><p>text</p><button>Send</button>", ["Menu", "text"]),
+        ("<button>Menu<p>text</p><button>Send</button><p>end", ["Menu", "text", "end"]),
+        ("<p><object data=x></p><p>text</p>", ["text"]),
+        ("<div>" + "<object>" * 20_000 + "</div><p>text", ["text"]),
+        ("<body><canvas id=c><p>text</p></body>", ["text"]),
+        ("<map name=m><area href=x><p>text <svg><text>no</text></svg>more", ["text more"]),
+        ("<div><svg><foreignObject><body><div>no</div></body></foreignObject><text>no</text></svg>text</div>", ["text"]),
+        ("<object><object>no</object>no</object><p>text", ["text"]),
+        ("<video src=x><p>no</p></video><button><div>no</button><p>text", ["text"]),
+    ],
+)
+def test_page_without_end_tags(page, blocks):
+    assert parse_page(page)[0] == blocks
+
+
 def test_templates(spark):
     foot = "<div><p>About this site</p><p>All pages</p></div>"
     rows = [(i, f"https://a.example/{i}", f"<body>{foot}<div><p>own words of page {i} which are the longest part of it by far</p></div>", "x") for i in range(8)]
