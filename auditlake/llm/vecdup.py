@@ -1,14 +1,16 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
 Each tree splits recursively by random directions at the median; vectors
-within ``spill`` of a split go to both sides.  A pair at cosine 0.93 differs by
+within ``spill`` of a split go to both sides.  A node whose sampled vectors
+mostly would, like a large group of near copies, isn't split.  A pair at cosine 0.93 differs by
 about 0.05 along a random direction of 64 dimensions, so a split parts few
 pairs, and a pair that one tree parts is found by another.  Directions and
 medians are fitted on a bounded hash sample; every vector is routed through
-all trees, and all vectors of a leaf are compared, in blocks.
+all trees, and all vectors of a leaf are compared: a leaf beyond ``BLOCK`` rows
+is dealt into hash blocks, and each pair of blocks is a group of its own.
 
-No pair leaves a leaf.  A pair is counted only in its first common leaf, which
-both vectors' leaf lists tell, so each leaf sends one count per vector, and for
+No pair leaves its group.  A pair is counted only in its first common leaf, which
+both vectors' leaf lists tell, so each group sends one count per vector, and for
 the components a spanning forest.  Equal vectors of a label are one class.
 """
 
@@ -31,11 +33,15 @@ SAMPLE = 32768
 LEAF = 256
 #: Sampled vectors that a node must have had to be split.
 SPLIT_SAMPLE = 32
+#: Rows of a leaf that one block takes; a task holds two blocks.
+BLOCK = 4096
 _ROWS = 512
+#: Leaves that are compared at once when a pair's first common leaf is looked for.
+_LEAVES = 1024
 
 
 class Forest:
-    """Directions (tree, node, dimension) and thresholds (tree, node) of complete binary trees."""
+    """Directions (tree, node, dimension), thresholds (tree, node) and which nodes are split, of binary trees."""
 
     def __init__(self, sample: np.ndarray, trees: int, depth: int, spill: float, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -44,22 +50,30 @@ class Forest:
         self.directions = rng.standard_normal((trees, max(nodes, 1), dim))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
         self.cuts = np.zeros((trees, max(nodes, 1)))
+        self.split = np.zeros((trees, 2 * nodes + 1), bool)
         for t in range(trees):
             at = np.zeros(len(sample), np.int64)
             for node in range(nodes):
                 mine = np.flatnonzero(at == node)
                 p = sample[mine] @ self.directions[t, node]
-                self.cuts[t, node] = np.median(p) if len(p) else 0.0
-                at[mine] = 2 * node + 1 + (p > self.cuts[t, node])
+                cut = np.median(p) if len(p) else 0.0
+                if 2 * np.count_nonzero(np.abs(p - cut) <= spill) >= len(p):  # no vectors, or most would go both ways
+                    continue
+                self.cuts[t, node], self.split[t, node] = cut, True
+                at[mine] = 2 * node + 1 + (p > cut)
 
     def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and the leaves they fall in, spilled rows several times."""
         row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        ended = []
         for _ in range(self.depth):
+            ends = ~self.split[tree][node]
+            ended.append((row[ends], node[ends]))
+            row, node = row[~ends], node[~ends]
             p = np.einsum("ij,ij->i", x[row], self.directions[tree][node]) - self.cuts[tree][node]
             left, right = p <= self.spill, p >= -self.spill
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
-        return row, node
+        return tuple(np.concatenate(c) for c in zip(*ended, (row, node)))
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -67,18 +81,35 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def leaf_links(x: np.ndarray, weight: np.ndarray, seen: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For the unit vectors of one leaf: weighted counts of links that no earlier leaf has, and a component label each.
+def _incidence(leaves: list[np.ndarray]) -> np.ndarray:
+    """Vectors and the leaves that more than one of them are in, 1 where one is in the other."""
+    sizes = [len(x) for x in leaves]
+    names, column, held = np.unique(np.concatenate(leaves), return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(len(leaves)), sizes), held > 1
+    place, kept = np.cumsum(shared) - 1, shared[column]
+    out = np.zeros((len(leaves), int(shared.sum())), np.uint8)
+    out[row[kept], place[column[kept]]] = 1
+    return out
 
-    ``seen`` is an incidence matrix of vectors and earlier leaves.
+
+def leaf_links(x: np.ndarray, weight: np.ndarray, seen: np.ndarray, threshold: float, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For the unit vectors of one group: weighted counts of links that no earlier leaf has, and a component label each.
+
+    ``seen`` is an incidence matrix of vectors and earlier leaves.  With
+    ``side``, only vectors of different sides are compared.
     """
     n = len(x)
     counts, label = np.zeros(n, np.int64), np.arange(n)
     for a in range(0, n, _ROWS):
         rows = np.arange(a, min(a + _ROWS, n))
         linked = x[rows] @ x.T >= threshold
-        linked[np.arange(len(rows)), rows] = False
+        if side is None:
+            linked[np.arange(len(rows)), rows] = False
+        else:
+            linked &= side[rows][:, None] != side[None, :]
         i, j = np.nonzero(linked)
+        if not len(i):
+            continue
         i = i + a
         while len(i):  # hook labels until every link lies within one
             li, lj = label[i], label[j]
@@ -91,8 +122,10 @@ def leaf_links(x: np.ndarray, weight: np.ndarray, seen: np.ndarray, threshold: f
             np.minimum.at(label, lj, low)
             while (label[label] != label).any():
                 label = label[label]
-        fresh = linked & ~(seen[rows] @ seen.T > 0)
-        counts[rows] = fresh @ weight
+        for k in range(0, seen.shape[1], _LEAVES):
+            part = seen[:, k : k + _LEAVES].astype(np.float32)
+            linked &= part[rows] @ part.T == 0
+        counts[rows] = linked @ weight
     return counts, label
 
 
@@ -161,19 +194,26 @@ def _search(classes: DataFrame, dim: int, largest: int, threshold: float, trees:
             at = pa.array(row)
             yield pa.record_batch([pa.array(code, pa.int64()), *(batch.column(i).take(at) for i in range(5)), lists.take(at)], names=["leaf", "label", "ck", "id", "n", "vec", "leaves"])
 
-    routed = classes.select("label", "ck", "id", "n", "vec").mapInArrow(route, "leaf long, label string, ck long, id long, n long, vec array<double>, leaves array<long>")
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in route(batches):
+            yield batch.select(["label", "leaf"])
+
+    members = classes.select("label", "ck", "id", "n", "vec")
+    routed = members.mapInArrow(route, "leaf long, label string, ck long, id long, n long, vec array<double>, leaves array<long>")
+    # A row per leaf beyond a block: at most one for BLOCK routed rows.  Others are one block.
+    large = members.mapInArrow(only, "label string, leaf long").groupBy("label", "leaf").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
+    large = large.select("label", "leaf", F.ceil(F.col("c") / F.lit(BLOCK)).cast("long").alias("nb"))
+    dealt = routed.join(F.broadcast(large), ["label", "leaf"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("ck", F.lit(5)), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("nb", "other")
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         u = np.stack(pdf["vec"].to_numpy())
         u /= np.linalg.norm(u, axis=1, keepdims=True)
-        lists = [x[x < key[1]] for x in pdf["leaves"]]
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
-        names, column = np.unique(flat, return_inverse=True)
-        seen = np.zeros((len(pdf), len(names)), np.float32)
-        seen[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), column] = 1
-        counts, label = leaf_links(u, pdf["n"].to_numpy(), seen, threshold)
+        side = None if key[2] == key[3] else pdf["mine"].to_numpy()
+        counts, label = leaf_links(u, pdf["n"].to_numpy(), _incidence([x[x < key[1]] for x in pdf["leaves"]]), threshold, side)
         ids = pdf["id"].to_numpy()
         out = pd.DataFrame({"ck": pdf["ck"], "id": ids, "links": counts, "root": ids[label]})
         return out[(counts > 0) | (label != np.arange(len(label)))]
 
-    return routed.groupBy("label", "leaf").applyInPandas(compare, "ck long, id long, links long, root long")
+    return dealt.groupBy("label", "leaf", "lo", "hi").applyInPandas(compare, "ck long, id long, links long, root long")

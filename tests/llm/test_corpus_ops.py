@@ -156,6 +156,34 @@ def test_vectors(spark):
     assert vecdup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    """Leaves dealt into small blocks give the same result."""
+    monkeypatch.setattr(vecdup, "BLOCK", 30)
+    test_vectors(spark)
+
+
+def test_large_group_of_near_vectors(spark, monkeypatch):
+    """Real depth, and a third of the rows in one group: few copies of its rows, few lost links."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x = np.concatenate([base, base + 0.02 * rng.standard_normal(base.shape), base[0] + 0.02 * rng.standard_normal((1000, 64))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = vecdup.Forest(x, 5, 6, 0.035)
+    placed = np.concatenate([forest.leaves(x, t)[0] for t in range(5)])
+    assert forest.split.any() and np.bincount(placed)[2000:].mean() < 25
+    monkeypatch.setattr(vecdup, "BLOCK", 300)
+    monkeypatch.setattr(vecdup, "LEAF", 64)
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = vecdup.near_vectors(vectors).collect()
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in found}
+    recall = sum(got.values()) / near.sum()
+    assert all(got[i] <= near[i].sum() for i in got) and recall >= 0.99, recall
+    assert all(got[i] >= 0.99 * near[i].sum() for i in range(2000, 3000))
+
+
 def test_shards(spark):
     texts = [*corpus(), *corpus()]
     found = interleave(table(spark, texts), shards=7).collect()
