@@ -56,6 +56,8 @@ _WORDS = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs sidebar footer masthead topbar ad ads advert adverts advertisement advertising adsense adbox adslot banner promo promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices notification popup modal overlay lightbox newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist disqus reply replies pagination pager toolbar widget widgets skip copyright paywall".split()
 )
 _HEAD_WORDS = frozenset(["header"])  # of a page, not of its article
+_HAVING = frozenset(["with", "has", "without"])  # "with-sidebar" isn't the sidebar
+_WRAPPERS = frozenset(["form", "fieldset"])  # may hold a whole page; these say nothing of their content
 
 PARSED = (
     "page_id long, url string, host string, content long, blocks array<string>, "
@@ -75,7 +77,10 @@ def _says_boilerplate(attrs: dict[str, str], in_main: bool) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
         return True
-    words = {w.lower() for w in _WORD.findall(attrs.get("class", "") + " " + attrs.get("id", ""))}
+    words: set[str] = set()
+    for name in (attrs.get("class", "") + " " + attrs.get("id", "")).split():
+        parts = [w.lower() for w in _WORD.findall(name)]
+        words.update(w for w, before in zip(parts, ["", *parts]) if before not in _HAVING)
     return bool(words & _WORDS) or (not in_main and bool(words & _HEAD_WORDS))
 
 
@@ -86,11 +91,11 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     """
     blocks: list[str] = []
     inline: list[str] = []
-    dropped: list[tuple[int, int]] = []
-    mains: list[tuple[bool, int, int, bool]] = []  # is it <main>, first, stop, says boilerplate
+    dropped: list[tuple[int, int, bool]] = []  # first, stop, says what it holds
+    mains: list[tuple[bool, int, int, bool, bool]] = []  # is it <main>, first, stop, says boilerplate, is of the page
     candidates: list[tuple[int, int, int, str]] = []
-    # An open element: tag, first block, says boilerplate, is a main element, hash parts
-    stack: list[tuple[str, int, bool, bool, list[str]]] = []
+    # An open element: tag, first block, says boilerplate by name (2) or tag (1), is a main element of the page (2) or an article (1), hash parts
+    stack: list[tuple[str, int, int, int, list[str]]] = []
     open_mains = at = 0
     # The outermost skipped element, where its content starts, and what is open in it: tag, content start
     skip, start = "", 0
@@ -120,14 +125,14 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         stop = len(blocks)
         if main:
             open_mains -= 1
-            mains.append((tag == "main", first, stop, boiler))
+            mains.append((tag == "main", first, stop, boiler > 0, main == 2))
         if not parts:
             return
         digest = xxhash.xxh64_intdigest("\0".join([tag, *parts]))
         if stack:
             stack[-1][4].append(f"\1{digest:x}")
         if boiler:
-            dropped.append((first, stop))
+            dropped.append((first, stop, boiler == 2 or tag not in _WRAPPERS))
         elif stop > first and tag not in ("html", "body") and not main:
             candidates.append((digest - (1 << 63), first, stop, tag))
 
@@ -196,11 +201,12 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         if tag in ("li", "dt", "dd", "tr") and stack and stack[-1][0] in ({"dt", "dd"} if tag[0] == "d" else {tag}):
             close()
         attrs = _attributes(rest) if rest else {}
-        main = tag in _MAIN or attrs.get("role") == "main" or attrs.get("itemprop", "").lower() == "articlebody"
-        boiler = tag not in ("html", "body") and _says_boilerplate(attrs, open_mains > 0)
-        boiler = boiler or (tag in _BOILER and not (tag == "header" and open_mains)) or tag == "search"
+        of_page = tag == "main" or attrs.get("role") == "main" or attrs.get("itemprop", "").lower() == "articlebody"
+        main = 2 if of_page else int(tag in _MAIN)
+        boiler = 2 if tag not in ("html", "body") and _says_boilerplate(attrs, open_mains > 0) else 0
+        boiler = boiler or int((tag in _BOILER and not (tag == "header" and open_mains)) or tag == "search")
         stack.append((tag, len(blocks), boiler, main, []))
-        open_mains += main
+        open_mains += main > 0
     flush()
     while stack:
         close()
@@ -212,27 +218,35 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     def size(first: int, stop: int) -> int:
         return sizes[stop] - sizes[first]
 
-    # A main element within boilerplate is none, unless that holds most of the page, like a wrapper named after its sidebar.
-    inside = [m for m in mains if not m[3] and not any(a <= m[1] and m[2] <= z and 2 * size(a, z) <= size(0, len(blocks)) for a, z in dropped)]
-    root = max(inside, key=lambda m: (m[0], size(m[1], m[2]))) if inside else None
-    if root is not None and size(root[1], root[2]):
-        first, stop = root[1], root[2]
-        cut = [(a, z) for a, z in dropped if not (a <= first and stop <= z)]
-        able = [c for c in candidates if c[3] in _CONTAINER and first <= c[1] and c[2] <= stop and (c[1], c[2]) != (first, stop)]
-    else:
-        first, stop = 0, len(blocks)
-        cut = [(a, z) for a, z in dropped if 2 * size(a, z) <= size(0, stop) or z - a < 2]
-        able = [c for c in candidates if 2 * size(c[1], c[2]) <= size(0, stop)]
-    gone = bytearray(len(blocks) + 1)
-    for a, z in sorted(cut):
-        if not (gone[a] and gone[z - 1]):
-            gone[a:z] = b"\1" * (z - a)
-    new, kept = [0], []
-    for i in range(len(blocks)):
-        keep = first <= i < stop and not gone[i]
-        if keep:
-            kept.append(blocks[i])
-        new.append(len(kept))
+    # What holds the page's main element is a wrapper, whatever its name.
+    of_page = [m for m in mains if m[4] and not m[3] and m[2] > m[1]]
+    dropped = [d for d in dropped if not any(d[0] <= m[1] and m[2] <= d[1] for m in of_page)]
+    for strict in (True, False):  # named boilerplate goes at any size, unless nothing else is on the page
+        def goes(a: int, z: int, named: bool) -> bool:
+            return (strict and named) or 2 * size(a, z) <= size(0, len(blocks))
+
+        inside = [m for m in mains if not m[3] and not any(d[0] <= m[1] and m[2] <= d[1] and goes(*d) for d in dropped)]
+        root = max(inside, key=lambda m: (m[0], size(m[1], m[2]))) if inside else None
+        if root is not None and size(root[1], root[2]):
+            first, stop = root[1], root[2]
+            cut = [(a, z) for a, z, _ in dropped if not (a <= first and stop <= z)]
+            able = [c for c in candidates if c[3] in _CONTAINER and first <= c[1] and c[2] <= stop and (c[1], c[2]) != (first, stop)]
+        else:
+            first, stop = 0, len(blocks)
+            cut = [(a, z) for a, z, named in dropped if goes(a, z, named) or z - a < 2]
+            able = candidates
+        gone = bytearray(len(blocks) + 1)
+        for a, z in sorted(cut):
+            if not (gone[a] and gone[z - 1]):
+                gone[a:z] = b"\1" * (z - a)
+        new, kept = [0], []
+        for i in range(len(blocks)):
+            keep = first <= i < stop and not gone[i]
+            if keep:
+                kept.append(blocks[i])
+            new.append(len(kept))
+        if kept:
+            break
     spans = {(h, new[a], new[z]) for h, a, z, _ in able if new[z] > new[a]}
     return kept, sorted(spans), xxhash.xxh64_intdigest("\n".join(kept)) - (1 << 63)
 
@@ -256,20 +270,19 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
     return rows.mapInArrow(run, PARSED)
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
     """Main text of every page: ``page_id, url, text, n_chars``.
 
     A subtree is a template of its host if it stands on at least ``min_pages``
-    pages with different content and on ``min_share`` of the host's.  Null and
+    pages with different content, however many the host has.  Null and
     empty pages give empty text; null ids and repeated rows stay rows; further columns are
     ignored; an empty table gives no rows.
     """
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = parsed.filter(F.size("templates") > 0).select("row", "host", "content", F.explode("templates").alias("t"))
     spans = spans.select("row", "host", "content", "t.hash", "t.first", "t.stop")
-    per_host = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     counts = spans.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") >= min_pages).join(per_host, "host").filter(F.col("n") >= F.col("n_host") * min_share)
+    often = counts.filter(F.col("n") >= min_pages)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     often = often.select("host", "hash").withColumn("salt", salts)
     hits = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(often, ["host", "hash", "salt"])

@@ -114,6 +114,34 @@ def test_page_without_end_tags(page, blocks):
     assert parse_page(page)[0] == blocks
 
 
+LONG = "<article><p>a comment that is a good deal longer than the text it is about</p></article>" * 3
+
+
+@pytest.mark.parametrize(
+    "page, blocks",
+    [
+        ("<p>short text</p><div class=comments>" + LONG + "</div>", ["short text"]),
+        ("<p>short text</p><div id=sidebar><p>a long list of links</p><p>and more links</p></div>", ["short text"]),
+        ("<nav><p>a long list of links</p><p>and more links</p></nav><p>text", ["text"]),
+        ("<div class=comments><p>all that the page</p><p>has</p></div>", ["all that the page", "has"]),
+        ("<div class=content-with-sidebar><article><p>a</p><p>b</p></article></div><p>c", ["a", "b"]),
+        ("<div class=sidebar-right><main><p>a</p><p>b</p></main></div><p>c", ["a", "b"]),
+        ("<p>skip</p><form id=aspnet><p>the whole page's text</p><p>more of it</p></form>", ["skip", "the whole page's text", "more of it"]),
+    ],
+)
+def test_boilerplate_of_any_size(page, blocks):
+    assert parse_page(page)[0] == blocks
+
+
+def test_rare_and_large_templates(spark):
+    """A notice on 6 of 800 pages, and one that is longer than the text it stands beside."""
+    notice, links = "<div><p>A notice</p><p>of few pages</p></div>", "<div><p>a list of links that is a good deal longer</p><p>than the text of the page</p></div>"
+    rows = [(i, f"https://a.example/{i}", f"<body>{notice if i < 6 else ''}<div><p>own words of page {i}</p></div>") for i in range(800)]
+    rows += [(1000 + i, f"https://b.example/{i}", f"<body>{links}<div><p>own words {i}</p></div>") for i in range(6)]
+    text = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[3] == "own words of page 3" and text[700] == "own words of page 700" and text[1003] == "own words 3"
+
+
 def test_templates(spark):
     foot = "<div><p>About this site</p><p>All pages</p></div>"
     rows = [(i, f"https://a.example/{i}", f"<body>{foot}<div><p>own words of page {i} which are the longest part of it by far</p></div>", "x") for i in range(8)]
