@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import shell, text
@@ -23,7 +23,7 @@ from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, ma
 from auditlake.plans.render import findings_json
 from auditlake.plans.schema import PASSES
 from auditlake.sources.otlp import otlp_events
-from auditlake.sources.session import Session, session_events
+from auditlake.sources.session import Session, line_events
 
 PACK = embedded_pack()
 
@@ -274,9 +274,13 @@ _SESSION_LINES = """SELECT concat('u', CAST(user_id AS STRING)) AS scan_id, even
 
 def _sessions(spark: SparkSession, sf_dir: str) -> Session:
     """A transcript per user: a line per event."""
-    lines = _view(spark, sf_dir, _SESSION_LINES)
-    texts = lines.groupBy("scan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda s: s["line"]), "\n").alias("text"))
-    return Session(session_events(texts))
+    lines = _view(spark, sf_dir, _SESSION_LINES).withColumn("bucket", F.floor(F.col("event_id") / F.lit(4096)))
+    # Line numbers from counts of ranges of ids: no window holds a user's events.
+    counts = lines.groupBy("scan_id", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("scan_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("scan_id", "bucket").orderBy("event_id"))
+    placed = lines.withColumn("place", place).join(counts.withColumn("before", before).drop("n"), ["scan_id", "bucket"])
+    return Session(line_events(placed.select("scan_id", (F.col("before") + F.col("place")).alias("number"), "line")))
 
 
 _LINE_NO = f"SELECT scan_id, event_id, line, row_number() OVER (PARTITION BY scan_id ORDER BY event_id) AS n FROM ({_SESSION_LINES})"

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import INPUT_ROLES, normalize
@@ -92,63 +92,63 @@ def version_warning(version: str) -> str | None:
     return f"warning: session version {version} differs from the tested {family}.x family; parsing best-effort"
 
 
-def parse_session(text: str) -> Iterator[tuple[int, str, str, str, bool]]:
-    """Events of a transcript: (seq, what, source, value, plain); what: action, skip, type or evidence.
+def parse_line(number: int, line: str) -> Iterator[tuple[int, str, str, str | None, bool]]:
+    """Events of a transcript's line: (seq, what, source, value, plain); what: action, skip, type, evidence or warning.
 
-    Never fails on content: each object that yields no action gives a skip with its reason.
+    Never fails on content: each object that yields no action gives a skip with
+    its reason.  What counts once a transcript is told for each line; a warning
+    is null for a version without one.
     """
-    seen_types: set[str] = set()
-    evidence: set[str] = set()
-    for number, line in enumerate(text.split("\n"), 1):
-        line = line.strip()
-        if not line:
-            continue
-        at = number * PER_LINE
-        try:
-            obj = json.loads(line)
-        except ValueError:
-            yield at, "skip", f"line {number}", "json parse error", False
-            continue
-        fields = obj if isinstance(obj, dict) else {}
-        for key in ("version", "gitBranch", "cwd"):
-            if key not in evidence and isinstance(fields.get(key), str):
-                evidence.add(key)
-                yield at, "evidence", key, fields[key], False
-                warning = version_warning(fields[key]) if key == "version" else None
-                if warning:
-                    yield at, "skip", f"line {number}", warning, False
-        kind = fields.get("type")
-        if not isinstance(kind, str):
-            yield at, "skip", f"line {number}", "missing type discriminator", False
-            continue
-        if kind not in seen_types:
-            seen_types.add(kind)
-            yield at, "type", kind, kind, False
-        if kind in ("assistant", "user", "tool_result"):
-            found = line_actions(fields, kind)
-            for i, (source, value, fold) in enumerate(found):
-                yield at + i, "action", source, value, not fold
-            if not found:
-                reason = "assistant object, no tool_use blocks" if kind == "assistant" else f"'{kind}' carries no observable action"
-                yield at, "skip", f"line {number}", reason, False
-        elif kind in INERT_TYPES:
-            yield at, "skip", f"line {number}", f"'{kind}' carries no observable action", False
-        else:
-            yield at, "skip", f"line {number}", f"unknown type: '{kind}' (skipped)", False
-
-
-def session_events(texts: DataFrame) -> DataFrame:
-    """``EVENTS`` of whole transcripts, given as ``scan_id, text``."""
+    line = line.strip()
+    if not line:
+        return
+    at = number * PER_LINE
+    try:
+        obj = json.loads(line)
+    except ValueError:
+        yield at, "skip", f"line {number}", "json parse error", False
+        return
+    fields = obj if isinstance(obj, dict) else {}
+    for key in ("version", "gitBranch", "cwd"):
+        if isinstance(fields.get(key), str):
+            yield at, "evidence", key, fields[key], False
+            if key == "version":
+                yield at, "warning", f"line {number}", version_warning(fields[key]), False
+    kind = fields.get("type")
+    if not isinstance(kind, str):
+        yield at, "skip", f"line {number}", "missing type discriminator", False
+        return
+    yield at, "type", kind, kind, False
+    if kind in ("assistant", "user", "tool_result"):
+        found = line_actions(fields, kind)
+        for i, (source, value, fold) in enumerate(found):
+            yield at + i, "action", source, value, not fold
+        if not found:
+            reason = "assistant object, no tool_use blocks" if kind == "assistant" else f"'{kind}' carries no observable action"
+            yield at, "skip", f"line {number}", reason, False
+    elif kind in INERT_TYPES:
+        yield at, "skip", f"line {number}", f"'{kind}' carries no observable action", False
+    else:
+        yield at, "skip", f"line {number}", f"unknown type: '{kind}' (skipped)", False
+
+
+def line_events(lines: DataFrame) -> DataFrame:
+    """``EVENTS`` of transcripts given by line: ``scan_id, number, line``, numbers from 1, in any order and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
         for batch in batches:
-            for scan, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(scan, *e) for e in parse_session(text or "")]
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in EVENTS.split(", ")])
+            rows = [(scan, *e) for scan, number, line in zip(*(batch.column(i).to_pylist() for i in range(3))) for e in parse_line(number, line or "")]
+            if rows:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in EVENTS.split(", ")])
 
-    return texts.select("scan_id", "text").mapInArrow(run, EVENTS)
+    return lines.select("scan_id", F.col("number").cast("long"), "line").mapInArrow(run, EVENTS)
+
+
+def session_events(texts: DataFrame) -> DataFrame:
+    """``EVENTS`` of whole transcripts, given as ``scan_id, text``; each must fit a value."""
+    lines = texts.select("scan_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return line_events(lines.select("scan_id", (F.col("at") + 1).alias("number"), "line"))
 
 
 class Session:
@@ -157,15 +157,22 @@ class Session:
     def __init__(self, events: DataFrame):
         value = F.when(F.col("plain"), F.col("value")).otherwise(normalize(F.col("value")))
         self.actions = events.filter("what = 'action'").select("scan_id", "seq", "source", value.alias("value"))
-        self.skips = events.filter("what = 'skip'").select("scan_id", "seq", F.col("source").alias("place"), F.col("value").alias("reason"))
+        skips = events.filter("what = 'skip'").select("scan_id", "seq", F.col("source").alias("place"), F.col("value").alias("reason"))
+        # Only the first version of a transcript is warned about.
+        first = events.filter("what = 'warning'").groupBy("scan_id").agg(F.min("seq").alias("seq"), F.min_by(F.struct("source", "value"), "seq").alias("w"))
+        self.skips = skips.union(first.filter("w.value IS NOT NULL").select("scan_id", "seq", "w.source", "w.value"))
         self.types = events.filter("what = 'type'").groupBy("scan_id").agg(F.array_sort(F.collect_set("value")).alias("observed_types"))
         self.evidence = events.filter("what = 'evidence'").groupBy("scan_id").agg(*(F.min_by(F.when(F.col("source") == k, F.col("value")), F.when(F.col("source") == k, F.col("seq"))).alias(n) for k, n in (("version", "version"), ("gitBranch", "git_branch"), ("cwd", "cwd"))))
 
 
 def read_sessions(spark: SparkSession, path: str | list[str]) -> Session:
     """Transcripts of a path, glob or folder; ``scan_id`` is the file's path."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("scan_id"), F.col("value").alias("text"))
-    return Session(session_events(files))
+    # A split of a file is read in one go, so ids ascend by one within it, and few rows tell where splits start.
+    found = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("scan_id"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"))
+    splits = found.groupBy("scan_id", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("scan_id").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = found.join(splits.withColumn("before", before), ["scan_id", "split"])
+    return Session(line_events(lines.select("scan_id", (F.col("before") + F.col("id") - F.col("first") + 1).alias("number"), "line")))
 
 
 def transcript_from_messages(messages: DataFrame, scan_col: str = "scan_id", seq_col: str = "seq") -> DataFrame:
