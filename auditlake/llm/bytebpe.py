@@ -14,13 +14,13 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,19 +273,28 @@ class ByteBpe(dict):
             yield self.flat[shift].tobytes()
 
 
+@lru_cache(maxsize=4)
+def _members(pattern: str) -> np.ndarray:
+    """Code points that a class of the pattern language holds, ascending.
+
+    The installed tiktoken tells: encoded under the class alone, a text of all
+    code points keeps the class's members only.  So Python's own version of
+    Unicode, which may be older or newer, plays no part.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+    only = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    return np.frombuffer(only.decode(only.encode_ordinary(every)).encode("utf-32-le"), "<u4")
+
+
 def _classes(last: int) -> tuple[str, str]:
     """Bodies of character classes of the ``re`` module for letters and numbers up to a code point."""
     out = []
-    for major in "LN":
-        spans, start = [], None
-        for c in range(last + 2):
-            inside = c <= last and unicodedata.category(chr(c))[0] == major
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        out.append("".join(spans))
+    for pattern in (r"\p{L}", r"\p{N}"):
+        found = _members(pattern)
+        found = found[found <= last].astype(np.int64)
+        cuts = np.flatnonzero(np.diff(found) > 1)
+        starts, stops = found[np.append(0, cuts + 1)], found[np.append(cuts, len(found) - 1)]
+        out.append("".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in zip(starts.tolist(), stops.tolist())))
     return out[0], out[1]
 
 
@@ -329,7 +338,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and with
     ``keep_ids`` the ids themselves (``ids``: little-endian unsigned 32-bit).
     A null text counts as empty: no tokens.  Null ids and repeated rows stay rows; further
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows.  Texts of any length are
+    encoded whole; a pre-token of any length goes through one queue, with
+    about 200 bytes of memory for each of its bytes.
     """
     if pattern is None:
         import public_tokenizers
