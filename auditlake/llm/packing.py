@@ -2,8 +2,8 @@
 
 Documents become token sequences; only those longer than a sequence are cut.
 Full pieces are sequences of their own, so at most one piece of a document is
-left to place.  Those are dealt by hash into groups of about ``group_docs``
-documents, and each group is packed on its own: an item of length ``s`` goes
+left to place.  Rows are dealt into groups of about ``group_docs`` documents by
+a number of their own, so copies spread as well, and each group is packed on its own: an item of length ``s`` goes
 to the open bin whose choice leaves the smallest sum over all residual gaps
 ``g`` of ``(bins with gap g) ** 2``, and opens a new bin only if no open bin
 fits.  Items are taken by falling length.  A group wastes about one sequence,
@@ -17,11 +17,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm.scratch import materialize
 from auditlake.llm.vocab import default_dir, word_bpe
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -89,18 +89,21 @@ def pack_documents(
     Returns one row per piece (``PIECES``).  ``sequence_id`` is unique per
     sequence: the group in the high bits.  Null ids and repeated rows are kept
     as rows like any other; a null or empty text is the end id alone; an empty
-    table gives no rows; further columns are ignored.
+    table gives no rows; further columns are ignored.  A text is encoded whole,
+    however long; of its pieces only the checksums are kept.
     """
     path = tokenizer or f"{default_dir()}/word_bpe_49k.json"
-    groups = max(1, -(-docs.count() // group_docs))
-    rows = token_pieces(docs, id_col, text_col, path, seq_len, end_id)
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "n_ids", F.element_at("crcs", 1)), F.lit(groups)).cast("long"))
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n_ids"], kind="stable", ignore_index=True)
-        n_ids = pdf["n_ids"].to_numpy()
+    # Lengths and checksums, a few dozen bytes a document, are written once: row numbers of
+    # the written table stay the same when a task is run again, and no text is encoded twice.
+    rows = materialize(token_pieces(docs, id_col, text_col, path, seq_len, end_id), "lengths")
+    groups = max(1, -(-rows.count() // group_docs))
+    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+
+    def pack(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n_ids", "descending"), ("doc_id", "ascending")])
+        n_ids = table.column("n_ids").to_numpy()
         counts = -(-n_ids // seq_len)
-        row = np.repeat(np.arange(len(pdf)), counts)
+        row = np.repeat(np.arange(len(n_ids)), counts)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
         length = np.minimum(seq_len, n_ids[row] - piece * seq_len)
         bins, offset, opened = sum_of_squares(length[length < seq_len], seq_len)
@@ -108,16 +111,8 @@ def pack_documents(
         seq[length < seq_len], off[length < seq_len] = bins, offset
         full = length == seq_len
         seq[full] = opened + np.arange(int(full.sum()))
-        return pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].take(row).reset_index(drop=True),
-                "piece": piece.astype(np.int32),
-                "start": piece * seq_len,
-                "length": length,
-                "ids_crc32": np.concatenate(pdf["crcs"].to_numpy()),
-                "sequence_id": (int(key[0]) << 32) + seq,
-                "offset": off,
-            }
-        )
-
-    return dealt.groupBy("grp").applyInPandas(pack, PIECES)
+        crcs = pa.chunked_array([c.flatten() for c in table.column("crcs").chunks], pa.int64())
+        cols = [table.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(piece * seq_len), pa.array(length), crcs, pa.array((key[0].as_py() << 32) + seq), pa.array(off)]
+        return pa.table(cols, names=[c.split()[0] for c in PIECES.split(", ")])
+
+    return dealt.groupBy("grp").applyInArrow(pack, PIECES)

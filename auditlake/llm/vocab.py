@@ -41,7 +41,6 @@ class WordBpe(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text here
         self.model = self.tokenizer.model
         # Byte-level alphabet: printable bytes stand for themselves, others for 256, 257, ...
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -52,12 +51,14 @@ class WordBpe(dict):
         # An apostrophe may start a contraction, and characters beyond Latin may need normalising.
         self.simple = re.compile("[\x21-\x26\x28-\x7e\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
         self.odd_space = re.compile("[\x1c-\x1f]").search
+        # Strings of added tokens, which the tokenizer looks for in the text as it stands.
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)").search
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(chunk) > CACHE_KEY or not self.simple(chunk):
+        if len(chunk) > CACHE_KEY or not self.simple(chunk) or self.added(chunk):
             out = self._whole(chunk)
             if len(chunk) > CACHE_KEY:
                 return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +27,6 @@ def docs(spark):
 
 def test_pack(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = pack_documents(docs(spark), group_docs=4).collect()
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(TEXTS)}
     ids[None] = [*tokenizer.encode("no id", add_special_tokens=False).ids, 0]
@@ -42,6 +42,42 @@ def test_pack(spark):
     assert pack_documents(docs(spark).limit(0)).count() == 0
 
 
+def test_pack_keeps_ids_beside_null_ids(spark):
+    big = 2**53 + 1
+    table = spark.createDataFrame([(None, "a"), (big, "b"), (-big, "c"), (big, "b")], "doc_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in pack_documents(table).collect()) == [-big, 0, big, big]
+
+
+def naive_sum_of_squares(lengths, capacity):
+    """The method as its definition has it: try every open bin, take the smallest sum; new bins only where nothing fits."""
+    bins = []
+    for s in sorted(lengths, reverse=True):
+        fits = [b for b in range(len(bins)) if bins[b] >= s]
+        if not fits:
+            bins.append(capacity - s)
+            continue
+
+        def cost(b):
+            gaps = Counter(g - s if i == b else g for i, g in enumerate(bins))
+            return sum(n * n for g, n in gaps.items() if g), bins[b]
+
+        bins[min(fits, key=cost)] -= s
+    return Counter(bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_sum_of_squares_is_the_naive_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 40, 100])
+    lengths = np.array([rng.randint(1, capacity) for _ in range(rng.randint(0, 70))], np.int64)
+    place, offset, opened = sum_of_squares(lengths, capacity)
+    left = [capacity] * opened
+    for i in np.argsort(-lengths, kind="stable"):
+        assert offset[i] == capacity - left[place[i]]
+        left[place[i]] -= int(lengths[i])
+    assert Counter(left) == naive_sum_of_squares(lengths.tolist(), capacity)
+
+
 def test_sum_of_squares_is_near_the_bound():
     rng = np.random.default_rng(3)
     for lengths in (rng.integers(1, 2048, 3000), np.full(100, 1024), np.full(10, 2047), np.empty(0, np.int64)):
@@ -65,6 +101,16 @@ def test_bpe_is_tiktoken(spark):
     texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(3000)]
     for text, ids in zip(texts, bpe.encode_all(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == known.encode_ordinary(text), repr(text)
+
+    def any_char():
+        """Of all planes, newer letters than Python knows included."""
+        if rng.random() < 0.3:
+            return rng.choice(alphabet)
+        c = rng.randrange(0x110000 if rng.random() < 0.5 else 0x33480)
+        return "x" if 0xD800 <= c < 0xE000 else chr(c)
+
+    texts = ["".join(any_char() for _ in range(rng.randint(1, 25))) for _ in range(50_000)]
+    assert sum(np.frombuffer(ids, "<u4").tolist() != known.encode_ordinary(text) for text, ids in zip(texts, bpe.encode_all(texts))) == 0
     long = "ab" * 20_000
     assert bpe.merge(long.encode()) == known.encode_ordinary(long)
     assert encode_decode(docs(spark).limit(0)).count() == 0
