@@ -5,7 +5,8 @@ regular: a turn starts at the start mark, its role ends at the first line
 break, its text at the next end mark.  Each rendered turn is parsed again by a
 deterministic parser; if the turns that come back differ from the source, the
 conflicting content is escaped and the turn rendered again, until both are
-identical.
+identical.  The rendered turns of a conversation then go, as one text, through
+the same parser, and the turns that it recovers must be the source's.
 
 Escape: in conflicting content every ``<|`` followed by any number of
 backslashes and one of the control names gets one backslash more
@@ -30,8 +31,6 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 _CONTROL = re.compile(r"<\|(\\*)(im_start\|>|im_end\|>)")
 _ESCAPED = re.compile(r"<\|\\(\\*)(im_start\|>|im_end\|>)")
-#: Grammar of a formatted conversation; groups: role, text.
-_TURN = re.compile(r"<\|im_start\|>((?:(?!<\|im_(?:start|end)\|>)[^\n])*)\n((?:(?!<\|im_(?:start|end)\|>).)*)<\|im_end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -57,15 +56,47 @@ class GrammarError(ValueError):
     """Text that no formatted conversation can be."""
 
 
+class Parser:
+    """The grammar over a text that comes in parts: ``feed`` gives the turns that a part completes.
+
+    An open turn is held until its end mark, so memory is that of the longest turn.
+    """
+
+    def __init__(self):
+        self.open, self.at = "", 0
+
+    def feed(self, part: str) -> list[tuple[str, str, int, int]]:
+        """Role, text (both read back), and the span of the raw text part in the whole text."""
+        text, out, at = self.open + part if self.open else part, [], 0
+        while at < len(text):
+            if not text.startswith(START, at):
+                if len(text) - at < len(START) and START.startswith(text[at:]):
+                    break
+                raise GrammarError(f"no turn at {self.at + at}")
+            role = at + len(START)
+            line = text.find("\n", role)
+            end = text.find(END, line + 1) if line >= 0 else -1
+            stop = end + len(END)
+            if end < 0 or stop == len(text):
+                break
+            if text[stop] != "\n" or text.find(START, role, end) >= 0 or text.find(END, role, line) >= 0:
+                raise GrammarError(f"no turn at {self.at + at}")
+            out.append((_read_role(text[role:line]), unescape(text[line + 1 : end]), self.at + line + 1, self.at + end))
+            at = stop + 1
+        self.open, self.at = text[at:], self.at + at
+        return out
+
+    def close(self) -> None:
+        """The text must end with a turn."""
+        if self.open:
+            raise GrammarError(f"open turn at {self.at}")
+
+
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """Turns of a formatted text: role, text (both read back), and the span of the raw text part."""
-    out, at = [], 0
-    while at < len(formatted):
-        turn = _TURN.match(formatted, at)
-        if turn is None:
-            raise GrammarError(f"no turn at {at}")
-        out.append((_read_role(turn[1]), unescape(turn[2]), turn.start(2), turn.end(2)))
-        at = turn.end()
+    parser = Parser()
+    out = parser.feed(formatted)
+    parser.close()
     return out
 
 
@@ -114,22 +145,29 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 
 class _Conversation:
-    """Running digests of what is read back from the output of one conversation."""
+    """Running digests of what is read back from the whole output of one conversation."""
 
     def __init__(self, conv_id: int | None):
         self.conv_id, self.n, self.loss, self.chars = conv_id, 0, 0, 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
-
-    def add(self, formatted: str) -> None:
-        for role, text, _, _ in parse(formatted):
+        self.parser = Parser()
+
+    def add(self, role: str, text: str) -> None:
+        formatted = render_turn(role, text)
+        recovered = self.parser.feed(formatted)
+        if [x[:2] for x in recovered] != [(role, text)]:
+            raise GrammarError(f"turn {self.n} of conversation {self.conv_id} is not recovered from the whole text")
+        for role, text, _, _ in recovered:
             self.n += 1
-            self.turns.update(f"{role}\n{text}\n".encode())
+            for part in (role, "\n", text, "\n"):
+                self.turns.update(part.encode("utf-8", "surrogatepass"))
             if role == "assistant":
                 self.loss += len(text)
-                self.masked.update(text.encode())
+                self.masked.update(text.encode("utf-8", "surrogatepass"))
         self.chars += len(formatted)
 
     def row(self) -> tuple:
+        self.parser.close()
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars
 
 
@@ -139,7 +177,8 @@ def conversation_digests(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     Turns go in the order of ``turn``, nulls first; ties in the order of role,
     then text, so repeated rows are turns of their own.  Null text and role count as empty,
     a null ``conv_id`` is a conversation of its own; further columns are ignored; an
-    empty table gives no rows.
+    empty table gives no rows.  A turn of any length takes a few times its own
+    size in memory; a conversation is one stream through one task, in the memory of its longest turn.
     """
     ordered = _typed(rows, conv_col, turn_col, role_col, text_col).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -152,7 +191,7 @@ def conversation_digests(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
                     if open_one is not None:
                         done.append(open_one.row())
                     open_one = _Conversation(conv)
-                open_one.add(render_turn(role or "", text or ""))
+                open_one.add(role or "", text or "")
             if done:
                 yield _batch(done)
         if open_one is not None:
