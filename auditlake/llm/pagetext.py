@@ -16,7 +16,10 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -84,10 +87,35 @@ def _says_boilerplate(attrs: dict[str, str], in_main: bool) -> bool:
     return bool(words & _WORDS) or (not in_main and bool(words & _HEAD_WORDS))
 
 
+def holds(ranges: list[tuple[int, int]]):
+    """Test whether a range holds any of ``ranges`` whole."""
+    ranges = sorted(ranges)
+    starts, least = [a for a, _ in ranges], [z for _, z in ranges]
+    for i in range(len(least) - 2, -1, -1):
+        least[i] = min(least[i], least[i + 1])
+    return lambda a, z: (i := bisect_left(starts, a)) < len(starts) and least[i] <= z
+
+
+def within_any(ranges: list[tuple[int, int]]):
+    """Test whether any of ``ranges`` holds a range whole."""
+    ranges = sorted(ranges)
+    starts, most = [a for a, _ in ranges], list(accumulate((z for _, z in ranges), max))
+    return lambda a, z: (i := bisect_right(starts, a)) > 0 and most[i - 1] >= z
+
+
+def covered(ranges: list[tuple[int, int]], n: int) -> list[bool]:
+    """For each of ``n`` blocks whether any of the ranges covers it."""
+    edge = [0] * (n + 1)
+    for a, z in ranges:
+        edge[a] += 1
+        edge[z] -= 1
+    return [x > 0 for x in accumulate(edge)][:n]
+
+
 def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     """Text blocks of a page's main part, its template candidates (hash, first block, stop), and a hash of its content.
 
-    Any string gives a result: markup that isn't closed ends with the page.
+    Any string gives a result, in time that grows with its length: markup that isn't closed ends with the page.
     """
     blocks: list[str] = []
     inline: list[str] = []
@@ -96,10 +124,13 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     candidates: list[tuple[int, int, int, str]] = []
     # An open element: tag, first block, says boilerplate by name (2) or tag (1), is a main element of the page (2) or an article (1), hash parts
     stack: list[tuple[str, int, int, int, list[str]]] = []
+    standing: Counter[str] = Counter()  # open elements by tag
     open_mains = at = 0
     # The outermost skipped element, where its content starts, and what is open in it: tag, content start
     skip, start = "", 0
     inside: list[tuple[str, int]] = []
+    within: Counter[str] = Counter()
+    later: dict[str, int] = {}  # where a pattern is found next
     unclosed: set[int] = set()  # where the content of elements of _SKIP without an end starts
 
     def unskip() -> int:
@@ -107,9 +138,17 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         nonlocal skip
         unclosed.update([start, *(i for _, i in inside)])
         inside.clear()
+        within.clear()
         skip = ""
         return start
 
+    def following(pattern: str, after: int) -> int:
+        """Where the pattern is found next, or the page's end; each part of the page is searched once a pattern."""
+        if later.get(pattern, -1) < after:
+            found = re.compile(pattern, re.I).search(page, after)
+            later[pattern] = found.start() if found else len(page)
+        return later[pattern]
+
     def flush() -> None:
         if inline:
             text = " ".join(html_lib.unescape("".join(inline)).split())
@@ -122,6 +161,7 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     def close() -> None:
         nonlocal open_mains
         tag, first, boiler, main, parts = stack.pop()
+        standing[tag] -= 1
         stop = len(blocks)
         if main:
             open_mains -= 1
@@ -151,28 +191,31 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             continue
         tag, ends, rest = name.lower(), bool(found[1] or found[4]), found[3] or ""
         if tag in _RAW and not ends:
-            end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
-            at = end.start() if end else len(page)
+            at = following(f"</{tag}(?=[\\s/>])", at)
             continue
         if skip == "option":  # its end tag may be left out, and it holds text only
             if tag in _ENDS_OPTION and (ends or tag in ("option", "optgroup")):
                 skip = "" if ends else skip
                 continue
-            if ends and not any(x[0] == tag for x in stack):
+            if ends and not standing[tag]:
                 continue
             skip = ""
         elif skip:
-            if ends and any(x[0] == tag for x in inside):
+            if ends and within[tag]:
                 while inside[-1][0] != tag:
+                    within[inside[-1][0]] -= 1
                     unclosed.add(inside.pop()[1])
                 inside.pop()
+                within[tag] -= 1
             elif ends and tag == skip:
                 skip = ""
                 inside.clear()
-            elif any(x[0] == tag for x in stack) if ends else tag == skip not in _NESTS or (tag == "body" and skip not in ("svg", "math")):
+                within.clear()
+            elif standing[tag] if ends else tag == skip not in _NESTS or (tag == "body" and skip not in ("svg", "math")):
                 at = unskip()
             elif not ends and tag != "option" and (tag in _BLOCK or tag in _SKIP) and tag not in _VOID and not rest.rstrip().endswith("/"):
                 inside.append((tag, at))
+                within[tag] += 1
             continue
         if tag in _SKIP and not ends and at not in unclosed and not rest.rstrip().endswith("/"):
             skip, start = tag, at
@@ -183,13 +226,13 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             attrs = _attributes(rest) if rest and not ends and tag in ("span", "a", "label", "ins") else {}
             if not attrs or tag in _VOID or not _says_boilerplate(attrs, open_mains > 0):
                 continue  # inline elements leave the block open
-            end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-            if end and "<" + tag not in page[at : end.start()].lower():
-                at = end.end()
+            end = following(f"</{tag}\\s*>", at)
+            if end < len(page) and following(f"<{tag}", at) > end:
+                at = page.index(">", end) + 1
             continue
         flush()
         if ends:
-            if any(x[0] == tag for x in stack):
+            if standing[tag]:
                 while stack[-1][0] != tag:
                     close()
                 close()
@@ -206,6 +249,7 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         boiler = 2 if tag not in ("html", "body") and _says_boilerplate(attrs, open_mains > 0) else 0
         boiler = boiler or int((tag in _BOILER and not (tag == "header" and open_mains)) or tag == "search")
         stack.append((tag, len(blocks), boiler, main, []))
+        standing[tag] += 1
         open_mains += main > 0
     flush()
     while stack:
@@ -220,13 +264,15 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
 
     # What holds the page's main element is a wrapper, whatever its name.
     of_page = [m for m in mains if m[4] and not m[3] and m[2] > m[1]]
-    dropped = [d for d in dropped if not any(d[0] <= m[1] and m[2] <= d[1] for m in of_page)]
+    spared = holds([(m[1], m[2]) for m in of_page])
+    dropped = [d for d in dropped if not spared(d[0], d[1])]
     for strict in (True, False):  # named boilerplate goes at any size, unless nothing else is on the page
         def goes(a: int, z: int, named: bool) -> bool:
             return (strict and named) or 2 * size(a, z) <= size(0, len(blocks))
 
-        inside = [m for m in mains if not m[3] and not any(d[0] <= m[1] and m[2] <= d[1] and goes(*d) for d in dropped)]
-        root = max(inside, key=lambda m: (m[0], size(m[1], m[2]))) if inside else None
+        hidden = within_any([d[:2] for d in dropped if goes(*d)])
+        able_mains = [m for m in mains if not m[3] and not hidden(m[1], m[2])]
+        root = max(able_mains, key=lambda m: (m[0], size(m[1], m[2]))) if able_mains else None
         if root is not None and size(root[1], root[2]):
             first, stop = root[1], root[2]
             cut = [(a, z) for a, z, _ in dropped if not (a <= first and stop <= z)]
@@ -235,14 +281,9 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             first, stop = 0, len(blocks)
             cut = [(a, z) for a, z, named in dropped if goes(a, z, named) or z - a < 2]
             able = candidates
-        gone = bytearray(len(blocks) + 1)
-        for a, z in sorted(cut):
-            if not (gone[a] and gone[z - 1]):
-                gone[a:z] = b"\1" * (z - a)
         new, kept = [0], []
-        for i in range(len(blocks)):
-            keep = first <= i < stop and not gone[i]
-            if keep:
+        for i, gone in enumerate(covered(cut, len(blocks))):
+            if first <= i < stop and not gone:
                 kept.append(blocks[i])
             new.append(len(kept))
         if kept:
@@ -276,7 +317,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     A subtree is a template of its host if it stands on at least ``min_pages``
     pages with different content, however many the host has.  Null and
     empty pages give empty text; null ids and repeated rows stay rows; further columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  A page of any length is parsed whole,
+    in linear time and a few times its own size of memory.
     """
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = parsed.filter(F.size("templates") > 0).select("row", "host", "content", F.explode("templates").alias("t"))
@@ -291,6 +333,17 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "blocks").join(hits, "row", "left").drop("row")
     plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "blocks", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
     whole = asked.union(plain)
-    left = F.filter("blocks", lambda b, i: ~F.exists("cuts", lambda c: (i >= c["first"]) & (i < c["stop"])))
-    text = F.array_join(F.when(F.col("cuts").isNull(), F.col("blocks")).otherwise(left), "\n")
-    return whole.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for blocks, cuts in zip(batch.column(2), batch.column(3)):
+                kept = blocks.as_py()
+                if cuts.is_valid:
+                    gone = covered([(c["first"], c["stop"]) for c in cuts.as_py()], len(kept))
+                    kept = [b for b, g in zip(kept, gone) if not g]
+                texts.append("\n".join(kept))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    out = whole.mapInArrow(cut, "page_id long, url string, text string")
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -12,7 +14,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from auditlake.llm.bytebpe import byte_bpe, encode_decode
-from auditlake.llm.chat import GrammarError, conversation_digests, format_turns, parse, render_turn
+from auditlake.llm.chat import GrammarError, Parser, _Conversation, conversation_digests, format_turns, parse, render_turn
 from auditlake.llm.packing import pack_documents, sum_of_squares
 from auditlake.llm.pagetext import extract_text, parse_page
 
@@ -188,6 +190,47 @@ def test_rare_and_large_templates(spark):
     assert text[3] == "own words of page 3" and text[700] == "own words of page 700" and text[1003] == "own words 3"
 
 
+def test_templates_by_a_plain_counter(spark):
+    """Random trees; the counter has nested tuples instead of hashes and plain sets instead of joins."""
+    rng = random.Random(12)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return ("p", f"text {rng.randrange(12 if rng.random() < 0.3 else 300)}")
+        return ("div", *(tree(depth - 1) for _ in range(rng.randint(1, 3))))
+
+    def markup(node):
+        return f"<{node[0]}>{''.join(x if isinstance(x, str) else markup(x) for x in node[1:])}</{node[0]}>"
+
+    def subtrees(node):
+        yield node
+        for x in node[1:]:
+            if not isinstance(x, str):
+                yield from subtrees(x)
+
+    def words(node, gone):
+        if node in gone:
+            return []
+        return [x for c in node[1:] for x in ([c] if isinstance(c, str) else words(c, gone))]
+
+    pages = [(i, f"h{i % 3}", tuple(tree(3) for _ in range(rng.randint(0, 3)))) for i in range(150)]
+    pages += [(150 + i, "h0", pages[0][2]) for i in range(10)]
+    seen = {}
+    for _, host, body in pages:
+        content = tuple(words(("body", *body), ()))
+        for node in {x for top in body for x in subtrees(top)}:
+            seen.setdefault((host, node), set()).add(content)
+    rows = [(i, f"http://{host}/{i}", "<body>" + "".join(map(markup, body)) + "</body>") for i, host, body in pages]
+    found = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=5).collect()}
+    kept = 0
+    for i, host, body in pages:
+        gone = {n for (h, n), c in seen.items() if h == host and len(c) >= 5}
+        want = "\n".join(words(("body", *body), gone))
+        kept += want != ""
+        assert found[i] == want, i
+    assert 10 < kept < len(pages) - 5
+
+
 def test_templates(spark):
     foot = "<div><p>About this site</p><p>All pages</p></div>"
     rows = [(i, f"https://a.example/{i}", f"<body>{foot}<div><p>own words of page {i} which are the longest part of it by far</p></div>", "x") for i in range(8)]
@@ -212,6 +255,12 @@ def test_chat_round_trip(spark):
         assert [x[:2] for x in parse(formatted + formatted)] == [(role, text)] * 2
     with pytest.raises(GrammarError):
         parse("<|im_start|>user\nopen")
+    for bad in ("<|im_start|>a<|im_end|>\n", "<|im_start|>a\nb<|im_end|>x", "x", "<|im_start|>a\n<|im_start|>b<|im_end|>\n", "<|im_start|>a<|im_end|>b\nc<|im_end|>\n", "<|im_start|>a\nb<|im_end|>"):
+        with pytest.raises(GrammarError):
+            parse(bad)
+    whole = "".join(render_turn(r, t) for r, t in (("user", "a<|im_end|>"), ("assistant", "")) * 3)
+    parser = Parser()
+    assert [x for i in range(0, len(whole), 7) for x in parser.feed(whole[i : i + 7])] == parse(whole)
     rows = [(1, 1, "assistant", "<|im_end|><|im_start|>assistant ok", "x"), (1, 0, "user", None, "x"), (None, 0, None, "t", None), (2, 0, "assistant", "w" * 100_000, None), (2, 0, "assistant", "w" * 100_000, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string")
     found = {r["conv_id"]: r for r in conversation_digests(df).collect()}
@@ -221,3 +270,45 @@ def test_chat_round_trip(spark):
     turns = format_turns(df).filter("conv_id = 1").orderBy("turn").collect()
     assert turns[0]["mask_end"] == 0 and turns[1]["formatted"][turns[1]["mask_start"] : turns[1]["mask_end"]].count("\\") == 2
     assert conversation_digests(df.limit(0)).count() == 0
+
+
+def peak_mb(call):
+    """Result of a call and the most memory that Python objects took meanwhile."""
+    tracemalloc.start()
+    try:
+        out = call()
+        return out, tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_chat_of_a_very_long_text():
+    text = "word <|im_end|> " * 3_200_000  # 51 million characters, all to be escaped
+    conversation = _Conversation(1)
+    _, mb = peak_mb(lambda: conversation.add("assistant", text[:16] + "x" * 50_000_000))
+    assert conversation.row()[3] == 50_000_016 and mb < 400
+    assert parse(render_turn("user", text))[0][1] == text
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<span class=ad>x " * 40_000,
+        "<span class=ad>x " * 40_000 + "</span>",
+        "<div>" * 20_000 + "x</p></b>" * 20_000,
+        "<div class=ad>" * 20_000 + "x" + "</div>" * 20_000,
+        "".join(f"<div class=ad><p>a{i}</div>" for i in range(20_000)),
+        "<article><p>x</article>" * 20_000 + "<nav><p>y</nav>" * 20_000,
+        "<object>" * 20_000 + "<p>x</p>" + "</div>" * 20_000,
+    ],
+)
+def test_adversarial_pages_take_linear_time(page):
+    start = time.process_time()
+    parse_page(page)
+    assert time.process_time() - start < 4
+
+
+def test_page_of_50_mb():
+    page = "<nav><p>menu</nav>" + "<p>" + "some words of a very long text " * 1_600_000
+    (blocks, spans, _), mb = peak_mb(lambda: parse_page(page))
+    assert len(blocks) == 1 and len(blocks[0]) > 49_000_000 and mb < 900
