@@ -5,13 +5,14 @@ sum-of-squares identity the pairwise part is half of
 ``sum_f (sum_i v_if x_i)^2 - sum_i (v_if x_i)^2``, linear in the features of a text.
 
 Features: every distinct word, lower-cased and hashed into ``BUCKETS`` slots,
-by its damped frequency; statistics of the text's structure, as numbers and by
+by the slot's damped frequency; statistics of the text's structure, as numbers and by
 their step on a fixed scale; and metadata of the text itself (its length and its number of
 words and lines).  Labels, language, source and id are never features.
 
 The model is fitted on the driver from at most ``max_rows`` labelled rows, a
-hash sample; what reaches the driver is bounded by ``max_rows * MAX_FEATURES``
-numbers.  Whole texts are scored, all of them, by one pass.
+hash sample.  A text's words are summed up by slot, so a row holds at most
+``_SLOTS`` features, in training as in scoring, and none is left out.  Whole
+texts are scored, all of them, by one pass.
 """
 
 from __future__ import annotations
@@ -27,13 +28,11 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 16
 FACTORS = 8
-#: Of a training row, the features of largest value that are kept; scoring keeps all.
-MAX_FEATURES = 2000
 _STEPS = 12
 _STATS = ("upper", "digit", "space", "stop", "shout", "sign", "other", "repeat", "distinct", "top", "bare", "lines_same", "word_len", "log_chars", "log_words", "log_lines")
 _SLOTS = BUCKETS + len(_STATS) * (1 + _STEPS)
@@ -98,8 +97,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     counts = Counter(words)
     stats = statistics(text, words, counts)
-    slots = np.fromiter((zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in counts), np.int64, len(counts))
-    damped = np.log1p(np.fromiter(counts.values(), np.float64, len(counts)))
+    hashed = np.fromiter((zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in counts), np.int64, len(counts))
+    slots, place = np.unique(hashed, return_inverse=True)
+    damped = np.log1p(np.bincount(place, np.fromiter(counts.values(), np.float64, len(counts)), len(slots)))
     damped /= np.sqrt((damped * damped).sum()) or 1.0
     # Fractions are spread by the square root, as most of them are small.
     root = np.sqrt(np.clip(stats, 0, 1))
@@ -158,23 +158,23 @@ def held_out(doc_id: Column) -> Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> FactorisationMachine:
     """A model from at most ``max_rows`` labelled rows that aren't held out.
 
-    Rows with a null id or a label other than 0 and 1 teach nothing.  With
+    Rows with a null id or a label other than 0 and 1 teach nothing.  Of an
+    id's labels the smallest counts, of its texts one (that of the smallest hash), so an id
+    that repeats teaches once and ``max_rows`` bounds what reaches the driver.  With
     one class only, or none, every score is that class's share, and 1 without labels.
     """
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     # The order by hash makes a uniform sample that doesn't depend on how the table is dealt out.
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_rows
+    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most max_rows
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots, values = [], []
             for text in batch.column(0):
-                s, v = features(text.as_py() or "")
-                if len(s) > MAX_FEATURES:
-                    keep = np.sort(np.argsort(-v, kind="stable")[:MAX_FEATURES])
-                    s, v = s[keep], v[keep]
+                s, v = features(text.as_py())
                 slots.append(s.astype("<i4").tobytes())
                 values.append(v.astype("<f4").tobytes())
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "quality", "slots", "values"])
@@ -189,13 +189,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Fac
     return model
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``score`` (double) and ``predicted`` (int).
+def score_column(spark: SparkSession, model: FactorisationMachine, text: Column) -> Column:
+    """Score of a text column between 0 and 1.
 
-    A null text is scored as empty; repeated rows get the same score; columns of the same
-    names are replaced.
+    A null text is scored as empty; a text of any length whole, in memory of a few times its size.
     """
-    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # some megabytes at any size of the input
 
     @F.pandas_udf("double")
@@ -203,6 +201,14 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
         machine = shared.value
         return pd.Series([machine.score(t or "") for t in texts], dtype="float64")
 
-    score = score.asNondeterministic()  # so that it runs once a row, wherever its column is used
-    scored = docs.withColumn("score", score(F.col(text_col).cast("string")))
+    return score.asNondeterministic()(text.cast("string"))  # so that it runs once a row, wherever its column is used
+
+
+def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` and ``score`` (double) and ``predicted`` (int).
+
+    Repeated rows get the same score; null ids are rows like others; columns of the
+    same names are replaced; an empty table gives no rows.
+    """
+    scored = docs.withColumn("score", score_column(docs.sparkSession, model, F.col(text_col)))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

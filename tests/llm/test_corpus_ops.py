@@ -220,6 +220,52 @@ def test_quality(spark):
     assert quality.fit_quality(docs, labels.limit(0)).score("anything") == 1.0
 
 
+def test_quality_model_against_the_pair_sum():
+    """Scores by the definition: every pair of features on its own, features by plain dictionaries."""
+    rng = np.random.default_rng(6)
+    model = quality.FactorisationMachine()
+    model.bias, model.weights = 0.3, rng.standard_normal(model.weights.shape).astype(np.float32)
+    model.factors = rng.standard_normal(model.factors.shape).astype(np.float32)
+    words = random.Random(6).choices([f"W{i}" for i in range(3000)] + [f"w{i}" for i in range(50)], k=4000)
+    for text in ("", "one", "Aa aA b b b", "x!\n\nx!", " ".join(words[:90])):
+        slots, values = quality.features(text)
+        assert len(set(slots.tolist())) == len(slots)
+        by_slot = Counter()
+        for w in text.split():
+            by_slot[zlib.crc32(w.lower().encode()) & (quality.BUCKETS - 1)] += 1
+        norm = sum(np.log1p(n) ** 2 for n in by_slot.values()) ** 0.5
+        x = dict(zip(slots.tolist(), values.tolist()))
+        assert all(abs(x[s] - np.log1p(n) / norm) < 1e-12 for s, n in by_slot.items())
+        margin = model.bias + sum(float(model.weights[i]) * v for i, v in x.items())
+        margin += sum(float(model.factors[i].astype(float) @ model.factors[j].astype(float)) * x[i] * x[j] for i, j in itertools.combinations(x, 2))
+        assert abs(model.score(text) - 1 / (1 + np.exp(-np.clip(margin, -30, 30)))) < 1e-5
+    assert len(quality.features(" ".join(words))[0]) > 2000  # no feature of a long text is left out
+
+
+def test_quality_edges(spark):
+    """Ids that repeat teach once; no rows, and columns of the same names."""
+    rows = [(i % 40, f"good words of number {i}" if i % 2 else "BAD !!! BAD", 7, "clash") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, predicted string")
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(400)], "doc_id long, quality int")
+    seen = []
+
+    class Spy(quality.FactorisationMachine):
+        def fit(self, rows, labels, **more):
+            seen.append(len(rows))
+            super().fit(rows, labels, **more)
+
+    original, quality.FactorisationMachine = quality.FactorisationMachine, Spy
+    try:
+        model = quality.fit_quality(docs, labels, max_rows=20)
+    finally:
+        quality.FactorisationMachine = original
+    assert 10 < seen[0] <= 20
+    model = quality.fit_quality(docs, labels)
+    found = quality.score_quality(docs, model)
+    assert found.count() == 400 and dict(found.dtypes)["score"] == "double" and dict(found.dtypes)["predicted"] == "int"
+    assert quality.score_quality(docs.limit(0), model).count() == 0 and quality.fit_quality(docs.limit(0), labels).score("x") == 1.0
+
+
 def test_pipeline(spark, tmp_path):
     texts = corpus()
     table(spark, texts).drop("component_id").write.parquet(str(tmp_path / "documents.parquet"))
