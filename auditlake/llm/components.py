@@ -3,8 +3,9 @@
 Each partition first reduces its links to a spanning forest.  Then large-star
 and small-star rounds alternate until nothing changes: every node hangs under
 its smallest neighbour, so a star of any size stays a star and a path halves.
-The table is written to the shared folder after each round; only its row count
-and checksum reach the driver.
+Tables are written to the shared folder; only a truth value reaches the
+driver.  Each join is of written tables, with nothing but its shuffle in
+between, so that adaptive execution can split a hub of any number of links.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
-def _state(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every link hangs a node under its only root: no node has two, and no root has one."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -52,19 +55,16 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     edges = materialize(edges.mapInArrow(_forest, "a long, b long").distinct(), "links")
-    state = _state(edges)
-    for _ in range(max_rounds if state[0] else 0):
+    for _ in range(max_rounds):
+        if _settled(edges):
+            break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = materialize(both.join(low.hint("merge"), "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         old, edges = edges, materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), "links")
-        discard(old)
-        before, state = state, _state(edges)
-        if state == before:
-            break
+        discard(old, low, large, least)
     else:
-        if state[0]:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,19 +1,25 @@
 """MinHash near-duplicates by an inverted join of signature coordinates.
 
 1. A text's set of word shingles gives its size, a 128-bit hash of the set and
-   a signature of ``COORDS`` minimum hashes.  Texts of equal sets are one class;
-   one document stands for it from here on.
+   a signature of ``COORDS`` minimum hashes.  Texts of equal sets are one class,
+   which stands for its documents from here on.
 2. Every class is posted under each (coordinate, value) of its prefix.  Classes
    that agree in at least ``MATCHES`` coordinates share one of the first
    ``COORDS - MATCHES + 1``, so other postings aren't needed.  Lists of one
-   document, nearly all, are skipped before anything but keys is moved.
-3. In each list, in blocks, members whose signatures agree in ``MATCHES``
-   coordinates and whose sizes allow the similarity are candidates.  Only a
-   spanning forest of them leaves a list, so a list of any number of copies
-   costs as many rows as it has members.  The components are families.
-4. The full sets of each family are compared, in blocks again, exactly; once
-   more a spanning forest of the confirmed links leaves a block pair, and its
-   components are the answer.
+   class, nearly all, are skipped before anything but keys is moved.
+3. In each list collisions are counted coordinate by coordinate.  A pair counts
+   in the first list it shares and is skipped in the others; a class is skipped
+   as soon as the coordinates left can't bring it to ``MATCHES`` with any
+   other.  Pairs above the threshold whose sizes allow the similarity are
+   candidates; their components are families.
+4. The full sets of each family are compared exactly; the components of the
+   confirmed links are the answer.
+
+Groups of any size, lists and families alike, are dealt into blocks.  First
+every block meets the group's first block, which joins the members of a large
+group of near copies at the cost of two rows a member.  Only members outside
+the largest component then meet all others.  Only spanning forests leave a
+task, never all pairs of a group.
 
 A pair at the threshold of 0.8 fails the match threshold with a probability of
 about 1e-7; links are confirmed exactly, so none is reported below it.
@@ -22,12 +28,12 @@ about 1e-7; links are confirmed exactly, so none is reported below it.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
@@ -36,11 +42,13 @@ from auditlake.llm.words import mix, run_hashes, word_hashes
 
 COORDS, MATCHES = 48, 22
 PREFIX = COORDS - MATCHES + 1
-#: Rows of a posting list, and sets of a family, that one task holds of either side of a block pair.
-BLOCK, FAMILY_BLOCK = 2000, 400
+#: Rows of a posting list, and sets of a family, that a block takes; a task holds two blocks.
+BLOCK, FAMILY_BLOCK = 512, 400
 #: Columns of a block pair's incidence matrix that are held at once.
 _COLUMNS = 4096
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64))
+_FACTORS = np.uint64(0x9E3779B97F4A7C15) + 2 * np.arange(COORDS, dtype=np.uint64)
+_STRETCH = 1024
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,14 +62,20 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum of each coordinate's hash over the set."""
-    out = np.empty(COORDS, np.uint64)
-    for i in range(COORDS):
-        out[i] = ((shingles ^ _SEEDS[i]) * np.uint64(0x9E3779B97F4A7C15 + 2 * i)).min()
+    """Minimum of each coordinate's hash over the set, a stretch of it at a time."""
+    out = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), _STRETCH):
+        part = (shingles[None, i : i + _STRETCH] ^ _SEEDS[:, None]) * _FACTORS[:, None]
+        np.minimum(out, part.min(axis=1), out=out)
     return out
 
 
-SETS = "doc_id long, n_shingles long, set_hi long, set_lo long, sig binary"
+SETS = "doc_id long, th long, n_shingles long, set_hi long, set_lo long, sig binary"
+
+
+def _text_hash(text: Column) -> Column:
+    """With the id, what tells rows of ``docs`` apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -70,38 +84,52 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo, sig = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 s = shingle_set(text.as_py(), k)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8")
                 n.append(len(s))
                 hi.append(int(digest[0]))
                 lo.append(int(digest[1]))
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary())], names=[x.split()[0] for x in SETS.split(", ")])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SETS)
 
 
-def _postings(reps: DataFrame) -> DataFrame:
-    """``key, id, n, sig``: a row per class and coordinate of the prefix; ``sig`` is one byte a coordinate."""
+def _values(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """Signatures of a batch, 32 bits a coordinate."""
+    sig = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(batch.num_rows, COORDS)
+    return mix(sig).astype(np.uint32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = mix(np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(32))
-        for batch in batches:
-            m = batch.num_rows
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(m, COORDS)
-            keys = mix(sig[:, :PREFIX] ^ salt)
-            short = mix(sig).astype(np.uint8)
-            rows = pa.array(np.repeat(np.arange(m), PREFIX))
-            short_col = pa.array([x.tobytes() for x in short], pa.binary())
-            yield pa.record_batch([pa.array(keys.reshape(-1).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), short_col.take(rows)], names=["key", "id", "n", "sig"])
 
-    return reps.select("id", "n", "sig").mapInArrow(run, "key long, id long, n long, sig binary")
+def _keys(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    """A 64-bit name of each (coordinate, value) of the prefix."""
+    salt = mix(np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(32))
+    sig = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(batch.num_rows, COORDS)
+    return mix(sig[:, :PREFIX] ^ salt).reshape(-1).view(np.int64)
+
 
+def _shared_lists(classes: DataFrame) -> DataFrame:
+    """Posting lists of two classes or more: ``key, c`` (length)``, id, at`` (coordinate)``, n, sig``."""
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=-1)
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(_keys(batch, 0))], names=["key"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), PREFIX))
+            at = pa.array(np.tile(np.arange(PREFIX, dtype=np.int32), batch.num_rows))
+            sig = pa.array([x.tobytes() for x in _values(batch, 2)], pa.binary())
+            yield pa.record_batch([pa.array(_keys(batch, 2)), batch.column(0).take(rows), at, batch.column(1).take(rows), sig.take(rows)], names=["key", "id", "at", "n", "sig"])
+
+    counted = classes.select("sig").mapInArrow(names, "key long").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = materialize(counted, "keys")
+    posted = classes.select("id", "n", "sig").mapInArrow(post, "key long, id long, at int, n long, sig binary")
+    out = materialize(posted.join(counted.hint("merge"), "key"), "postings")
+    discard(counted)
+    return out
 
 
 def _size_ok(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -127,81 +155,68 @@ def _forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.
     return at, root[at]
 
 
-def _block_pairs(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Rows of each key dealt into blocks, once for every pair with another block: ``lo, hi``, and their own, ``mine``."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("c"))
-    rows = rows.join(sizes, key).withColumn("nb", F.ceil(F.col("c") / F.lit(block)).cast("long"))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    rows = rows.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("c", "nb", "other")
-    return rows.repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
-
-
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole block pairs of sorted batches, one after the other."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, list[int]]]:
+    """Tables of whole groups of sorted batches, with the cuts between the groups (both ends included)."""
     parts: list[pa.Table] = []
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
             if not batch.num_rows:
                 continue
             parts.append(pa.Table.from_batches([batch]))
-            last = [[parts[i].column(c)[-k].as_py() for c in (key, "lo", "hi")] for i, k in ((0, parts[0].num_rows), (-1, 1))]
-            if last[0] == last[1]:  # a block pair that goes on
+            last = [[parts[i].column(c)[-k].as_py() for c in keys] for i, k in ((0, parts[0].num_rows), (-1, 1))]
+            if last[0] == last[1]:  # a group that goes on
                 continue
         if not parts:
             continue
-        table = pa.concat_tables(parts)
-        k, lo, hi = (table.column(c).to_numpy() for c in (key, "lo", "hi"))
-        cuts = (np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1).tolist()
-        ends = [*cuts, *[len(k)] * (batch is None)]  # the last may go on in the next batch
-        start = 0
-        for end in ends:
-            yield table.slice(start, end - start)
-            start = end
-        parts = [table.slice(start)] if start < len(k) else []
-
-
-def _stars(groups: Iterator[tuple[np.ndarray, Iterator]]) -> Iterator[pa.RecordBatch]:
-    """Batches of (a, b) from (ids, link batches) of groups."""
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for ids, pairs in groups:
-        at, root = _forest(len(ids), pairs)
-        a.append(ids[at])
-        b.append(ids[root])
-        if len(a) == 4096:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b = [], []
-    if a:
-        yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-
-def list_forest(sig: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the candidate pairs of a list.  Members of one component aren't compared, so copies are met once."""
-    root = np.arange(len(n))
-    for i in range(len(n) - 1):
-        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
-        rest = rest[_size_ok(n[rest], n[i], percent)]
-        rest = rest[_agree(sig[rest], sig[i]) >= MATCHES]
-        if len(rest):
-            joined = np.append(np.unique(root[rest]), root[i])
-            root[np.isin(root, joined)] = joined.min()
-    at = np.flatnonzero(root != np.arange(len(n)))
-    return at, root[at]
-
+        table = pa.concat_tables(parts).combine_chunks()
+        new = np.zeros(table.num_rows - 1, bool)
+        for c in keys:
+            x = table.column(c).to_numpy()
+            new |= x[1:] != x[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), *[table.num_rows] * (batch is None)]  # the last group may go on in the next batch
+        yield table.slice(0, cuts[-1]), cuts
+        parts = [table.slice(cuts[-1])] if cuts[-1] < table.num_rows else []
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests ``a, b`` of the candidates of each posting list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[np.ndarray, Iterator]]:
-            for table in _groups(batches, "key"):
-                sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDS)
-                yield table.column("id").to_numpy(), iter([list_forest(sig, table.column("n").to_numpy(), percent)])
 
-        yield from _stars(groups())
+def collisions(sig: np.ndarray, at: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a list that agree in ``MATCHES`` coordinates at least, and in none before ``at``.
 
-    dealt = _block_pairs(postings.select("key", "id", "n", "sig"), "key", BLOCK)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    ``label``: members of one component aren't compared.  Counts are merged
+    coordinate by coordinate; members that can't reach the threshold any more are skipped.
+    """
+    alive = np.arange(len(sig))
+    able = label[:, None] != label[None, :]
+    for q in range(at):
+        able &= sig[:, q][:, None] != sig[:, q][None, :]
+    count = np.zeros(able.shape, np.uint8)
+    for done, q in enumerate(range(at, COORDS), 1):
+        count += sig[alive, q][:, None] == sig[alive, q][None, :]
+        if done % 8 == 0:
+            hope = (able & (count + (COORDS - 1 - q) >= MATCHES)).any(axis=1)
+            if not hope.all():
+                alive, able, count = alive[hope], able[np.ix_(hope, hope)], count[np.ix_(hope, hope)]
+                if not len(alive):
+                    break
+    i, j = np.nonzero(np.triu(able & (count >= MATCHES), 1))
+    return alive[i], alive[j]
+
+
+def _list_stars(table: pa.Table, cuts: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning stars of the candidates of each list or pair of its blocks."""
+    ids, n, label, at = (table.column(c).to_numpy() for c in ("id", "n", "label", "at"))
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDS)
+    starts, sizes = np.array(cuts[:-1]), np.diff(cuts)
+    two = starts[sizes == 2]  # most lists, all at once
+    if len(two):
+        same = sig[two] == sig[two + 1]
+        earlier = (same & (np.arange(COORDS) < at[two][:, None])).any(axis=1)
+        good = (same.sum(axis=1) >= MATCHES) & ~earlier & (label[two] != label[two + 1]) & _size_ok(n[two], n[two + 1], percent)
+        yield ids[two[good]], ids[two[good] + 1]
+    for a, z in zip(starts[sizes > 2].tolist(), (starts + sizes)[sizes > 2].tolist()):
+        i, j = collisions(sig[a:z], int(at[a]), label[a:z])
+        ok = _size_ok(n[a:z][i], n[a:z][j], percent)
+        node, root = _forest(z - a, iter([(i[ok], j[ok])]))
+        yield ids[a:z][node], ids[a:z][root]
 
 
 def set_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -231,18 +246,91 @@ def set_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray
     yield np.nonzero(np.triu(linked, 1))
 
 
-def _confirmed(family: DataFrame, percent: int) -> DataFrame:
-    """Spanning forests ``a, b`` of the links within families, from ``fam, id, items``."""
+def _set_stars(table: pa.Table, cuts: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning stars of the links of each family or pair of its blocks."""
+    ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+    items = table.column("items")
+    for a, z in zip(cuts[:-1], cuts[1:]):
+        if z - a < 2 or (label[a:z] == label[a]).all():
+            continue
+        node, root = _forest(z - a, set_links([np.frombuffer(x.as_py(), "<u8") for x in items.slice(a, z - a)], percent))
+        yield ids[a:z][node], ids[a:z][root]
+
+
+def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: int) -> DataFrame:
+    """Components (``node, component``) of the links within groups, from ``key, c`` (group size)``, id`` and what ``stars`` compares.
+
+    The second round is for groups of more than a block: members outside the
+    group's largest component so far meet all members, block by block.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[tuple[np.ndarray, Iterator]]:
-            for table in _groups(batches, "fam"):
-                sets = [np.frombuffer(x.as_py(), "<u8") for x in table.column("items")]
-                yield table.column("id").to_numpy(), set_links(sets, percent) if len(sets) > 1 else iter(())
+        for table, cuts in _groups(batches, (key, "lo", "hi")):
+            found = list(stars(table, cuts, percent))
+            if found:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+
+    def links(dealt: DataFrame) -> DataFrame:
+        """``mine``: a row's block, ``others``: the blocks that it meets."""
+        dealt = dealt.withColumn("other", F.explode("others")).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+        dealt = dealt.drop("c", "mine", "other", "others").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
+        return materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / F.lit(block)).cast("long")
+
+    none = F.array().cast("array<long>")
+
+    def up_to(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(none)
+
+    mine = F.pmod(F.xxhash64("id"), blocks(F.col("c")))
+    first = links(rows.withColumn("label", F.col("id")).withColumn("mine", mine).withColumn("others", F.when(F.col("mine") == 0, up_to(blocks(F.col("c")))).otherwise(F.array(F.lit(0).cast("long")))))
+    found = connected_components(first)
+    hot = rows.filter(F.col("c") > block)
+    if hot.isEmpty():
+        return found
+    known = hot.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    sizes = known.groupBy(key, "label").agg(F.count("*").alias("m"))
+    rest = sizes.groupBy(key).agg(F.max(F.struct("m", "label")).alias("big"), F.sum("m").alias("all")).select(key, F.col("big.label").alias("big"), F.col("big.m").alias("inside"), (F.col("all") - F.col("big.m")).alias("outside"))
+    rest = materialize(rest.filter("outside > 0"), "rest")
+    out, mine = blocks(F.col("outside")), F.xxhash64("id")
+    dealt = known.join(rest.hint("merge"), key)
+    is_out = F.col("label") != F.col("big")
+    dealt = dealt.withColumn("mine", F.when(is_out, F.pmod(mine, out)).otherwise(out + F.pmod(mine, blocks(F.col("inside")))))
+    dealt = dealt.withColumn("others", F.when(is_out, up_to(out + blocks(F.col("inside")))).otherwise(up_to(out))).drop("big", "inside", "outside")
+    second = links(dealt)
+    discard(rest)
+    return connected_components(first.union(second))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows' sets (``SETS``); classes (``id``: a number, ``doc_id, th`` of the smallest row ...); components of class numbers."""
+    # Set hashes are as good as the sets for equality: 128 bits.
+    sets = materialize(shingle_sets(docs, id_col, text_col, shingle), "sets")
+    worded = sets.filter("n_shingles > 0" if null_ids else "n_shingles > 0 AND doc_id IS NOT NULL")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", F.col("n_shingles").alias("n"), "sig")).alias("r")
+    classes = worded.groupBy("set_hi", "set_lo").agg(least).select("set_hi", "set_lo", "r.*")
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    lists = _shared_lists(classes)
+    families = materialize(_spanning(lists, "key", BLOCK, _list_stars, percent).withColumnsRenamed({"node": "id", "component": "fam"}), "families")
+    discard(lists)
+    sizes = materialize(families.groupBy("fam").agg(F.count("*").alias("c")), "sizes")
 
-        yield from _stars(groups())
+    # Full sets of the families' members, hashed from their whole texts again.
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(3)], pa.binary())], names=["fam", "c", "id", "items"])
 
-    return _block_pairs(family, "fam", FAMILY_BLOCK).mapInArrow(run, "a long, b long").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    wanted = families.join(classes.select("id", "doc_id", "th"), "id").join(sizes.hint("merge"), "fam")
+    same = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("no_id"), "th"]
+    members = texts.select(*same, "text").join(wanted.select(*same, "fam", "c", "id"), ["k", "no_id", "th"])
+    members = members.dropDuplicates(["k", "no_id", "th"]).select("fam", "c", "id", "text")
+    members = materialize(members.mapInArrow(items, "fam long, c long, id long, items binary"), "items")
+    found = materialize(_spanning(members, "fam", FAMILY_BLOCK, _set_stars, percent), "found")
+    discard(members, families, sizes)
+    return sets, classes, found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -251,37 +339,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased in A-Z and parted by ASCII white space.  Rows with
     null or wordless text have an empty set and link with nothing.  Rows with a
     null id have a null component and are kept.  Rows that repeat an id share its component.
-    Further columns are ignored; an empty table gives no rows.
+    Further columns are ignored; an empty table gives no rows.  A text of any
+    length is read whole; its set takes 8 bytes a word in memory.
     """
-    # Set hashes are as good as the sets for equality: 128 bits.
-    all_sets = materialize(shingle_sets(docs, id_col, text_col, shingle), "sets")
-    worded = all_sets.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    # Every class has one row: its smallest id.
-    reps = worded.groupBy("set_hi", "set_lo").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("r"))
-    reps = materialize(reps.select("set_hi", "set_lo", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.sig").alias("sig")), "classes")
-
-    keys = materialize(_postings(reps).select("key").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
-    shared = materialize(_postings(reps).join(keys, "key"), "postings")
-    families = materialize(connected_components(_candidates(shared, percent)).select(F.col("node").alias("id"), F.col("component").alias("fam")), "families")
-    discard(keys, shared)
-
-    # Full sets of the families' members, hashed from their whole texts again.
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(2)], pa.binary())], names=["fam", "id", "items"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    members = texts.join(families, "id").select("fam", "id", "text").mapInArrow(items, "fam long, id long, items binary")
-    members = materialize(members, "items")
-    links = materialize(_confirmed(members, percent), "links")
-    discard(members, families)
+    sets, classes, found = _components(docs, id_col, text_col, shingle, percent, null_ids=False)
     # An id that repeats with other texts stands for all of them.
+    worded = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_hi", "set_lo")
     many = worded.groupBy("doc_id").agg((F.min("set_hi") < F.max("set_hi")).alias("m")).filter("m").select("doc_id")
-    again = worded.join(many, "doc_id").join(reps.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"]).filter("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    comps = connected_components(links.union(again))
-
-    classes = reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("set_hi", "set_lo", F.coalesce("component", "id").alias("component_id"))
-    rows = all_sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
+    many = materialize(many, "many")
+    again = worded.join(many, "doc_id").distinct().join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"])
+    again = materialize(again.join(again.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b"), "again")
+    if not again.isEmpty():
+        found = connected_components(found.toDF("a", "b").union(again))
+    named = found.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
+    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    known = named.join(least.hint("merge"), "component").select(F.col("node").alias("id"), "component_id")
+    classes = classes.join(known, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
     rows = rows.select("doc_id", "n_shingles", linked.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, in its columns.
+
+    Rows are documents here, whatever their ids: of a group the row with the
+    smallest id stays (rows without an id come last), of equal ids the one whose
+    text has the smallest hash, of rows that agree in both the first by their
+    other columns.  Rows without words link with nothing and stay.
+    """
+    sets, classes, found = _components(docs, id_col, text_col, shingle, percent, null_ids=True)
+    named = found.join(classes.select(F.col("id").alias("node"), "no_id", "doc_id", "th"), "node")
+    first = named.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", "th", "node")).alias("r")).select("r.node")
+    gone = named.join(first, "node", "left_anti").select(F.col("node").alias("id"))
+    stay = classes.join(gone, "id", "left_anti").select(F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("no_id").alias("_no_id"), "th")
+    copies = sets.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_no_id"), "th").agg(F.count("*").alias("_c"), F.min("n_shingles").alias("_n"))
+    keep = stay.withColumn("_stay", F.lit(True)).join(copies, ["_k", "_no_id", "th"], "right").filter("_stay OR _n = 0")
+    keep = materialize(keep.select("_k", "_no_id", F.col("th").alias("_th"), ((F.col("_c") > 1) & (F.col("_n") > 0)).alias("_many")), "keep")
+    own = F.col(id_col).cast("long")
+    rows = docs.select("*", F.coalesce(own, F.lit(0)).alias("_k"), own.isNull().alias("_no_id"), _text_hash(F.col(text_col)).alias("_th"))
+    rows = rows.join(keep, ["_k", "_no_id", "_th"])
+    once = rows.filter("_many").groupBy("_k", "_no_id", "_th").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r"))
+    return rows.filter("NOT _many").select(docs.columns).unionByName(once.select("r.*"))

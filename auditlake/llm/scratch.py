@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[str, SparkSession] = {}
 
 
@@ -33,11 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return the reread table.
 
     Unlike ``localCheckpoint`` the files survive lost executors, and unlike
-    ``cache`` they hold no executor memory.
+    ``cache`` they hold no executor memory.  The shuffle files of the write go
+    when it ends, as nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/auditlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _WRITTEN[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
