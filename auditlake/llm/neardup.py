@@ -378,6 +378,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = stay.withColumn("_stay", F.lit(True)).join(copies, ["_k", "_no_id", "th"], "right").filter("_stay OR _n = 0")
     keep = materialize(keep.select("_k", "_no_id", F.col("th").alias("_th"), ((F.col("_c") > 1) & (F.col("_n") > 0)).alias("_many")), "keep")
     own = F.col(id_col).cast("long")
+    discard(sets, classes, found)
     rows = docs.select("*", F.coalesce(own, F.lit(0)).alias("_k"), own.isNull().alias("_no_id"), _text_hash(F.col(text_col)).alias("_th"))
     rows = rows.join(keep, ["_k", "_no_id", "_th"])
     once = rows.filter("_many").groupBy("_k", "_no_id", "_th").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r"))

@@ -5,10 +5,11 @@ of its ``GRAM``-word runs.  Equal windows have equal hashes, and neighbours
 mostly share theirs, so a text of n words posts about ``n / 12`` hashes and no
 window is left out.
 
-*Index.*  Each batch of documents becomes an immutable run, sorted by hash:
-``fp, n`` (places that post it).  A new run is merge-joined with those before
-it; hashes that a run repeats or that two runs share are candidates.  Runs are
-compacted into one when ``FAN_IN`` of them have gathered.
+*Index.*  Each batch of documents becomes an immutable run, bucketed and sorted
+by hash: ``fp, n`` (places that post it).  A new run is merge-joined with those
+before it; hashes that a run repeats or that two runs share are candidates.
+Runs are compacted into one when ``FAN_IN`` of them have gathered.  The index
+is a folder: a later job opens it and adds its batch (``dedup_batch``).
 
 *Verification.*  Windows under candidate hashes are compared by a second,
 independent 64-bit hash of all their words, 128 bits with the first.
@@ -20,45 +21,98 @@ repeats every window it has, and one member stands for it in the index.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.scratch import discard, materialize
+from auditlake.llm.scratch import cleaned_up, delete_folder, discard, materialize, register, release, scratch_root
 from auditlake.llm.words import run_hashes, split_words, word_hashes
 
 GRAM = 12
-FAN_IN = 4
+FAN_IN = 3
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window hashes; ``add`` returns what a new run repeats."""
+    """Sorted immutable runs of window hashes (``fp, n``) in a folder; ``add`` returns what a new run repeats.
 
-    def __init__(self, fan_in: int = FAN_IN):
-        self.runs: list[DataFrame] = []
-        self.fan_in = fan_in
+    Runs are bucketed by hash, each bucket sorted, so history is merge-joined
+    where it lies and isn't shuffled again.  A manifest names the runs; it is
+    written after a run and before old ones go, so a job that ends midway
+    leaves the index as it was.  Without a folder the index is a scratch table of this process.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = FAN_IN, buckets: int | None = None):
+        self.spark, self.fan_in, self.version, self.compactions = spark, fan_in, 0, 0
+        self.folder = folder.rstrip("/") if folder else f"{scratch_root(spark)}/auditlake-index-{uuid.uuid4().hex}"
+        if folder is None:
+            register(self.folder, spark)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.tables: dict[str, str] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that an earlier job left in a folder."""
+        state = spark.read.json(f"{folder.rstrip('/')}/manifest-*", schema="version int, fan_in int, buckets int, runs array<string>").orderBy(F.desc("version")).first()
+        index = cls(spark, folder, state["fan_in"], state["buckets"])
+        index.version, index.runs = state["version"], list(state["runs"])
+        return index
+
+    def _table(self, run: str) -> DataFrame:
+        if run not in self.tables:
+            self.tables[run] = f"auditlake_{run}_{uuid.uuid4().hex[:8]}"
+            self.spark.sql(f"CREATE TABLE {self.tables[run]} (fp BIGINT, n BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+        return self.spark.table(self.tables[run])
+
+    def _write(self, rows: DataFrame) -> str:
+        """Rows of ``fp, n``, one for each hash, as a run."""
+        run = f"run_{uuid.uuid4().hex}"
+        self.tables[run] = f"auditlake_{run}"
+        with cleaned_up(self.spark):
+            rows.write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp").option("compression", "zstd").option("path", f"{self.folder}/{run}").saveAsTable(self.tables[run])
+        return run
+
+    def _commit(self, runs: list[str]) -> None:
+        old, self.runs = set(self.runs) - set(runs), runs
+        self.version += 1
+        state = self.spark.createDataFrame([(self.version, self.fan_in, self.buckets, runs)], "version int, fan_in int, buckets int, runs array<string>")
+        state.coalesce(1).write.json(f"{self.folder}/manifest-{self.version:08d}")
+        for run in old:
+            self._drop(run)
+            delete_folder(self.spark, f"{self.folder}/{run}")
+        delete_folder(self.spark, f"{self.folder}/manifest-{self.version - 1:08d}")
+
+    def _drop(self, run: str) -> None:
+        if run in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(run)}")  # the catalogue's entry; files stay
+
+    def close(self) -> None:
+        """Take the index's entries out of the catalogue; its folder stays."""
+        for run in list(self.tables):
+            self._drop(run)
 
     def add(self, posted: DataFrame) -> DataFrame:
-        """Append the hashes (column ``fp``) of a batch as a run; returns the repeated ones (``fp``)."""
-        counted = posted.groupBy("fp").agg(F.count("*").alias("n")).sortWithinPartitions("fp")
-        run = materialize(counted, "run")
-        found = [run.filter("n > 1").select("fp")]
-        found += [run.join(old.hint("merge"), "fp").select("fp") for old in self.runs]
-        self.runs.append(run)
+        """Append the hashes (column ``fp``) of a batch as a run; returns those (``fp``) that repeat in it or that history has."""
+        run = self._write(posted.groupBy("fp").agg(F.count("*").alias("n")))
+        new = self._table(run)
+        found = [new.filter("n > 1").select("fp")]
+        found += [new.join(self._table(old).hint("merge"), "fp").select("fp") for old in self.runs]
         repeated = materialize(reduce(DataFrame.union, found).distinct(), "repeated")
+        self._commit([*self.runs, run])
         if len(self.runs) >= self.fan_in:
             self.compact()
         return repeated
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        merged = reduce(DataFrame.union, self.runs).groupBy("fp").agg(F.sum("n").alias("n"))
-        old, self.runs = self.runs, [materialize(merged.sortWithinPartitions("fp"), "run")]
-        discard(*old)
+        merged = reduce(DataFrame.union, [self._table(r) for r in self.runs]).groupBy("fp").agg(F.sum("n").alias("n"))
+        self._commit([self._write(merged)])
+        self.compactions += 1
 
 
 def window_anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -165,10 +219,14 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 3) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, batches: int = 4, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Which rows lose words, and what is left of those that keep some.
 
-    Returns two tables.  *rows*, one per row of ``docs``: ``doc_id, th, n_words,
+    The rows go into ``index`` as one batch, windows that ``history`` (the rows
+    of its earlier batches) holds count as repeated; or, without an index, into a new one
+    in ``batches`` batches, more than ``FAN_IN``, so that it compacts on the way.
+
+    Returns two tables, and the scratch tables that they stand on.  *rows*, one per row of ``docs``: ``doc_id, th, n_words,
     n_removed, kept_sha256`` (``th``: ``xxhash64`` of the text, null as empty).
     *cuts*, one per distinct (``doc_id``, text) that loses a part of its words:
     ``doc_id, th, kept`` (its other words, joined by one space).
@@ -178,22 +236,39 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = about.filter(F.col("n_words") >= window).groupBy("seq_hi", "seq_lo").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "anchors")).alias("r"))
     classes = materialize(classes.select("seq_hi", "seq_lo", "copies", "r.doc_id", "r.th", "r.anchors"), "classes")
 
-    index, found = FingerprintIndex(), []
-    for i in range(batches):
-        part = classes.filter(F.pmod(F.xxhash64("seq_hi", "seq_lo"), F.lit(batches)) == i)
-        found.append(index.add(part.select(F.explode("anchors").alias("fp"))))
-    repeated = materialize(reduce(DataFrame.union, found).distinct(), "repeated")
-    discard(*index.runs, *found)
+    if index is not None:
+        repeated = index.add(classes.select(F.explode("anchors").alias("fp")))
+    else:
+        scratch, found = FingerprintIndex(docs.sparkSession), []
+        for i in range(batches):
+            part = classes.filter(F.pmod(F.xxhash64("seq_hi", "seq_lo"), F.lit(batches)) == i)
+            found.append(scratch.add(part.select(F.explode("anchors").alias("fp"))))
+        scratch.close()
+        repeated = materialize(reduce(DataFrame.union, found).distinct(), "repeated")
+        discard(*found)
+        release(scratch.folder)
 
     single = classes.filter("copies = 1")
-    hit = classes.select("doc_id", "th", F.explode("anchors").alias("fp")).join(repeated, "fp").groupBy("doc_id", "th").agg(F.collect_set("fp").alias("fps"))  # at most a text's own
-    hit = materialize(hit, "hit")
-    discard(repeated)
-    texts = materialize(_join_key(rows, hit, "inner").dropDuplicates(["doc_id", "th"]), "texts")
-    discard(hit)
+
+    def posting(classes: DataFrame, rows: DataFrame) -> DataFrame:
+        """Texts that post a repeated hash, with these hashes."""
+        # Both sides are written tables, so that adaptive execution can split a hash that many texts post.
+        hit = classes.select("doc_id", "th", F.explode("anchors").alias("fp")).join(repeated, "fp").groupBy("doc_id", "th").agg(F.collect_set("fp").alias("fps"))  # at most a text's own
+        hit = materialize(hit, "hit")
+        out = materialize(_join_key(rows, hit, "inner").dropDuplicates(["doc_id", "th"]), "texts")
+        discard(hit)
+        return out
+
+    texts = posting(classes, rows)
     windows = materialize(_windows(texts, window), "windows")
     each = windows.select("doc_id", "th", "fp", F.posexplode("hashes").alias("i", "h"), "first")
-    twice = materialize(windows.select("fp", F.explode("hashes").alias("h")).groupBy("fp", "h").agg(F.count("*").alias("c")).filter("c > 1").select("fp", "h"), "twice")
+    counted = windows.select("fp", "hashes")
+    if history is not None:
+        past = history.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", _text_key())
+        old = posting(materialize(describe(past, window).select("doc_id", "th", "anchors"), "words"), past)
+        counted = counted.union(_windows(old, window).select("fp", "hashes"))
+    discard(repeated)
+    twice = materialize(counted.select("fp", F.explode("hashes").alias("h")).groupBy("fp", "h").agg(F.count("*").alias("c")).filter("c > 1").select("fp", "h"), "twice")
     starts = each.join(twice, ["fp", "h"]).groupBy("doc_id", "th").agg(F.collect_list(F.col("first") + F.col("i")).alias("starts"))  # at most a text's own
     starts = _join_key(starts, single.select("doc_id", "th"), "left_semi")
     starts = materialize(starts, "starts")
@@ -212,7 +287,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(copied, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copied, F.lit(_EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    return out, cuts.select("doc_id", "th", "kept")
+    return out, cuts.select("doc_id", "th", "kept"), [about, classes, cuts]
 
 
 def _join_key(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
@@ -230,20 +305,31 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     goes if a window of ``window`` words that covers it starts anywhere else as
     well, in this text or another.  Null, empty and short texts lose nothing; rows that
     repeat lose all of their words, if they have a window; null ids are rows
-    like others; further columns are ignored; an empty table gives no rows.
+    like others; further columns are ignored; an empty table gives no rows.  A text of any
+    length is read whole, with about 100 bytes of memory a word.
     """
     return repeated_windows(docs, id_col, text_col, window)[0].drop("th")
 
 
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+    """As ``dedup_substrings`` for a new batch: windows that ``history`` or the rest of the batch holds go from the batch.
+
+    ``history`` is what the index has taken in before, as it was; the batch is added to the index.
+    Of history only the texts that post a hash of the batch are compared.
+    """
+    return repeated_windows(docs, id_col, text_col, window, index=index, history=history)[0].drop("th")
+
+
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with each text cut to its other words; texts that lose nothing stay as they are.
 
     ``docs`` has ``doc_id`` and ``text``; ``n_chars``, if there, is counted anew
     where a text changed.  A text that loses all of its words becomes empty.
     """
-    rows, cuts = repeated_windows(docs, window=window)
+    rows, cuts, used = repeated_windows(docs, window=window)
     change = rows.filter("n_removed > 0").select("doc_id", "th", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["doc_id", "th"])
-    change = _join_key(change, cuts, "left").select("doc_id", "th", F.when(F.col("_all"), F.lit("")).otherwise(F.col("kept")).alias("_kept"))
+    change = materialize(_join_key(change, cuts, "left").select("doc_id", "th", F.when(F.col("_all"), F.lit("")).otherwise(F.col("kept")).alias("_kept")), "change")
+    discard(*used)
     out = _join_key(docs.withColumn("th", _text_key()), change, "left")
     changed = F.col("_kept").isNotNull()
     if "n_chars" in docs.columns:

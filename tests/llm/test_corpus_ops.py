@@ -104,6 +104,60 @@ def test_substrings(spark, window):
     assert substrings.dedup_substrings(table(spark, texts).limit(0)).count() == 0
 
 
+def test_index_in_two_jobs(spark, tmp_path):
+    """Batches added in two jobs give what one job gives, across compaction; runs are read where they lie."""
+    rng = random.Random(8)
+    batches = [[rng.randrange(60) for _ in range(30)] for _ in range(6)]
+    frame = lambda hashes: spark.createDataFrame([(h,) for h in hashes], "fp long")
+    seen: set[int] = set()
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fan_in=3, buckets=3)
+    for i, batch in enumerate(batches):
+        if i in (1, 4):  # a later job
+            index.close()
+            index = substrings.FingerprintIndex.open(spark, str(tmp_path / "index"))
+        got = {r["fp"] for r in index.add(frame(batch)).collect()}
+        assert got == {h for h, n in Counter(batch).items() if n > 1 or h in seen}, i
+        seen |= set(batch)
+        assert len(index.runs) < 3
+    assert index.compactions >= 1 and len([x for x in (tmp_path / "index").iterdir() if x.name.startswith("run")]) == len(index.runs)
+    (total,) = {sum(r["n"] for r in index._table(index.runs[0]).collect()) + sum(r["n"] for run in index.runs[1:] for r in index._table(run).collect())}
+    assert total == sum(map(len, batches))
+    tables = [index._table(index._write(frame(b).groupBy("fp").agg(F.count("*").alias("n")))) for b in batches[:2]]
+    plan = tables[0].join(tables[1].hint("merge"), "fp")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
+
+
+def test_query_compacts(spark, monkeypatch):
+    done = []
+    compact = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: (done.append(1), compact(self)))
+    assert substrings.dedup_substrings(table(spark, corpus()[:6]), window=35).count() == 6 and len(done) == 1
+
+
+def test_substrings_of_batches(spark, tmp_path):
+    """A new batch loses what history or the batch itself holds elsewhere."""
+    window, texts = 12, [*corpus(), corpus()[0]]
+    parts = [texts[i::3] for i in range(3)]
+    index = substrings.FingerprintIndex(spark, str(tmp_path / "index"), fan_in=2, buckets=2)
+    past = []
+    for part in parts:
+        docs = [(i, t) for i, t in enumerate(texts) if any(t is p for p in part)]
+        history = spark.createDataFrame(past, "doc_id long, text string")
+        found = {r["doc_id"]: r for r in substrings.dedup_batch(spark.createDataFrame(docs, "doc_id long, text string"), index, history, window=window).collect()}
+        words = {i: split_words(t) for i, t in docs}
+        seen = Counter(tuple(w[j : j + window]) for w in [*words.values(), *(split_words(t) for _, t in past)] for j in range(len(w) - window + 1))
+        for i, w in words.items():
+            gone = [False] * len(w)
+            for j in range(len(w) - window + 1):
+                if seen[tuple(w[j : j + window])] > 1:
+                    gone[j : j + window] = [True] * window
+            assert (found[i]["n_words"], found[i]["n_removed"]) == (len(w), sum(gone)), i
+        past += docs
+    assert index.compactions == 2
+    index.close()
+
+
 def test_substrings_null_ids(spark):
     t = " ".join(f"v{i}" for i in range(60))
     rows = [(None, t), (None, "x " + t), (3, "other"), (3, "other")]
@@ -289,5 +343,28 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
 
 
+def test_pipeline_loses_no_text(spark, tmp_path):
+    """Rows that share an id, or have none, are documents of their own; clashing names and null texts stay as they are."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choices([f"v{i}" for i in range(5000)], k=60))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, 1), (1, b, 2), (1, a, 3), (None, c, 4), (None, c, 5), (None, d, 6), (2, b, 7), (None, None, 8), (None, None, 9), (4, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int").withColumns({"kept": F.lit("x"), "_h": F.lit(None).cast("string")})
+    (_, classify), (_, near), (_, cut), (_, pack) = corpus_pipeline.STAGES
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    first = classify(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and first.count() == len(rows)
+    second = near(spark, docs, "")
+    assert second.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "", r["score"]) for r in second.collect()) == sorted([(1, a, 1), (1, b, 2), (0, c, 4), (0, d, 6), (0, "", 8), (0, "", 9), (4, "", 10)])
+    third = cut(spark, docs, "")
+    assert third.columns == docs.columns and sorted(len((r["text"] or "").split()) for r in third.collect()) == sorted([0] * 9 + [60])
+    assert pack(spark, docs, "").count() == len(rows)
+    lazy = cut(spark, near(spark, docs, ""), "")  # two stages, nothing written in between
+    assert lazy.count() == 7
+    for stage in (near, cut, pack):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
