@@ -6,58 +6,42 @@ kept, and returns the columns of ``documents``; the last returns the pieces.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import neardup, packing, quality, substrings
-from auditlake.llm.scratch import discard, materialize, release_scratch, written
-
-_stage_tables: set[str] = set()
-
-
-def stage(make):
-    """A stage that first drops the scratch tables of the stage before, whose result has been written by then."""
-
-    @wraps(make)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release_scratch(_stage_tables)
-        _stage_tables.clear()
-        before = written()
-        out = make(spark, docs, sf_dir)
-        _stage_tables.update(written() - before)
-        return out
+from auditlake.llm.scratch import discard, materialize, scratch_scope
 
-    return run_stage
 
-
-@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at 0.7 or more; the others go."""
+    """Documents that the classifier scores at 0.7 or more; the others go.
+
+    Null and empty texts are scored like others.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality.score_quality(docs, quality.fit_quality(docs, labels))
-    return scored.filter("predicted = 1").select(docs.columns)
+    score = quality.score_column(spark, quality.fit_quality(docs, labels), F.col("text"))
+    return docs.filter(score >= 0.7)
 
 
-@stage
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near-duplicates; rows without an id stay."""
-    groups = neardup.near_duplicates(docs)
-    keep = groups.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Each row is a document: rows that share an id, or have none, are told apart
+    by their texts, and go only if they are near-duplicates.  Rows without words stay.
+    """
+    return neardup.keep_one_of_each(docs)
 
 
-@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages of 50 words that occur more than once."""
+    """All documents, without the words of passages of 50 words that occur more than once.
+
+    A document that loses all of its words stays, with an empty text; null texts stay null.
+    """
     return substrings.remove_repeats(docs)
 
 
-@stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in sequences of at most 2048 tokens, a row per piece."""
+    """All documents in sequences of at most 2048 tokens, a row per piece; null texts are the end id alone."""
     return packing.pack_documents(docs)
 
 
@@ -77,6 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, make in STAGES:
         done = docs
-        docs = materialize(make(spark, done, sf_dir), name.replace(" ", "-"))
+        with scratch_scope():
+            made = make(spark, done, sf_dir)
+            docs = materialize(made, name.replace(" ", "-"), kept=True)
         discard(done)
     return docs
