@@ -3,9 +3,8 @@
 Each partition first reduces its links to a spanning forest.  Then large-star
 and small-star rounds alternate until nothing changes: every node hangs under
 its smallest neighbour, so a star of any size stays a star and a path halves.
-Tables are written to the shared folder; only a truth value reaches the
-driver.  Each join is of written tables, with nothing but its shuffle in
-between, so that adaptive execution can split a hub of any number of links.
+The table is written to the shared folder after each round; only a truth value
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -13,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.scratch import discard, materialize
@@ -59,12 +58,14 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if _settled(edges):
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
-        large = materialize(both.join(low.hint("merge"), "a").filter("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        # Two written tables with nothing but a shuffle in between: adaptive execution can split a hub of any number of links.
+        low = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "low")
+        large = both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # A node has few smaller neighbours by now, at most one for each task of the first step.
+        large = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        small = large.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         old, edges = edges, materialize(small.select("e.a", "e.b").filter("a <> b").distinct(), "links")
-        discard(old, low, large, least)
+        discard(old, low)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -33,17 +33,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
-from auditlake.llm.scratch import discard, materialize
+from auditlake.llm.scratch import discard, materialize, scratch_scope
 from auditlake.llm.words import mix, run_hashes, word_hashes
 
 COORDS, MATCHES = 48, 22
 PREFIX = COORDS - MATCHES + 1
 #: Rows of a posting list, and sets of a family, that a block takes; a task holds two blocks.
-BLOCK, FAMILY_BLOCK = 512, 400
+BLOCK, FAMILY_BLOCK = 2048, 400
+#: Coordinates that collisions are counted over first: most members of a list then can't reach the threshold any more.
+_FIRST = 36
 #: Columns of a block pair's incidence matrix that are held at once.
 _COLUMNS = 4096
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64))
@@ -97,10 +99,21 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
     return rows.mapInArrow(run, SETS)
 
 
-def _values(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    """Signatures of a batch, 32 bits a coordinate."""
-    sig = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(batch.num_rows, COORDS)
-    return mix(sig).astype(np.uint32)
+#: A short signature: 32 bits for each coordinate of the prefix, which tell lists apart, and 8 for the others.
+_SHORT = 4 * PREFIX + COORDS - PREFIX
+
+
+def _short(batch: pa.RecordBatch, column: int) -> pa.Array:
+    """Short signatures of a batch."""
+    sig = mix(np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(batch.num_rows, COORDS))
+    head = np.ascontiguousarray(sig[:, :PREFIX].astype("<u4")).view(np.uint8)
+    return pa.array([x.tobytes() for x in np.concatenate([head, sig[:, PREFIX:].astype(np.uint8)], axis=1)], pa.binary())
+
+
+def _long(sig: list[bytes]) -> np.ndarray:
+    """Short signatures as numbers, a column a coordinate."""
+    raw = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, _SHORT)
+    return np.concatenate([np.ascontiguousarray(raw[:, : 4 * PREFIX]).view("<u4"), raw[:, 4 * PREFIX :]], axis=1)
 
 
 def _keys(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -121,13 +134,18 @@ def _shared_lists(classes: DataFrame) -> DataFrame:
         for batch in batches:
             rows = pa.array(np.repeat(np.arange(batch.num_rows), PREFIX))
             at = pa.array(np.tile(np.arange(PREFIX, dtype=np.int32), batch.num_rows))
-            sig = pa.array([x.tobytes() for x in _values(batch, 2)], pa.binary())
-            yield pa.record_batch([pa.array(_keys(batch, 2)), batch.column(0).take(rows), at, batch.column(1).take(rows), sig.take(rows)], names=["key", "id", "at", "n", "sig"])
+            yield pa.record_batch([pa.array(_keys(batch, 1)), batch.column(0).take(rows), at], names=["key", "id", "at"])
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), batch.column(1), _short(batch, 2)], names=["id", "n", "sig"])
 
     counted = classes.select("sig").mapInArrow(names, "key long").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     counted = materialize(counted, "keys")
-    posted = classes.select("id", "n", "sig").mapInArrow(post, "key long, id long, at int, n long, sig binary")
-    out = materialize(posted.join(counted.hint("merge"), "key"), "postings")
+    # Signatures join what is left, as most postings are in lists of their own.
+    posted = classes.select("id", "sig").mapInArrow(post, "key long, id long, at int").join(counted.hint("merge"), "key")
+    signed = classes.select("id", "n", "sig").mapInArrow(shorten, "id long, n long, sig binary")
+    out = materialize(posted.join(signed.hint("merge"), "id"), "postings")
     discard(counted)
     return out
 
@@ -178,33 +196,40 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         parts = [table.slice(cuts[-1])] if cuts[-1] < table.num_rows else []
 
 
-def collisions(sig: np.ndarray, at: int, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a list that agree in ``MATCHES`` coordinates at least, and in none before ``at``.
+def list_forest(sig: np.ndarray, n: np.ndarray, at: int, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the candidates of a list: pairs that agree in ``MATCHES`` coordinates at least, and in none before ``at``.
 
-    ``label``: members of one component aren't compared.  Counts are merged
-    coordinate by coordinate; members that can't reach the threshold any more are skipped.
+    ``label``: members of one component aren't compared, so copies are met once.
+    Collisions are counted over the first coordinates, then over the others
+    where these can still bring a member to the threshold.
     """
-    alive = np.arange(len(sig))
-    able = label[:, None] != label[None, :]
-    for q in range(at):
-        able &= sig[:, q][:, None] != sig[:, q][None, :]
-    count = np.zeros(able.shape, np.uint8)
-    for done, q in enumerate(range(at, COORDS), 1):
-        count += sig[alive, q][:, None] == sig[alive, q][None, :]
-        if done % 8 == 0:
-            hope = (able & (count + (COORDS - 1 - q) >= MATCHES)).any(axis=1)
-            if not hope.all():
-                alive, able, count = alive[hope], able[np.ix_(hope, hope)], count[np.ix_(hope, hope)]
-                if not len(alive):
-                    break
-    i, j = np.nonzero(np.triu(able & (count >= MATCHES), 1))
-    return alive[i], alive[j]
+    names, root = np.unique(label, return_inverse=True)
+    for i in range(len(n) - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        rest = rest[_size_ok(n[rest], n[i], percent)]
+        same = sig[rest, :_FIRST] == sig[i, :_FIRST]
+        count = same.sum(axis=1)
+        hope = count + (COORDS - _FIRST) >= MATCHES
+        if at:
+            hope &= ~same[:, :at].any(axis=1)
+        rest, count = rest[hope], count[hope]
+        if len(rest):
+            rest = rest[count + (sig[rest, _FIRST:] == sig[i, _FIRST:]).sum(axis=1) >= MATCHES]
+        if len(rest):
+            joined = np.append(np.unique(root[rest]), root[i])
+            root[np.isin(root, joined)] = joined.min()
+    # One member of each former component stands for it.
+    first = np.full(len(names), len(n))
+    np.minimum.at(first, root, np.arange(len(n)))
+    old = np.unique(label, return_index=True)[1]
+    node, top = old, first[root[old]]
+    return node[node != top], top[node != top]
 
 
 def _list_stars(table: pa.Table, cuts: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning stars of the candidates of each list or pair of its blocks."""
     ids, n, label, at = (table.column(c).to_numpy() for c in ("id", "n", "label", "at"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, COORDS)
+    sig = _long(table.column("sig").to_pylist())
     starts, sizes = np.array(cuts[:-1]), np.diff(cuts)
     two = starts[sizes == 2]  # most lists, all at once
     if len(two):
@@ -213,9 +238,7 @@ def _list_stars(table: pa.Table, cuts: list[int], percent: int) -> Iterator[tupl
         good = (same.sum(axis=1) >= MATCHES) & ~earlier & (label[two] != label[two + 1]) & _size_ok(n[two], n[two + 1], percent)
         yield ids[two[good]], ids[two[good] + 1]
     for a, z in zip(starts[sizes > 2].tolist(), (starts + sizes)[sizes > 2].tolist()):
-        i, j = collisions(sig[a:z], int(at[a]), label[a:z])
-        ok = _size_ok(n[a:z][i], n[a:z][j], percent)
-        node, root = _forest(z - a, iter([(i[ok], j[ok])]))
+        node, root = list_forest(sig[a:z], n[a:z], int(at[a]), label[a:z], percent)
         yield ids[a:z][node], ids[a:z][root]
 
 
@@ -274,7 +297,7 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
         """``mine``: a row's block, ``others``: the blocks that it meets."""
         dealt = dealt.withColumn("other", F.explode("others")).withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
         dealt = dealt.drop("c", "mine", "other", "others").repartition(key, "lo", "hi").sortWithinPartitions(key, "lo", "hi")
-        return materialize(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
+        return dealt.mapInArrow(run, "a long, b long")
 
     def blocks(n: Column) -> Column:
         return F.ceil(n / F.lit(block)).cast("long")
@@ -288,7 +311,7 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
     first = links(rows.withColumn("label", F.col("id")).withColumn("mine", mine).withColumn("others", F.when(F.col("mine") == 0, up_to(blocks(F.col("c")))).otherwise(F.array(F.lit(0).cast("long")))))
     found = connected_components(first)
     hot = rows.filter(F.col("c") > block)
-    if hot.isEmpty():
+    if not rows.agg(F.max("c") > block).first()[0]:
         return found
     known = hot.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     sizes = known.groupBy(key, "label").agg(F.count("*").alias("m"))
@@ -300,8 +323,7 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
     dealt = dealt.withColumn("mine", F.when(is_out, F.pmod(mine, out)).otherwise(out + F.pmod(mine, blocks(F.col("inside")))))
     dealt = dealt.withColumn("others", F.when(is_out, up_to(out + blocks(F.col("inside")))).otherwise(up_to(out))).drop("big", "inside", "outside")
     second = links(dealt)
-    discard(rest)
-    return connected_components(first.union(second))
+    return connected_components(found.toDF("a", "b").union(second))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -313,9 +335,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     classes = worded.groupBy("set_hi", "set_lo").agg(least).select("set_hi", "set_lo", "r.*")
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     lists = _shared_lists(classes)
-    families = materialize(_spanning(lists, "key", BLOCK, _list_stars, percent).withColumnsRenamed({"node": "id", "component": "fam"}), "families")
+    with scratch_scope():
+        families = _spanning(lists, "key", BLOCK, _list_stars, percent).withColumnsRenamed({"node": "id", "component": "fam"})
+        families = materialize(families.withColumn("c", F.count("*").over(Window.partitionBy("fam"))), "families", kept=True)
     discard(lists)
-    sizes = materialize(families.groupBy("fam").agg(F.count("*").alias("c")), "sizes")
 
     # Full sets of the families' members, hashed from their whole texts again.
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,13 +346,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
             yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(3)], pa.binary())], names=["fam", "c", "id", "items"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    wanted = families.join(classes.select("id", "doc_id", "th"), "id").join(sizes.hint("merge"), "fam")
+    wanted = families.join(classes.select("id", "doc_id", "th"), "id")
     same = [F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("no_id"), "th"]
     members = texts.select(*same, "text").join(wanted.select(*same, "fam", "c", "id"), ["k", "no_id", "th"])
     members = members.dropDuplicates(["k", "no_id", "th"]).select("fam", "c", "id", "text")
     members = materialize(members.mapInArrow(items, "fam long, c long, id long, items binary"), "items")
-    found = materialize(_spanning(members, "fam", FAMILY_BLOCK, _set_stars, percent), "found")
-    discard(members, families, sizes)
+    with scratch_scope():
+        found = materialize(_spanning(members, "fam", FAMILY_BLOCK, _set_stars, percent), "found", kept=True)
+    discard(members, families)
     return sets, classes, found
 
 
@@ -344,16 +368,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sets, classes, found = _components(docs, id_col, text_col, shingle, percent, null_ids=False)
     # An id that repeats with other texts stands for all of them.
+    own = F.struct("set_hi", "set_lo")
     worded = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_hi", "set_lo")
-    many = worded.groupBy("doc_id").agg((F.min("set_hi") < F.max("set_hi")).alias("m")).filter("m").select("doc_id")
-    many = materialize(many, "many")
-    again = worded.join(many, "doc_id").distinct().join(classes.select("set_hi", "set_lo", "id"), ["set_hi", "set_lo"])
-    again = materialize(again.join(again.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").filter("a <> b"), "again")
+    again = worded.withColumn("other", F.min(own).over(Window.partitionBy("doc_id"))).filter(F.col("other") != own).distinct()
+    names = classes.select("set_hi", "set_lo", F.col("id").alias("a"))
+    others = classes.select(own.alias("other"), F.col("id").alias("b"))
+    again = materialize(again.join(names, ["set_hi", "set_lo"]).join(others, "other").select("a", "b"), "again")
     if not again.isEmpty():
         found = connected_components(found.toDF("a", "b").union(again))
     named = found.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
-    least = materialize(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
-    known = named.join(least.hint("merge"), "component").select(F.col("node").alias("id"), "component_id")
+    known = named.select(F.col("node").alias("id"), F.min("doc_id").over(Window.partitionBy("component")).alias("component_id"))
     classes = classes.join(known, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "doc_id").alias("component_id"))
     rows = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))

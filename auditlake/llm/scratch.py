@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_DIR: list[str] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITTEN: dict[str, SparkSession] = {}
-_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch tables of the scope", default=None)
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scratch tables of the open scopes", default=())
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -40,7 +40,7 @@ def materialize(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
 
     Unlike ``localCheckpoint`` the files survive lost executors, and unlike
     ``cache`` they hold no executor memory.  The shuffle files of the write go
-    when it ends, as nothing reads them again.  ``kept``: beyond the scope.
+    when it ends, as nothing reads them again.  ``kept``: beyond the scope it is written in.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/auditlake-{name}-{uuid.uuid4().hex}"
@@ -70,22 +70,22 @@ def discard(*tables: DataFrame) -> None:
 
 
 def register(path: str, spark: SparkSession, kept: bool = False) -> None:
-    """Take a folder as a scratch table: it goes with its scope, unless ``kept``, or with the process."""
+    """Take a folder as a scratch table: it goes with its scope (``kept``: the one around), or with the process."""
     _WRITTEN[path] = spark
-    scope = _SCOPE.get()
-    if scope is not None and not kept:
-        scope.append(path)
+    scopes = _SCOPES.get()
+    if len(scopes) > kept:
+        scopes[-1 - kept].append(path)
 
 
 @contextmanager
 def scratch_scope() -> Iterator[None]:
     """Scratch tables that this thread writes within go at the end; results built on them must be written by then."""
-    mark = _SCOPE.set([])
+    mark = _SCOPES.set((*_SCOPES.get(), []))
     try:
         yield
     finally:
-        paths = _SCOPE.get()
-        _SCOPE.reset(mark)
+        paths = _SCOPES.get()[-1]
+        _SCOPES.reset(mark)
         for path in paths:
             release(path)
 
