@@ -6,8 +6,11 @@ mostly would, like a large group of near copies, isn't split.  A pair at cosine
 about 0.05 along a random direction of 64 dimensions, so a split parts few
 pairs, and a pair that one tree parts is found by another.  Directions and
 medians are fitted on a bounded hash sample; every vector is routed through
-all trees, and all vectors of a leaf are compared: a leaf beyond ``BLOCK`` rows
-is dealt into hash blocks, and each pair of blocks is a group of its own.
+all trees.  A leaf beyond ``BLOCK`` rows, as such a sample leaves in a large
+table, gets a subtree of its own, fitted and applied in Spark, and so on until
+leaves are small.  All vectors of a leaf are compared; a leaf that can't be
+split, a large group of near copies, is dealt into hash blocks, and each pair
+of blocks is a group of its own.
 
 No pair leaves its group.  A pair is counted only in its first common leaf, which
 both vectors' leaf lists tell, so each group sends one count per vector, and for
@@ -17,7 +20,9 @@ the components a spanning forest.  Equal vectors of a label are one class.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,15 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
-from auditlake.llm.scratch import materialize
+from auditlake.llm.scratch import discard, materialize
 from auditlake.llm.topk import usable
+from auditlake.llm.words import mix
 
 SAMPLE = 32768
 LEAF = 256
 #: Sampled vectors that a node must have had to be split.
 SPLIT_SAMPLE = 32
-#: Rows of a leaf that one block takes; a task holds two blocks.
+#: Rows of a leaf that one block takes; a task holds two blocks.  Leaves of more rows are split further.
 BLOCK = 4096
+#: Vectors of such a leaf, about, that its subtree is fitted on.
+SUB_SAMPLE = 4096
 _ROWS = 512
 #: Leaves that are compared at once when a pair's first common leaf is looked for.
 _LEAVES = 1024
@@ -170,6 +178,50 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
+def _large(placed: DataFrame) -> DataFrame:
+    """Leaves beyond a block: ``label, leaf, c``."""
+    return placed.groupBy("label", "leaf").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
+
+
+def _split_further(placed: DataFrame, large: DataFrame, vectors: DataFrame, dim: int, spill: float) -> DataFrame:
+    """``label, leaf, ck`` after subtrees have split the large leaves, again and again, except those that no direction splits."""
+    leaf = ["label", "leaf"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["vec"].to_numpy())
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        depth = max(1, int(math.log2(max(2, len(x) / SPLIT_SAMPLE))))
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "leaf": pdf["leaf"].iloc[:1], "tree": [pickle.dumps(Forest(x, 1, depth, spill, int(pdf["leaf"].iloc[0]) & 0xFFFFFFFF))]})
+
+    def send(key: tuple, pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        tree = pickle.loads(trees["tree"].iloc[0]) if len(trees) else None
+        if tree is None or not len(pdf) or not tree.split[0, 0]:
+            return pd.DataFrame({"label": pdf["label"], "leaf": pdf["leaf"], "ck": pdf["ck"], "stuck": True})
+        x = np.stack(pdf["vec"].to_numpy())
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        row, node = tree.leaves(x, 0)
+        names = mix(np.uint64(int(key[1]) & 0xFFFFFFFFFFFFFFFF) * np.uint64(1 << 14) + node.astype(np.uint64)).view(np.int64)
+        return pd.DataFrame({"label": pdf["label"].to_numpy()[row], "leaf": names, "ck": pdf["ck"].to_numpy()[row], "stuck": False})
+
+    done = []
+    while not large.isEmpty():
+        done.append(placed.join(large.hint("merge"), leaf, "left_anti").select(*leaf, "ck"))
+        rows = placed.join(large.hint("merge"), leaf).join(vectors, "ck")
+        chunks = F.ceil(F.col("c") / F.lit(BLOCK)).cast("long")
+        rows = materialize(rows.select(*leaf, "ck", "vec", "c", F.pmod(F.xxhash64("ck", F.lit(3)), chunks).alias("chunk")), "leaves")
+        sample = rows.filter(F.pmod(F.xxhash64("ck", F.lit(9)), F.ceil(F.col("c") / F.lit(SUB_SAMPLE)).cast("long")) == 0)
+        trees = sample.groupBy(*leaf).applyInPandas(fit, "label string, leaf long, tree binary")
+        trees = trees.join(large.hint("merge"), leaf).select(*leaf, "tree", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+        sent = rows.groupBy(*leaf, "chunk").cogroup(trees.groupBy(*leaf, "chunk")).applyInPandas(send, "label string, leaf long, ck long, stuck boolean")
+        sent = materialize(sent, "sent")
+        discard(rows)
+        done.append(sent.filter("stuck").select(*leaf, "ck"))
+        placed = sent.filter("NOT stuck").select(*leaf, "ck")
+        large = materialize(_large(placed), "large")
+    done.append(placed)
+    return reduce(DataFrame.union, done)
+
+
 def _search(classes: DataFrame, dim: int, largest: int, threshold: float, trees: int, spill: float) -> DataFrame:
     """``ck, id, links, root`` from every leaf for every class in it."""
     spark = classes.sparkSession
@@ -196,14 +248,19 @@ def _search(classes: DataFrame, dim: int, largest: int, threshold: float, trees:
 
     def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in route(batches):
-            yield batch.select(["label", "leaf"])
+            yield batch.select(["label", "leaf", "ck"])
 
     members = classes.select("label", "ck", "id", "n", "vec")
     routed = members.mapInArrow(route, "leaf long, label string, ck long, id long, n long, vec array<double>, leaves array<long>")
-    # A row per leaf beyond a block: at most one for BLOCK routed rows.  Others are one block.
-    large = members.mapInArrow(only, "label string, leaf long").groupBy("label", "leaf").agg(F.count("*").alias("c")).filter(F.col("c") > BLOCK)
-    large = large.select("label", "leaf", F.ceil(F.col("c") / F.lit(BLOCK)).cast("long").alias("nb"))
-    dealt = routed.join(F.broadcast(large), ["label", "leaf"], "left").withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
+    large = materialize(_large(members.mapInArrow(only, "label string, leaf long, ck long")), "large")
+    if large.isEmpty():
+        dealt = routed.withColumn("nb", F.lit(1).cast("long"))
+    else:
+        placed = materialize(_split_further(members.mapInArrow(only, "label string, leaf long, ck long"), large, members.select("ck", "vec"), dim, spill), "placed")
+        lists = placed.groupBy("ck").agg(F.collect_list("leaf").alias("leaves"))  # a vector's own leaves
+        large = materialize(_large(placed), "large")
+        routed = placed.join(members.join(lists, "ck").drop("label"), "ck")
+        dealt = routed.join(large.hint("merge"), ["label", "leaf"], "left").withColumn("nb", F.coalesce(F.ceil(F.col("c") / F.lit(BLOCK)).cast("long"), F.lit(1).cast("long"))).drop("c")
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("ck", F.lit(5)), F.col("nb"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     dealt = dealt.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other")).drop("nb", "other")
 

@@ -190,6 +190,31 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_edges(spark):
+    """Ids that repeat with other vectors, repeated rows, and components beyond the range of a long."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (3, [-1.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    assert got == [(1, 2, 3 << 16), (2, 1, 2 << 16), (3, 1, 0)]
+    big = spark.createDataFrame([(0, [1e30]), (1, [2e30]), (2, [3e30]), (3, [-1e30]), (4, [1e300])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(4, 2**63 - 1), (2, 2**63 - 1), (1, 2**63 - 1), (3, -(2**63))]
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_bars_and_steps(seed):
+    """A block's answer is the brute force's, whatever the bar."""
+    rng = np.random.default_rng(seed)
+    x, q = np.floor(20 * rng.standard_normal((900, 5))), np.floor(20 * rng.standard_normal((40, 5)))
+    x[100:160] = x[0]
+    ids, q_ids, pivots = rng.permutation(900), rng.integers(0, 900, 40), x[:7]
+    block = topk.Block.unpack(5, *topk.Block(ids, x, pivots).pack())
+    for bar in (-np.inf, 0.0, 1500.0):
+        for qid, v, best in zip(q_ids, q, topk.block_top_k(q_ids, q, np.full(40, bar), block, pivots, 5)):
+            want = sorted((-float(r @ v), int(i)) for r, i in zip(x, ids) if i != qid)[:5]
+            assert [b for b in best if -b[0] >= bar] == [w for w in want if -w[0] >= bar]
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((40, 16))
@@ -216,6 +241,29 @@ def test_vectors_in_blocks(spark, monkeypatch):
     test_vectors(spark)
 
 
+def test_leaves_are_split_further(spark, monkeypatch):
+    """More vectors than the sample's trees part: leaves stay small, links at the threshold are found."""
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal(base.shape)
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.931 * base + (1 - 0.931**2) ** 0.5 * side])  # pairs at 0.931
+    for name, value in (("SAMPLE", 300), ("LEAF", 64), ("BLOCK", 200), ("SUB_SAMPLE", 200)):
+        monkeypatch.setattr(vecdup, name, value)
+    sizes = []
+    large = vecdup._large
+    monkeypatch.setattr(vecdup, "_large", lambda placed: (sizes.append(placed.groupBy("label", "leaf").count().agg(F.max("count")).first()[0]), large(placed))[1])
+    vectors = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: r for r in vecdup.near_vectors(vectors).collect()}
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    assert sum(r["n_links"] for r in found.values()) >= 0.99 * near.sum() >= 5940
+    assert all(found[i]["n_links"] <= near[i].sum() for i in found)
+    assert sizes[0] > 400 and sizes[-1] <= 200
+
+
 def test_large_group_of_near_vectors(spark, monkeypatch):
     """Real depth, and a third of the rows in one group: few copies of its rows, few lost links."""
     rng = np.random.default_rng(4)
