@@ -50,31 +50,26 @@ def signal_pattern(signal: str) -> str:
 def first_signals(value: Column, groups: list[tuple[str, ...]], bounded: bool = True) -> Column:
     """Array of (``g``: number of a group of signals, ``signal``: its first one that ``value`` holds), by group.
 
-    The signals are one literal array that a higher-order filter runs over, so the
-    expression stays small for packs of any size.  A plain search in the lower-cased
-    text goes first; only signals it finds are tried as patterns.  Signals
-    hold ASCII mostly, so the search misses only texts with other characters that
-    fold to ASCII, and those skip it.  Without ``bounded`` the plain search decides.
+    Each group is a fold over its signals, whose patterns are literals and so
+    compiled once.  A plain search in the lower-cased text goes first; only
+    signals it finds are tried as patterns.  Signals hold ASCII mostly, so the search
+    misses only texts with other characters that fold to ASCII, and those skip
+    it.  Without ``bounded`` the plain search decides.
     """
-    rows = [F.struct(F.lit(g).alias("g"), F.lit(s).alias("signal"), F.lit(s.lower()).alias("low"), F.lit(signal_pattern(s)).alias("pattern")) for g, signals in enumerate(groups) for s in signals]
-    if not rows:
+    groups = [(g, signals) for g, signals in enumerate(groups) if signals]
+    if not groups:
         return F.array().cast("array<struct<g:int,signal:string>>")
-    signals = F.array(*rows)
 
-    def found(t: Column) -> Column:
-        def test(s: Column) -> Column:
-            plain = F.contains(t["low"], s["low"])
-            return (plain | t["odd"]) & F.rlike(t["value"], s["pattern"]) if bounded else plain
+    def fold(t: Column) -> Column:
+        def test(s: str) -> Column:
+            plain = F.contains(t["low"], F.lit(s.lower()))
+            return (plain | t["odd"]) & F.rlike(t["value"], F.lit(signal_pattern(s))) if bounded else plain
 
-        return F.filter(signals, test)
+        return F.array(*(F.struct(F.lit(g).alias("g"), F.coalesce(*(F.when(test(s), F.lit(s)) for s in signals)).alias("signal")) for g, signals in groups))
 
-    def first(hits: Column) -> Column:
-        return F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["g"] != h["g"]))
-
-    # A lambda's variable is evaluated once, so the lower-cased text and the hits aren't computed anew for each signal.
+    # A lambda's variable is evaluated once, so the lower-cased text isn't computed anew for each signal.
     prepared = F.array(F.struct(value.alias("value"), F.lower(value).alias("low"), value.rlike(ODD_FOLDS).alias("odd")))
-    hits = F.flatten(F.transform(F.transform(prepared, found), first))
-    return F.transform(hits, lambda h: F.struct(h["g"].alias("g"), h["signal"].alias("signal")))
+    return F.filter(F.flatten(F.transform(prepared, fold)), lambda h: h["signal"].isNotNull())
 
 
 def any_of(tests: list[Column]) -> Column:

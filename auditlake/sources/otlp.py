@@ -1,125 +1,134 @@
-"""Telemetry exports in OTLP/JSON: log records first, then spans."""
+"""Telemetry exports in OTLP/JSON: log records first, then spans.
 
-from __future__ import annotations
+Files are VARIANTs, whole or by line, and records come from expressions over
+them.  A single document must fit a VARIANT (16 MiB); files of a document a line
+may have any size that fits a value, as each line is one of its own.
+"""
 
-import json
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.variant import SPACE, allow_repeated_keys, parsed_line, part, parts, string
+
 # Attributes that name a tool, by precedence, and the files that are read.
 TOOL_KEYS = ("gen_ai.tool.name", "tool.name", "gen_ai.operation.name", "code.function.name", "code.function")
 SUFFIXES = ("json", "jsonl", "ndjson")
-EVENTS = "path string, pos long, what string, source string, value string"
+#: Records of one line, lines of a file and files of a scan have numbers below these; beyond, reading fails.
+PER_LINE, LINES, FILES = 1 << 23, 1 << 23, 1 << 17
+#: Lists within lists that a value's text is taken from; deeper ones have none.
+DEPTH = 4
+
+_ACTION = "struct<what:string,source:string,value:string>"
 
 
-def any_value(v: object) -> str | None:
+def _number(v: Column) -> Column:
+    """A number as text: whole ones without a point."""
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e16)
+    return F.when(whole, v.cast("long").cast("string")).otherwise(v.cast("string"))
+
+
+def any_value(v: Column, depth: int = DEPTH) -> Column:
     """Text of a typed value: text, whole number, number, truth value, and lists of these joined by blanks."""
-    if isinstance(v, str):
-        return v
-    if not isinstance(v, dict):
-        return None
-    if isinstance(v.get("stringValue"), str):
-        return v["stringValue"]
-    whole = v.get("intValue")
-    if isinstance(whole, str):
-        return whole
-    if isinstance(whole, int) and not isinstance(whole, bool):
-        return str(whole)
-    number = v.get("doubleValue")
-    if isinstance(number, (int, float)) and not isinstance(number, bool):
-        return str(int(number)) if float(number).is_integer() and abs(number) < 1e16 else repr(float(number))
-    if isinstance(v.get("boolValue"), bool):
-        return "true" if v["boolValue"] else "false"
-    for key in ("arrayValue", "kvlistValue"):
-        inner = v.get(key)
-        values = inner.get("values") if isinstance(inner, dict) else None
-        if isinstance(values, list):
-            items = values if key == "arrayValue" else [x.get("value") for x in values if isinstance(x, dict)]
-            texts = [t for t in map(any_value, items) if t is not None]
-            if texts:
-                return " ".join(texts)
-    return None
-
-
-def _rows(obj: object, *keys: str) -> Iterator[dict]:
+    kind = F.schema_of_variant
+    whole, number, truth = part(v, "$.intValue"), part(v, "$.doubleValue"), part(v, "$.boolValue")
+    numeric = kind(number).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    out = [
+        string(v), string(part(v, "$.stringValue")), string(whole), F.when(kind(whole) == "BIGINT", F.try_variant_get(whole, "$", "string")),
+        F.when(numeric, _number(F.try_variant_get(number, "$", "double"))), F.when(kind(truth) == "BOOLEAN", F.try_variant_get(truth, "$", "string")),
+    ]
+    if depth:
+        for items in (parts(v, "$.arrayValue.values"), F.transform(parts(v, "$.kvlistValue.values"), lambda x: part(x, "$.value"))):
+            texts = F.filter(F.transform(items, lambda x: any_value(x, depth - 1)), lambda t: t.isNotNull())
+            # Lambdas, so that the nested expression stands here once; written twice, it would double with each level.
+            out.append(F.get(F.transform(F.filter(F.array(texts), lambda t: F.size(t) > 0), lambda t: F.array_join(t, " ")), F.lit(0)))
+    return F.coalesce(*out)
+
+
+def _blank(text: Column) -> Column:
+    return F.coalesce(F.btrim(text, F.lit(SPACE)), F.lit("")) == ""
+
+
+def record_action(record: Column, span: bool) -> Column:
+    """``what, source, value`` of a log record or a span; a skip if it holds no text."""
+
+    def make(r: Column) -> Column:
+        attributes, name = r["attributes"], r["name"]
+
+        def first(key: str) -> Column:
+            text = F.get(F.filter(attributes, lambda a: a["k"] == key), F.lit(0))["t"]
+            return F.when(~_blank(text), text)
+
+        tool = F.coalesce(*(first(k) for k in TOOL_KEYS), *([name] if span else []))
+        texts = F.filter(F.concat(F.array(name if span else r["body"]), F.transform(attributes, lambda a: a["t"])), lambda t: ~_blank(t))
+        words = F.split(F.btrim(tool, F.lit(SPACE)), r"(?U)\s+")
+        source = F.when(~_blank(tool), F.concat(F.lit("session:"), F.element_at(words, -1), F.lit(".input"))).otherwise(f"otlp:{'span' if span else 'log'}")
+        made = F.struct(F.lit("action").alias("what"), source.alias("source"), F.array_join(texts, " ").alias("value"))
+        none = F.struct(F.lit("skip").alias("what"), F.lit(f"otlp:{'span' if span else 'log'}").alias("source"), F.lit("record carried no observable string").alias("value"))
+        return F.when(F.size(texts) > 0, made).otherwise(none)
+
+    pairs = F.transform(parts(record, "$.attributes"), lambda a: F.struct(string(part(a, "$.key")).alias("k"), any_value(part(a, "$.value")).alias("t")))
+    pairs = F.coalesce(F.filter(pairs, lambda a: a["k"].isNotNull() & a["t"].isNotNull()), F.array().cast("array<struct<k:string,t:string>>"))
+    body = F.lit(None).cast("string") if span else any_value(part(record, "$.body"))
+    # A lambda's variable is evaluated once.
+    return F.get(F.transform(F.array(F.struct(pairs.alias("attributes"), string(part(record, "$.name")).alias("name"), body.alias("body"))), make), F.lit(0))
+
+
+def _records(doc: Column, first: str, second: str, third: str) -> Column:
     """Objects of nested lists."""
-    found = obj.get(keys[0]) if isinstance(obj, dict) else None
-    for x in found if isinstance(found, list) else []:
-        if len(keys) > 1:
-            yield from _rows(x, *keys[1:])
-        elif isinstance(x, dict):
-            yield x
-
-
-def record_action(record: dict, is_span: bool) -> tuple[str, str] | None:
-    """(source, value) of a log record or a span; None if it holds no text."""
-    attributes = [(x["key"], t) for x in _rows(record, "attributes") if isinstance(x.get("key"), str) and (t := any_value(x.get("value"))) is not None]
-    by_key: dict[str, str] = {}
-    for k, t in attributes:
-        by_key.setdefault(k, t)
-    name = record.get("name") if isinstance(record.get("name"), str) else None
-    tool = next((by_key[k] for k in TOOL_KEYS if by_key.get(k, "").strip()), name if is_span else None)
-    head = name if is_span else any_value(record.get("body"))
-    value = " ".join(t for t in ([head] if head is not None else []) + [t for _, t in attributes] if t.strip())
-    if not value.strip():
-        return None
-    if tool and tool.strip():
-        return f"session:{tool.split()[-1]}.input", value
-    return ("otlp:span" if is_span else "otlp:log"), value
-
-
-def parse_otlp(text: str) -> Iterator[tuple[int, str, str, str]]:
-    """Events (position, what, source, value) of one file: a document, or else one per line."""
-    text = text.strip("﻿")
-    if not text.strip():
-        return
-    n = 0
-    try:
-        documents: list[tuple[int, object]] = [(0, json.loads(text))]
-    except ValueError:
-        documents = []
-        for number, line in enumerate(text.split("\n"), 1):
-            if line.strip():
-                try:
-                    documents.append((number, json.loads(line)))
-                except ValueError:
-                    yield n, "skip", f"line {number}", "json parse error"
-                    n += 1
-    for _, doc in documents:
-        known = False
-        for kind, keys in (("log", ("resourceLogs", "scopeLogs", "logRecords")), ("span", ("resourceSpans", "scopeSpans", "spans"))):
-            known |= isinstance(doc, dict) and isinstance(doc.get(keys[0]), list)
-            for record in _rows(doc, *keys):
-                action = record_action(record, kind == "span")
-                yield (n, "action", *action) if action else (n, "skip", f"otlp:{kind}", "record carried no observable string")
-                n += 1
-        if not known:
-            yield n, "skip", "document", "neither resourceLogs nor resourceSpans"
-            n += 1
+    none = F.array().cast("array<variant>")
 
+    def below(items: Column, name: str) -> Column:
+        return F.flatten(F.transform(items, lambda x: F.coalesce(parts(x, f"$.{name}"), none)))
 
-def otlp_events(texts: DataFrame) -> DataFrame:
-    """``EVENTS`` of files given as ``path, text``."""
+    found = below(below(F.coalesce(parts(doc, f"$.{first}"), none), second), third)
+    return F.filter(found, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(path, *e) for e in parse_otlp(text or "")]
-                if rows:
-                    kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["path", "pos", "what", "source", "value"])
 
-    return texts.select("path", "text").mapInArrow(run, EVENTS)
+def otlp_events(texts: DataFrame) -> DataFrame:
+    """Events of files given as ``path, text``: ``path, pos, what`` (action or skip)``, source, value``.
+
+    A file is one document, or else a document a line.
+    """
+    allow_repeated_keys(texts.sparkSession)
+    text = F.btrim(F.coalesce("text", F.lit("")), F.lit("\ufeff"))
+    rows = texts.select("path", text.alias("text")).filter(~_blank(F.col("text"))).withColumn("v", parsed_line(F.col("text")))
+    lines = F.when(F.col("v").isNotNull(), F.array(F.lit(""))).otherwise(F.split("text", "\n"))
+    rows = rows.select("path", F.when(F.col("v").isNotNull(), F.col("v")).alias("whole"), F.posexplode(lines).alias("at", "line"))
+    rows = rows.filter(F.col("whole").isNotNull() | ~_blank(F.col("line"))).withColumn("doc", F.coalesce("whole", parsed_line(F.col("line"))))
+    number = F.when(F.col("whole").isNotNull(), 0).otherwise(F.when(F.col("at") + 1 < LINES, F.col("at") + 1).otherwise(F.raise_error(F.lit("too many lines in a file")))).cast("long")
+    rows = rows.select("path", number.alias("number"), "doc")
+    known = parts(F.col("doc"), "$.resourceLogs").isNotNull() | parts(F.col("doc"), "$.resourceSpans").isNotNull()
+
+    def skip(source: Column, reason: str) -> Column:
+        return F.array(F.struct(F.lit("skip").alias("what"), source.alias("source"), F.lit(reason).alias("value")))
+
+    logs = F.transform(_records(F.col("doc"), "resourceLogs", "scopeLogs", "logRecords"), lambda r: record_action(r, False))
+    spans = F.transform(_records(F.col("doc"), "resourceSpans", "scopeSpans", "spans"), lambda r: record_action(r, True))
+    found = F.when(F.col("doc").isNull(), skip(F.concat(F.lit("line "), F.col("number").cast("string")), "json parse error"))
+    found = found.when(~known, skip(F.lit("document"), "neither resourceLogs nor resourceSpans")).otherwise(F.concat(logs, spans))
+    events = rows.select("path", "number", F.posexplode(found.cast(f"array<{_ACTION}>")).alias("i", "e"))
+    return events.select("path", (F.col("number") * F.lit(PER_LINE) + F.col("i")).alias("pos"), "e.what", "e.source", "e.value")
 
 
 def read_otlp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(actions, skips) of a file or of the files right in a folder; all are one scan, ordered by path and place."""
-    reader = spark.read.option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}") if "." not in path.rsplit("/", 1)[-1] else spark.read
-    files = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    events = otlp_events(files)
-    ranks = events.select("path").distinct().withColumn("file", F.row_number().over(Window.orderBy("path")))  # a row per file
-    placed = events.join(F.broadcast(ranks), "path").withColumn("seq", F.col("file") * F.lit(1 << 32) + F.col("pos")).withColumn("scan_id", F.lit(path))
+    """(actions, skips) of a file or of the files right in a folder; all are one scan, ordered by path and place.
+
+    A path that isn't there, or a folder without such files, is an error.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        raise FileNotFoundError(path)
+    glob = "*.{" + ",".join(SUFFIXES) + "}" if store.getFileStatus(place).isDirectory() else "*"
+    # The listing alone, a row per file: content isn't read for it.
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
+    ranks = listed.withColumn("file", F.row_number().over(Window.orderBy("path")))
+    count = listed.count()
+    if not 0 < count < FILES:
+        raise FileNotFoundError(f"{path}: no {', '.join(SUFFIXES)} files") if count == 0 else ValueError(f"{path}: more than {FILES - 1} files")
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    placed = otlp_events(files).join(F.broadcast(ranks), "path")  # fewer than FILES rows
+    placed = placed.withColumn("seq", F.col("file") * F.lit(PER_LINE * LINES) + F.col("pos")).withColumn("scan_id", F.lit(path))
     return placed.filter("what = 'action'").select("scan_id", "seq", "source", "value"), placed.filter("what = 'skip'").select("scan_id", "seq", F.col("source").alias("place"), F.col("value").alias("reason"))

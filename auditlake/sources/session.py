@@ -1,152 +1,131 @@
-"""Session transcripts: newline-delimited JSON, one file a scan."""
+"""Session transcripts: newline-delimited JSON, one file a scan.
 
-from __future__ import annotations
+A line is a VARIANT, and its actions come from expressions over it; a line that
+isn't one JSON value, or is larger than a VARIANT can be (16 MiB), is skipped with a reason.
+"""
 
-import json
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import INPUT_ROLES, normalize
+from auditlake.functions.variant import allow_repeated_keys, parsed_line, part, parts, string
 
 # Object types without actions, tools whose input is one field, and the tested version.
 INERT_TYPES = ("system", "attachment", "queue-operation", "permission-mode", "mode", "ai-title", "agent-name", "last-prompt", "file-history-snapshot")
 INPUT_FIELD = {"Bash": "command", "Read": "file_path", "Write": "file_path", "Edit": "file_path", "MultiEdit": "file_path", "NotebookEdit": "file_path"}
 TESTED_VERSION = (2, 1)
-#: Actions of one line have numbers below this.
+#: Actions of one line have numbers below this; a VARIANT can't hold as many.
 PER_LINE = 1 << 20
-_ROLE_OF = {f: r for r, fields in INPUT_ROLES.items() for f in fields}
 
-EVENTS = "scan_id string, seq long, what string, source string, value string, plain boolean"
+_EVENT = "struct<seq:bigint,what:string,source:string,value:string,plain:boolean>"
 
 
-def rendered_call(name: str, fields: dict) -> str | None:
-    """``tool-call:NAME`` with the first text of each role, in the order of roles; None without any.  Fields go by name."""
-    roles: dict[str, str] = {}
-    for field in sorted(fields):
-        role = _ROLE_OF.get(field.lower())
-        if role and isinstance(fields[field], str):
-            roles.setdefault(role, fields[field])
-    if not roles:
-        return None
-    return f"tool-call:{name}" + "".join(f" {r}={roles[r]}" for r in INPUT_ROLES if r in roles)
+def _fields(tool_input: Column) -> Column:
+    """Top-level texts of a tool's input by name: array of (k, v); null if it is no object."""
+    names = F.try_variant_get(tool_input, "$", "map<string,variant>")
+    texts = F.transform(F.array_sort(F.map_keys(names)), lambda k: F.struct(k.alias("k"), string(F.element_at(names, k)).alias("v")))
+    return F.filter(texts, lambda f: f["v"].isNotNull())
 
 
-def relevant_input(name: str, fields: object) -> str | None:
+def relevant_input(name: Column, fields: Column) -> Column:
     """The text of a tool's input that is matched; for unknown tools all top-level texts."""
-    if not isinstance(fields, dict):
-        return None
-    if name in INPUT_FIELD:
-        found = fields.get(INPUT_FIELD[name])
-        return found if isinstance(found, str) else None
-    texts = [fields[k] for k in sorted(fields) if isinstance(fields[k], str)]
-    return " ".join(texts) if texts else None
-
-
-def _blocks(obj: dict, kind: str) -> list[dict]:
-    message = obj.get("message")
-    content = message.get("content") if isinstance(message, dict) else None
-    return [b for b in content if isinstance(b, dict) and b.get("type") == kind] if isinstance(content, list) else []
-
-
-def _result_text(content: object) -> str | None:
-    if isinstance(content, str):
-        return content or None
-    if isinstance(content, list):
-        texts = [p["text"] for p in content if isinstance(p, dict) and isinstance(p.get("text"), str)]
-        return " ".join(texts) if texts else None
-    return None
-
-
-def line_actions(obj: dict, kind: str) -> list[tuple[str, str, bool]]:
-    """Actions of one object: (source, value, whether the value is to be normalised)."""
-    out: list[tuple[str, str, bool]] = []
-    if kind == "assistant":
-        for b in _blocks(obj, "tool_use"):
-            name, fields = b.get("name"), b.get("input")
-            if not isinstance(name, str):
-                continue
-            value = relevant_input(name, fields)
-            if value is not None:
-                out.append((f"session:{name}.input", value, True))
-                call = rendered_call(name, fields)
-                if call is not None:
-                    out.append((f"sink:{name}", call, False))
-        return out
-    for b in [obj] if obj.get("type") == "tool_result" else _blocks(obj, "tool_result"):
-        id_ = b.get("tool_use_id")
-        text = _result_text(b.get("content"))
-        if text is not None:
-            out.append((f"tool-result:{id_ if isinstance(id_, str) else len(out)}", text, False))
-    return out
-
-
-def version_warning(version: str) -> str | None:
-    """A warning for a version of another family; None for one that can't be read."""
-    parts = version.split(".")
-    if len(parts) < 2 or not all(p.isascii() and p.isdigit() for p in parts[:2]) or (int(parts[0]), int(parts[1])) == TESTED_VERSION:
-        return None
-    family = ".".join(map(str, TESTED_VERSION))
-    return f"warning: session version {version} differs from the tested {family}.x family; parsing best-effort"
+    known = F.create_map(*(F.lit(x) for kv in INPUT_FIELD.items() for x in kv))
+    one = F.get(F.filter(fields, lambda f: f["k"] == known[name]), F.lit(0))["v"]
+    every = F.when(F.size(fields) > 0, F.array_join(F.transform(fields, lambda f: f["v"]), " "))
+    return F.when(known[name].isNotNull(), one).otherwise(every)
 
 
-def parse_line(number: int, line: str) -> Iterator[tuple[int, str, str, str | None, bool]]:
-    """Events of a transcript's line: (seq, what, source, value, plain); what: action, skip, type, evidence or warning.
+def rendered_call(name: Column, fields: Column) -> Column:
+    """``tool-call:NAME`` with the first text of each role, in the order of roles; null without any.  Fields go by name."""
+    texts = []
+    for role, names in INPUT_ROLES.items():
+        first = F.get(F.filter(fields, lambda f: F.lower(f["k"]).isin(names)), F.lit(0))["v"]  # noqa: B023
+        texts.append(F.concat(F.lit(f" {role}="), first))
+    return F.when(F.coalesce(*texts).isNotNull(), F.concat(F.lit("tool-call:"), name, *(F.coalesce(t, F.lit("")) for t in texts)))
 
-    Never fails on content: each object that yields no action gives a skip with
-    its reason.  What counts once a transcript is told for each line; a warning
-    is null for a version without one.
-    """
-    line = line.strip()
-    if not line:
-        return
-    at = number * PER_LINE
-    try:
-        obj = json.loads(line)
-    except ValueError:
-        yield at, "skip", f"line {number}", "json parse error", False
-        return
-    fields = obj if isinstance(obj, dict) else {}
-    for key in ("version", "gitBranch", "cwd"):
-        if isinstance(fields.get(key), str):
-            yield at, "evidence", key, fields[key], False
-            if key == "version":
-                yield at, "warning", f"line {number}", version_warning(fields[key]), False
-    kind = fields.get("type")
-    if not isinstance(kind, str):
-        yield at, "skip", f"line {number}", "missing type discriminator", False
-        return
-    yield at, "type", kind, kind, False
-    if kind in ("assistant", "user", "tool_result"):
-        found = line_actions(fields, kind)
-        for i, (source, value, fold) in enumerate(found):
-            yield at + i, "action", source, value, not fold
-        if not found:
-            reason = "assistant object, no tool_use blocks" if kind == "assistant" else f"'{kind}' carries no observable action"
-            yield at, "skip", f"line {number}", reason, False
-    elif kind in INERT_TYPES:
-        yield at, "skip", f"line {number}", f"'{kind}' carries no observable action", False
-    else:
-        yield at, "skip", f"line {number}", f"unknown type: '{kind}' (skipped)", False
 
+def _action(source: Column, value: Column, plain: bool) -> Column:
+    return F.struct(source.alias("source"), value.alias("value"), F.lit(plain).alias("plain"))
 
-def line_events(lines: DataFrame) -> DataFrame:
-    """``EVENTS`` of transcripts given by line: ``scan_id, number, line``, numbers from 1, in any order and place."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
-        for batch in batches:
-            rows = [(scan, *e) for scan, number, line in zip(*(batch.column(i).to_pylist() for i in range(3))) for e in parse_line(number, line or "")]
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in EVENTS.split(", ")])
+def input_actions(name: Column, tool_input: Column) -> Column:
+    """Actions of one tool call, at most two: its input, and the rendered call."""
+    none = F.array().cast("array<struct<source:string,value:string,plain:boolean>>")
+
+    def make(c: Column) -> Column:
+        value, call = relevant_input(c["name"], c["fields"]), rendered_call(c["name"], c["fields"])
+        both = F.array_compact(F.array(_action(F.concat(F.lit("session:"), c["name"], F.lit(".input")), value, False), F.when(call.isNotNull(), _action(F.concat(F.lit("sink:"), c["name"]), call, True))))
+        return F.when(value.isNotNull(), both).otherwise(none)
+
+    # A lambda's variable is evaluated once.
+    return F.flatten(F.transform(F.array(F.struct(name.alias("name"), _fields(tool_input).alias("fields"))), make))
+
+
+def _result_actions(blocks: Column) -> Column:
+    def text(b: Column) -> Column:
+        content = part(b, "$.content")
+        listed = F.filter(F.transform(parts(content, "$"), lambda x: string(part(x, "$.text"))), lambda t: t.isNotNull())
+        plain = string(content)
+        return F.coalesce(F.when(plain != "", plain), F.when(F.size(listed) > 0, F.array_join(listed, " ")))
+
+    found = F.transform(blocks, lambda b: F.struct(string(part(b, "$.tool_use_id")).alias("id"), text(b).alias("text")))
+    return F.transform(F.filter(found, lambda x: x["text"].isNotNull()), lambda x, i: _action(F.concat(F.lit("tool-result:"), F.coalesce(x["id"], i.cast("string"))), x["text"], True))
 
-    return lines.select("scan_id", F.col("number").cast("long"), "line").mapInArrow(run, EVENTS)
+
+def version_warning(version: Column) -> Column:
+    """A warning for a version of another family; null for one that can't be read."""
+    family = ".".join(map(str, TESTED_VERSION))
+    own = r"^0*{}\.0*{}(?:\.|\z)".format(*TESTED_VERSION)
+    other = version.rlike(r"^[0-9]+\.[0-9]+(?:\.|\z)") & ~version.rlike(own)
+    return F.when(other, F.concat(F.lit("warning: session version "), version, F.lit(f" differs from the tested {family}.x family; parsing best-effort")))
+
+
+def line_events(lines: DataFrame) -> DataFrame:
+    """Events of transcripts given by line (``scan_id, number, line``, numbers from 1, in any order and place).
+
+    Returns ``scan_id, seq, what, source, value, plain``; what: action, skip,
+    type, evidence or warning.  Never fails on content: each object that yields
+    no action gives a skip with its reason.  What counts once a transcript is
+    told for each line; a warning is null for a version without one.
+    """
+    allow_repeated_keys(lines.sparkSession)
+    rows = lines.select("scan_id", F.col("number").cast("long").alias("number"), parsed_line(F.col("line")).alias("v"), F.concat(F.lit("line "), F.col("number").cast("string")).alias("place"), F.col("line"))
+    rows = rows.filter(~F.coalesce(rows["line"], F.lit("")).rlike(r"(?U)^\s*$")).drop("line")
+    at = F.col("number") * F.lit(PER_LINE)
+    rows = rows.withColumns({"at": at, "kind": string(part(F.col("v"), "$.type")), **{k: string(part(F.col("v"), f"$.{k}")) for k in ("version", "gitBranch", "cwd")}})
+    content = parts(F.col("v"), "$.message.content")
+
+    def of_type(kind: str) -> Column:
+        return F.coalesce(F.filter(content, lambda b: string(part(b, "$.type")) == kind), F.array().cast("array<variant>"))
+
+    calls = F.flatten(F.transform(of_type("tool_use"), lambda b: F.when(string(part(b, "$.name")).isNotNull(), input_actions(string(part(b, "$.name")), part(b, "$.input"))).otherwise(F.array().cast("array<struct<source:string,value:string,plain:boolean>>"))))
+    results = _result_actions(F.when(F.col("kind") == "tool_result", F.array("v")).otherwise(of_type("tool_result")))
+    acting = F.col("kind").isin("assistant", "user", "tool_result")
+    rows = rows.withColumn("actions", F.when(F.col("kind") == "assistant", calls).when(acting, results))
+
+    def event(what: str, source: Column, value: Column, at: Column = F.col("at"), plain: Column = F.lit(False)) -> Column:
+        return F.struct(at.alias("seq"), F.lit(what).alias("what"), source.alias("source"), value.alias("value"), plain.alias("plain"))
+
+    kind, place = F.col("kind"), F.col("place")
+    none = F.array().cast(f"array<{_EVENT}>")
+    evidence = [F.when(F.col(k).isNotNull(), event("evidence", F.lit(k), F.col(k))) for k in ("version", "gitBranch", "cwd")]
+    evidence.insert(1, F.when(F.col("version").isNotNull(), event("warning", place, version_warning(F.col("version")))))
+    no_action = F.concat(F.lit("'"), kind, F.lit("' carries no observable action"))
+    reason = (
+        F.when(F.col("v").isNull(), "json parse error").when(kind.isNull(), "missing type discriminator").when(kind == "assistant", "assistant object, no tool_use blocks")
+        .when(acting | kind.isin(*INERT_TYPES), no_action).otherwise(F.concat(F.lit("unknown type: '"), kind, F.lit("' (skipped)")))
+    )
+    acted = F.coalesce(F.size("actions"), F.lit(0)) > 0
+    told = F.when(acted, F.transform("actions", lambda a, i: event("action", a["source"], a["value"], F.col("at") + i, a["plain"]))).otherwise(F.array(event("skip", place, reason)))
+    typed = F.when(kind.isNotNull(), F.array(event("type", kind, kind))).otherwise(none)
+    events = F.concat(F.array_compact(F.array(*evidence)), typed, told)
+    return rows.select("scan_id", F.explode(events).alias("e")).select("scan_id", "e.*")
 
 
 def session_events(texts: DataFrame) -> DataFrame:
-    """``EVENTS`` of whole transcripts, given as ``scan_id, text``; each must fit a value."""
+    """Events of whole transcripts, given as ``scan_id, text``; each must fit a value."""
     lines = texts.select("scan_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return line_events(lines.select("scan_id", (F.col("at") + 1).alias("number"), "line"))
 
@@ -180,25 +159,21 @@ def transcript_from_messages(messages: DataFrame, scan_col: str = "scan_id", seq
 
     Tool messages become tool results, calls become tool inputs and their rendered calls.
     """
+    allow_repeated_keys(messages.sparkSession)
+    rows = messages.select(F.col(scan_col).cast("string").alias("scan_id"), F.col(seq_col).cast("long").alias("seq"), "role", "content", "tool", F.coalesce(parsed_line(F.col("args")), F.parse_json(F.lit("{}"))).alias("args"))
+    result = F.when((F.col("role") == "tool") & (F.col("content") != ""), F.array(_action(F.concat(F.lit("tool-result:"), F.col("seq").cast("string")), F.col("content"), True)))
+    call = F.when((F.col("role") == "assistant") & (F.col("tool") != ""), input_actions(F.col("tool"), F.col("args")))
+    acts = rows.select("scan_id", "seq", F.posexplode(F.coalesce(result, call)).alias("i", "a"))
+    return acts.select("scan_id", (2 * F.col("seq") + F.col("i")).alias("seq"), "a.source", "a.value")
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for scan, seq, role, content, tool, args in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                if role == "tool" and content:
-                    rows.append((scan, 2 * seq, f"tool-result:{seq}", content))
-                elif role == "assistant" and tool:
-                    try:
-                        fields = json.loads(args) if args else {}
-                    except ValueError:
-                        fields = {}
-                    fields = fields if isinstance(fields, dict) else {}
-                    texts = relevant_input(tool, fields)
-                    call = rendered_call(tool, fields)
-                    rows += [(scan, 2 * seq, f"session:{tool}.input", texts)] if texts is not None else []
-                    rows += [(scan, 2 * seq + 1, f"sink:{tool}", call)] if call is not None else []
-            if rows:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["scan_id", "seq", "source", "value"])
-
-    return messages.select(scan_col, seq_col, "role", "content", "tool", "args").mapInArrow(run, "scan_id string, seq long, source string, value string")
+def traces_from_messages(traces: DataFrame, scan_col: str = "scan_id", messages_col: str = "messages") -> DataFrame:
+    """Actions of benchmark traces that hold their messages as an array.
+
+    ``messages``: array of ``role, content, tool_calls: array<struct<function, args (JSON text)>>``.  A message with calls
+    takes a place per call.
+    """
+    each = traces.select(F.col(scan_col).alias("scan_id"), F.posexplode(messages_col).alias("place", "m"))
+    calls = F.when(F.size("m.tool_calls") > 0, F.transform("m.tool_calls", lambda c: F.struct(c["function"].alias("tool"), c["args"].alias("args"))))
+    each = each.select("scan_id", "place", "m.role", "m.content", F.posexplode_outer(calls).alias("n", "c"))
+    return transcript_from_messages(each.select("scan_id", (F.col("place") * F.lit(1 << 20) + F.coalesce("n", F.lit(0))).alias("seq"), "role", "content", "c.tool", "c.args"))
