@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.operators.enrich import asi_table, controls_table
@@ -35,22 +35,27 @@ def baseline_diff(findings: DataFrame, baseline: DataFrame) -> DataFrame:
 
     ``baseline`` has ``scan_id``, ``id`` and ``triggering_signal`` and may have any other column of findings.
     """
-    key = ["scan_id", "id", "triggering_signal"]
-    known = baseline.select(*key).distinct().withColumn("_known", F.lit(True))
-    state = F.when(F.col("_known"), "unchanged").otherwise("new")
-    now = findings.join(known, key, "left").withColumn("baseline_state", state).drop("_known").select(findings.columns)
-    gone = baseline.join(findings.select(*key).distinct(), key, "left_anti")
     defaults = {"pass": F.lit(PASSES["absent"]), "status": F.lit("official"), "confidence": F.lit(0.0), "title": F.col("id"), "is_candidate": F.lit(True), "ambiguity": F.lit(False)}
     columns = []
     for f in findings.schema:
         if f.name in ("pass", "baseline_state"):
             value = F.lit(PASSES["absent"]) if f.name == "pass" else F.lit("absent")
-        elif f.name in gone.columns:
+        elif f.name in baseline.columns:
             value = F.coalesce(F.col(f.name).cast(f.dataType), defaults.get(f.name, F.lit(None)).cast(f.dataType))
         else:
             value = defaults.get(f.name, F.lit(None))
         columns.append(value.cast(f.dataType).alias(f.name))
-    return now.unionByName(gone.select(columns))
+    # Both sides meet in one shuffle by key, so each is read once.
+    both = findings.withColumn("_now", F.lit(True)).unionByName(baseline.select(columns).withColumn("_now", F.lit(False)))
+    same = Window.partitionBy("scan_id", "id", "triggering_signal")
+    both = both.withColumn("_both", F.min("_now").over(same) != F.max("_now").over(same))
+    state = F.when(~F.col("_now"), "absent").when(F.col("_both"), "unchanged").otherwise("new")
+    return both.filter("_now OR NOT _both").withColumn("baseline_state", state).select(findings.columns)
+
+
+def baseline_counts(diffed: DataFrame) -> DataFrame:
+    """One row: how many findings are ``new``, ``unchanged`` and ``absent``."""
+    return diffed.agg(*(F.count_if(F.col("baseline_state") == s).alias(s) for s in ("new", "unchanged", "absent")))
 
 
 def only_new(findings: DataFrame) -> DataFrame:

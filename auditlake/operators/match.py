@@ -1,8 +1,10 @@
 """The five matching passes: actions and a rule pack make hits.
 
-Signals are a literal array that each row is filtered against, contexts are
-tested for hits only, so a pass reads the actions once and no rule table is
-joined.  Only hits are ever shuffled.
+One projection reads the actions: signals of all rules are tried on each row,
+contexts, kinds, argv and shell grammar for hits only, and no rule table is
+joined.  Only hits are ever shuffled, first by stretches of ``seq`` within a
+scan and rule, so that a scan with a third of all hits spreads over tasks, then
+what each stretch leaves by scan and rule.  So a detection run is one scan.
 """
 
 from __future__ import annotations
@@ -17,94 +19,155 @@ from auditlake.plans.pack import Rule, RulePack, Step
 from auditlake.plans.schema import PASSES
 
 _HIT = ["scan_id", "pass", "seq", "rule_ord", "code", "signal", "source", "ambiguity"]
+#: Positions of a scan that are reduced together at first.
+STRETCH = 4096
+#: Groups of actions for the shell passes, beside the numbers of signal groups.
+_ARGV, _GRAMMAR = -1, -2
+_ARROW = {"sequence": " → ", "taint": " ⇒ "}
 
 
 def _no_hits(actions: DataFrame) -> DataFrame:
     return actions.filter(F.lit(False)).select("scan_id", F.lit(0).alias("pass"), "seq", F.lit(0).alias("rule_ord"), F.lit("").alias("code"), F.lit("").alias("signal"), "source", F.lit(False).alias("ambiguity"))
 
 
-def single_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
-    """Every (action, rule) that fires, with the first signal of the rule that the action holds.
+def _per_rule(rules: list[Rule], make) -> Column:
+    """A value by ``rule_ord``."""
+    return reduce(lambda out, r: F.when(F.col("rule_ord") == r.ord, make(r)).otherwise(out), rules, F.lit(None))
 
-    Rendered calls (``sink:``) are no single actions.
-    """
-    rules = pack.of_kind("single")
-    if not rules:
-        return _no_hits(actions)
-    source, value = F.col("source"), F.col("value")
-    hits = text.first_signals(value, [r.main.signals for r in rules])
-    found = actions.filter(~source.startswith("sink:")).select("scan_id", "seq", "source", "value", F.explode(hits).alias("h"))
-    # Kinds and contexts are looked at for hits only.
-    fires, ambiguous = F.lit(False), F.lit(False)
-    for g, r in enumerate(rules):
-        ok, unsure = text.context_ok(value, r.main)
-        fires = F.when(F.col("h.g") == g, text.kind_ok(source, r.main.source_kinds) & ok).otherwise(fires)
-        if r.main.require and r.main.deny:
-            ambiguous = F.when(F.col("h.g") == g, unsure).otherwise(ambiguous)
-    found = found.filter(fires).withColumn("ambiguity", ambiguous)
-    ords, codes = F.array(*(F.lit(r.ord) for r in rules)), F.array(*(F.lit(r.code) for r in rules))
-    return found.select("scan_id", F.lit(PASSES["single"]).alias("pass"), "seq", F.get(ords, F.col("h.g")).alias("rule_ord"), F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"), "source", "ambiguity")
 
+def _by_group(cases: dict[int, Column], default: Column) -> Column:
+    return reduce(lambda out, kv: F.when(F.col("h.g") == kv[0], kv[1]).otherwise(out), cases.items(), default)
 
-def first_per_signal(hits: DataFrame) -> DataFrame:
-    """Of each (code, signal) of a scan the hit of the lowest ``seq``; allowlists are asked after this."""
-    first = F.min_by(F.struct(*(c for c in _HIT if c not in ("scan_id", "code", "signal"))), F.struct("seq", "rule_ord")).alias("h")
-    return hits.groupBy("scan_id", "code", "signal").agg(first).select("scan_id", "h.pass", "h.seq", "h.rule_ord", "code", "signal", "h.source", "h.ambiguity")
+
+def _argv_tests(rules: list[Rule]) -> list[tuple[Rule, Column]]:
+    tests = []
+    for r in rules:
+        ok = (F.col("_argv.program") == r.binary) & (F.size(F.array_except(F.array(*(F.lit(f) for f in r.flags)), F.col("_argv.flags"))) == 0 if r.flags else F.lit(True))
+        if r.main.require:
+            ok = ok & text.holds_context(F.col("value"), r.main.require)
+        if r.main.deny:
+            ok = ok & ~text.holds_context(F.col("value"), r.main.deny)
+        tests.append((r, ok))
+    return tests
 
 
-def _step_table(actions: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``scan_id, seq, source, value, rule_ord, role, signal`` for actions that are a side of a pair.
+def tagged(actions: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Every part of a rule that an action plays: ``scan_id, seq, source, value, rule_ord, role, signal, ambiguity``.
 
-    Rules that share a side share its test.
+    Roles: ``single`` (with the rule's first signal that the action holds; rendered calls,
+    ``sink:``, are no single actions), ``source`` and ``sink`` of an ordered pair, ``shell``.  Stateless: it
+    runs on streams as well.  Rules that share a side share its test.
     """
+    source, value = F.col("source"), F.col("value")
+    singles = [r for r in rules if r.kind == "single"]
+    pairs = [r for r in rules if r.kind in _ARROW]
+    argv = [r for r in rules if r.kind == "shell" and not r.constructs]
+    grammar = [r for r in rules if r.kind == "shell" and r.constructs]
     steps: dict[Step, int] = {}
-    for r in rules:
+    for r in pairs:
         for s in (r.source, r.sink):
-            steps.setdefault(s, len(steps))
-    source, value = F.col("source"), F.col("value")
-    hits = text.first_signals(value, [s.signals for s in steps])
+            steps.setdefault(s, len(singles) + len(steps))
+    hits = text.first_signals(value, [r.main.signals for r in singles] + [s.signals for s in steps])
+    bash = source.startswith("session:Bash")
+    marked = F.struct(F.lit(0).alias("g"), F.lit("").alias("signal"))
+    extra = []
+    if argv:
+        near = text.any_of([value.contains(r.binary) | value.contains("\\") | value.contains("'") | value.contains('"') for r in argv])
+        extra.append((_ARGV, bash & near))
+    if grammar:
+        # Every construct but Simple and Redirection has one of these characters, and the latter has < or >.
+        wanted = {shell.ALIASES.get(c, c) for r in grammar for c in r.constructs}
+        extra.append((_GRAMMAR, bash & (F.lit(True) if "Simple" in wanted else value.rlike("[|(`<>]"))))
+    for g, test in extra:
+        hits = F.concat(hits, F.when(test, F.array(marked.withField("g", F.lit(g)))).otherwise(F.array().cast("array<struct<g:int,signal:string>>")))
     found = actions.select("scan_id", "seq", "source", "value", F.explode(hits).alias("h"))
-    ok = F.lit(False)
-    for s, g in steps.items():
-        ok = F.when(F.col("h.g") == g, text.step_ok(source, value, s)).otherwise(ok)
-    kind = "array<struct<rule_ord:int,role:string>>"
-    sides = [[F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(role).alias("role")) for r in rules for role, x in (("source", r.source), ("sink", r.sink)) if x == s] for s in steps]
-    of_step = F.array(*(F.array(*x).cast(kind) for x in sides))
-    found = found.filter(ok).select("scan_id", "seq", "source", "value", F.col("h.signal").alias("signal"), F.explode(F.get(of_step, F.col("h.g"))).alias("r"))
-    return found.select("scan_id", "seq", "source", "value", "r.rule_ord", "r.role", "signal")
+    # From here on there are hits only: kinds, contexts, argv and grammar.
+    fires, unsure = {g: text.step_ok(source, value, s) for s, g in steps.items()}, {}
+    for g, r in enumerate(singles):
+        ok, ambiguous = text.context_ok(value, r.main)
+        fires[g] = ~source.startswith("sink:") & text.kind_ok(source, r.main.source_kinds) & ok
+        if r.main.require and r.main.deny:
+            unsure[g] = ambiguous
+    found = found.filter(_by_group(fires, F.col("h.g") < 0)).withColumn("ambiguity", _by_group(unsure, F.lit(False)))
+    part = "array<struct<rule_ord:int,role:string,signal:string>>"
+
+    def parts(rows: list[tuple[Rule, str]]) -> Column:
+        return F.array(*(F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(role).alias("role"), F.col("h.signal").alias("signal")) for r, role in rows)).cast(part)
+
+    plays = {g: parts([(r, "single")]) for g, r in enumerate(singles)}
+    plays |= {g: parts([(r, role) for r in pairs for role, x in (("source", r.source), ("sink", r.sink)) if x == s]) for s, g in steps.items()}
+    tests = {}
+    if argv:
+        found = found.withColumn("_argv", shell.argv_udf(F.when(F.col("h.g") == _ARGV, value)))
+        tests[_ARGV] = _argv_tests(argv)
+    if grammar:
+        found = found.withColumn("_has", shell.constructs_udf(F.when(F.col("h.g") == _GRAMMAR, value)))
+        tests[_GRAMMAR] = [(r, F.arrays_overlap(F.col("_has"), F.array(*(F.lit(shell.ALIASES.get(c, c)) for c in r.constructs)))) for r in grammar]
+    for g, rows in tests.items():
+        made = [F.when(t, F.struct(F.lit(r.ord).alias("rule_ord"), F.lit("shell").alias("role"), F.lit(text.rule_signal_label(r)).alias("signal"))) for r, t in rows]
+        plays[g] = F.array_compact(F.array(*made)).cast(part)
+    found = found.select("scan_id", "seq", "source", "value", "ambiguity", F.explode(_by_group(plays, F.array().cast(part))).alias("p"))
+    return found.select("scan_id", "seq", "source", "value", "p.rule_ord", "p.role", "p.signal", "ambiguity")
 
 
-def latched_pairs(actions: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Per scan and rule its first source and the first sink after it, as they are.
+def single_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
+    """Every (action, rule) that fires, with the first signal of the rule that the action holds."""
+    rules = pack.of_kind("single")
+    return _hits(tagged(actions, rules), rules) if rules else _no_hits(actions)
 
-    Returns ``scan_id, rule_ord, src_seq, src_signal, src_value, seq, signal,
-    source, value``.  Two aggregations over hits only; a scan of any length
-    costs no window.
-    """
-    sides = _step_table(actions, rules)
-    first = sides.filter("role = 'source'").groupBy("scan_id", "rule_ord").agg(F.min_by(F.struct("seq", "signal", "value"), "seq").alias("s"))
-    sinks = sides.filter("role = 'sink'").join(first, ["scan_id", "rule_ord"]).filter(F.col("seq") > F.col("s.seq"))
-    pairs = sinks.groupBy("scan_id", "rule_ord").agg(F.min_by(F.struct("seq", "signal", "source", "value", "s"), "seq").alias("k"))
-    return pairs.select("scan_id", "rule_ord", F.col("k.s.seq").alias("src_seq"), F.col("k.s.signal").alias("src_signal"), F.col("k.s.value").alias("src_value"), "k.seq", "k.signal", "k.source", "k.value")
 
+def _hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``_HIT`` columns of rows that have all but pass and code."""
+    number = _per_rule(rules, lambda r: F.lit(PASSES["shell_ast" if r.constructs else r.kind]))
+    return rows.select("scan_id", number.alias("pass"), "seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), "signal", "source", "ambiguity")
 
-def _per_rule(rules: list[Rule], make) -> Column:
-    """A value by ``rule_ord``, as a literal map."""
-    return reduce(lambda out, r: F.when(F.col("rule_ord") == r.ord, make(r)).otherwise(out), rules, F.lit(None))
 
+def first_per_signal(hits: DataFrame) -> DataFrame:
+    """Of each (code, signal) of a scan the hit of the lowest ``seq``; allowlists are asked after this."""
+    first = F.min_by(F.struct(*(c for c in _HIT if c not in ("scan_id", "code", "signal"))), F.struct("seq", "rule_ord")).alias("h")
+    return hits.groupBy("scan_id", "code", "signal").agg(first).select("scan_id", "h.pass", "h.seq", "h.rule_ord", "code", "signal", "h.source", "h.ambiguity")
 
-def sequence_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
-    """Pairs of a source action and a later sink action; one per scan and rule, at the sink."""
-    return _pair_hits(actions, pack.of_kind("sequence"), "sequence", " → ")
 
+def reduced(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """What the parts of ``tagged`` come to, by scan and rule.
 
-def taint_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
-    """Guarded pairs.  With roles, a value of the sink must come from the source, or the rule is over for the scan."""
-    return _pair_hits(actions, pack.of_kind("taint"), "taint", " ⇒ ")
+    Returns ``scan_id, rule_ord, seq, signal, source, value, ambiguity``: for
+    single actions the first of each (code, signal), for shell rules the first, for ordered
+    pairs the first sink after the first source, with that source as ``src_seq, src_signal, src_value``.
+    Values are kept for rules that compare them only.
+    """
+    shared = ["scan_id", "unit", "label"]
+    code = _per_rule(rules, lambda r: F.lit(r.code))
+    single = F.col("role") == "single"
+    kept = F.when(F.col("rule_ord").isin([r.ord for r in rules if r.roles]), F.col("value")) if any(r.roles for r in rules) else F.lit(None).cast("string")
+    # Hits of one signal of a code are one unit, whatever the rule; other parts go by rule.
+    rows = rows.withColumn("unit", F.when(single, code).otherwise(F.col("rule_ord").cast("string"))).withColumn("label", F.when(single, F.col("signal")))
+    rows = rows.select(*shared, F.floor(F.col("seq") / F.lit(STRETCH)).alias("stretch"), "seq", "role", F.struct("seq", "rule_ord", "signal", "source", kept.alias("value"), "ambiguity").alias("x"))
+    before = Window.partitionBy(*shared, "stretch").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("latched", F.min(F.when(F.col("role") == "source", F.col("seq"))).over(before).isNotNull())
+
+    def least(test: Column, name: str) -> Column:
+        x = F.when(test, F.col("x"))
+        return F.min_by(x, F.when(test, F.struct("x.seq", "x.rule_ord"))).alias(name)
+
+    sink = F.col("role") == "sink"
+    part = rows.groupBy(*shared, "stretch").agg(least(F.col("role").isin("single", "shell"), "one"), least(F.col("role") == "source", "src"), least(sink, "snk"), least(sink & F.col("latched"), "after"))
+    # A source of an earlier stretch makes any sink count, the first of this one those after it.
+    prior = F.min_by("src", F.when(F.col("src").isNotNull(), F.col("stretch"))).over(Window.partitionBy(*shared).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    part = part.withColumn("prior", prior)
+    hit = F.coalesce("one", F.when(F.col("prior").isNotNull(), F.col("snk")).otherwise(F.col("after")))
+    part = part.select(*shared, hit.alias("k"), F.coalesce("prior", "src").alias("s")).filter("k IS NOT NULL")
+    out = part.groupBy(*shared).agg(F.min_by(F.struct("k", "s"), F.struct("k.seq", "k.rule_ord")).alias("r"))
+    return out.select("scan_id", "r.k.rule_ord", "r.k.seq", "r.k.signal", "r.k.source", "r.k.value", "r.k.ambiguity", F.col("r.s.seq").alias("src_seq"), F.col("r.s.signal").alias("src_signal"), F.col("r.s.value").alias("src_value"))
+
+
+def latched_pairs(actions: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Per scan and rule its first source and the first sink after it, as they are: the pairs of ``reduced``."""
+    return reduced(tagged(actions, rules), rules)
 
 
 def came_from_source(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Pairs of rules without roles, and those one of whose role values stands in the source text."""
+    """Rows of rules without roles, and those one of whose role values stands in the source text."""
     checked = [r for r in rules if r.roles]
     if not checked:
         return pairs
@@ -116,62 +179,41 @@ def came_from_source(pairs: DataFrame, rules: list[Rule]) -> DataFrame:
     return pairs.filter(held)
 
 
-def _pair_hits(actions: DataFrame, rules: list[Rule], pass_: str, arrow: str) -> DataFrame:
+def _found(actions: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Deduplicated hits of rules of any kinds."""
     if not rules:
         return _no_hits(actions)
-    pairs = came_from_source(latched_pairs(actions, rules), rules)
-    label = F.concat("src_signal", F.lit(arrow), "signal")
-    return pairs.select("scan_id", F.lit(PASSES[pass_]).alias("pass"), "seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), label.alias("signal"), "source", F.lit(False).alias("ambiguity"))
+    rows = came_from_source(reduced(tagged(actions, rules), rules), rules)
+    pairs = [r for r in rules if r.kind in _ARROW]
+    if pairs:
+        arrow = _per_rule(pairs, lambda r: F.lit(_ARROW[r.kind]))
+        rows = rows.withColumn("signal", F.coalesce(F.concat("src_signal", arrow, "signal"), "signal"))
+    return _hits(rows, rules)
 
 
-def _first_of(found: DataFrame, rules: list[Rule], pass_: str) -> DataFrame:
-    """One hit per scan and rule, the lowest ``seq``, from a column ``fired`` of rule numbers."""
-    rows = found.select("scan_id", "seq", "source", F.explode("fired").alias("rule_ord"))
-    first = rows.groupBy("scan_id", "rule_ord").agg(F.min_by(F.struct("seq", "source"), "seq").alias("h"))
-    return first.select("scan_id", F.lit(PASSES[pass_]).alias("pass"), "h.seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), _per_rule(rules, lambda r: F.lit(text.rule_signal_label(r))).alias("signal"), "h.source", F.lit(False).alias("ambiguity"))
+def sequence_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
+    """Pairs of a source action and a later sink action; one per scan and rule, at the sink."""
+    return _found(actions, pack.of_kind("sequence"))
 
 
-def _fired(tests: list[tuple[Rule, Column]]) -> Column:
-    return F.filter(F.array(*(F.when(t, F.lit(r.ord)) for r, t in tests)), lambda x: x.isNotNull())
+def taint_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
+    """Guarded pairs.  With roles, a value of the sink must come from the source, or the rule is over for the scan."""
+    return _found(actions, pack.of_kind("taint"))
 
 
 def shell_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     """Commands by program and flags.  Rules on constructs are no business of this pass."""
-    rules = [r for r in pack.of_kind("shell") if not r.constructs]
-    if not rules:
-        return _no_hits(actions)
-    bash = actions.filter(F.col("source").startswith("session:Bash") & text.any_of([F.col("value").contains(r.binary) | F.col("value").contains("\\") | F.col("value").contains("'") | F.col("value").contains('"') for r in rules]))
-    shaped = bash.withColumn("_argv", shell.argv_udf("value"))
-    tests = []
-    for r in rules:
-        ok = (F.col("_argv.program") == r.binary) & (F.size(F.array_except(F.array(*(F.lit(f) for f in r.flags)), F.col("_argv.flags"))) == 0 if r.flags else F.lit(True))
-        if r.main.require:
-            ok = ok & text.holds_context(F.col("value"), r.main.require)
-        if r.main.deny:
-            ok = ok & ~text.holds_context(F.col("value"), r.main.deny)
-        tests.append((r, ok))
-    return _first_of(shaped.withColumn("fired", _fired(tests)), rules, "shell")
+    return _found(actions, [r for r in pack.of_kind("shell") if not r.constructs])
 
 
 def shell_ast_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     """Commands by the constructs of the grammar."""
-    rules = [r for r in pack.of_kind("shell") if r.constructs]
-    if not rules:
-        return _no_hits(actions)
-    # Every construct but Simple and Redirection has one of these characters, and the latter has < or >.
-    wanted = {shell.ALIASES.get(c, c) for r in rules for c in r.constructs}
-    marks = F.lit(True) if "Simple" in wanted else F.col("value").rlike("[|(`<>]")
-    bash = actions.filter(F.col("source").startswith("session:Bash") & marks).withColumn("_has", shell.constructs_udf("value"))
-    tests = [(r, F.arrays_overlap(F.col("_has"), F.array(*(F.lit(shell.ALIASES.get(c, c)) for c in r.constructs)))) for r in rules]
-    return _first_of(bash.withColumn("fired", _fired(tests)), rules, "shell_ast")
+    return _found(actions, [r for r in pack.of_kind("shell") if r.constructs])
 
 
 def all_hits(actions: DataFrame, pack: RulePack, shell_ast: bool = False) -> DataFrame:
-    """Hits of all passes, deduplicated as each pass does."""
-    parts = [first_per_signal(single_hits(actions, pack)), sequence_hits(actions, pack), taint_hits(actions, pack), shell_hits(actions, pack)]
-    if shell_ast:
-        parts.append(shell_ast_hits(actions, pack))
-    return reduce(DataFrame.unionByName, parts)
+    """Hits of all passes, deduplicated as each pass does, from one read of the actions."""
+    return _found(actions, [r for r in pack.rules if shell_ast or not r.constructs])
 
 
 def naive_hits(actions: DataFrame, pack: RulePack) -> DataFrame:

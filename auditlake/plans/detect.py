@@ -21,6 +21,8 @@ class Report:
     findings: DataFrame
     suppressed: DataFrame
     pack: RulePack
+    #: Active and suppressed findings in one table with ``reason, suppressed_by, origin`` (null: active), from one read.
+    routed: DataFrame | None = None
 
     def gap(self) -> DataFrame:
         """Controls without evidence.  It looks at findings as they are before the rollup and the baseline."""
@@ -59,7 +61,7 @@ def detect(
     pack = pack or embedded_pack()
     entries = merged_suppress(list(suppress), config)
     routed = route(enrich(all_hits(actions, pack, shell_ast), pack), pack, entries, config, min_confidence, min_severity)
-    report = Report(routed.filter(F.col("origin").isNull()).drop("reason", "suppressed_by", "origin"), routed.filter(F.col("origin").isNotNull()), pack)
+    report = Report(routed.filter(F.col("origin").isNull()).drop("reason", "suppressed_by", "origin"), routed.filter(F.col("origin").isNotNull()), pack, routed)
     if by_asi:
         report = report.by_asi()
     if baseline is not None:

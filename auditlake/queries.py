@@ -408,8 +408,7 @@ def q_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan, active findings and suppressed ones, in the order of output."""
     r = detect(_events(spark, sf_dir), PACK, SUPPRESS, min_severity=9)
-    both = _flat(r.findings, F.lit(None).cast("string").alias("origin")).unionByName(_flat(r.suppressed, "origin"))
-    return both.withColumn("place", F.format_string("%d/%010d/%03d", "pass", "seq", "rule_ord"))
+    return _flat(r.routed, "origin").withColumn("place", F.format_string("%d/%010d/%03d", "pass", "seq", "rule_ord"))
 
 
 _REPORT_SQL = f"""SELECT {_FIND_COLS}, CASE WHEN suppressed_by IS NOT NULL THEN 'allowlist' WHEN severity < 9 THEN 'threshold' END AS origin,

@@ -41,7 +41,7 @@ def stream_pairs(actions: DataFrame, pack: RulePack, idle: str | None = None) ->
     """Hits of sequence and taint rules.  ``idle``: after so long without actions a scan's latch is dropped (processing time)."""
     rules = pack.of_kind("sequence") + pack.of_kind("taint")
     by_ord = {r.ord: r for r in rules}
-    sides = match._step_table(actions, rules)
+    sides = match.tagged(actions, rules)
     held = F.lit(None).cast("array<string>")
     for r in rules:
         if r.roles:
