@@ -43,17 +43,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every link hangs a node under its only root: no node has two, and no root has one."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("root"), F.lit(0).alias("down")).union(edges.select("b", F.lit(None).cast("long"), F.lit(1)))
+    ends = ends.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("down").alias("down"))
+    return ends.filter("low < high OR low IS NOT NULL AND down = 1").isEmpty()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, max_rounds: int = 60, forests: bool = False) -> DataFrame:
     """``node, component`` for every node that has a link to another one; ``component`` is its smallest node.
 
     ``links`` has two long columns ``a`` and ``b``; nulls and self-links count for nothing.
+    ``forests``: each partition's links are (larger, smallest) stars already.
     """
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
-    edges = materialize(edges.mapInArrow(_forest, "a long, b long").distinct(), "links")
+    edges = materialize(edges if forests else edges.mapInArrow(_forest, "a long, b long"), "links")
     for _ in range(max_rounds):
         if _settled(edges):
             break
@@ -68,4 +70,4 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         discard(old, low)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).distinct().union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

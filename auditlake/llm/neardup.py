@@ -116,34 +116,23 @@ def _long(sig: list[bytes]) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(raw[:, : 4 * PREFIX]).view("<u4"), raw[:, 4 * PREFIX :]], axis=1)
 
 
-def _keys(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    """A 64-bit name of each (coordinate, value) of the prefix."""
-    salt = mix(np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(32))
-    sig = np.frombuffer(b"".join(batch.column(column).to_pylist()), "<u8").reshape(batch.num_rows, COORDS)
-    return mix(sig[:, :PREFIX] ^ salt).reshape(-1).view(np.int64)
+def _posted(classes: DataFrame) -> DataFrame:
+    """``id, at, key``: a row per class and coordinate of the prefix, named by a 64-bit hash of coordinate and value."""
+    names = [F.xxhash64(F.lit(i), F.substring("sig", 8 * i + 1, 8)) for i in range(PREFIX)]
+    return classes.select("id", F.posexplode(F.array(*names)).alias("at", "key"))
 
 
 def _shared_lists(classes: DataFrame) -> DataFrame:
     """Posting lists of two classes or more: ``key, c`` (length)``, id, at`` (coordinate)``, n, sig``."""
 
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([pa.array(_keys(batch, 0))], names=["key"])
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), PREFIX))
-            at = pa.array(np.tile(np.arange(PREFIX, dtype=np.int32), batch.num_rows))
-            yield pa.record_batch([pa.array(_keys(batch, 1)), batch.column(0).take(rows), at], names=["key", "id", "at"])
-
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), _short(batch, 2)], names=["id", "n", "sig"])
 
-    counted = classes.select("sig").mapInArrow(names, "key long").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = _posted(classes).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     counted = materialize(counted, "keys")
     # Signatures join what is left, as most postings are in lists of their own.
-    posted = classes.select("id", "sig").mapInArrow(post, "key long, id long, at int").join(counted.hint("merge"), "key")
+    posted = _posted(classes).join(counted.hint("merge"), "key")
     signed = classes.select("id", "n", "sig").mapInArrow(shorten, "id long, n long, sig binary")
     out = materialize(posted.join(signed.hint("merge"), "id"), "postings")
     discard(counted)
@@ -288,10 +277,12 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in _groups(batches, (key, "lo", "hi")):
-            found = list(stars(table, cuts, percent))
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
+        found = [x for table, cuts in _groups(batches, (key, "lo", "hi")) for x in stars(table, cuts, percent)]
+        if found:  # the stars of all groups of the task, joined where they share members; numbers of classes ascend in ``names``
+            a, b = (np.concatenate(x) for x in zip(*found))
+            names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+            node, root = _forest(len(names), iter([(place[: len(a)], place[len(a) :])]))
+            yield pa.record_batch([pa.array(names[node]), pa.array(names[root])], names=["a", "b"])
 
     def links(dealt: DataFrame) -> DataFrame:
         """``mine``: a row's block, ``others``: the blocks that it meets."""
@@ -309,7 +300,7 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
 
     mine = F.pmod(F.xxhash64("id"), blocks(F.col("c")))
     first = links(rows.withColumn("label", F.col("id")).withColumn("mine", mine).withColumn("others", F.when(F.col("mine") == 0, up_to(blocks(F.col("c")))).otherwise(F.array(F.lit(0).cast("long")))))
-    found = connected_components(first)
+    found = connected_components(first, forests=True)
     hot = rows.filter(F.col("c") > block)
     if not rows.agg(F.max("c") > block).first()[0]:
         return found
@@ -323,7 +314,7 @@ def _spanning(rows: DataFrame, key: str, block: int, stars: Callable, percent: i
     dealt = dealt.withColumn("mine", F.when(is_out, F.pmod(mine, out)).otherwise(out + F.pmod(mine, blocks(F.col("inside")))))
     dealt = dealt.withColumn("others", F.when(is_out, up_to(out + blocks(F.col("inside")))).otherwise(up_to(out))).drop("big", "inside", "outside")
     second = links(dealt)
-    return connected_components(found.toDF("a", "b").union(second))
+    return connected_components(found.toDF("a", "b").union(second), forests=True)
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
