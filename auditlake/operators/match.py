@@ -51,8 +51,8 @@ def _argv_tests(rules: list[Rule]) -> list[tuple[Rule, Column]]:
     return tests
 
 
-def tagged(actions: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Every part of a rule that an action plays: ``scan_id, seq, source, value, rule_ord, role, signal, ambiguity``.
+def tagged(actions: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every part of a rule that an action plays: ``scan_id, seq, source, value, rule_ord, role, signal, ambiguity`` and the columns to ``carry``.
 
     Roles: ``single`` (with the rule's first signal that the action holds; rendered calls,
     ``sink:``, are no single actions), ``source`` and ``sink`` of an ordered pair, ``shell``.  Stateless: it
@@ -80,7 +80,7 @@ def tagged(actions: DataFrame, rules: list[Rule]) -> DataFrame:
         extra.append((_GRAMMAR, bash & (F.lit(True) if "Simple" in wanted else value.rlike("[|(`<>]"))))
     for g, test in extra:
         hits = F.concat(hits, F.when(test, F.array(marked.withField("g", F.lit(g)))).otherwise(F.array().cast("array<struct<g:int,signal:string>>")))
-    found = actions.select("scan_id", "seq", "source", "value", F.explode(hits).alias("h"))
+    found = actions.select("scan_id", "seq", "source", "value", *carry, F.explode(hits).alias("h"))
     # From here on there are hits only: kinds, contexts, argv and grammar.
     fires, unsure = {g: text.step_ok(source, value, s) for s, g in steps.items()}, {}
     for g, r in enumerate(singles):
@@ -106,20 +106,20 @@ def tagged(actions: DataFrame, rules: list[Rule]) -> DataFrame:
     for g, rows in tests.items():
         made = [F.when(t, F.struct(F.lit(r.ord).alias("rule_ord"), F.lit("shell").alias("role"), F.lit(text.rule_signal_label(r)).alias("signal"))) for r, t in rows]
         plays[g] = F.array_compact(F.array(*made)).cast(part)
-    found = found.select("scan_id", "seq", "source", "value", "ambiguity", F.explode(_by_group(plays, F.array().cast(part))).alias("p"))
-    return found.select("scan_id", "seq", "source", "value", "p.rule_ord", "p.role", "p.signal", "ambiguity")
+    found = found.select("scan_id", "seq", "source", "value", "ambiguity", *carry, F.explode(_by_group(plays, F.array().cast(part))).alias("p"))
+    return found.select("scan_id", "seq", "source", "value", "p.rule_ord", "p.role", "p.signal", "ambiguity", *carry)
 
 
 def single_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     """Every (action, rule) that fires, with the first signal of the rule that the action holds."""
     rules = pack.of_kind("single")
-    return _hits(tagged(actions, rules), rules) if rules else _no_hits(actions)
+    return as_hits(tagged(actions, rules), rules) if rules else _no_hits(actions)
 
 
-def _hits(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+def as_hits(rows: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """``_HIT`` columns of rows that have all but pass and code."""
     number = _per_rule(rules, lambda r: F.lit(PASSES["shell_ast" if r.constructs else r.kind]))
-    return rows.select("scan_id", number.alias("pass"), "seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), "signal", "source", "ambiguity")
+    return rows.select("scan_id", number.alias("pass"), "seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), "signal", "source", "ambiguity", *carry)
 
 
 def first_per_signal(hits: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _found(actions: DataFrame, rules: list[Rule]) -> DataFrame:
     if pairs:
         arrow = _per_rule(pairs, lambda r: F.lit(_ARROW[r.kind]))
         rows = rows.withColumn("signal", F.coalesce(F.concat("src_signal", arrow, "signal"), "signal"))
-    return _hits(rows, rules)
+    return as_hits(rows, rules)
 
 
 def sequence_hits(actions: DataFrame, pack: RulePack) -> DataFrame:

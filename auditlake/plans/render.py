@@ -21,6 +21,9 @@ PREFIX = "CANDIDATE — "
 LEVELS = {"official": "warning", "draft": "note"}
 MANIFEST_SCHEMA = "auditlake-triage-manifest/1"
 GAP_KIND = "absence-of-candidate-evidence"
+#: What every gap report says of itself.
+GAP_DISCLAIMER = "That no candidate signal was seen does not show that a control is missing; a person has to review each one."
+GAP_SCOPE = "Only the controls of the catalogue are looked at; standards that it merely cites are out of scope."
 _ORDER = ["pass", "seq", "rule_ord"]
 
 
@@ -125,27 +128,44 @@ def _gap_rows(report: Report) -> list[Row]:
 def gap_json(report: Report) -> str:
     rows = _gap_rows(report)
     n = len(report.pack.controls)
-    return json.dumps({"rules_source": report.pack.source, "universe": n, "covered": n - len(rows), "gaps": [{k: r[k] for k in ("id", "title", "status", "message")} for r in rows]}, indent=2, ensure_ascii=False)
+    return json.dumps({"rules_source": report.pack.source, "rules_source_collapsed": report.pack.source_collapsed, "scope": GAP_SCOPE, "disclaimer": GAP_DISCLAIMER, "universe": n, "covered": n - len(rows), "gaps": [{k: r[k] for k in ("id", "title", "status", "message")} for r in rows]}, indent=2, ensure_ascii=False)
 
 
 def gap_markdown(report: Report) -> str:
     rows = _gap_rows(report)
     n = len(report.pack.controls)
-    head = ["# Control gap — controls without candidate evidence", "", f"**Universe:** {n} · **With candidate evidence:** {n - len(rows)} · **Without:** {len(rows)}", ""]
-    return "\n".join([*head, *(f"- {r['message']} — status: `{r['status']}`" for r in rows), ""])
+    head = ["# Control gap — controls without candidate evidence", "", f"_{GAP_SCOPE}_", "", f"_{GAP_DISCLAIMER}_", "", f"**Rules source:** `{report.pack.source_collapsed}` · **Universe:** {n} · **With candidate evidence:** {n - len(rows)} · **Without:** {len(rows)}", ""]
+    lines = [f"- {r['message']} — status: `{r['status']}`" for r in rows] or ["Each control of the catalogue has candidate evidence."]
+    return "\n".join([*head, *lines, ""])
 
 
 def gap_sarif(report: Report) -> str:
     rows = _gap_rows(report)
     results = [{"ruleId": r["id"], "level": "note", "message": {"text": r["message"]}, "properties": {"status": r["status"], "kind": GAP_KIND}} for r in rows]
-    return _sarif([_descriptor(r["id"], r["title"], r["status"]) for r in rows], results, {"analysis": "gap", "rules_source": report.pack.source_collapsed})
-
-
-def audit_log(actions: DataFrame, report: Report) -> DataFrame:
-    """A line per finding and per suppressed one: what an operator's log shows."""
-    hit = report.findings.select("scan_id", *_ORDER, F.concat(F.lit("match: "), "id", F.lit(" "), "triggering_signal", F.lit(" in "), F.coalesce("source", F.lit("-"))).alias("line"))
-    moved = report.suppressed.select("scan_id", *_ORDER, F.concat(F.lit("suppressed: "), "id", F.lit(" by "), "suppressed_by").alias("line"))
-    return hit.union(moved)
+    return _sarif([_descriptor(r["id"], r["title"], r["status"]) for r in rows], results, {"analysis": "gap", "scope": GAP_SCOPE, "disclaimer": GAP_DISCLAIMER, "rules_source": report.pack.source_collapsed, "universe": len(report.pack.controls), "covered": len(report.pack.controls) - len(rows)})
+
+
+def audit_log(actions: DataFrame, report: Report, skips: DataFrame | None = None) -> DataFrame:
+    """``scan_id, pass, seq, rule_ord, line``: what an operator's log shows.
+
+    A scan's first line (pass 0) has the rules' source and its number of actions; then a line
+    per skip (``skips``: ``scan_id, seq, place, reason``), per finding and per suppressed one.
+    """
+    head = actions.groupBy("scan_id").agg(F.concat(F.lit(f"rules_source: {report.pack.source}; actions: "), F.count("*").cast("string")).alias("line"))
+    out = head.select("scan_id", F.lit(0).alias("pass"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("rule_ord"), "line")
+    if skips is not None:
+        out = out.union(skips.select("scan_id", F.lit(0), "seq", F.lit(0), F.concat(F.lit("skip: "), "place", F.lit(": "), "reason")))
+    hit = report.findings.select("scan_id", *_ORDER, F.concat(F.lit("match: "), "id", F.lit(" "), "triggering_signal", F.lit(" in "), F.coalesce("source", F.lit("-"))))
+    moved = report.suppressed.select("scan_id", *_ORDER, F.concat(F.lit("suppressed: "), "id", F.lit(" by "), "suppressed_by"))
+    return out.union(hit).union(moved)
+
+
+def sarif_results(routed: DataFrame) -> DataFrame:
+    """SARIF results as columns, a row per finding, distributed: ``scan_id, pass, seq, rule_ord, rule_id, level, message, suppression, justification, dropped_reason``."""
+    level = F.create_map(*(F.lit(x) for kv in LEVELS.items() for x in kv))[F.col("status")]
+    message = F.concat(F.lit(PREFIX), "title", F.lit(" (signal: "), "triggering_signal", F.lit("). Review suggested control(s): "), F.array_join("suggested_controls", ", "), F.lit(". Source provenance: "), "status", F.lit("."))
+    listed, dropped = F.col("origin") == "allowlist", F.col("origin") == "threshold"
+    return routed.select("scan_id", *_ORDER, F.col("id").alias("rule_id"), level.alias("level"), message.alias("message"), F.when(listed, "external").alias("suppression"), F.when(listed, F.col("reason")).alias("justification"), F.when(dropped, F.col("reason")).alias("dropped_reason"))
 
 
 def exit_code(report: Report, block: bool = False) -> int:

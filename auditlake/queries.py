@@ -19,11 +19,14 @@ from auditlake.operators import derive, match, metrics
 from auditlake.operators.enrich import enrich, rules_table, unresolved_refs
 from auditlake.operators.route import route
 from auditlake.plans.detect import detect
-from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, parse_suppress
-from auditlake.plans.render import findings_json
+from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, merged_suppress, parse_config, parse_suppress
+from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
 from auditlake.sources.otlp import otlp_events
-from auditlake.sources.session import Session, line_events
+from auditlake.sources.repo import single_action
+from auditlake.sources.session import Session, line_events, traces_from_messages, version_warning
+from auditlake.sources.spread import spread
+from auditlake.streaming.detect import hook_payloads
 
 PACK = embedded_pack()
 
@@ -221,10 +224,10 @@ SELECT scan_id, pass, seq, rule_ord, id, title, status, confidence, signal AS tr
 
 
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view's SQL over the tables it names, without touching the session's catalogue."""
+    """A view's SQL over the table it names, without touching the session's catalogue."""
     (name,) = re.findall(r"FROM (\w+)\s*$", sql)
     body = re.sub(r"FROM \w+\s*$", "", sql).replace("{", "{{").replace("}", "}}")
-    return spark.sql(body + "FROM {t}", t=spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.sql(body + "FROM {t}", t=spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,7 +380,7 @@ SELECT seq, coalesce(string_agg(lower(v), ',' ORDER BY p) FILTER (WHERE lower(k)
 
 
 def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     # Invisible and look-alike characters are put in, so that there is something to fold.
     dirty = F.concat(F.lit(" ​р"), F.regexp_replace("text", "a", "а"), F.lit("﻿  "))
     return docs.select("doc_id", text.normalize(dirty).alias("clean"))
@@ -423,6 +426,89 @@ def q_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("model", *(F.coalesce(F.col(f"`{c}`"), F.lit(0)).cast("long").alias(c.replace("-", "_").lower()) for c in ("W-1", "W-3", "W-4")))
 
 
+TOML = parse_config('[thresholds]\nmin_confidence = 0.75\nmin_severity = 9\n[severity]\n"AGT-PI-001" = 10\n[[suppress]]\nagt_code = "AGT-PI-003"\nreason = "from the config"\n[[suppress]]\nagt_code = "AGT-MIS-001"\nsource_glob = "session:*"\n')
+_TOML_SEVERITY = _values(sorted((PACK.severity() | TOML.severity).items()), "id, severity")
+_MERGED = merged_suppress(SUPPRESS, TOML)
+
+
+def q_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of a config file, of which the call overrides one, and allowlist entries of two files."""
+    r = detect(_events(spark, sf_dir), PACK, SUPPRESS, TOML, min_confidence=0.65)
+    return r.routed.select("scan_id", "id", "triggering_signal", _REASON, _BY, _ORIGIN)
+
+
+_LISTED, _LOW, _MILD = (f"{_suppress_case(_MERGED, 'raw')} IS NOT NULL", "CAST(confidence AS FLOAT) < CAST(0.65 AS FLOAT)", "severity < 9")
+_CONFIG_SQL = f"""SELECT scan_id, id, triggering_signal, CASE WHEN {_LISTED} THEN {_suppress_case(_MERGED, 'reason')} WHEN {_LOW} THEN 'below min-confidence 0.65' WHEN {_MILD} THEN concat('below min-severity 9 (effective severity ', CAST(severity AS VARCHAR), ')') END AS reason,
+ CASE WHEN {_LISTED} THEN {_suppress_case(_MERGED, 'raw')} WHEN {_LOW} THEN 'threshold:min-confidence 0.65' WHEN {_MILD} THEN 'threshold:min-severity 9' END AS suppressed_by,
+ CASE WHEN {_LISTED} THEN 'allowlist' WHEN {_LOW} OR {_MILD} THEN 'threshold' END AS origin FROM ({_findings_sql()}) LEFT JOIN {_TOML_SEVERITY} USING (id)"""
+
+_ONE = "SELECT 'action' AS scan_id, 0 AS seq, 'session:Bash.input' AS source, 'sudo rm -rf /var/cache && mysqldump all' AS value"
+
+_VERSIONS = "SELECT event_id, concat(CASE event_id % 4 WHEN 0 THEN '2.1' WHEN 1 THEN '02.01' WHEN 2 THEN 'v2.1' ELSE concat('2.', CAST(event_id AS STRING)) END, '.', CAST(event_id AS STRING)) AS version FROM events"
+
+_OTLP_TYPED = """SELECT concat('e', CAST(event_id AS STRING)) AS path, event_id, event_type, concat('{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"s","attributes":[{"key":"', CASE event_id % 5 WHEN 0 THEN 'gen_ai.tool.name' WHEN 1 THEN 'tool.name' WHEN 2 THEN 'gen_ai.operation.name' WHEN 3 THEN 'code.function.name' ELSE 'code.function' END,
+ '","value":{"stringValue":"do ', event_type, '"}},{"key":"code.function","value":{"stringValue":"last"}},{"key":"d","value":{"doubleValue":', CASE event_id % 2 WHEN 0 THEN concat(CAST(event_id AS STRING), '.0') ELSE concat(CAST(event_id AS STRING), '.5') END,
+ '}},{"key":"l","value":{"kvlistValue":{"values":[{"key":"a","value":{"boolValue":false}},{"key":"b","value":{"arrayValue":{"values":[{"intValue":7},{"stringValue":"z"}]}}}]}}}]}]}]}]}') AS text FROM events"""
+
+_HOOKS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'not json' WHEN 1 THEN '{"session_id":"x"}' WHEN 2 THEN concat('{"tool_input":{"command":"ls ', CAST(event_id AS STRING), '"}}') ELSE concat('{"session_id":"u', CAST(user_id AS STRING), '","tool_input":{"command":"rm ', CAST(event_id AS STRING), '"}}') END AS value FROM events"""
+
+_FIRST_SEEN = """SELECT concat('u', CAST(user_id AS STRING)) AS scan_id, event_id AS number, concat('{"type":"system"', CASE event_id % 3 WHEN 0 THEN concat(',"gitBranch":"b', CAST(event_id AS STRING), '"') WHEN 1 THEN concat(',"cwd":"/w', CAST(event_id AS STRING), '"') ELSE ',"version":7' END, '}') AS line FROM events"""
+
+
+def q_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as benchmark traces: user turns are tool results, assistant turns calls."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    call = F.array(F.struct(F.lit("note").alias("function"), F.to_json(F.struct(F.substring("text", 1, 40).alias("to"), F.lit("5").alias("sum"))).alias("args")))
+    said = F.struct(F.col("turn"), F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), F.when(F.col("role") == "assistant", call).alias("tool_calls"))
+    traces = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("m"))  # a conversation's turns
+    traces = traces.select(F.col("conv_id").cast("string").alias("scan_id"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_calls"].alias("tool_calls"))).alias("messages"))
+    return traces_from_messages(traces).select("scan_id", F.floor(F.col("seq") / F.lit(1 << 21)).alias("place"), F.regexp_replace("source", "[0-9]+", "").alias("source"), "value")
+
+
+_TRACES_SQL = """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS scan_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)
+SELECT scan_id, place, 'tool-result:' AS source, text AS value FROM c WHERE role = 'user' AND text <> ''
+UNION ALL SELECT scan_id, place, 'session:note.input', concat('5 ', substr(text, 1, 40)) FROM c WHERE role = 'assistant'
+UNION ALL SELECT scan_id, place, 'sink:note', concat('tool-call:note recipient=', substr(text, 1, 40), ' amount=5') FROM c WHERE role = 'assistant'"""
+
+
+def q_role_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    roles = F.array_compact(F.array(F.when(F.col("event_id") % 2 == 0, "recipient"), F.when(F.col("event_id") % 3 == 0, "amount"), F.lit("other")))
+    traces = rows.select((F.col("value") > 50).alias("marker"), roles.alias("roles"), F.when(F.col("event_id") % 5 == 0, F.array("event_type")).otherwise(F.array().cast("array<string>")).alias("missed"))
+    return metrics.role_misses(traces, ["recipient", "amount"])
+
+
+_ROLE_MISSES_SQL = """WITH x AS (SELECT value > 50 AS marker, 'role' AS kind, 'recipient' AS name FROM events WHERE event_id % 2 = 0 UNION ALL SELECT value > 50, 'role', 'amount' FROM events WHERE event_id % 3 = 0 UNION ALL SELECT value > 50, 'missed', event_type FROM events WHERE event_id % 5 = 0)
+SELECT kind, name, count(*) AS n, count(*) FILTER (NOT marker) AS without_marker FROM x GROUP BY kind, name"""
+
+
+def q_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", F.array_join(metrics.contacts(F.coalesce("text", F.lit(""))), ",").alias("held"))
+
+
+_CONTACTS_SQL = r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_]+'), regexp_extract_all(coalesce(text, ''), '\b[A-Z]{2}[0-9]{6,}\b')))), ','), '') AS held FROM documents"""
+
+
+def q_xref_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References that go nowhere once a pack has lost its techniques and its crosswalk."""
+    return unresolved_refs(spark, RulePack(PACK.rules, PACK.controls, PACK.asi, (), PACK.xrefs | {"atlas": ()})).select("id", "ref")
+
+
+_ASI_IDS = ", ".join(_lit(i) for i, *_ in PACK.asi)
+_XREF_SQL = f"SELECT id, unnest(string_split(refs, ',')) AS ref FROM (SELECT id, refs FROM (WITH {_rules_sql(PACK)} SELECT * FROM dim) WHERE refs <> '')"
+
+_SARIF_SQL = f"""SELECT scan_id, pass, seq, rule_ord, id AS rule_id, CASE status WHEN 'draft' THEN 'note' ELSE 'warning' END AS level,
+ concat('CANDIDATE — ', title, ' (signal: ', triggering_signal, '). Review suggested control(s): ', replace(controls, ',', ', '), '. Source provenance: ', status, '.') AS message,
+ CASE WHEN suppressed_by IS NOT NULL THEN 'external' END AS suppression, reason AS justification, CASE WHEN suppressed_by IS NULL AND severity < 9 THEN concat('below min-severity 9 (effective severity ', CAST(severity AS VARCHAR), ')') END AS dropped_reason
+ FROM ({_routed_sql(SUPPRESS)}) JOIN {_values(sorted(PACK.severity().items()), "id, severity")} USING (id)"""
+
+
+def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = _events(spark, sf_dir)
+    skips = _sessions(spark, sf_dir).skips
+    return audit_log(actions, detect(actions, PACK, SUPPRESS), skips).select("scan_id", "pass", "rule_ord", "line")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _HITS = ", ".join(_HIT_COLS)
@@ -457,6 +543,24 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "baseline_only_new": (lambda s, d: derive.only_new(derive.baseline_diff(*_baseline(s, d))).select("scan_id", "id", "triggering_signal", "seq"), f"SELECT scan_id, id, triggering_signal, seq FROM ({_DIFF_SQL}) WHERE baseline_state = 'new'"),
     "triage_manifest": (lambda s, d: derive.triage_manifest(_enriched(s, d)).select("scan_id", "id", "triggering_signal", "seq"), f"SELECT scan_id, id, triggering_signal, seq FROM ({_findings_sql()}) WHERE ambiguity"),
     "outcome_counts": (lambda s, d: derive.outcome_counts(_events(s, d), route(_enriched(s, d), PACK, SUPPRESS)), f"SELECT (SELECT count(*) FROM events) AS actions, count(*) FILTER (origin IS NULL) AS findings, count(*) FILTER (origin IS NOT NULL) AS suppressed FROM ({_routed_sql(SUPPRESS)})"),
+    "baseline_counts": (lambda s, d: derive.baseline_counts(derive.baseline_diff(*_baseline(s, d))), "SELECT " + ", ".join(f"count(*) FILTER (baseline_state = '{x}') AS {_lit(x).replace(chr(39), chr(34))}" for x in ("new", "unchanged", "absent")) + f" FROM ({_DIFF_SQL})"),
+    "config_thresholds": (q_config, _CONFIG_SQL),
+    "single_action": (lambda s, d: match.single_hits(single_action(s, "sudo rm -rf /var/cache && mysqldump all"), PACK).select(_HIT_COLS), f"SELECT {_HITS} FROM ({_single_sql(PACK, _ONE)})"),
+    "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),
+    "otlp_typed": (lambda s, d: otlp_events(_view(s, d, _OTLP_TYPED)).select("path", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, concat('session:', event_type, '.input') AS source, concat('s do ', event_type, ' last ', CAST(event_id AS VARCHAR), CASE event_id % 2 WHEN 0 THEN '' ELSE '.5' END, ' false 7 z') AS value FROM events"),
+    "hook_payloads": (lambda s, d: hook_payloads(_view(s, d, _HOOKS)).select("scan_id", "source", "value"), "SELECT CASE event_id % 4 WHEN 2 THEN 'action' ELSE concat('u', CAST(user_id AS VARCHAR)) END AS scan_id, 'session:Bash.input' AS source, concat(CASE event_id % 4 WHEN 2 THEN 'ls ' ELSE 'rm ' END, CAST(event_id AS VARCHAR)) AS value FROM events WHERE event_id % 4 >= 2"),
+    "session_first_seen": (lambda s, d: Session(line_events(_view(s, d, _FIRST_SEEN))).evidence, f"SELECT scan_id, CAST(NULL AS VARCHAR) AS version, concat('b', CAST(min(number) FILTER (number % 3 = 0) AS VARCHAR)) AS git_branch, concat('/w', CAST(min(number) FILTER (number % 3 = 1) AS VARCHAR)) AS cwd FROM ({_FIRST_SEEN}) WHERE number % 3 < 2 GROUP BY scan_id"),
+    "trace_transcription": (q_traces, _TRACES_SQL),
+    "role_misses": (q_role_misses, _ROLE_MISSES_SQL),
+    "contact_tokens": (q_contacts, _CONTACTS_SQL),
+    "xref_broken": (q_xref_broken, f"SELECT id, ref FROM ({_XREF_SQL}) WHERE starts_with(ref, 'AML.') OR (starts_with(ref, 'OWASP-LLM:') AND ref NOT IN ({', '.join(_lit(c.id) for c in PACK.controls)}))"),
+    "sarif_results": (lambda s, d: sarif_results(detect(_events(s, d), PACK, SUPPRESS, min_severity=9).routed), _SARIF_SQL),
+    "audit_log": (
+        q_audit,
+        f"""SELECT scan_id, 0 AS pass, 0 AS rule_ord, concat('rules_source: embedded-fallback; actions: ', CAST(count(*) AS VARCHAR)) AS line FROM ({EVENT_ACTIONS}) GROUP BY scan_id
+UNION ALL SELECT scan_id, 0, 0, concat('skip: line ', CAST(n AS VARCHAR), ': ', CASE event_id % 7 WHEN 3 THEN '''system'' carries no observable action' WHEN 4 THEN 'missing type discriminator' WHEN 5 THEN 'json parse error' ELSE 'unknown type: ''mystery'' (skipped)' END) FROM ({_LINE_NO}) WHERE event_id % 7 >= 3
+UNION ALL SELECT scan_id, pass, rule_ord, CASE WHEN suppressed_by IS NULL THEN concat('match: ', id, ' ', triggering_signal, ' in ', source) ELSE concat('suppressed: ', id, ' by ', suppressed_by) END FROM (SELECT *, {_suppress_case(SUPPRESS, 'raw')} AS suppressed_by FROM ({_findings_sql()}))""",
+    ),
     "findings_json": (lambda s, d: findings_json(_enriched(s, d)), None),
     "normalize_text": (q_normalize, _NORMALIZE_SQL),
     "role_values": (q_role_values, _ROLES_SQL),

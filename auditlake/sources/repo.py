@@ -128,6 +128,15 @@ def read_repo(spark: SparkSession, path: str, extensions: tuple[str, ...] = ())
     return spark.read.format("auditlake_repo").option("ext", ",".join(extensions)).load(str(path))
 
 
+def repo_skips(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+    """``scan_id, seq, place, reason`` of the files that the extensions leave out.
+
+    Like the walk itself this is a listing on the driver, of a path that driver and executors share.
+    """
+    names = [n for n, wanted in walk(path, extensions) if not wanted]
+    return spark.createDataFrame([(str(path), i, n, "extension not in the wanted ones") for i, n in enumerate(names)], "scan_id string, seq long, place string, reason string")
+
+
 def single_action(spark: SparkSession, action: str, kind: str = "session:Bash.input") -> DataFrame:
     """One literal, neither normalised nor rendered as a call."""
     return spark.createDataFrame([("action", 0, kind, action)], "scan_id string, seq long, source string, value string")

@@ -17,20 +17,34 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlake.functions import text
 from auditlake.operators import match
-from auditlake.plans.pack import RulePack
+from auditlake.plans.pack import Rule, RulePack
 from auditlake.plans.schema import PASSES
 
 
+def stateless_rules(pack: RulePack, shell_ast: bool = False) -> list[Rule]:
+    """Rules that look at one action: signals, programs with flags, and on demand shell constructs."""
+    return [r for r in pack.rules if r.kind == "single" or (r.kind == "shell" and (shell_ast or not r.constructs))]
+
+
 def stream_single(actions: DataFrame, pack: RulePack) -> DataFrame:
-    """Hits of single actions, each (action, rule) once; nothing is kept between batches."""
+    """Hits of signals in single actions, each (action, rule) once; nothing is kept between batches."""
     return match.single_hits(actions, pack)
 
 
-def stream_first_per_signal(actions: DataFrame, pack: RulePack, time_col: str, delay: str = "1 hour") -> DataFrame:
-    """As ``stream_single``, but each (scan, code, signal) once while its watermark lasts."""
-    timed = actions.withWatermark(time_col, delay)
-    hits = match.single_hits(timed.withColumn("source", F.col("source")), pack)
-    return hits.dropDuplicates(["scan_id", "code", "signal"])
+def stream_stateless(actions: DataFrame, pack: RulePack, shell_ast: bool = False) -> DataFrame:
+    """Hits of all rules that look at one action, argv and grammar included; nothing is kept between batches."""
+    rules = stateless_rules(pack, shell_ast)
+    return match.as_hits(match.tagged(actions, rules), rules)
+
+
+def stream_first_per_signal(actions: DataFrame, pack: RulePack, time_col: str, delay: str = "1 hour", shell_ast: bool = False) -> DataFrame:
+    """As ``stream_stateless``, with ``time_col``, but each (scan, code, signal) once within ``delay`` of its first hit.
+
+    State goes when the watermark passes, so a signal that comes up again after that is told again.
+    """
+    rules = stateless_rules(pack, shell_ast)
+    hits = match.as_hits(match.tagged(actions.withWatermark(time_col, delay), rules, (time_col,)), rules, (time_col,))
+    return hits.dropDuplicatesWithinWatermark(["scan_id", "code", "signal"])
 
 
 _OUT = "scan_id string, pass int, seq long, rule_ord int, code string, signal string, source string, ambiguity boolean"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import neardup, packing, quality, substrings
 from auditlake.llm.scratch import discard, materialize, scratch_scope
+from auditlake.sources.spread import spread
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, make in STAGES:
         done = docs
         with scratch_scope():

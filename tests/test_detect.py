@@ -7,13 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions import text
-from auditlake.operators import derive, match
+from auditlake.operators import derive, match, metrics
 from auditlake.plans import render
 from auditlake.plans.detect import detect
 from auditlake.plans.pack import embedded_pack, parse_suppress
 from auditlake.plans.schema import ACTIONS
 from auditlake.sources.otlp import otlp_events, read_otlp
-from auditlake.sources.repo import read_repo, single_action
+from auditlake.sources.baseline import read_baseline, read_for_gap
+from auditlake.sources.repo import read_repo, repo_skips, single_action
 from auditlake.sources.session import Session, line_events, read_sessions, session_events, traces_from_messages, transcript_from_messages
 
 from tests.plain_otlp import any_value, parse_otlp
@@ -254,6 +255,54 @@ def test_otlp_files(spark, tmp_path):
         read_otlp(spark, str(tmp_path / "none"))
 
 
+def test_saved_baseline(spark, tmp_path):
+    """A report that was saved as JSON is the baseline of the next run."""
+    a = acts(spark, ("session:Bash.input", "rm -rf a"), ("session:Bash.input", "wipe it"))
+    (tmp_path / "report.json").write_text(render.to_json(detect(a, PACK), "s"))
+    before = read_baseline(spark, str(tmp_path / "report.json"), "s")
+    now = acts(spark, ("session:Bash.input", "rm -rf a"), ("session:Bash.input", "sudo x"))
+    found = detect(now, PACK, baseline=before).findings
+    states = {(r["id"], r["triggering_signal"]): r["baseline_state"] for r in found.collect()}
+    assert states[("AGT-MIS-001", "rm -rf")] == "unchanged" and states[("AGT-MIS-002", "sudo")] == "new" and states[("AGT-MIS-001", "wipe")] == "absent"
+    counts = derive.baseline_counts(found).first()
+    assert (counts["new"], counts["absent"]) == (sum(x == "new" for x in states.values()), sum(x == "absent" for x in states.values()))
+    (tmp_path / "lean.json").write_text('{"other": 1, "findings": [{"id": "A", "title": "t", "triggering_signal": "x", "extra": 2}]}')
+    row = read_baseline(spark, str(tmp_path / "lean.json"), "s").first()
+    assert (row["status"], row["confidence"], row["citation_url"], row["cross_refs"]) == ("official", 0.0, "", [])
+    (tmp_path / "bad.json").write_text('{"findings": [{"id": "A"}]}')
+    with pytest.raises(ValueError):
+        read_baseline(spark, str(tmp_path / "bad.json"), "s")
+    (tmp_path / "worse.json").write_text("not json")
+    with pytest.raises(Exception):
+        read_baseline(spark, str(tmp_path / "worse.json"), "s").count()
+
+
+def test_gap_input_and_reports(spark, tmp_path):
+    (tmp_path / "a.JSONL").write_text('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t","content":"x"}]}}\n')
+    (tmp_path / "dir").mkdir()
+    (tmp_path / "dir" / "b.txt").write_text("y")
+    assert read_for_gap(spark, str(tmp_path / "a.JSONL")).first()["source"] == "tool-result:t"
+    assert sorted(r["source"] for r in read_for_gap(spark, str(tmp_path / "dir")).collect()) == ["repo-file:b.txt", "repo-path:b.txt"]
+    assert [r["place"] for r in repo_skips(spark, str(tmp_path / "dir"), ("py",)).collect()] == ["b.txt"]
+    report = detect(single_action(spark, "ls"), PACK)
+    assert json.loads(render.gap_json(report))["disclaimer"] and render.GAP_SCOPE in render.gap_markdown(report)
+    assert json.loads(render.gap_sarif(report))["runs"][0]["properties"]["universe"] == 49
+
+
+def test_one_scan(spark, tmp_path):
+    """All passes read the actions once; a baseline of the same kind once more."""
+    acts(spark, ("session:Bash.input", "rm -rf a")).write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    now = detect(a, PACK, parse_suppress("AGT-MIS-001"), shell_ast=True)
+    assert scans(now.routed) == 1 and scans(derive.baseline_diff(now.findings, detect(a, PACK).findings)) == 2
+
+
+def test_contacts(spark):
+    row = spark.createDataFrame([("pay bob@x.org, DE12345678 or bob@x.org", "send_money to=DE12345678")], "a string, b string").select(metrics.contacts(F.col("a")).alias("c"), metrics.delivered(F.col("b"), F.col("a")).alias("d")).first()
+    assert row["c"] == ["DE12345678", "bob@x.org"] and row["d"]
+
+
 def test_repo(spark, tmp_path):
     (tmp_path / ".gitignore").write_text("secret*\n!secret.ok\nout/\n")
     for name, body in (("a.sh", b"rm -rf /"), ("secret.env", b"x"), ("secret.ok", b"y"), ("out/z.txt", b"z"), ("b/c.PY", b"\xff")):

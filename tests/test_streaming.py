@@ -3,7 +3,7 @@
 from auditlake.operators import match
 from auditlake.plans.pack import embedded_pack
 from auditlake.plans.schema import ACTIONS
-from auditlake.streaming.detect import hook_payloads, stream_pairs, stream_single
+from auditlake.streaming.detect import hook_payloads, stateless_rules, stream_first_per_signal, stream_pairs, stream_single, stream_stateless
 
 PACK = embedded_pack()
 ROWS = [
@@ -33,6 +33,37 @@ def test_stream_equals_batch(spark, tmp_path):
     assert _run(stream_pairs(stream, PACK), "pairs") == key(match.sequence_hits(batch, PACK).union(match.taint_hits(batch, PACK)))
 
 
+def test_stateless_rules_on_a_stream(spark, tmp_path):
+    """Argv and grammar rules as well as signals."""
+    rows = [("t", 0, "session:Bash.input", "rm -f -r x | sort"), ("t", 1, "session:Bash.input", "(cd a; ls) && sudo x"), ("t", 2, "repo-file:a", "rm -rf")]
+    batch = spark.createDataFrame(rows, ACTIONS)
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ACTIONS).parquet(str(tmp_path / "in"))
+    rules = stateless_rules(PACK, True)
+    want = sorted((r["scan_id"], r["seq"], r["code"], r["signal"]) for r in match.as_hits(match.tagged(batch, rules), rules).collect())
+    assert _run(stream_stateless(stream, PACK, True), "stateless") == want and {x[2] for x in want} > {"AGT-MIS-004"}
+
+
+def test_first_per_signal_on_a_stream(spark, tmp_path):
+    """Each signal of a scan once while the watermark lasts; state goes after it."""
+    schema = "scan_id string, seq long, source string, value string, ts timestamp"
+    source = str(tmp_path / "in")
+    q = None
+    name = "firsts"
+    hours = [0, 0, 10, 20]  # the watermark of a batch is that of the batches before it, so the state goes after the third
+    for i, hour in enumerate(hours):
+        spark.createDataFrame([("s", i, "session:Bash.input", "sudo x")], ACTIONS).selectExpr("*", f"timestamp'2024-01-01' + interval {hour} hours AS ts").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = stream_first_per_signal(stream, PACK, "ts", "1 hour").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / name)).outputMode("append").start()
+        try:
+            q.processAllAvailable()
+            operators = q.lastProgress["stateOperators"] if q.lastProgress else []
+        finally:
+            q.stop()
+    found = sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / name)).filter("code = 'AGT-MIS-002'").collect())
+    assert found == [0, 3] and operators[0]["numRowsTotal"] <= 1
+
+
 def test_hook_payloads(spark):
     rows = spark.createDataFrame([('{"session_id":"a","tool_input":{"command":"ls"}}',), ("{}",), ("bad",), (None,)], "value string")
     assert [(r["scan_id"], r["value"]) for r in hook_payloads(rows).collect()] == [("a", "ls")]
