@@ -7,15 +7,21 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk, vecdup
 from auditlake.llm.sql import ORACLE_SQL
+from auditlake.sources.spread import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows are worked on one by one: over all cores, however small its file."""
+    return spread(table(spark, sf_dir, name))
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(texts(spark, sf_dir, "documents"))
 
 
 def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +31,7 @@ def op2_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
-    return pagetext.extract_text(table(spark, sf_dir, "pages"))
+    return pagetext.extract_text(texts(spark, sf_dir, "pages"))
 
 
 def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,17 +46,17 @@ def op5_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without windows of 35 words that occur twice."""
-    return substrings.dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+    return substrings.dedup_substrings(texts(spark, sf_dir, "documents"), window=35)
 
 
 def op7_coordinate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all documents by 4-word shingles."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return neardup.near_duplicates(texts(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every text."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = quality.score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -58,7 +64,7 @@ def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_rank_queue_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every text and what they decode to, as digests."""
-    return bytebpe.encode_decode(table(spark, sf_dir, "documents"))
+    return bytebpe.encode_decode(texts(spark, sf_dir, "documents"))
 
 
 def op10_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
