@@ -80,7 +80,8 @@ def tagged(actions: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -
         extra.append((_GRAMMAR, bash & (F.lit(True) if "Simple" in wanted else value.rlike("[|(`<>]"))))
     for g, test in extra:
         hits = F.concat(hits, F.when(test, F.array(marked.withField("g", F.lit(g)))).otherwise(F.array().cast("array<struct<g:int,signal:string>>")))
-    found = actions.select("scan_id", "seq", "source", "value", *carry, F.explode(hits).alias("h"))
+    # Outer, as a plain explode makes the optimiser test the whole expression once more for being empty; rows without hits fail the filter.
+    found = actions.select("scan_id", "seq", "source", "value", *carry, F.explode_outer(hits).alias("h"))
     # From here on there are hits only: kinds, contexts, argv and grammar.
     fires, unsure = {g: text.step_ok(source, value, s) for s, g in steps.items()}, {}
     for g, r in enumerate(singles):
@@ -221,7 +222,7 @@ def naive_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     rules = pack.of_kind("single")
     hits = text.first_signals(F.col("value"), [r.main.signals for r in rules], bounded=False)
     codes = F.array(*(F.lit(r.code) for r in rules))
-    return actions.select("scan_id", "seq", F.explode(hits).alias("h")).select("scan_id", "seq", F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"))
+    return actions.select("scan_id", "seq", F.explode_outer(hits).alias("h")).filter("h.g IS NOT NULL").select("scan_id", "seq", F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"))
 
 
 def marker_then_call(rows: DataFrame, marker: Column, call: Column, keys: list[str], order: str) -> DataFrame:
