@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, quality, sharding, substrings, topk, vecdup
+from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, phrases, quality, sharding, substrings, topk, vecdup
 from auditlake.llm.sql import ORACLE_SQL
 from auditlake.sources.spread import spread
 
@@ -75,6 +75,11 @@ def op10_grammar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(rows)
 
 
+def op11_positional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 4 words."""
+    return phrases.collocations(texts(spark, sf_dir, "documents"), min_count=30, max_words=4, top=2000)
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -88,4 +93,5 @@ QUERIES = {
     "op8_factorisation_machine": op8_factorisation_machine,
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_grammar_round_trip": op10_grammar_round_trip,
+    "op11_positional_lists": op11_positional_lists,
 }

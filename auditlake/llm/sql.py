@@ -45,10 +45,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), tex
  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(12 + length(role) + 1 + length(text) + 10 + 1 + len(regexp_extract_all(text, '<\|\\*im_(start|end)\|>'))) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id"""
 
+PHRASES = r"""WITH p AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE len(w) > 0),
+o AS (SELECT lang, len, array_to_string(w[i:i + len - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4]) AS len) WHERE i + len - 1 <= len(w)),
+f AS (SELECT lang, len, phrase, count(*) AS a FROM o GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, len, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, len)) AS k FROM c),
+s AS (SELECT k.*, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * k.a // (x.a + y.a) AS BIGINT) AS score FROM k
+ JOIN f x ON x.lang = k.lang AND x.len = k.k AND x.phrase = array_to_string(w[1:k.k], ' ') JOIN f y ON y.lang = k.lang AND y.len = k.len - k.k AND y.phrase = array_to_string(w[k.k + 1:k.len], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM s),
+inside AS (SELECT c.lang, array_to_string(c.w[t.i:t.i + t.m - 1], ' ') AS phrase, max(c.a) AS a FROM c, (VALUES (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) t(i, m) WHERE t.m < c.len AND t.i + t.m - 1 <= c.len GROUP BY ALL),
+kept AS (SELECT b.* FROM b LEFT JOIN inside USING (lang, phrase) WHERE first = 1 AND (inside.a IS NULL OR 100 * CAST(inside.a AS HUGEINT) < 80 * CAST(b.a AS HUGEINT))),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
 ORACLE_SQL = {
     "op2_pivot_top_k": TOP_K,
     "op4_projection_forest": VECTORS,
     "op6_fingerprint_index": SUBSTRINGS,
     "op7_coordinate_join": NEAR_DUPLICATES,
     "op10_grammar_round_trip": CHATS,
+    "op11_positional_lists": PHRASES,
 }
