@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.scratch import discard, materialize
@@ -237,6 +237,12 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     return total, levels, used
 
 
+def cut_score(k: int, length: int) -> Column:
+    """Score of a phrase cut after ``k`` words, rounded down; exact, as products may pass 64 bits."""
+    whole = "AS DECIMAL(20,0))"
+    return F.expr(f"CAST(2000000 AS DECIMAL(7,0)) * CAST(a {whole} DIV (CAST(heads[{k - 1}] {whole} + CAST(tails[{length - k - 1}] {whole})")
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, max_words: int = 4, top: int = 2000) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language by score.
 
@@ -254,9 +260,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     for length, level in enumerate(levels[1:], 2):
         cuts = []
         for k in range(1, length):
-            l, r = f"heads[{k - 1}]", f"tails[{length - k - 1}]"
-            score = F.expr(f"CAST(2000000 AS DECIMAL(7,0)) * CAST(a AS {whole}) DIV (CAST({l} AS {whole}) + CAST({r} AS {whole}))")
-            cuts.append(F.struct(score.alias("score"), F.lit(k).alias("k"), F.expr(l).alias("l"), F.expr(r).alias("r")))
+            cuts.append(F.struct(cut_score(k, length).alias("score"), F.lit(k).alias("k"), F.get("heads", F.lit(k - 1)).alias("l"), F.get("tails", F.lit(length - k - 1)).alias("r")))
         scored = level.withColumn("cut", F.least(*cuts) if len(cuts) > 1 else cuts[0])
         if length <= max_words - 1:
             # A phrase two words longer is no more frequent than those between, so the next length is enough.

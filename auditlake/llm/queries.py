@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, neardup, packing, pagetext, phrases, quality, sharding, substrings, topk, vecdup
+from auditlake.llm import bytebpe, chat, crosstok, neardup, packing, pagetext, phrases, quality, sharding, substrings, topk, vecdup
 from auditlake.llm.sql import ORACLE_SQL
 from auditlake.sources.spread import spread
 
@@ -80,6 +80,11 @@ def op11_positional_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(texts(spark, sf_dir, "documents"), min_count=30, max_words=4, top=2000)
 
 
+def op12_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two public tokenizers align in every text."""
+    return crosstok.align_tokenizers(texts(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -94,4 +99,5 @@ QUERIES = {
     "op9_rank_queue_bpe": op9_rank_queue_bpe,
     "op10_grammar_round_trip": op10_grammar_round_trip,
     "op11_positional_lists": op11_positional_lists,
+    "op12_postings_cogroup": op12_postings_cogroup,
 }
