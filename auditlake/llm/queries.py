@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import bytebpe, chat, crosstok, neardup, packing, pagetext, phrases, quality, sharding, substrings, topk, vecdup
+from auditlake.llm import bytebpe, chat, crosstok, fingerprint, neardup, packing, pagetext, phrases, quality, sharding, substrings, topk, vecdup
 from auditlake.llm.sql import ORACLE_SQL
 from auditlake.sources.spread import spread
 
@@ -85,6 +85,11 @@ def op12_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosstok.align_tokenizers(texts(spark, sf_dir, "documents"))
 
 
+def op13_peeled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how much they differ."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
@@ -100,4 +105,5 @@ QUERIES = {
     "op10_grammar_round_trip": op10_grammar_round_trip,
     "op11_positional_lists": op11_positional_lists,
     "op12_postings_cogroup": op12_postings_cogroup,
+    "op13_peeled_sketches": op13_peeled_sketches,
 }
