@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.components import connected_components
@@ -328,7 +328,10 @@ def _components(docs: DataFrame, id_col: str, text_col: str, shingle: int, perce
     lists = _shared_lists(classes)
     with scratch_scope():
         families = _spanning(lists, "key", BLOCK, _list_stars, percent).withColumnsRenamed({"node": "id", "component": "fam"})
-        families = materialize(families.withColumn("c", F.count("*").over(Window.partitionBy("fam"))), "families", kept=True)
+        # Joins of written tables, not windows: adaptive execution can split a family that holds a third of all rows.
+        families = materialize(families, "members")
+        sizes = families.groupBy("fam").agg(F.count("*").alias("c"))
+        families = materialize(families.join(sizes.hint("merge"), "fam").select("id", "fam", "c"), "families", kept=True)
     discard(lists)
 
     # Full sets of the families' members, hashed from their whole texts again.
@@ -361,14 +364,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # An id that repeats with other texts stands for all of them.
     own = F.struct("set_hi", "set_lo")
     worded = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_hi", "set_lo")
-    again = worded.withColumn("other", F.min(own).over(Window.partitionBy("doc_id"))).filter(F.col("other") != own).distinct()
+    several = worded.groupBy("doc_id").agg(F.min(own).alias("other"), F.max(own).alias("last")).filter("other < last").drop("last")
+    again = worded.join(several.hint("merge"), "doc_id").filter(F.col("other") != own).select("set_hi", "set_lo", "other").distinct()
     names = classes.select("set_hi", "set_lo", F.col("id").alias("a"))
     others = classes.select(own.alias("other"), F.col("id").alias("b"))
     again = materialize(again.join(names, ["set_hi", "set_lo"]).join(others, "other").select("a", "b"), "again")
     if not again.isEmpty():
         found = connected_components(found.toDF("a", "b").union(again))
     named = found.join(classes.select(F.col("id").alias("node"), "doc_id"), "node")
-    known = named.select(F.col("node").alias("id"), F.min("doc_id").over(Window.partitionBy("component")).alias("component_id"))
+    named = materialize(named.select("node", "component", "doc_id"), "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    known = named.join(least.hint("merge"), "component").select(F.col("node").alias("id"), "component_id")
     classes = classes.join(known, "id", "left").select("set_hi", "set_lo", F.coalesce("component_id", "doc_id").alias("component_id"))
     rows = sets.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["set_hi", "set_lo"], "left")
     linked = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
@@ -382,7 +388,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows are documents here, whatever their ids: of a group the row with the
     smallest id stays (rows without an id come last), of equal ids the one whose
     text has the smallest hash, of rows that agree in both the first by their
-    other columns.  Rows without words link with nothing and stay.
+    other columns.  Rows without words link with nothing and stay.  Texts of any length are
+    compared whole; columns may have any names.
     """
     sets, classes, found = _components(docs, id_col, text_col, shingle, percent, null_ids=True)
     named = found.join(classes.select(F.col("id").alias("node"), "no_id", "doc_id", "th"), "node")
@@ -394,7 +401,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keep = materialize(keep.select("_k", "_no_id", F.col("th").alias("_th"), ((F.col("_c") > 1) & (F.col("_n") > 0)).alias("_many")), "keep")
     own = F.col(id_col).cast("long")
     discard(sets, classes, found)
-    rows = docs.select("*", F.coalesce(own, F.lit(0)).alias("_k"), own.isNull().alias("_no_id"), _text_hash(F.col(text_col)).alias("_th"))
+    # The input goes along as one struct, so that no name of its columns can meet one of these.
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+    rows = docs.select(whole, F.coalesce(own, F.lit(0)).alias("_k"), own.isNull().alias("_no_id"), _text_hash(F.col(text_col)).alias("_th"))
     rows = rows.join(keep, ["_k", "_no_id", "_th"])
-    once = rows.filter("_many").groupBy("_k", "_no_id", "_th").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("r"))
-    return rows.filter("NOT _many").select(docs.columns).unionByName(once.select("r.*"))
+    once = rows.filter("_many").groupBy("_k", "_no_id", "_th").agg(F.min("row").alias("row"))
+    return rows.filter("NOT _many").select("row").unionByName(once.select("row")).select("row.*")

@@ -10,8 +10,8 @@ their step on a fixed scale; and metadata of the text itself (its length and its
 words and lines).  Labels, language, source and id are never features.
 
 The model is fitted on the driver from at most ``max_rows`` labelled rows, a
-hash sample.  A text's words are summed up by slot, so a row holds at most
-``_SLOTS`` features, in training as in scoring, and none is left out.  Whole
+hash sample, which is read from a file of the driver's a row at a time.  A text's words are
+summed up by slot, so a row holds at most ``_SLOTS`` features, in training as in scoring, and none is left out.  Whole
 texts are scored, all of them, by one pass.
 """
 
@@ -21,9 +21,11 @@ import operator
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import islice
+from tempfile import TemporaryFile
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.llm.scratch import discard, materialize
+
 BUCKETS = 1 << 16
 FACTORS = 8
 _STEPS = 12
+#: Features that are scored together.
+_TOGETHER = 100_000
 _STATS = ("upper", "digit", "space", "stop", "shout", "sign", "other", "repeat", "distinct", "top", "bare", "lines_same", "word_len", "log_chars", "log_words", "log_lines")
 _SLOTS = BUCKETS + len(_STATS) * (1 + _STEPS)
 
@@ -129,7 +135,25 @@ class FactorisationMachine:
         slots, values = features(text)
         return float(1 / (1 + np.exp(-np.clip(self.margin(slots, values)[0], -30, 30))))
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 0.05, decay: float = 1e-5) -> None:
+    def score_all(self, texts: list[str]) -> np.ndarray:
+        """Scores of texts, the features of a few at a time by one sum over all of them."""
+        if self.constant is not None:
+            return np.full(len(texts), self.constant)
+        out, held, size = np.empty(len(texts)), [], 0
+        for i, text in enumerate(texts):
+            held.append(features(text))
+            size += len(held[-1][0])
+            if size > _TOGETHER or i + 1 == len(texts):
+                slots, values = (np.concatenate(x) for x in zip(*held))
+                starts = np.cumsum([0, *(len(s) for s, _ in held[:-1])])
+                vx = self.factors[slots] * values[:, None]
+                pairs = np.add.reduceat(vx, starts) ** 2 - np.add.reduceat(vx * vx, starts)
+                margin = self.bias + np.add.reduceat(self.weights[slots] * values, starts) + 0.5 * pairs.sum(axis=1)
+                out[i + 1 - len(held) : i + 1] = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
+                held, size = [], 0
+        return out
+
+    def fit(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 0.05, decay: float = 1e-5) -> None:
         rng = np.random.default_rng(7)
         past_w, past_v, past_b = np.full(_SLOTS, 1e-3, np.float32), np.full((_SLOTS, FACTORS), 1e-3, np.float32), 1e-3
         # Both classes weigh the same in sum, at most tenfold.
@@ -180,15 +204,38 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> Fac
             yield pa.record_batch([batch.column(1), batch.column(2), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "quality", "slots", "values"])
 
     found = rows.select("text", "doc_id", "quality").mapInArrow(extract, "doc_id long, quality int, slots binary, values binary")
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    y = table.column("quality").to_numpy()
+    found = materialize(found, "sample")
+    y = np.array([r.quality for r in found.select("quality", "doc_id").orderBy("doc_id").collect()], np.int64)  # at most max_rows
     if len(set(y.tolist())) < 2:
+        discard(found)
         return FactorisationMachine(float(y.mean()) if len(y) else 1.0)
     model = FactorisationMachine()
-    model.fit([(np.frombuffer(s, "<i4"), np.frombuffer(v, "<f4")) for s, v in zip(table.column("slots").to_pylist(), table.column("values").to_pylist())], y)
+    with TemporaryFile() as store:
+        model.fit(_Stored(found.orderBy("doc_id").select("slots", "values").toLocalIterator(), store), y)
+    discard(found)
     return model
 
 
+class _Stored:
+    """Rows of features in a file of the driver's: one is in memory at a time, however long the texts were."""
+
+    def __init__(self, rows: Iterable, store: BinaryIO):
+        self.store, self.places = store, []
+        for slots, values in rows:
+            self.places.append((store.tell(), len(slots) // 4))
+            store.write(slots)
+            store.write(values)
+        store.flush()
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, n = self.places[i]
+        self.store.seek(at)
+        return np.frombuffer(self.store.read(4 * n), "<i4"), np.frombuffer(self.store.read(4 * n), "<f4")
+
+
 def score_column(spark: SparkSession, model: FactorisationMachine, text: Column) -> Column:
     """Score of a text column between 0 and 1.
 
@@ -199,7 +246,7 @@ def score_column(spark: SparkSession, model: FactorisationMachine, text: Column)
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         machine = shared.value
-        return pd.Series([machine.score(t or "") for t in texts], dtype="float64")
+        return pd.Series(machine.score_all([t or "" for t in texts]), dtype="float64")
 
     return score.asNondeterministic()(text.cast("string"))  # so that it runs once a row, wherever its column is used
 

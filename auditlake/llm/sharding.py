@@ -49,18 +49,25 @@ def interleave(
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, source``.
     A null text has size ``overhead`` and the checksum of no bytes; null sources
     form a source of their own; null ids and repeated rows are placed like any
-    row (rows that agree in id, source and text may swap places); an empty
-    table gives no rows; further columns are ignored.
+    row (rows that share an id, or have none, take places by text and by where they stand in the table); an empty
+    table gives no rows; further columns are ignored.  A text of any length counts
+    whole; only its size and checksum leave the scan.
     """
     raw = F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b""))
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         (F.length(raw) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        digest.alias("_h"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    # An id that repeats, or is null, is no order; its rows are told apart by text and place in the table, so that they spread.
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+    again = rows.groupBy("_id", "_none").agg(F.count("*").alias("_c")).filter("_c > 1").select("_id", "_none", F.lit(True).alias("_again"))
+    rows = rows.join(again.hint("merge"), ["_id", "_none"], "left")
+    one, many = [F.lit(seed), F.col("doc_id").cast("string")], [F.col("text_crc32").cast("string"), F.col("_row").cast("string")]
+    digest = F.when(F.col("_again"), F.md5(F.concat_ws("|", *one, *many))).otherwise(F.md5(F.concat_ws("|", *one)))
+    rows = rows.select("doc_id", "source", "size", "text_crc32", digest.alias("_h"))
     own = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # joins by equality, null included
     rows = rows.withColumn("_src", own)
     totals = docs.select(F.col(source_col).cast("string").alias("source")).select(own.alias("_src")).groupBy("_src").agg(F.count("*").alias("_n"))

@@ -320,18 +320,28 @@ def dedup_batch(docs: DataFrame, index: FingerprintIndex, history: DataFrame, id
     return repeated_windows(docs, id_col, text_col, window, index=index, history=history)[0].drop("th")
 
 
+def _quoted(name: str) -> str:
+    """A column's name as it stands in an expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """``docs`` with each text cut to its other words; texts that lose nothing stay as they are.
 
     ``docs`` has ``doc_id`` and ``text``; ``n_chars``, if there, is counted anew
-    where a text changed.  A text that loses all of its words becomes empty.
+    where a text changed.  A text that loses all of its words becomes empty.  Texts of
+    any length are cut whole; further columns stay as they are, whatever their names.
     """
     rows, cuts, used = repeated_windows(docs, window=window)
     change = rows.filter("n_removed > 0").select("doc_id", "th", (F.col("n_removed") == F.col("n_words")).alias("_all")).dropDuplicates(["doc_id", "th"])
     change = materialize(_join_key(change, cuts, "left").select("doc_id", "th", F.when(F.col("_all"), F.lit("")).otherwise(F.col("kept")).alias("_kept")), "change")
     discard(*used)
-    out = _join_key(docs.withColumn("th", _text_key()), change, "left")
-    changed = F.col("_kept").isNotNull()
+    # The input goes along as one struct, so that no name of its columns can meet one of these.
+    wrapped = docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = _join_key(wrapped.withColumn("th", _text_key()), change, "left")
+    kept = F.col("_kept")
+    new = {"text": kept.cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.when(changed, F.col("_kept")).otherwise(F.col("text"))).select(docs.columns)
+        new["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    return out.select(*((F.when(kept.isNotNull(), new[c]).otherwise(own[c]) if c in new else own[c]).alias(c) for c in docs.columns))

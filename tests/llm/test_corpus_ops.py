@@ -414,5 +414,81 @@ def test_pipeline_loses_no_text(spark, tmp_path):
         assert stage(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    """Columns that are named like those a stage works with come out as they went in; very long texts pass whole."""
+    names = ["th", "_k", "_n", "_kept", "_th", "_no_id", "row", "_all", "_many", "a.b", "c`d", "n_words", "fp"]
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choices([f"v{i}" for i in range(9000)], k=n))
+    a, b, long = text(60), text(70), text(200_000)
+    texts = [a, a, b + " " + a, None, "", long]
+    rows = [(i, t, *(f"mine {i} {c}" for c in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names]).withColumn("n_chars", F.char_length("text"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["quality classifier"](spark, docs, str(tmp_path))
+    second = stages["MinHash near-dedup"](spark, docs, "")
+    third = stages["substring dedup"](spark, docs, "")
+    for out, left in ((first, 6), (second, 5), (third, 6)):
+        assert out.schema == docs.schema or out.columns == docs.columns
+        found = out.collect()
+        assert len(found) == left
+        for r in found:
+            assert list(r)[2:-1] == [f"mine {r['doc_id']} {c}" for c in names]
+            assert r["n_chars"] == (None if r["text"] is None else len(r["text"]))
+    texts = {r["doc_id"]: r["text"] for r in third.collect()}
+    assert texts[0] == texts[1] == "" and texts[2] == b and texts[3] is None and texts[5] == long
+    assert {r["doc_id"] for r in second.collect()} == {0, 2, 3, 4, 5}
+    packed = stages["best-fit packing"](spark, docs, "").collect()
+    assert sum(r["length"] for r in packed if r["doc_id"] == 5) > 200_000
+
+
+def test_shards_spread_a_hot_id(spark):
+    """A third of the rows share an id and a text, a third have no id: no bucket of ranks holds more than a few."""
+    rows = [(7, "same", "s")] * 900 + [(None, f"t{i % 3}", "s") for i in range(900)] + [(i + 1000, "x" * (i % 50), "s") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    found = interleave(docs, shards=9).collect()
+    assert Counter(r["shard"] for r in found) == {s: 300 for s in range(9)}
+    for test in (lambda r: r["doc_id"] == 7, lambda r: r["doc_id"] is None):
+        assert all(50 <= n <= 150 for n in Counter(r["shard"] for r in found if test(r)).values())
+    assert interleave(spark.createDataFrame([(1, "y" * 3_000_000, None)], "doc_id long, text string, source string"), shards=2).first()["size"] == 3_000_016
+
+
+def test_near_duplicates_with_a_hot_family(spark):
+    """A third of the rows are near copies of one text and share an id with nothing else."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))) for i in range(200)]
+    rows += [(5000, rows[3][1]), (5000, rows[450][1]), (5000, rows[451][1])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+    group = {r["doc_id"] for r in got if r["component_id"] == 0}
+    assert group == {*range(400), 5000, rows[450][0], rows[451][0]}
+    assert sum(r["kept"] for r in got) == len({r["component_id"] for r in got})
+
+
+def test_quality_fits_on_books_in_little_memory(spark, tmp_path):
+    """Long labelled texts: rows of features are read one at a time, and a long text scores like a short one by itself."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    text = lambda i: " ".join(f"{'good' if i % 2 else 'bad'}{rng.randrange(40_000)}" for _ in range(20_000))
+    rows = [(i, text(i)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    tracemalloc.start()
+    model = quality.fit_quality(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # the model and its gradients; all rows at once would take 2 MB each in a list
+    some = [rows[0][1], "", rows[1][1], "short"]
+    assert np.allclose(model.score_all(some), [model.score(t) for t in some], atol=1e-5)
+
+
 def test_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
