@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from functools import reduce
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,61 +48,92 @@ def signal_pattern(signal: str) -> str:
     return f"{FLAGS}{head}{quoted}{tail}"
 
 
-def first_signals(value: Column, groups: list[tuple[str, ...]], bounded: bool = True) -> Column:
-    """Array of (``g``: number of a group of signals, ``signal``: its first one that ``value`` holds), by group.
+def sql_text(s: str) -> str:
+    """A string as SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    Each group is a fold over its signals, whose patterns are literals and so
-    compiled once.  A plain search in the lower-cased text goes first; only
-    signals it finds are tried as patterns.  Signals hold ASCII mostly, so the search
-    misses only texts with other characters that fold to ASCII, and those skip
-    it.  Without ``bounded`` the plain search decides.
-    """
-    groups = [(g, signals) for g, signals in enumerate(groups) if signals]
-    if not groups:
-        return F.array().cast("array<struct<g:int,signal:string>>")
-
-    def fold(t: Column) -> Column:
-        def test(s: str) -> Column:
-            plain = F.contains(t["low"], F.lit(s.lower()))
-            return (plain | t["odd"]) & F.rlike(t["value"], F.lit(signal_pattern(s))) if bounded else plain
-
-        return F.array(*(F.struct(F.lit(g).alias("g"), F.coalesce(*(F.when(test(s), F.lit(s)) for s in signals)).alias("signal")) for g, signals in groups))
-
-    # A lambda's variable is evaluated once, so the lower-cased text isn't computed anew for each signal.
-    prepared = F.array(F.struct(value.alias("value"), F.lower(value).alias("low"), value.rlike(ODD_FOLDS).alias("odd")))
-    return F.filter(F.flatten(F.transform(prepared, fold)), lambda h: h["signal"].isNotNull())
 
+def sql_table(value: object, schema: str) -> str:
+    """A constant of nested lists and objects as SQL; the optimiser reads it once."""
+    return f"from_json({sql_text(json.dumps(value))}, {sql_text(schema)})"
 
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
 
+#: The text that signals are looked up in: lower case, with all characters that fold to ASCII letters.
+LOW = "lower(translate(value, 'ſ\u212a', 'sk'))"
+_ENTRY = "struct<g:int,o:int,signal:string,low:string,pattern:string>"
 
-def kind_ok(source: Column, kinds: tuple[str, ...]) -> Column:
-    """Prefix test; no prefixes allow any source."""
-    return any_of([source.startswith(k) for k in kinds]) if kinds else F.lit(True)
 
+def first_signals(groups: tuple[tuple[str, ...], ...]) -> str:
+    """SQL for an array of (``g``: number of a group of signals, ``signal``: its first one that ``value`` holds), by group.
 
-def holds_context(value: Column, fragments: tuple[str, ...]) -> Column:
-    """Whether any fragment is found anywhere in the whole value."""
-    return any_of([value.rlike(FLAGS + f) for f in fragments])
-
-
-def context_ok(value: Column, step: Step) -> tuple[Column, Column]:
-    """(fires, ambiguous) for a single action: a denied one still fires, as ambiguous, if a required context is there."""
+    A signal is entered under its first word.  The words of ``low`` (``LOW`` as a column; runs
+    of ASCII letters, digits and underscores) are looked up in a set, those found there in a table by their
+    checksum, so a text costs in proportion to its words, however many signals there are; only signals found there are searched for, and these tried as
+    patterns.  As a pattern ends at word boundaries where the signal starts or ends in a word, its first word is a
+    whole word of any text it fits.  Signals without an ASCII word are searched for in every text.
+    """
+    words: dict[str, list[dict]] = {}
+    loose = []
+    for g, signals in enumerate(groups):
+        for o, signal in enumerate(signals):
+            low = signal.translate({0x17F: "s", 0x212A: "k"}).lower()
+            entry = {"g": g, "o": o, "signal": signal, "low": low, "pattern": signal_pattern(signal)}
+            word = re.search(r"[a-z0-9_]+", low) if signal.isascii() else None
+            words.setdefault(word[0], []).append(entry) if word else loose.append(entry)
+    size = 1 << max(4, (2 * len(words)).bit_length())
+    table: list[list[dict]] = [[] for _ in range(size)]
+    for word, entries in words.items():
+        table[zlib.crc32(word.encode()) % size].extend(entries)
+    known = ", ".join(map(sql_text, sorted(words)))
+    near = f"array_distinct(filter(split(low, '[^a-z0-9_]+'), w -> w IN ({known})))" if words else "CAST(array() AS array<string>)"
+    near = f"flatten(transform({near}, w -> get({sql_table(table, f'array<array<{_ENTRY}>>')}, CAST(crc32(CAST(w AS BINARY)) % {size} AS INT))))"
+    if loose:
+        near = f"concat({near}, {sql_table(loose, f'array<{_ENTRY}>')})"
+    held = f"array_sort(filter({near}, x -> contains(low, x.low) AND rlike(value, x.pattern)))"
+    # A transform over one item names it, so that it is evaluated once.
+    return f"flatten(transform(array({held}), a -> transform(filter(a, (x, i) -> i = 0 OR a[i - 1].g != x.g), x -> named_struct('g', x.g, 'signal', x.signal))))"
+
+
+def contained_signals(groups: tuple[tuple[str, ...], ...]) -> str:
+    """As ``first_signals``, by plain search in ``low``, inside words as well."""
+    made = []
+    for g, signals in enumerate(groups):
+        first = " ".join(f"WHEN contains(low, {sql_text(s.lower())}) THEN {sql_text(s)}" for s in signals)
+        made.append(f"named_struct('g', {g}, 'signal', CASE {first} END)" if signals else "")
+    return f"filter(array({', '.join(filter(None, made))}), h -> h.signal IS NOT NULL)"
+
+
+def _any(tests: list[str]) -> str:
+    return f"({' OR '.join(tests)})" if tests else "false"
+
+
+def kind_ok(kinds: tuple[str, ...]) -> str:
+    """SQL for the prefix test of ``source``; no prefixes allow any."""
+    return _any([f"startswith(source, {sql_text(k)})" for k in kinds]) if kinds else "true"
+
+
+def holds_context(fragments: tuple[str, ...]) -> str:
+    """SQL for whether any fragment is found anywhere in the whole ``value``."""
+    return _any([f"rlike(value, {sql_text(FLAGS + f)})" for f in fragments])
+
+
+def context_ok(step: Step) -> tuple[str, str]:
+    """SQL for (fires, ambiguous) of a single action: a denied one still fires, as ambiguous, if a required context is there."""
+    require = holds_context(step.require) if step.require else "true"
     if not step.deny:
-        return (holds_context(value, step.require) if step.require else F.lit(True)), F.lit(False)
-    denied = holds_context(value, step.deny)
-    return (holds_context(value, step.require), denied) if step.require else (~denied, F.lit(False))
+        return require, "false"
+    denied = holds_context(step.deny)
+    return (require, denied) if step.require else (f"NOT {denied}", "false")
 
 
-def step_ok(source: Column, value: Column, step: Step) -> Column:
-    """Source kinds and contexts of one side of an ordered pair; here a denied context always stops it."""
-    ok = kind_ok(source, step.source_kinds)
+def step_ok(step: Step) -> str:
+    """SQL for source kinds and contexts of one side of an ordered pair; here a denied context always stops it."""
+    tests = [kind_ok(step.source_kinds)]
     if step.require:
-        ok = ok & holds_context(value, step.require)
+        tests.append(holds_context(step.require))
     if step.deny:
-        ok = ok & ~holds_context(value, step.deny)
-    return ok
+        tests.append(f"NOT {holds_context(step.deny)}")
+    return " AND ".join(tests)
 
 
 def glob_regex(glob: str) -> str:

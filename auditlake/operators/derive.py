@@ -47,10 +47,17 @@ def baseline_diff(findings: DataFrame, baseline: DataFrame) -> DataFrame:
         columns.append(value.cast(f.dataType).alias(f.name))
     # Both sides meet in one shuffle by key, so each is read once.
     both = findings.withColumn("_now", F.lit(True)).unionByName(baseline.select(columns).withColumn("_now", F.lit(False)))
+    return baseline_states(both, "_now").select(findings.columns)
+
+
+def baseline_states(both: DataFrame, now: str) -> DataFrame:
+    """As ``baseline_diff`` for findings of both sides in one table, told apart by the truth value ``now``, which goes."""
+    columns = [c for c in both.columns if c not in (now, "baseline_state")]
+    both = both.select(*columns, F.col(now).alias("_now"))
     same = Window.partitionBy("scan_id", "id", "triggering_signal")
     both = both.withColumn("_both", F.min("_now").over(same) != F.max("_now").over(same))
     state = F.when(~F.col("_now"), "absent").when(F.col("_both"), "unchanged").otherwise("new")
-    return both.filter("_now OR NOT _both").withColumn("baseline_state", state).select(findings.columns)
+    return both.filter("_now OR NOT _both").select(*columns, state.alias("baseline_state"))
 
 
 def baseline_counts(diffed: DataFrame) -> DataFrame:

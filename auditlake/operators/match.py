@@ -1,15 +1,16 @@
 """The five matching passes: actions and a rule pack make hits.
 
-One projection reads the actions: signals of all rules are tried on each row,
-contexts, kinds, argv and shell grammar for hits only, and no rule table is
-joined.  Only hits are ever shuffled, first by stretches of ``seq`` within a
+One projection reads the actions: the words of each row are looked up in a table
+of all rules' signals, contexts, kinds, argv and shell grammar are tried for hits only, and no
+rule table is joined.  The expressions of a list of rules are SQL texts, written once.  Only hits are ever shuffled, first by stretches of ``seq`` within a
 scan and rule, so that a scan with a third of all hits spreads over tasks, then
 what each stretch leaves by scan and rule.  So a detection run is one scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,35 +31,39 @@ def _no_hits(actions: DataFrame) -> DataFrame:
     return actions.filter(F.lit(False)).select("scan_id", F.lit(0).alias("pass"), "seq", F.lit(0).alias("rule_ord"), F.lit("").alias("code"), F.lit("").alias("signal"), "source", F.lit(False).alias("ambiguity"))
 
 
-def _per_rule(rules: list[Rule], make) -> Column:
-    """A value by ``rule_ord``."""
-    return reduce(lambda out, r: F.when(F.col("rule_ord") == r.ord, make(r)).otherwise(out), rules, F.lit(None))
+def _per_rule(rules: list[Rule], kind: str, make) -> Column:
+    """A constant by ``rule_ord``."""
+    values = [None] * (max((r.ord for r in rules), default=0) + 1)
+    for r in rules:
+        values[r.ord] = make(r)
+    return F.expr(f"get({text.sql_table(values, f'array<{kind}>')}, rule_ord)")
 
 
-def _by_group(cases: dict[int, Column], default: Column) -> Column:
-    return reduce(lambda out, kv: F.when(F.col("h.g") == kv[0], kv[1]).otherwise(out), cases.items(), default)
+def _argv_test(r: Rule) -> str:
+    tests = [f"_argv.program = {text.sql_text(r.binary)}"]
+    tests += [f"array_contains(_argv.flags, {text.sql_text(f)})" for f in r.flags]
+    tests += [text.holds_context(r.main.require)] if r.main.require else []
+    tests += [f"NOT {text.holds_context(r.main.deny)}"] if r.main.deny else []
+    return " AND ".join(tests)
 
 
-def _argv_tests(rules: list[Rule]) -> list[tuple[Rule, Column]]:
-    tests = []
-    for r in rules:
-        ok = (F.col("_argv.program") == r.binary) & (F.size(F.array_except(F.array(*(F.lit(f) for f in r.flags)), F.col("_argv.flags"))) == 0 if r.flags else F.lit(True))
-        if r.main.require:
-            ok = ok & text.holds_context(F.col("value"), r.main.require)
-        if r.main.deny:
-            ok = ok & ~text.holds_context(F.col("value"), r.main.deny)
-        tests.append((r, ok))
-    return tests
+@dataclass(frozen=True)
+class _Plan:
+    """SQL of a list of rules, written once."""
 
+    hits: str
+    fires: str
+    unsure: str
+    parts: str
+    argv: bool
+    grammar: bool
 
-def tagged(actions: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Every part of a rule that an action plays: ``scan_id, seq, source, value, rule_ord, role, signal, ambiguity`` and the columns to ``carry``.
 
-    Roles: ``single`` (with the rule's first signal that the action holds; rendered calls,
-    ``sink:``, are no single actions), ``source`` and ``sink`` of an ordered pair, ``shell``.  Stateless: it
-    runs on streams as well.  Rules that share a side share its test.
-    """
-    source, value = F.col("source"), F.col("value")
+_PART = "struct<rule_ord:int,role:string,signal:string>"
+
+
+@lru_cache(maxsize=64)
+def _plan(rules: tuple[Rule, ...]) -> _Plan:
     singles = [r for r in rules if r.kind == "single"]
     pairs = [r for r in rules if r.kind in _ARROW]
     argv = [r for r in rules if r.kind == "shell" and not r.constructs]
@@ -67,47 +72,67 @@ def tagged(actions: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -
     for r in pairs:
         for s in (r.source, r.sink):
             steps.setdefault(s, len(singles) + len(steps))
-    hits = text.first_signals(value, [r.main.signals for r in singles] + [s.signals for s in steps])
-    bash = source.startswith("session:Bash")
-    marked = F.struct(F.lit(0).alias("g"), F.lit("").alias("signal"))
+    hits = text.first_signals((*(r.main.signals for r in singles), *(s.signals for s in steps)))
+    bash = "startswith(source, 'session:Bash')"
     extra = []
     if argv:
-        near = text.any_of([value.contains(r.binary) | value.contains("\\") | value.contains("'") | value.contains('"') for r in argv])
-        extra.append((_ARGV, bash & near))
+        near = " OR ".join([*(f"contains(value, {text.sql_text(b)})" for b in sorted({r.binary for r in argv})), *(f"contains(value, {text.sql_text(c)})" for c in "\\'\"")])
+        extra.append((_ARGV, f"{bash} AND ({near})"))
     if grammar:
         # Every construct but Simple and Redirection has one of these characters, and the latter has < or >.
         wanted = {shell.ALIASES.get(c, c) for r in grammar for c in r.constructs}
-        extra.append((_GRAMMAR, bash & (F.lit(True) if "Simple" in wanted else value.rlike("[|(`<>]"))))
+        extra.append((_GRAMMAR, bash if "Simple" in wanted else f"{bash} AND rlike(value, '[|(`<>]')"))
     for g, test in extra:
-        hits = F.concat(hits, F.when(test, F.array(marked.withField("g", F.lit(g)))).otherwise(F.array().cast("array<struct<g:int,signal:string>>")))
+        hits = f"concat({hits}, if({test}, array(named_struct('g', {g}, 'signal', '')), array()))"
+    # Kinds and contexts of the groups that have any; other single actions need only be no rendered calls.
+    fires, unsure = [], []
+    for g, r in enumerate(singles):
+        ok, ambiguous = text.context_ok(r.main)
+        if ok != "true" or r.main.source_kinds:
+            fires.append(f"WHEN {g} THEN NOT startswith(source, 'sink:') AND {text.kind_ok(r.main.source_kinds)} AND {ok}")
+        if ambiguous != "false":
+            unsure.append(f"WHEN {g} THEN {ambiguous}")
+    fires += [f"WHEN {g} THEN {ok}" for s, g in steps.items() if (ok := text.step_ok(s)) != "true"]
+    default = f"h.g < 0 OR h.g >= {len(singles)} OR NOT startswith(source, 'sink:')"
+    plays = [[{"rule_ord": r.ord, "role": "single"}] for r in singles]
+    plays += [[{"rule_ord": r.ord, "role": role} for r in pairs for role, x in (("source", r.source), ("sink", r.sink)) if x == s] for s in steps]
+    parts = [f"WHEN h.g >= 0 THEN transform(get({text.sql_table(plays, 'array<array<struct<rule_ord:int,role:string>>>')}, h.g), p -> named_struct('rule_ord', p.rule_ord, 'role', p.role, 'signal', h.signal))"]
+    tests = [(_ARGV, r, _argv_test(r)) for r in argv]
+    for r in grammar:
+        names = ", ".join(text.sql_text(shell.ALIASES.get(c, c)) for c in r.constructs)
+        tests.append((_GRAMMAR, r, f"arrays_overlap(_has, array({names}))"))
+    for g in (_ARGV, _GRAMMAR):
+        made = [f"if({t}, named_struct('rule_ord', {r.ord}, 'role', 'shell', 'signal', {text.sql_text(text.rule_signal_label(r))}), NULL)" for k, r, t in tests if k == g]
+        if made:
+            parts.append(f"WHEN h.g = {g} THEN array_compact(array({', '.join(made)}))")
+    return _Plan(
+        hits,
+        f"CASE h.g {' '.join(fires)} ELSE {default} END" if fires else default,
+        f"CASE h.g {' '.join(unsure)} ELSE false END" if unsure else "false",
+        f"explode(CAST(CASE {' '.join(parts)} END AS array<{_PART}>))",
+        bool(argv),
+        bool(grammar),
+    )
+
+
+def tagged(actions: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
+    """Every part of a rule that an action plays: ``scan_id, seq, source, value, rule_ord, role, signal, ambiguity`` and the columns to ``carry``.
+
+    Roles: ``single`` (with the rule's first signal that the action holds; rendered calls,
+    ``sink:``, are no single actions), ``source`` and ``sink`` of an ordered pair, ``shell``.  Stateless: it
+    runs on streams as well.  Rules that share a side share its test.
+    """
+    plan = _plan(tuple(rules))
+    columns = ["scan_id", "seq", "source", "value", *carry]
     # Outer, as a plain explode makes the optimiser test the whole expression once more for being empty; rows without hits fail the filter.
-    found = actions.select("scan_id", "seq", "source", "value", *carry, F.explode_outer(hits).alias("h"))
+    found = actions.select(*columns, F.expr(text.LOW).alias("low")).select(*columns, F.expr(f"explode_outer({plan.hits})").alias("h"))
     # From here on there are hits only: kinds, contexts, argv and grammar.
-    fires, unsure = {g: text.step_ok(source, value, s) for s, g in steps.items()}, {}
-    for g, r in enumerate(singles):
-        ok, ambiguous = text.context_ok(value, r.main)
-        fires[g] = ~source.startswith("sink:") & text.kind_ok(source, r.main.source_kinds) & ok
-        if r.main.require and r.main.deny:
-            unsure[g] = ambiguous
-    found = found.filter(_by_group(fires, F.col("h.g") < 0)).withColumn("ambiguity", _by_group(unsure, F.lit(False)))
-    part = "array<struct<rule_ord:int,role:string,signal:string>>"
-
-    def parts(rows: list[tuple[Rule, str]]) -> Column:
-        return F.array(*(F.struct(F.lit(r.ord).alias("rule_ord"), F.lit(role).alias("role"), F.col("h.signal").alias("signal")) for r, role in rows)).cast(part)
-
-    plays = {g: parts([(r, "single")]) for g, r in enumerate(singles)}
-    plays |= {g: parts([(r, role) for r in pairs for role, x in (("source", r.source), ("sink", r.sink)) if x == s]) for s, g in steps.items()}
-    tests = {}
-    if argv:
-        found = found.withColumn("_argv", shell.argv_udf(F.when(F.col("h.g") == _ARGV, value)))
-        tests[_ARGV] = _argv_tests(argv)
-    if grammar:
-        found = found.withColumn("_has", shell.constructs_udf(F.when(F.col("h.g") == _GRAMMAR, value)))
-        tests[_GRAMMAR] = [(r, F.arrays_overlap(F.col("_has"), F.array(*(F.lit(shell.ALIASES.get(c, c)) for c in r.constructs)))) for r in grammar]
-    for g, rows in tests.items():
-        made = [F.when(t, F.struct(F.lit(r.ord).alias("rule_ord"), F.lit("shell").alias("role"), F.lit(text.rule_signal_label(r)).alias("signal"))) for r, t in rows]
-        plays[g] = F.array_compact(F.array(*made)).cast(part)
-    found = found.select("scan_id", "seq", "source", "value", "ambiguity", *carry, F.explode(_by_group(plays, F.array().cast(part))).alias("p"))
+    found = found.filter(F.expr(plan.fires)).withColumn("ambiguity", F.expr(plan.unsure))
+    if plan.argv:
+        found = found.withColumn("_argv", shell.argv_udf(F.expr(f"if(h.g = {_ARGV}, value, NULL)")))
+    if plan.grammar:
+        found = found.withColumn("_has", shell.constructs_udf(F.expr(f"if(h.g = {_GRAMMAR}, value, NULL)")))
+    found = found.select("scan_id", "seq", "source", "value", "ambiguity", *carry, F.expr(plan.parts).alias("p"))
     return found.select("scan_id", "seq", "source", "value", "p.rule_ord", "p.role", "p.signal", "ambiguity", *carry)
 
 
@@ -119,8 +144,8 @@ def single_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
 
 def as_hits(rows: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """``_HIT`` columns of rows that have all but pass and code."""
-    number = _per_rule(rules, lambda r: F.lit(PASSES["shell_ast" if r.constructs else r.kind]))
-    return rows.select("scan_id", number.alias("pass"), "seq", "rule_ord", _per_rule(rules, lambda r: F.lit(r.code)).alias("code"), "signal", "source", "ambiguity", *carry)
+    number = _per_rule(rules, "int", lambda r: PASSES["shell_ast" if r.constructs else r.kind])
+    return rows.select("scan_id", number.alias("pass"), "seq", "rule_ord", _per_rule(rules, "string", lambda r: r.code).alias("code"), "signal", "source", "ambiguity", *carry)
 
 
 def first_per_signal(hits: DataFrame) -> DataFrame:
@@ -138,7 +163,7 @@ def reduced(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     Values are kept for rules that compare them only.
     """
     shared = ["scan_id", "unit", "label"]
-    code = _per_rule(rules, lambda r: F.lit(r.code))
+    code = _per_rule(rules, "string", lambda r: r.code)
     single = F.col("role") == "single"
     kept = F.when(F.col("rule_ord").isin([r.ord for r in rules if r.roles]), F.col("value")) if any(r.roles for r in rules) else F.lit(None).cast("string")
     # Hits of one signal of a code are one unit, whatever the rule; other parts go by rule.
@@ -187,7 +212,7 @@ def _found(actions: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = came_from_source(reduced(tagged(actions, rules), rules), rules)
     pairs = [r for r in rules if r.kind in _ARROW]
     if pairs:
-        arrow = _per_rule(pairs, lambda r: F.lit(_ARROW[r.kind]))
+        arrow = _per_rule(pairs, "string", lambda r: _ARROW[r.kind])
         rows = rows.withColumn("signal", F.coalesce(F.concat("src_signal", arrow, "signal"), "signal"))
     return as_hits(rows, rules)
 
@@ -220,9 +245,10 @@ def all_hits(actions: DataFrame, pack: RulePack, shell_ast: bool = False) -> Dat
 def naive_hits(actions: DataFrame, pack: RulePack) -> DataFrame:
     """The baseline: plain substrings of any single-action rule, no boundaries and no contexts."""
     rules = pack.of_kind("single")
-    hits = text.first_signals(F.col("value"), [r.main.signals for r in rules], bounded=False)
-    codes = F.array(*(F.lit(r.code) for r in rules))
-    return actions.select("scan_id", "seq", F.explode_outer(hits).alias("h")).filter("h.g IS NOT NULL").select("scan_id", "seq", F.get(codes, F.col("h.g")).alias("code"), F.col("h.signal").alias("signal"))
+    hits = text.contained_signals(tuple(r.main.signals for r in rules))
+    rows = actions.select("scan_id", "seq", F.expr(text.LOW).alias("low")).select("scan_id", "seq", F.expr(f"explode_outer({hits})").alias("h")).filter("h.g IS NOT NULL")
+    codes = text.sql_table([r.code for r in rules], "array<string>")
+    return rows.select("scan_id", "seq", F.expr(f"get({codes}, h.g)").alias("code"), F.col("h.signal").alias("signal"))
 
 
 def marker_then_call(rows: DataFrame, marker: Column, call: Column, keys: list[str], order: str) -> DataFrame:

@@ -334,11 +334,12 @@ def _traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("lang").alias("model"), metrics.bucket(F.col("quality") == 1, F.col("doc_id") % 4 != 0).alias("bucket"), toxic.alias("detected"), (F.col("quality") == 1).alias("marker"), toxic.alias("sink"), "doc_id")
 
 
-def _baseline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Findings of the even and of the odd events, as now and before."""
-    actions = _events(spark, sf_dir)
-    now, before = (enrich(match.all_hits(actions.filter(F.col("seq") % 2 == k), PACK), PACK) for k in (0, 1))
-    return now, before.drop("source")
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the even events, compared with those of the odd ones: one detection over scans of both sides."""
+    sides = _events(spark, sf_dir).withColumn("scan_id", F.concat((F.col("seq") % 2).cast("string"), F.lit(":"), "scan_id"))
+    found = enrich(match.all_hits(sides, PACK), PACK)
+    found = found.withColumn("now", F.col("scan_id").startswith("0:")).withColumn("scan_id", F.expr("substring(scan_id, 3)"))
+    return derive.baseline_states(found, "now")
 
 
 def _half(k: int) -> str:
@@ -381,12 +382,13 @@ SELECT seq, coalesce(string_agg(lower(v), ',' ORDER BY p) FILTER (WHERE lower(k)
 
 def q_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    # Invisible and look-alike characters are put in, so that there is something to fold.
-    dirty = F.concat(F.lit(" ​р"), F.regexp_replace("text", "a", "а"), F.lit("﻿  "))
+    # Invisible, look-alike and compatibility characters are put in, so that there is something to fold.
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "a", "а"), "fi", "ﬁ"), "e1", "e１")
+    dirty = F.concat(F.lit(" ​р"), F.regexp_replace(plain, "A", "Ａ"), F.lit("﻿ ㎏²  "))
     return docs.select("doc_id", text.normalize(dirty).alias("clean"))
 
 
-_NORMALIZE_SQL = """SELECT doc_id, trim(regexp_replace(concat('p', nfc_normalize(text)), '[\\s  -     　 \u0085]+', ' ', 'g')) AS clean FROM documents"""
+_NORMALIZE_SQL = """SELECT doc_id, trim(regexp_replace(concat('p', nfc_normalize(text), ' kg2'), '[\\s  -     　 \u0085]+', ' ', 'g')) AS clean FROM documents"""
 
 _NAIVE_SQL = "WITH a AS (" + DOC_ACTIONS + ") SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT scan_id, seq, {_lit(r.code)} AS code, CASE {' '.join(f'WHEN contains(lower(value), {_lit(s.lower())}) THEN {_lit(s)}' for s in r.main.signals)} END AS signal FROM a" for r in PACK.of_kind("single")
@@ -404,8 +406,7 @@ SELECT c.conv_id, min(c.turn) AS call_at FROM conversations c JOIN m ON c.conv_i
 
 
 def q_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now, before = _baseline(spark, sf_dir)
-    return derive.baseline_diff(now, before).select("scan_id", "id", "triggering_signal", "seq", "baseline_state")
+    return _baseline(spark, sf_dir).select("scan_id", "id", "triggering_signal", "seq", "baseline_state")
 
 
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,7 +459,7 @@ _FIRST_SEEN = """SELECT concat('u', CAST(user_id AS STRING)) AS scan_id, event_i
 def q_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as benchmark traces: user turns are tool results, assistant turns calls."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    call = F.array(F.struct(F.lit("note").alias("function"), F.to_json(F.struct(F.substring("text", 1, 40).alias("to"), F.lit("5").alias("sum"))).alias("args")))
+    call = F.array(F.struct(F.lit("note").alias("function"), F.to_json(F.struct(F.col("text").alias("to"), F.lit("5").alias("sum"))).alias("args")))
     said = F.struct(F.col("turn"), F.when(F.col("role") == "user", "tool").otherwise(F.col("role")).alias("role"), F.col("text").alias("content"), F.when(F.col("role") == "assistant", call).alias("tool_calls"))
     traces = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("m"))  # a conversation's turns
     traces = traces.select(F.col("conv_id").cast("string").alias("scan_id"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"), x["tool_calls"].alias("tool_calls"))).alias("messages"))
@@ -467,8 +468,8 @@ def q_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRACES_SQL = """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS scan_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)
 SELECT scan_id, place, 'tool-result:' AS source, text AS value FROM c WHERE role = 'user' AND text <> ''
-UNION ALL SELECT scan_id, place, 'session:note.input', concat('5 ', substr(text, 1, 40)) FROM c WHERE role = 'assistant'
-UNION ALL SELECT scan_id, place, 'sink:note', concat('tool-call:note recipient=', substr(text, 1, 40), ' amount=5') FROM c WHERE role = 'assistant'"""
+UNION ALL SELECT scan_id, place, 'session:note.input', concat('5 ', text) FROM c WHERE role = 'assistant'
+UNION ALL SELECT scan_id, place, 'sink:note', concat('tool-call:note recipient=', text, ' amount=5') FROM c WHERE role = 'assistant'"""
 
 
 def q_role_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -540,10 +541,10 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "control_gap": (lambda s, d: derive.control_gap(_enriched(s, d), PACK), _GAP_SQL),
     "gap_counts": (lambda s, d: derive.gap_counts(_enriched(s, d), PACK), f"SELECT {len(PACK.controls)} AS universe, {len(PACK.controls)} - count(*) AS covered, count(*) AS gaps FROM ({_GAP_SQL})"),
     "baseline_diff": (q_baseline, _DIFF_SQL),
-    "baseline_only_new": (lambda s, d: derive.only_new(derive.baseline_diff(*_baseline(s, d))).select("scan_id", "id", "triggering_signal", "seq"), f"SELECT scan_id, id, triggering_signal, seq FROM ({_DIFF_SQL}) WHERE baseline_state = 'new'"),
+    "baseline_only_new": (lambda s, d: derive.only_new(_baseline(s, d)).select("scan_id", "id", "triggering_signal", "seq"), f"SELECT scan_id, id, triggering_signal, seq FROM ({_DIFF_SQL}) WHERE baseline_state = 'new'"),
     "triage_manifest": (lambda s, d: derive.triage_manifest(_enriched(s, d)).select("scan_id", "id", "triggering_signal", "seq"), f"SELECT scan_id, id, triggering_signal, seq FROM ({_findings_sql()}) WHERE ambiguity"),
     "outcome_counts": (lambda s, d: derive.outcome_counts(_events(s, d), route(_enriched(s, d), PACK, SUPPRESS)), f"SELECT (SELECT count(*) FROM events) AS actions, count(*) FILTER (origin IS NULL) AS findings, count(*) FILTER (origin IS NOT NULL) AS suppressed FROM ({_routed_sql(SUPPRESS)})"),
-    "baseline_counts": (lambda s, d: derive.baseline_counts(derive.baseline_diff(*_baseline(s, d))), "SELECT " + ", ".join(f"count(*) FILTER (baseline_state = '{x}') AS {_lit(x).replace(chr(39), chr(34))}" for x in ("new", "unchanged", "absent")) + f" FROM ({_DIFF_SQL})"),
+    "baseline_counts": (lambda s, d: derive.baseline_counts(_baseline(s, d)), "SELECT " + ", ".join(f"count(*) FILTER (baseline_state = '{x}') AS {_lit(x).replace(chr(39), chr(34))}" for x in ("new", "unchanged", "absent")) + f" FROM ({_DIFF_SQL})"),
     "config_thresholds": (q_config, _CONFIG_SQL),
     "single_action": (lambda s, d: match.single_hits(single_action(s, "sudo rm -rf /var/cache && mysqldump all"), PACK).select(_HIT_COLS), f"SELECT {_HITS} FROM ({_single_sql(PACK, _ONE)})"),
     "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),

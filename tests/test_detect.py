@@ -321,3 +321,25 @@ def test_boundaries(spark, word, fires):
 def test_normalize_and_roles(spark):
     row = spark.createDataFrame([("  р​m　 ﬁle ", "to=abc to:abcdefg url= k=v=longer cmd=a:longenough")], "a string, b string").select(text.normalize(F.col("a")).alias("n"), text.role_values(F.col("b"), ("recipient", "command")).alias("r")).first()
     assert row["n"] == "pm file" and row["r"] == ["abcdefg", "a:longenough"]
+
+
+def test_signal_table_is_the_patterns(spark):
+    """Looking words up finds what trying each pattern on each text finds, whatever the signals."""
+    import random
+
+    from auditlake.functions.text import LOW, first_signals, signal_pattern
+
+    rng = random.Random(6)
+    words = ["rm", "-rf", "drop", "Table", "a", "_x", "é", "K", "ſend", "send", "--force", "<tag>", "x1", "naïve", "日本", "'", "\\", "0"]
+    signals = [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(120)] + ["...", "→", "::", "a_b", "DROP-"]
+    groups = tuple(tuple(signals[i : i + 5]) for i in range(0, len(signals), 5))
+    texts = ["".join(rng.choice(words).upper() if rng.random() < 0.3 else rng.choice(words) + rng.choice([" ", " ", "", "—", ". ", "_"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "...→"])], "i int, value string")
+    got = {r.i: {h.g: h.signal for h in r.h or []} for r in rows.selectExpr("i", "value", f"{LOW} AS low").selectExpr("i", f"{first_signals(groups)} AS h").collect()}
+    tried = rows.select("i", *(F.rlike("value", F.lit(signal_pattern(s))).alias(f"s{n}") for n, s in enumerate(signals))).collect()
+    for r in tried:
+        want = {}
+        for n, s in enumerate(signals):
+            if r[f"s{n}"]:
+                want.setdefault(n // 5, s)
+        assert got[r.i] == want, r.i
