@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.scratch import discard, materialize
 
 #: Word places of a block.
-BLOCK = 4_000_000
+BLOCK = 6_000_000
 #: Bytes of a text that are split at once.
 _SLICE = 1 << 22
 _ROWS = 8192
