@@ -451,6 +451,10 @@ _OTLP_TYPED = """SELECT concat('e', CAST(event_id AS STRING)) AS path, event_id,
  '","value":{"stringValue":"do ', event_type, '"}},{"key":"code.function","value":{"stringValue":"last"}},{"key":"d","value":{"doubleValue":', CASE event_id % 2 WHEN 0 THEN concat(CAST(event_id AS STRING), '.0') ELSE concat(CAST(event_id AS STRING), '.5') END,
  '}},{"key":"l","value":{"kvlistValue":{"values":[{"key":"a","value":{"boolValue":false}},{"key":"b","value":{"arrayValue":{"values":[{"intValue":7},{"stringValue":"z"}]}}}]}}}]}]}]}]}') AS text FROM events"""
 
+# Lists in lists, as many as the event's number modulo 13, with a text on each level.
+_OTLP_DEEP = """SELECT concat('e', CAST(event_id AS STRING)) AS path, event_id, concat('{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"body":', repeat('{"arrayValue":{"values":[{"stringValue":"a"},', CAST(event_id % 13 AS INT)),
+ '{"stringValue":"x', event_type, '"}', repeat(']}}', CAST(event_id % 13 AS INT)), '}]}]}]}') AS text FROM events"""
+
 _HOOKS = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'not json' WHEN 1 THEN '{"session_id":"x"}' WHEN 2 THEN concat('{"tool_input":{"command":"ls ', CAST(event_id AS STRING), '"}}') ELSE concat('{"session_id":"u', CAST(user_id AS STRING), '","tool_input":{"command":"rm ', CAST(event_id AS STRING), '"}}') END AS value FROM events"""
 
 _FIRST_SEEN = """SELECT concat('u', CAST(user_id AS STRING)) AS scan_id, event_id AS number, concat('{"type":"system"', CASE event_id % 3 WHEN 0 THEN concat(',"gitBranch":"b', CAST(event_id AS STRING), '"') WHEN 1 THEN concat(',"cwd":"/w', CAST(event_id AS STRING), '"') ELSE ',"version":7' END, '}') AS line FROM events"""
@@ -548,6 +552,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "config_thresholds": (q_config, _CONFIG_SQL),
     "single_action": (lambda s, d: match.single_hits(single_action(s, "sudo rm -rf /var/cache && mysqldump all"), PACK).select(_HIT_COLS), f"SELECT {_HITS} FROM ({_single_sql(PACK, _ONE)})"),
     "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),
+    "otlp_deep": (lambda s, d: otlp_events(_view(s, d, _OTLP_DEEP)).select("path", "what", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, 'action' AS what, 'otlp:log' AS source, concat(repeat('a ', CAST(event_id % 13 AS INT)), 'x', event_type) AS value FROM events"),
     "otlp_typed": (lambda s, d: otlp_events(_view(s, d, _OTLP_TYPED)).select("path", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, concat('session:', event_type, '.input') AS source, concat('s do ', event_type, ' last ', CAST(event_id AS VARCHAR), CASE event_id % 2 WHEN 0 THEN '' ELSE '.5' END, ' false 7 z') AS value FROM events"),
     "hook_payloads": (lambda s, d: hook_payloads(_view(s, d, _HOOKS)).select("scan_id", "source", "value"), "SELECT CASE event_id % 4 WHEN 2 THEN 'action' ELSE concat('u', CAST(user_id AS VARCHAR)) END AS scan_id, 'session:Bash.input' AS source, concat(CASE event_id % 4 WHEN 2 THEN 'ls ' ELSE 'rm ' END, CAST(event_id AS VARCHAR)) AS value FROM events WHERE event_id % 4 >= 2"),
     "session_first_seen": (lambda s, d: Session(line_events(_view(s, d, _FIRST_SEEN))).evidence, f"SELECT scan_id, CAST(NULL AS VARCHAR) AS version, concat('b', CAST(min(number) FILTER (number % 3 = 0) AS VARCHAR)) AS git_branch, concat('/w', CAST(min(number) FILTER (number % 3 = 1) AS VARCHAR)) AS cwd FROM ({_FIRST_SEEN}) WHERE number % 3 < 2 GROUP BY scan_id"),

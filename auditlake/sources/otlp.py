@@ -1,26 +1,34 @@
 """Telemetry exports in OTLP/JSON: log records first, then spans.
 
-Files are VARIANTs, whole or by line, and records come from expressions over
-them.  A single document must fit a VARIANT (16 MiB); files of a document a line
-may have any size that fits a value, as each line is one of its own.
+Files up to ``WHOLE`` bytes are VARIANTs, whole or by line, and records come from
+expressions over them.  Larger ones are read by ranges: one document by its brackets (``otlp_split``), so that
+its records are VARIANTs of their own, other files by lines.  A single record, or a line,
+must fit a VARIANT (16 MiB); a larger one is skipped as one that can't be parsed.  Of a larger
+document only the records and the brackets around them are checked, and of a list's key that repeats each counts.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditlake.functions.variant import SPACE, allow_repeated_keys, parsed_line, part, parts, string
+from auditlake.sources.otlp_split import split_records
 
 # Attributes that name a tool, by precedence, and the files that are read.
 TOOL_KEYS = ("gen_ai.tool.name", "tool.name", "gen_ai.operation.name", "code.function.name", "code.function")
 SUFFIXES = ("json", "jsonl", "ndjson")
 #: Records of one line, lines of a file and files of a scan have numbers below these; beyond, reading fails.
 PER_LINE, LINES, FILES = 1 << 23, 1 << 23, 1 << 17
-#: Lists within lists that a value's text is taken from; deeper ones have none.
-DEPTH = 4
-
-_ACTION = "struct<what:string,source:string,value:string>"
+#: Bytes of a file that is read as one value.
+WHOLE = 4 << 20
+#: Lists within lists that expressions look into; records that may have deeper ones are read by a helper.
+DEPTH = 3
+_LISTS = {"log": ("resourceLogs", "scopeLogs", "logRecords"), "span": ("resourceSpans", "scopeSpans", "spans")}
 
 
 def _number(v: Column) -> Column:
@@ -39,40 +47,113 @@ def any_value(v: Column, depth: int = DEPTH) -> Column:
         F.when(numeric, _number(F.try_variant_get(number, "$", "double"))), F.when(kind(truth) == "BOOLEAN", F.try_variant_get(truth, "$", "string")),
     ]
     if depth:
-        for items in (parts(v, "$.arrayValue.values"), F.transform(parts(v, "$.kvlistValue.values"), lambda x: part(x, "$.value"))):
-            texts = F.filter(F.transform(items, lambda x: any_value(x, depth - 1)), lambda t: t.isNotNull())
-            # Lambdas, so that the nested expression stands here once; written twice, it would double with each level.
-            out.append(F.get(F.transform(F.filter(F.array(texts), lambda t: F.size(t) > 0), lambda t: F.array_join(t, " ")), F.lit(0)))
+        def texts(items: Column) -> Column:
+            return F.filter(F.transform(items, lambda x: any_value(x, depth - 1)), lambda t: t.isNotNull())
+
+        # Both kinds of lists in one, so that the nested expression stands here once; written twice, it would double with each level.
+        lists = F.array(parts(v, "$.arrayValue.values"), F.transform(parts(v, "$.kvlistValue.values"), lambda x: part(x, "$.value")))
+        found = F.filter(F.transform(lists, texts), lambda t: F.size(t) > 0)
+        out.append(F.get(F.transform(found, lambda t: F.array_join(t, " ")), F.lit(0)))
     return F.coalesce(*out)
 
 
+def _plain(v: object) -> str | None:
+    """Text of a typed value that is no list."""
+    if isinstance(v, str):
+        return v
+    if not isinstance(v, dict):
+        return None
+    text, whole, number, truth = (v.get(f"{k}Value") for k in ("string", "int", "double", "bool"))
+    if isinstance(text, str):
+        return text
+    if isinstance(whole, str) or (isinstance(whole, int) and not isinstance(whole, bool)):
+        return str(whole)
+    if isinstance(number, (int, float)) and not isinstance(number, bool):
+        return str(int(number)) if float(number).is_integer() and abs(number) < 1e16 else repr(float(number))
+    return ("true" if truth else "false") if isinstance(truth, bool) else None
+
+
+def deep_text(value: object) -> str | None:
+    """Text of a typed value whose lists stand in each other to any depth, without recursion."""
+
+    def lists(v: object) -> list[list]:
+        out = []
+        for key in ("kvlistValue", "arrayValue"):  # the last is looked at first
+            items = v.get(key) if isinstance(v, dict) else None
+            items = items.get("values") if isinstance(items, dict) else None
+            if isinstance(items, list):
+                out.append(items if key == "arrayValue" else [x.get("value") for x in items if isinstance(x, dict)])
+        return out
+
+    open_: list[tuple[list[list], list, list[str]]] = []  # lists not looked at, items not looked at, texts
+    text, at = None, value
+    while True:
+        text = _plain(at)
+        if text is None and (some := lists(at)):
+            items = some.pop()
+            open_.append((some, items[::-1], []))
+        elif open_:
+            open_[-1][2].extend([] if text is None else [text])
+        else:
+            return text
+        while open_ and not open_[-1][1]:
+            some, _, texts = open_.pop()
+            if not texts and some:
+                items = some.pop()
+                open_.append((some, items[::-1], []))
+                continue
+            if not open_:
+                return " ".join(texts) if texts else None
+            open_[-1][2].extend([" ".join(texts)] if texts else [])
+        if not open_:
+            return None
+        at = open_[-1][1].pop()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _deep_texts(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else [None if x is None else deep_text(json.loads(x)) for x in v])
+
+
 def _blank(text: Column) -> Column:
     return F.coalesce(F.btrim(text, F.lit(SPACE)), F.lit("")) == ""
 
 
-def record_action(record: Column, span: bool) -> Column:
-    """``what, source, value`` of a log record or a span; a skip if it holds no text."""
+def record_actions(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``what, source, value`` for their ``record`` (a log record or, where ``span``, a span), which goes; a skip if it holds no text."""
+    keep = [c for c in rows.columns if c not in ("record", "span")]
+    pairs = F.transform(parts(F.col("record"), "$.attributes"), lambda a: F.struct(string(part(a, "$.key")).alias("k"), part(a, "$.value").alias("v")))
+    pairs = F.coalesce(F.filter(pairs, lambda a: a["k"].isNotNull()), F.array().cast("array<struct<k:string,v:variant>>"))
+    # The body is one more value, before the attributes.
+    values = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("k"), F.when(~F.col("span"), part(F.col("record"), "$.body")).alias("v"))), pairs)
+    rows = rows.select(*keep, "span", string(part(F.col("record"), "$.name")).alias("_name"), values.alias("_values"))
+    lists = F.expr("regexp_count(to_json(_values), '(arrayValue|kvlistValue)')")
+    rows = rows.withColumn("_deep", lists > DEPTH)
+    shallow = F.when(~F.col("_deep"), F.transform("_values", lambda a: any_value(a["v"])))
+    deep = _deep_texts(F.when(F.col("_deep"), F.transform("_values", lambda a: F.to_json(a["v"]))))
+    rows = rows.select(*keep, "span", "_name", F.transform("_values", lambda a: a["k"]).alias("_keys"), F.coalesce(shallow, deep).alias("_texts"))
 
     def make(r: Column) -> Column:
-        attributes, name = r["attributes"], r["name"]
+        named = F.filter(F.slice(r["pairs"], 2, 1 << 30), lambda a: a["t"].isNotNull())
 
         def first(key: str) -> Column:
-            text = F.get(F.filter(attributes, lambda a: a["k"] == key), F.lit(0))["t"]
+            text = F.get(F.filter(named, lambda a: a["k"] == key), F.lit(0))["t"]
             return F.when(~_blank(text), text)
 
-        tool = F.coalesce(*(first(k) for k in TOOL_KEYS), *([name] if span else []))
-        texts = F.filter(F.concat(F.array(name if span else r["body"]), F.transform(attributes, lambda a: a["t"])), lambda t: ~_blank(t))
+        tool = F.coalesce(*(first(k) for k in TOOL_KEYS), F.when(r["span"], r["name"]))
+        head = F.when(r["span"], r["name"]).otherwise(F.get(r["pairs"], F.lit(0))["t"])
+        texts = F.filter(F.concat(F.array(head), F.transform(named, lambda a: a["t"])), lambda t: ~_blank(t))
         words = F.split(F.btrim(tool, F.lit(SPACE)), r"(?U)\s+")
-        source = F.when(~_blank(tool), F.concat(F.lit("session:"), F.element_at(words, -1), F.lit(".input"))).otherwise(f"otlp:{'span' if span else 'log'}")
+        kind = F.when(r["span"], "otlp:span").otherwise("otlp:log")
+        source = F.when(~_blank(tool), F.concat(F.lit("session:"), F.element_at(words, -1), F.lit(".input"))).otherwise(kind)
         made = F.struct(F.lit("action").alias("what"), source.alias("source"), F.array_join(texts, " ").alias("value"))
-        none = F.struct(F.lit("skip").alias("what"), F.lit(f"otlp:{'span' if span else 'log'}").alias("source"), F.lit("record carried no observable string").alias("value"))
+        none = F.struct(F.lit("skip").alias("what"), kind.alias("source"), F.lit("record carried no observable string").alias("value"))
         return F.when(F.size(texts) > 0, made).otherwise(none)
 
-    pairs = F.transform(parts(record, "$.attributes"), lambda a: F.struct(string(part(a, "$.key")).alias("k"), any_value(part(a, "$.value")).alias("t")))
-    pairs = F.coalesce(F.filter(pairs, lambda a: a["k"].isNotNull() & a["t"].isNotNull()), F.array().cast("array<struct<k:string,t:string>>"))
-    body = F.lit(None).cast("string") if span else any_value(part(record, "$.body"))
+    pairs = F.arrays_zip(F.col("_keys").alias("k"), F.col("_texts").alias("t"))
     # A lambda's variable is evaluated once.
-    return F.get(F.transform(F.array(F.struct(pairs.alias("attributes"), string(part(record, "$.name")).alias("name"), body.alias("body"))), make), F.lit(0))
+    made = F.transform(F.array(F.struct(F.col("span"), F.col("_name").alias("name"), pairs.cast("array<struct<k:string,t:string>>").alias("pairs"))), make)
+    return rows.select(*keep, F.explode(made).alias("_e")).select(*keep, "_e.what", "_e.source", "_e.value")
 
 
 def _records(doc: Column, first: str, second: str, third: str) -> Column:
@@ -86,6 +167,27 @@ def _records(doc: Column, first: str, second: str, third: str) -> Column:
     return F.filter(found, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
 
 
+def _document_events(docs: DataFrame) -> DataFrame:
+    """``path, pos, what, source, value`` of documents given as ``path, number`` (0: the whole file, else its line)``, doc`` (null: can't be parsed)."""
+    doc = F.col("doc")
+    known = parts(doc, "$.resourceLogs").isNotNull() | parts(doc, "$.resourceSpans").isNotNull()
+
+    def skip(source: Column, reason: str) -> Column:
+        return F.struct(F.lit("skip").alias("what"), source.alias("source"), F.lit(reason).alias("value"))
+
+    failed = F.when(doc.isNull(), skip(F.concat(F.lit("line "), F.col("number").cast("string")), "json parse error")).when(~known, skip(F.lit("document"), "neither resourceLogs nor resourceSpans"))
+
+    def marked(kind: str) -> Column:
+        return F.transform(_records(doc, *_LISTS[kind]), lambda r: F.struct(F.lit(kind == "span").alias("span"), r.alias("record")))
+
+    none = F.array(F.struct(F.lit(None).cast("boolean").alias("span"), F.lit(None).cast("variant").alias("record")))
+    rows = docs.select("path", "number", failed.alias("failed"), F.posexplode(F.when(failed.isNotNull(), none).otherwise(F.concat(marked("log"), marked("span")))).alias("i", "r"))
+    fits = F.when((F.col("number") == 0) | (F.col("i") < PER_LINE), F.col("i")).otherwise(F.raise_error(F.lit("too many records in a line")))
+    rows = rows.select("path", (F.col("number") * F.lit(PER_LINE) + fits).alias("pos"), "failed", F.coalesce("r.span", F.lit(False)).alias("span"), F.col("r.record").alias("record"))
+    events = record_actions(rows)
+    return events.select("path", "pos", *(F.coalesce(F.col(f"failed.{c}"), F.col(c)).alias(c) for c in ("what", "source", "value")))
+
+
 def otlp_events(texts: DataFrame) -> DataFrame:
     """Events of files given as ``path, text``: ``path, pos, what`` (action or skip)``, source, value``.
 
@@ -97,24 +199,44 @@ def otlp_events(texts: DataFrame) -> DataFrame:
     lines = F.when(F.col("v").isNotNull(), F.array(F.lit(""))).otherwise(F.split("text", "\n"))
     rows = rows.select("path", F.when(F.col("v").isNotNull(), F.col("v")).alias("whole"), F.posexplode(lines).alias("at", "line"))
     rows = rows.filter(F.col("whole").isNotNull() | ~_blank(F.col("line"))).withColumn("doc", F.coalesce("whole", parsed_line(F.col("line"))))
-    number = F.when(F.col("whole").isNotNull(), 0).otherwise(F.when(F.col("at") + 1 < LINES, F.col("at") + 1).otherwise(F.raise_error(F.lit("too many lines in a file")))).cast("long")
-    rows = rows.select("path", number.alias("number"), "doc")
-    known = parts(F.col("doc"), "$.resourceLogs").isNotNull() | parts(F.col("doc"), "$.resourceSpans").isNotNull()
+    number = F.when(F.col("whole").isNotNull(), 0).otherwise(_line_number(F.col("at") + 1)).cast("long")
+    return _document_events(rows.select("path", number.alias("number"), "doc"))
+
+
+def _line_number(n: Column) -> Column:
+    return F.when(n < LINES, n).otherwise(F.raise_error(F.lit("too many lines in a file")))
 
-    def skip(source: Column, reason: str) -> Column:
-        return F.array(F.struct(F.lit("skip").alias("what"), source.alias("source"), F.lit(reason).alias("value")))
 
-    logs = F.transform(_records(F.col("doc"), "resourceLogs", "scopeLogs", "logRecords"), lambda r: record_action(r, False))
-    spans = F.transform(_records(F.col("doc"), "resourceSpans", "scopeSpans", "spans"), lambda r: record_action(r, True))
-    found = F.when(F.col("doc").isNull(), skip(F.concat(F.lit("line "), F.col("number").cast("string")), "json parse error"))
-    found = found.when(~known, skip(F.lit("document"), "neither resourceLogs nor resourceSpans")).otherwise(F.concat(logs, spans))
-    events = rows.select("path", "number", F.posexplode(found.cast(f"array<{_ACTION}>")).alias("i", "e"))
-    return events.select("path", (F.col("number") * F.lit(PER_LINE) + F.col("i")).alias("pos"), "e.what", "e.source", "e.value")
+def _large_events(spark: SparkSession, path: str, glob: str, whole: int) -> DataFrame:
+    """Events of the files beyond ``whole`` bytes, as ``otlp_events`` gives them for smaller ones; each is read by its ranges."""
 
+    def ranges(end: str) -> DataFrame:
+        rows = spark.read.option("pathGlobFilter", glob).option("lineSep", end).text(path).filter(F.col("_metadata.file_size") > whole)
+        return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("piece"))
 
-def read_otlp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    records, documents = split_records(ranges("}"), _LISTS)
+    logs = records.filter("kind = 'log'").groupBy("path").agg(F.count("*").alias("logs"))
+    rows = records.join(logs, "path", "left").select("path", (F.col("i") + F.when(F.col("kind") == "span", F.coalesce("logs", F.lit(0))).otherwise(0)).alias("pos"), (F.col("kind") == "span").alias("span"), parsed_line(F.col("text")).alias("record"))
+    parsed = record_actions(rows.withColumn("_bad", F.col("record").isNull()))
+    unread = F.struct(F.lit("skip").alias("what"), F.lit("record").alias("source"), F.lit("json parse error").alias("value"))
+    events = parsed.withColumn("_f", F.when(F.col("_bad"), unread)).select("path", "pos", *(F.coalesce(F.col(f"_f.{c}"), F.col(c)).alias(c) for c in ("what", "source", "value")))
+    none = documents.filter("NOT known").select("path", F.lit(0).cast("long").alias("pos"), F.lit("skip").alias("what"), F.lit("document").alias("source"), F.lit("neither resourceLogs nor resourceSpans").alias("value"))
+    # All other files, by lines; their numbers come from the ranges' counts.
+    lines = ranges("\n").join(documents, "path", "left_anti")
+    counts = lines.groupBy("path", "start").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.withColumn("r", F.row_number().over(Window.partitionBy("path", "start").orderBy("n"))).join(counts.select("path", "start", before.alias("before")), ["path", "start"])
+    text = F.col("piece").cast("string")
+    text = F.when(F.col("before") + F.col("r") == 1, F.btrim(text, F.lit("\ufeff"))).otherwise(text)
+    placed = placed.select("path", _line_number(F.col("before") + F.col("r")).cast("long").alias("number"), text.alias("text")).filter(~_blank(F.col("text")))
+    return events.unionByName(none).unionByName(_document_events(placed.select("path", "number", parsed_line(F.col("text")).alias("doc"))))
+
+
+def read_otlp(spark: SparkSession, path: str, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
     """(actions, skips) of a file or of the files right in a folder; all are one scan, ordered by path and place.
 
+    Files of more than ``whole`` bytes are read by ranges, so that any number of tasks share one.
+
     A path that isn't there, or a folder without such files, is an error.
     """
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -123,12 +245,16 @@ def read_otlp(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         raise FileNotFoundError(path)
     glob = "*.{" + ",".join(SUFFIXES) + "}" if store.getFileStatus(place).isDirectory() else "*"
     # The listing alone, a row per file: content isn't read for it.
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path")
-    ranks = listed.withColumn("file", F.row_number().over(Window.orderBy("path")))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path", "length")
+    ranks = listed.select("path").withColumn("file", F.row_number().over(Window.orderBy("path")))
     count = listed.count()
     if not 0 < count < FILES:
         raise FileNotFoundError(f"{path}: no {', '.join(SUFFIXES)} files") if count == 0 else ValueError(f"{path}: more than {FILES - 1} files")
-    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    placed = otlp_events(files).join(F.broadcast(ranks), "path")  # fewer than FILES rows
+    allow_repeated_keys(spark)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).filter(F.col("_metadata.file_size") <= whole)
+    events = otlp_events(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    if not listed.filter(F.col("length") > whole).isEmpty():
+        events = events.unionByName(_large_events(spark, path, glob, whole))
+    placed = events.join(F.broadcast(ranks), "path")  # fewer than FILES rows
     placed = placed.withColumn("seq", F.col("file") * F.lit(PER_LINE * LINES) + F.col("pos")).withColumn("scan_id", F.lit(path))
     return placed.filter("what = 'action'").select("scan_id", "seq", "source", "value"), placed.filter("what = 'skip'").select("scan_id", "seq", F.col("source").alias("place"), F.col("value").alias("reason"))

@@ -255,6 +255,76 @@ def test_otlp_files(spark, tmp_path):
         read_otlp(spark, str(tmp_path / "none"))
 
 
+def _deep(rng, depth):
+    """A value whose lists stand in each other ``depth`` times, with texts on every level."""
+    value = {"stringValue": "leaf"}
+    for i in range(depth):
+        items = [{"stringValue": f"a{i}"}, value, {"intValue": i}]
+        rng.shuffle(items)
+        value = {"arrayValue": {"values": items}} if rng.random() < 0.5 else {"kvlistValue": {"values": [{"key": "k", "value": x} for x in items]}, "arrayValue": {"values": []}}
+    return value
+
+
+def test_otlp_values_of_any_depth(spark):
+    rng = random.Random(21)
+    docs = []
+    for depth in (0, 1, 2, 3, 4, 5, 12, 60):
+        record = {"body": _deep(rng, depth), "attributes": [{"key": "tool.name", "value": _deep(rng, depth)}, {"key": "x", "value": {"arrayValue": {"values": [_deep(rng, depth), {}, None]}}}]}
+        docs.append(json.dumps({"resourceLogs": [{"scopeLogs": [{"logRecords": [record, {"body": {"stringValue": "flat"}}]}]}], "resourceSpans": [{"scopeSpans": [{"spans": [record | {"name": "n"}]}]}]}))
+    events = otlp_events(spark.createDataFrame([(f"d{i}", x) for i, x in enumerate(docs)], "path string, text string"))
+    assert sorted(map(tuple, events.collect())) == sorted((f"d{i}", *e) for i, x in enumerate(docs) for e in parse_otlp(x))
+
+
+def test_otlp_of_any_size(spark, tmp_path):
+    """Documents and files of lines that are read by ranges of a few bytes give what a plain parser gives."""
+    rng = random.Random(8)
+
+    def text():
+        return rng.choice(["run } it", 'a "quoted" {', "back\\slash\\", "]}]}", "ü日本", "", "resourceLogs", "x" * rng.randint(0, 300)])
+
+    def record():
+        out = {"attributes": [{"key": rng.choice(["tool.name", "logRecords", "o}"]), "value": {"stringValue": text()}} for _ in range(rng.randint(0, 3))]}
+        return rng.choice([out | {"body": {"stringValue": text()}, "name": text()}, out | {"spans": [{}], "body": _deep(rng, 2)}, {}, 1, []])
+
+    def document(n):
+        out = {"head": [{"logRecords": [{"a": "}"}]}]}
+        for a, b, c in (("resourceLogs", "scopeLogs", "logRecords"), ("resourceSpans", "scopeSpans", "spans"), ("other", "scopeLogs", "logRecords")):
+            if rng.random() < 0.8:
+                out[a] = [{"resource": {"attributes": [{"key": "k", "value": {"arrayValue": {"values": [{"intValue": 1}]}}}]}, b: [{"scope": {}, c: [record() for _ in range(n)]} for _ in range(rng.randint(0, 2))]} for _ in range(rng.randint(0, 3))]
+        return json.dumps(out, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, None, 1]))
+
+    files = {f"doc{i}.json": document(rng.choice([0, 1, 4, 15])) + rng.choice(["", "\n", " \r\n"]) for i in range(12)}
+    files["bom.json"] = "\ufeff" + document(3)
+    files["empty.json"], files["list.json"], files["nothing.json"] = '{"resourceLogs": []}', "[]", '{"a": {"resourceLogs": []}}'
+    line = lambda: document(2).replace("\n", " ")
+    files["lines.ndjson"] = "\n".join([line(), "bad", line(), "", "{} x", line()])
+    files["cut.json"], files["twice.json"], files["tail.json"] = document(2).replace("\n", "")[:-1], line() + line(), line() + " x"
+    files["wrong.json"] = '{"resourceLogs": [}]'
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, content in files.items():
+        (folder / name).write_text(content, encoding="utf-8")
+    want = {name: [e[1:] for e in sorted(parse_otlp(content))] for name, content in files.items()}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        for size, cost in ((150, 0), (4000, 10)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            spark.conf.set("spark.sql.files.openCostInBytes", str(cost))
+            actions, skips = read_otlp(spark, str(folder), whole=0)
+            rows = [(r.seq, "action", r.source, r.value) for r in actions.collect()] + [(r.seq, "skip", r.place, r.reason) for r in skips.collect()]
+            by_file = {}
+            for seq, *event in sorted(rows):
+                by_file.setdefault(sorted(files)[seq // (1 << 46) - 1], []).append(tuple(event))
+            assert by_file == {name: events for name, events in want.items() if events}
+            assert len({r[0] for r in rows}) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+    for name in ("doc0.json", "doc1.json"):
+        seqs = [r.seq % (1 << 46) for r in read_otlp(spark, str(folder / name), whole=0)[0].union(read_otlp(spark, str(folder / name), whole=0)[1]).collect()]
+        assert sorted(seqs) == list(range(len(want[name])))
+
+
 def test_saved_baseline(spark, tmp_path):
     """A report that was saved as JSON is the baseline of the next run."""
     a = acts(spark, ("session:Bash.input", "rm -rf a"), ("session:Bash.input", "wipe it"))
