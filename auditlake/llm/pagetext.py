@@ -1,15 +1,18 @@
 """Main text of web pages with site template removal.
 
 One pass over a page's markup gives its text blocks and, as ranges of blocks,
-what its elements cover.  Three kinds of ranges go: elements that say by tag,
-role, class or id that they are no article text; everything outside the main
-element, where a page marks one; and *site templates*: subtrees whose hash
-recurs on many pages of the host.
+what its elements cover.  First *site templates* go: subtrees whose hash recurs on many pages of
+the host, whatever their tags, roles and names.  Rules settle what recurs too
+seldom: elements that say by tag, role, class or id that they are no article
+text, and everything outside the main element, where a page marks one.
 
 Subtree hashes are counted in Spark per host over pages with different main
 content, so a thousand copies of one page count as one and don't turn their
-article into a template.  Inside a marked main element only containers can be
-templates: a sentence that many articles of a host quote stays.
+article into a template.  Inside a marked main element only containers, and what the rules
+name, can be templates: a sentence that many articles of a host quote stays.
+
+Rules know two sizes.  A form or fieldset that holds more than half of a page is its wrapper, not a form
+in it.  A page that is nothing but named boilerplate keeps the parts that hold more than half of it.
 """
 
 from __future__ import annotations
@@ -63,7 +66,7 @@ _HAVING = frozenset(["with", "has", "without"])  # "with-sidebar" isn't the side
 _WRAPPERS = frozenset(["form", "fieldset"])  # may hold a whole page; these say nothing of their content
 
 PARSED = (
-    "page_id long, url string, host string, content long, blocks array<string>, "
+    "page_id long, url string, host string, content long, blocks array<string>, main array<int>, "
     "templates array<struct<hash: long, first: int, stop: int>>"
 )
 
@@ -113,7 +116,16 @@ def covered(ranges: list[tuple[int, int]], n: int) -> list[bool]:
 
 
 def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
-    """Text blocks of a page's main part, its template candidates (hash, first block, stop), and a hash of its content.
+    """Text blocks of a page's main part by the rules, its template candidates there (hash, first block, stop), and a hash of its content."""
+    blocks, main, spans, content = read_page(page)
+    kept = set(main)
+    place = [0, *accumulate(int(i in kept) for i in range(len(blocks)))]
+    inner = {(h, place[a], place[z]) for h, a, z in spans if place[z] > place[a]}
+    return [blocks[i] for i in main], sorted(inner), content
+
+
+def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int]], int]:
+    """All text blocks of a page, the numbers of those that the rules keep, its template candidates (hash, first block, stop), and a hash of what the rules keep.
 
     Any string gives a result, in time that grows with its length: markup that isn't closed ends with the page.
     """
@@ -121,7 +133,7 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
     inline: list[str] = []
     dropped: list[tuple[int, int, bool]] = []  # first, stop, says what it holds
     mains: list[tuple[bool, int, int, bool, bool]] = []  # is it <main>, first, stop, says boilerplate, is of the page
-    candidates: list[tuple[int, int, int, str]] = []
+    candidates: dict[tuple[int, int], int] = {}
     # An open element: tag, first block, says boilerplate by name (2) or tag (1), is a main element of the page (2) or an article (1), hash parts
     stack: list[tuple[str, int, int, int, list[str]]] = []
     standing: Counter[str] = Counter()  # open elements by tag
@@ -173,8 +185,9 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
             stack[-1][4].append(f"\1{digest:x}")
         if boiler:
             dropped.append((first, stop, boiler == 2 or tag not in _WRAPPERS))
-        elif stop > first and tag not in ("html", "body") and not main:
-            candidates.append((digest - (1 << 63), first, stop, tag))
+        # Of elements that hold the same blocks the innermost counts, as it recurs at least as often.
+        if stop > first and tag not in ("html", "body") and not main and (boiler or not open_mains or tag in _CONTAINER):
+            candidates.setdefault((first, stop), digest - (1 << 63))
 
     while True:
         found = _TAG.search(page, at)
@@ -276,20 +289,16 @@ def parse_page(page: str) -> tuple[list[str], list[tuple[int, int, int]], int]:
         if root is not None and size(root[1], root[2]):
             first, stop = root[1], root[2]
             cut = [(a, z) for a, z, _ in dropped if not (a <= first and stop <= z)]
-            able = [c for c in candidates if c[3] in _CONTAINER and first <= c[1] and c[2] <= stop and (c[1], c[2]) != (first, stop)]
         else:
             first, stop = 0, len(blocks)
             cut = [(a, z) for a, z, named in dropped if goes(a, z, named) or z - a < 2]
-            able = candidates
-        new, kept = [0], []
-        for i, gone in enumerate(covered(cut, len(blocks))):
-            if first <= i < stop and not gone:
-                kept.append(blocks[i])
-            new.append(len(kept))
+        kept = [i for i, gone in enumerate(covered(cut, len(blocks))) if first <= i < stop and not gone]
         if kept:
             break
-    spans = {(h, new[a], new[z]) for h, a, z, _ in able if new[z] > new[a]}
-    return kept, sorted(spans), xxhash.xxh64_intdigest("\n".join(kept)) - (1 << 63)
+    # What holds the whole of the main part is no template of the site, but the page.
+    whole = (kept[0], kept[-1] + 1) if kept else (0, 0)
+    spans = sorted((h, a, z) for (a, z), h in candidates.items() if not kept or not (a <= whole[0] and whole[1] <= z) or root is None)
+    return blocks, kept, spans, xxhash.xxh64_intdigest("\n".join(blocks[i] for i in kept)) - (1 << 63)
 
 
 def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -298,13 +307,14 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            blocks, spans, content = [], [], []
+            blocks, main, spans, content = [], [], [], []
             for page in batch.column(3):
-                b, s, c = parse_page(page.as_py() or "")
+                b, m, s, c = read_page(page.as_py() or "")
                 blocks.append(b)
+                main.append(m)
                 spans.append([{"hash": h, "first": a, "stop": z} for h, a, z in s])
                 content.append(c)
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(content, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(spans, kind)], names=["page_id", "url", "host", "content", "blocks", "templates"])
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(content, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(main, pa.list_(pa.int32())), pa.array(spans, kind)], names=["page_id", "url", "host", "content", "blocks", "main", "templates"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
@@ -312,7 +322,7 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
-    """Main text of every page: ``page_id, url, text, n_chars``.
+    """Main text of every page: ``page_id, url, text, n_chars, n_template, n_rules`` (blocks that are a template's, and others that the rules take).
 
     A subtree is a template of its host if it stands on at least ``min_pages``
     pages with different content, however many the host has.  Null and
@@ -330,20 +340,21 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     hits = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(often, ["host", "hash", "salt"])
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))  # at most a page's elements
     # Pages without candidates, which may be most, have nothing to look up and aren't shuffled.
-    asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "blocks").join(hits, "row", "left").drop("row")
-    plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "blocks", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
+    asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "blocks", "main").join(hits, "row", "left").drop("row")
+    plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "blocks", "main", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
     whole = asked.union(plain)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for blocks, cuts in zip(batch.column(2), batch.column(3)):
-                kept = blocks.as_py()
-                if cuts.is_valid:
-                    gone = covered([(c["first"], c["stop"]) for c in cuts.as_py()], len(kept))
-                    kept = [b for b, g in zip(kept, gone) if not g]
+            texts, by_template, by_rules = [], [], []
+            for blocks, main, cuts in zip(batch.column(2), batch.column(3), batch.column(4)):
+                blocks = blocks.as_py()
+                gone = covered([(c["first"], c["stop"]) for c in cuts.as_py()], len(blocks)) if cuts.is_valid else [False] * len(blocks)
+                kept = [blocks[i] for i in main.as_py() if not gone[i]]
                 texts.append("\n".join(kept))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                by_template.append(sum(gone))
+                by_rules.append(len(blocks) - sum(gone) - len(kept))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(by_template, pa.int64()), pa.array(by_rules, pa.int64())], names=["page_id", "url", "text", "n_template", "n_rules"])
 
-    out = whole.mapInArrow(cut, "page_id long, url string, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    out = whole.mapInArrow(cut, "page_id long, url string, text string, n_template long, n_rules long")
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template", "n_rules")

@@ -312,3 +312,19 @@ def test_page_of_50_mb():
     page = "<nav><p>menu</nav>" + "<p>" + "some words of a very long text " * 1_600_000
     (blocks, spans, _), mb = peak_mb(lambda: parse_page(page))
     assert len(blocks) == 1 and len(blocks[0]) > 49_000_000 and mb < 900
+
+
+def test_templates_go_before_rules(spark):
+    """Recurring subtrees go by their count, whatever their names; rules take what recurs too seldom."""
+    neutral = "<div class='x1'><section>Home</section><section>About us</section></div>"
+    page = lambda i, top, end: f"<html><body>{top}<div class='x2'><p>Article {i} says {'word ' * (i + 3)}</p><p>Second part {i}</p></div>{end}</body></html>"
+    rows = [(i, f"http://plain.example/{i}", page(i, neutral, "<div class='x3'>Imprint</div>")) for i in range(8)]
+    rows += [(100 + i, f"http://named.example/{i}", page(i, "<nav>Menu of the site</nav>", f"<footer>Only on page {i}</footer>")) for i in range(8)]
+    rows += [(200 + i, f"http://few.example/{i}", page(i, neutral, "<nav>Menu of the site</nav>")) for i in range(4)]
+    got = {r.page_id: r for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        article = f"Article {i} says {'word ' * (i + 3)}".strip() + f"\nSecond part {i}"
+        assert (got[i].text, got[i].n_template, got[i].n_rules) == (article, 3, 0)
+        assert (got[100 + i].text, got[100 + i].n_template, got[100 + i].n_rules) == (article, 1, 1)
+    for i in range(4):
+        assert got[200 + i].text.startswith("Home\nAbout us\nArticle") and (got[200 + i].n_template, got[200 + i].n_rules) == (0, 1)
