@@ -66,11 +66,19 @@ def asi_table(spark: SparkSession, pack: RulePack) -> DataFrame:
     return spark.createDataFrame([tuple(x) for x in pack.asi], "id string, title string, url string, version string, status string")
 
 
+def known_refs(pack: RulePack) -> set[str]:
+    """What cross references may point to: entries of the tables that a pack carries."""
+    return {i for i, *_ in pack.asi} | {i for k in ("atlas", "iso42001", "eu_ai_act") for i, _ in pack.xrefs[k]} | {c.id for c in pack.controls} | {plain_llm_id(x) for _, l in pack.crosswalk for x in l}
+
+
+def ref_counts(findings: DataFrame, pack: RulePack) -> DataFrame:
+    """``ref, resolved, n``: how many findings refer to what, and whether a table that the pack carries has it."""
+    refs = findings.select(F.explode("cross_refs").alias("ref")).groupBy("ref").agg(F.count("*").alias("n"))
+    return refs.select("ref", F.col("ref").isin(sorted(known_refs(pack))).alias("resolved"), "n")
+
+
 def unresolved_refs(spark: SparkSession, pack: RulePack) -> DataFrame:
     """Cross references of rules that no carried table resolves; none in a sound pack."""
-    known = {i for i, *_ in pack.asi} | {i for k in ("atlas", "iso42001", "eu_ai_act") for i, _ in pack.xrefs[k]} | {c.id for c in pack.controls} | {plain_llm_id(x) for _, l in pack.crosswalk for x in l}
-    targets = spark.createDataFrame([(x,) for x in sorted(known)], "ref string")
+    targets = spark.createDataFrame([(x,) for x in sorted(known_refs(pack))], "ref string")
     refs = rules_table(spark, pack).select("id", F.explode("cross_refs").alias("ref"))
     return refs.join(F.broadcast(targets), "ref", "left_anti")
-
-

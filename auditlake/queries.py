@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import shell, text
 from auditlake.operators import derive, match, metrics
-from auditlake.operators.enrich import enrich, rules_table, unresolved_refs
+from auditlake.operators.enrich import enrich, known_refs, ref_counts, rules_table
 from auditlake.operators.route import route
 from auditlake.plans.detect import detect
 from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, merged_suppress, parse_config, parse_suppress
 from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
 from auditlake.sources.otlp import otlp_events
-from auditlake.sources.repo import single_action
+from auditlake.sources.repo import literal_actions
 from auditlake.sources.session import Session, line_events, traces_from_messages, version_warning
 from auditlake.sources.spread import spread
 from auditlake.streaming.detect import hook_payloads
@@ -443,7 +443,6 @@ _CONFIG_SQL = f"""SELECT scan_id, id, triggering_signal, CASE WHEN {_LISTED} THE
  CASE WHEN {_LISTED} THEN {_suppress_case(_MERGED, 'raw')} WHEN {_LOW} THEN 'threshold:min-confidence 0.65' WHEN {_MILD} THEN 'threshold:min-severity 9' END AS suppressed_by,
  CASE WHEN {_LISTED} THEN 'allowlist' WHEN {_LOW} OR {_MILD} THEN 'threshold' END AS origin FROM ({_findings_sql()}) LEFT JOIN {_TOML_SEVERITY} USING (id)"""
 
-_ONE = "SELECT 'action' AS scan_id, 0 AS seq, 'session:Bash.input' AS source, 'sudo rm -rf /var/cache && mysqldump all' AS value"
 
 _VERSIONS = "SELECT event_id, concat(CASE event_id % 4 WHEN 0 THEN '2.1' WHEN 1 THEN '02.01' WHEN 2 THEN 'v2.1' ELSE concat('2.', CAST(event_id AS STRING)) END, '.', CAST(event_id AS STRING)) AS version FROM events"
 
@@ -494,9 +493,39 @@ def q_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTACTS_SQL = r"""SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_]+'), regexp_extract_all(coalesce(text, ''), '\b[A-Z]{2}[0-9]{6,}\b')))), ','), '') AS held FROM documents"""
 
 
+#: A pack that has lost its techniques and its crosswalk.
+_BROKEN = RulePack(PACK.rules, PACK.controls, PACK.asi, (), PACK.xrefs | {"atlas": ()})
+
+
 def q_xref_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References that go nowhere once a pack has lost its techniques and its crosswalk."""
-    return unresolved_refs(spark, RulePack(PACK.rules, PACK.controls, PACK.asi, (), PACK.xrefs | {"atlas": ()})).select("id", "ref")
+    """What findings refer to in vain once a pack has lost its techniques and its crosswalk."""
+    return ref_counts(_enriched(spark, sf_dir), _BROKEN).filter("NOT resolved").select("ref", "n")
+
+
+def q_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule as findings show it, with its number of hits."""
+    hits = match.all_hits(_events(spark, sf_dir), PACK).groupBy("rule_ord").agg(F.count("*").alias("n"))
+    rules = rules_table(spark, PACK).join(hits, "rule_ord", "left")
+    return rules.select("rule_ord", "id", "title", "status", "confidence", "citation_url", "citation_version", F.array_join("suggested_controls", ",").alias("controls"), F.array_join("cross_refs", ",").alias("refs"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_RISK = "concat('LLM', CASE WHEN event_id % 10 < 9 THEN '0' ELSE '' END, CAST(event_id % 10 + 1 AS STRING), CASE event_id % 3 WHEN 0 THEN ':2025' WHEN 1 THEN '' ELSE ':2023:x' END)"
+
+
+def q_llm_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model risks as written in different places, by one name, and how often each comes up."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(f"CASE event_type WHEN 'view' THEN 'ASI01' ELSE {_RISK} END").alias("risk"))
+    return rows.groupBy(text.llm_id(F.col("risk")).alias("ref")).agg(F.count("*").alias("n"))
+
+
+def q_single_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each command as a scan of its own."""
+    commands = _events(spark, sf_dir).filter("source = 'session:Bash.input'").withColumn("scan", F.concat(F.lit("c"), F.col("seq").cast("string"))).select("scan", F.col("value").alias("command"))
+    return match.single_hits(literal_actions(commands, "scan", "command"), PACK).select(_HIT_COLS)
+
+
+_COMMAND_SCANS = f"SELECT concat('c', CAST(seq AS STRING)) AS scan_id, CAST(0 AS BIGINT) AS seq, 'session:Bash.input' AS source, value FROM ({EVENT_ACTIONS}) WHERE source = 'session:Bash.input'"
+_FOUND_REFS = f"SELECT ref, count(*) AS n FROM (SELECT unnest(string_split(refs, ',')) AS ref FROM ({_findings_sql()}) WHERE refs <> '') GROUP BY ref"
 
 
 _ASI_IDS = ", ".join(_lit(i) for i, *_ in PACK.asi)
@@ -534,9 +563,9 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "shell_flag_set": (lambda s, d: match.shell_hits(_events(s, d), PACK).select(*_PAIR.split(", ")), f"SELECT {_PAIR} FROM ({_shell_sql(PACK, EVENT_ACTIONS)})"),
     "shell_ast_constructs": (q_constructs, _CONSTRUCTS_SQL),
     "shell_ast_hits": (lambda s, d: match.shell_ast_hits(_events(s, d), PACK).select(*_PAIR.split(", ")), None),
-    "enrich_dimension": (lambda s, d: rules_table(s, PACK).select("rule_ord", "id", "title", "status", "confidence", "citation_url", "citation_version", F.array_join("suggested_controls", ",").alias("controls"), F.array_join("cross_refs", ",").alias("refs")), f"WITH {_rules_sql(PACK)} SELECT * FROM dim"),
+    "enrich_dimension": (q_dimension, f"WITH {_rules_sql(PACK)}, h AS ({_hits_sql(PACK, EVENT_ACTIONS)}), n AS (SELECT rule_ord, count(*) AS n FROM h GROUP BY rule_ord) SELECT dim.*, coalesce(n.n, 0) AS n FROM dim LEFT JOIN n USING (rule_ord)"),
     "enrich_findings": (lambda s, d: _flat(_enriched(s, d)), f"SELECT {_FIND_COLS} FROM ({_findings_sql()})"),
-    "xref_integrity": (lambda s, d: unresolved_refs(s, PACK).select("id", "ref"), "SELECT '' AS id, '' AS ref WHERE false"),
+    "xref_integrity": (lambda s, d: ref_counts(_enriched(s, d), PACK), f"SELECT ref, ref IN ({', '.join(map(_lit, sorted(known_refs(PACK))))}) AS resolved, n FROM ({_FOUND_REFS})"),
     "suppress_route": (lambda s, d: _flat(route(_enriched(s, d), PACK, SUPPRESS), _REASON, _BY, _ORIGIN), _routed_sql(SUPPRESS)),
     "suppress_glob": (lambda s, d: _flat(route(_enriched(s, d), PACK, SUPPRESS_GLOB), _REASON, _BY, _ORIGIN), _routed_sql(SUPPRESS_GLOB)),
     "threshold_confidence": (lambda s, d: route(_enriched(s, d), PACK, min_confidence=0.7).select("scan_id", "id", "triggering_signal", _REASON, _BY, _ORIGIN), f"SELECT scan_id, id, triggering_signal, CASE WHEN confidence < 0.7 THEN 'below min-confidence 0.7' END AS reason, CASE WHEN confidence < 0.7 THEN 'threshold:min-confidence 0.7' END AS suppressed_by, CASE WHEN confidence < 0.7 THEN 'threshold' END AS origin FROM ({_findings_sql()})"),
@@ -550,7 +579,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "outcome_counts": (lambda s, d: derive.outcome_counts(_events(s, d), route(_enriched(s, d), PACK, SUPPRESS)), f"SELECT (SELECT count(*) FROM events) AS actions, count(*) FILTER (origin IS NULL) AS findings, count(*) FILTER (origin IS NOT NULL) AS suppressed FROM ({_routed_sql(SUPPRESS)})"),
     "baseline_counts": (lambda s, d: derive.baseline_counts(_baseline(s, d)), "SELECT " + ", ".join(f"count(*) FILTER (baseline_state = '{x}') AS {_lit(x).replace(chr(39), chr(34))}" for x in ("new", "unchanged", "absent")) + f" FROM ({_DIFF_SQL})"),
     "config_thresholds": (q_config, _CONFIG_SQL),
-    "single_action": (lambda s, d: match.single_hits(single_action(s, "sudo rm -rf /var/cache && mysqldump all"), PACK).select(_HIT_COLS), f"SELECT {_HITS} FROM ({_single_sql(PACK, _ONE)})"),
+    "single_action": (q_single_action, f"SELECT {_HITS} FROM ({_single_sql(PACK, _COMMAND_SCANS)})"),
     "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),
     "otlp_deep": (lambda s, d: otlp_events(_view(s, d, _OTLP_DEEP)).select("path", "what", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, 'action' AS what, 'otlp:log' AS source, concat(repeat('a ', CAST(event_id % 13 AS INT)), 'x', event_type) AS value FROM events"),
     "otlp_typed": (lambda s, d: otlp_events(_view(s, d, _OTLP_TYPED)).select("path", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, concat('session:', event_type, '.input') AS source, concat('s do ', event_type, ' last ', CAST(event_id AS VARCHAR), CASE event_id % 2 WHEN 0 THEN '' ELSE '.5' END, ' false 7 z') AS value FROM events"),
@@ -559,7 +588,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "trace_transcription": (q_traces, _TRACES_SQL),
     "role_misses": (q_role_misses, _ROLE_MISSES_SQL),
     "contact_tokens": (q_contacts, _CONTACTS_SQL),
-    "xref_broken": (q_xref_broken, f"SELECT id, ref FROM ({_XREF_SQL}) WHERE starts_with(ref, 'AML.') OR (starts_with(ref, 'OWASP-LLM:') AND ref NOT IN ({', '.join(_lit(c.id) for c in PACK.controls)}))"),
+    "xref_broken": (q_xref_broken, f"SELECT ref, n FROM ({_FOUND_REFS}) WHERE starts_with(ref, 'AML.') OR (starts_with(ref, 'OWASP-LLM:') AND ref NOT IN ({', '.join(_lit(c.id) for c in PACK.controls)}))"),
     "sarif_results": (lambda s, d: sarif_results(detect(_events(s, d), PACK, SUPPRESS, min_severity=9).routed), _SARIF_SQL),
     "audit_log": (
         q_audit,
@@ -570,7 +599,7 @@ UNION ALL SELECT scan_id, pass, rule_ord, CASE WHEN suppressed_by IS NULL THEN c
     "findings_json": (lambda s, d: findings_json(_enriched(s, d)), None),
     "normalize_text": (q_normalize, _NORMALIZE_SQL),
     "role_values": (q_role_values, _ROLES_SQL),
-    "llm_id_normalize": (lambda s, d: s.createDataFrame([(a, x) for a, l in PACK.crosswalk for x in l], "asi string, llm string").select("asi", text.llm_id(F.col("llm")).alias("ref")), f"SELECT asi, concat('OWASP-LLM:', split_part(llm, ':', 1)) AS ref FROM {_values([(a, x) for a, l in PACK.crosswalk for x in l], 'asi, llm')}"),
+    "llm_id_normalize": (q_llm_ids, f"SELECT CASE event_type WHEN 'view' THEN 'ASI01' ELSE concat('OWASP-LLM:', split_part({_RISK}, ':', 1)) END AS ref, count(*) AS n FROM events GROUP BY 1"),
     "session_actions": (
         lambda s, d: _sessions(s, d).actions.select("scan_id", F.floor(F.col("seq") / F.lit(1 << 20)).cast("long").alias("line"), "source", "value"),
         f"""SELECT scan_id, n AS line, 'session:Bash.input' AS source, concat('run ', CAST(event_id AS VARCHAR)) AS value FROM ({_LINE_NO}) WHERE event_id % 7 = 0

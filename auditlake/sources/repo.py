@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a file that are read.
@@ -140,3 +141,8 @@ def repo_skips(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> D
 def single_action(spark: SparkSession, action: str, kind: str = "session:Bash.input") -> DataFrame:
     """One literal, neither normalised nor rendered as a call."""
     return spark.createDataFrame([("action", 0, kind, action)], "scan_id string, seq long, source string, value string")
+
+
+def literal_actions(rows: DataFrame, scan: str, column: str, kind: str = "session:Bash.input") -> DataFrame:
+    """``single_action`` for each row of a table: the text of ``column`` as the only action of the scan ``scan``; nulls are none."""
+    return rows.filter(F.col(column).isNotNull()).select(F.col(scan).cast("string").alias("scan_id"), F.lit(0).cast("long").alias("seq"), F.lit(kind).alias("source"), F.col(column).alias("value"))
