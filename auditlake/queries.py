@@ -27,6 +27,7 @@ from auditlake.sources.repo import literal_actions
 from auditlake.sources.session import Session, line_events, traces_from_messages, version_warning
 from auditlake.sources.spread import spread
 from auditlake.streaming.detect import hook_payloads
+from auditlake.streaming.hook import hook_verdicts
 
 PACK = embedded_pack()
 
@@ -524,6 +525,12 @@ def q_single_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.single_hits(literal_actions(commands, "scan", "command"), PACK).select(_HIT_COLS)
 
 
+def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each command before it runs: blocked if it has a candidate."""
+    calls = _events(spark, sf_dir).filter("source = 'session:Bash.input'").select(F.concat(F.lit("c"), F.col("seq").cast("string")).alias("call"), F.col("value").alias("command"))
+    return hook_verdicts(calls, PACK, block=True).select("call", "verdict", "exit_code", F.array_join("codes", ",").alias("codes"))
+
+
 _COMMAND_SCANS = f"SELECT concat('c', CAST(seq AS STRING)) AS scan_id, CAST(0 AS BIGINT) AS seq, 'session:Bash.input' AS source, value FROM ({EVENT_ACTIONS}) WHERE source = 'session:Bash.input'"
 _FOUND_REFS = f"SELECT ref, count(*) AS n FROM (SELECT unnest(string_split(refs, ',')) AS ref FROM ({_findings_sql()}) WHERE refs <> '') GROUP BY ref"
 
@@ -583,6 +590,11 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),
     "otlp_deep": (lambda s, d: otlp_events(_view(s, d, _OTLP_DEEP)).select("path", "what", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, 'action' AS what, 'otlp:log' AS source, concat(repeat('a ', CAST(event_id % 13 AS INT)), 'x', event_type) AS value FROM events"),
     "otlp_typed": (lambda s, d: otlp_events(_view(s, d, _OTLP_TYPED)).select("path", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, concat('session:', event_type, '.input') AS source, concat('s do ', event_type, ' last ', CAST(event_id AS VARCHAR), CASE event_id % 2 WHEN 0 THEN '' ELSE '.5' END, ' false 7 z') AS value FROM events"),
+    "hook_verdicts": (
+        q_verdicts,
+        f"WITH c AS ({_COMMAND_SCANS}), h AS (SELECT scan_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM ({_hits_sql(PACK, _COMMAND_SCANS)}) GROUP BY scan_id) "
+        "SELECT c.scan_id AS call, CASE WHEN codes IS NULL THEN 'pass' ELSE 'block' END AS verdict, CAST(CASE WHEN codes IS NULL THEN 0 ELSE 2 END AS INTEGER) AS exit_code, coalesce(codes, '') AS codes FROM c LEFT JOIN h ON h.scan_id = c.scan_id",
+    ),
     "hook_payloads": (lambda s, d: hook_payloads(_view(s, d, _HOOKS)).select("scan_id", "source", "value"), "SELECT CASE event_id % 4 WHEN 2 THEN 'action' ELSE concat('u', CAST(user_id AS VARCHAR)) END AS scan_id, 'session:Bash.input' AS source, concat(CASE event_id % 4 WHEN 2 THEN 'ls ' ELSE 'rm ' END, CAST(event_id AS VARCHAR)) AS value FROM events WHERE event_id % 4 >= 2"),
     "session_first_seen": (lambda s, d: Session(line_events(_view(s, d, _FIRST_SEEN))).evidence, f"SELECT scan_id, CAST(NULL AS VARCHAR) AS version, concat('b', CAST(min(number) FILTER (number % 3 = 0) AS VARCHAR)) AS git_branch, concat('/w', CAST(min(number) FILTER (number % 3 = 1) AS VARCHAR)) AS cwd FROM ({_FIRST_SEEN}) WHERE number % 3 < 2 GROUP BY scan_id"),
     "trace_transcription": (q_traces, _TRACES_SQL),

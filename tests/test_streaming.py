@@ -7,6 +7,7 @@ import pytest
 from auditlake.operators import match
 from auditlake.plans.pack import embedded_pack
 from auditlake.plans.schema import ACTIONS
+from auditlake.streaming.hook import write_verdicts
 from auditlake.streaming.latch import stream_first_by_position, stream_pairs_in_order
 from auditlake.streaming.detect import hook_payloads, stateless_rules, stream_first_per_signal, stream_pairs, stream_single, stream_stateless
 
@@ -144,3 +145,33 @@ def test_first_by_position_equals_the_batch(spark, tmp_path):
     key = lambda r: (r["scan_id"], r["pass"], r["seq"], r["rule_ord"], r["code"], r["signal"], r["source"], r["ambiguity"])
     assert sorted(map(key, got)) == sorted(map(key, want)) and want
     assert sizes[-1] < max(sizes)
+
+
+def test_verdicts_are_written_once(spark, tmp_path):
+    """A stream that is started again, and one whose last batch was never committed, write each verdict once."""
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    schema = "call string, command string"
+
+    def run():
+        calls = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        q = write_verdicts(calls, out, state, PACK, block=True)
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    for i in range(3):
+        rows = [(f"{i}-a", "sudo rm -rf /"), (f"{i}-b", "ls"), (f"{i}-c", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        run()
+    want = sorted((f"{i}-{c}", v, e) for i in range(3) for c, v, e in (("a", "block", 2), ("b", "pass", 0), ("c", "pass", 0)))
+    found = lambda: sorted((r.call, r.verdict, r.exit_code) for r in spark.read.parquet(out).collect())
+    assert found() == want
+    uncommit = lambda: [(tmp_path / "state" / "commits" / x).unlink(missing_ok=True) for x in ("2", ".2.crc")]
+    uncommit()
+    (tmp_path / "out" / "batch=000000000002" / "_SUCCESS").unlink()  # as if it had broken off while writing
+    run()
+    assert found() == want
+    uncommit()  # written, but the commit is missing
+    run()
+    assert found() == want
