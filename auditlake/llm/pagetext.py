@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -66,7 +67,7 @@ _HAVING = frozenset(["with", "has", "without"])  # "with-sidebar" isn't the side
 _WRAPPERS = frozenset(["form", "fieldset"])  # may hold a whole page; these say nothing of their content
 
 PARSED = (
-    "page_id long, url string, host string, content long, blocks array<string>, main array<int>, "
+    "page_id long, url string, host string, content long, n_blocks int, main array<int>, kept binary, "
     "templates array<struct<hash: long, first: int, stop: int>>"
 )
 
@@ -133,7 +134,7 @@ def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int
     inline: list[str] = []
     dropped: list[tuple[int, int, bool]] = []  # first, stop, says what it holds
     mains: list[tuple[bool, int, int, bool, bool]] = []  # is it <main>, first, stop, says boilerplate, is of the page
-    candidates: dict[tuple[int, int], int] = {}
+    candidates: dict[tuple[int, int], tuple[int, int | None]] = {}
     # An open element: tag, first block, says boilerplate by name (2) or tag (1), is a main element of the page (2) or an article (1), hash parts
     stack: list[tuple[str, int, int, int, list[str]]] = []
     standing: Counter[str] = Counter()  # open elements by tag
@@ -185,9 +186,10 @@ def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int
             stack[-1][4].append(f"\1{digest:x}")
         if boiler:
             dropped.append((first, stop, boiler == 2 or tag not in _WRAPPERS))
-        # Of elements that hold the same blocks the innermost counts, as it recurs at least as often.
+        # Of elements that hold the same blocks the innermost counts, as it recurs at least as often: of all, and of those that are no leaves.
         if stop > first and tag not in ("html", "body") and not main and (boiler or not open_mains or tag in _CONTAINER):
-            candidates.setdefault((first, stop), digest - (1 << 63))
+            inner, solid = candidates.get((first, stop), (digest, None))
+            candidates[first, stop] = inner, digest if solid is None and (boiler or tag in _CONTAINER) else solid
 
     while True:
         found = _TAG.search(page, at)
@@ -295,9 +297,12 @@ def read_page(page: str) -> tuple[list[str], list[int], list[tuple[int, int, int
         kept = [i for i, gone in enumerate(covered(cut, len(blocks))) if first <= i < stop and not gone]
         if kept:
             break
-    # What holds the whole of the main part is no template of the site, but the page.
+    # What holds the whole of the main part is no template of the site, but the page.  Where a page marks its main part, leaves are no candidates.
     whole = (kept[0], kept[-1] + 1) if kept else (0, 0)
-    spans = sorted((h, a, z) for (a, z), h in candidates.items() if not kept or not (a <= whole[0] and whole[1] <= z) or root is None)
+    able = [(inner, a, z) for (a, z), (inner, _) in candidates.items()]
+    if root is not None:
+        able = [(solid, a, z) for (a, z), (_, solid) in candidates.items() if solid is not None and not (kept and a <= whole[0] and whole[1] <= z)]
+    spans = sorted((h - (1 << 63), a, z) for h, a, z in able)
     return blocks, kept, spans, xxhash.xxh64_intdigest("\n".join(blocks[i] for i in kept)) - (1 << 63)
 
 
@@ -307,14 +312,16 @@ def parse_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
-            blocks, main, spans, content = [], [], [], []
+            n_blocks, main, kept, spans, content = [], [], [], [], []
             for page in batch.column(3):
                 b, m, s, c = read_page(page.as_py() or "")
-                blocks.append(b)
+                n_blocks.append(len(b))
                 main.append(m)
+                # No other block's text is needed again; compressed, as it is written and shuffled.
+                kept.append(zlib.compress("\n".join(b[i] for i in m).encode("utf-8", "surrogatepass"), 1))
                 spans.append([{"hash": h, "first": a, "stop": z} for h, a, z in s])
                 content.append(c)
-            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(content, pa.int64()), pa.array(blocks, pa.list_(pa.string())), pa.array(main, pa.list_(pa.int32())), pa.array(spans, kind)], names=["page_id", "url", "host", "content", "blocks", "main", "templates"])
+            yield pa.record_batch([*(batch.column(i) for i in range(3)), pa.array(content, pa.int64()), pa.array(n_blocks, pa.int32()), pa.array(main, pa.list_(pa.int32())), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["page_id", "url", "host", "content", "n_blocks", "main", "kept", "templates"])
 
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.col(html_col).cast("string").alias("html"))
@@ -332,28 +339,31 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """
     parsed = materialize(parse_pages(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "pages")
     spans = parsed.filter(F.size("templates") > 0).select("row", "host", "content", F.explode("templates").alias("t"))
-    spans = spans.select("row", "host", "content", "t.hash", "t.first", "t.stop")
-    counts = spans.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
+    # A hash of 64 bits stands for the host and its subtree from here on.
+    spans = spans.select("row", F.xxhash64("host", "t.hash").alias("hash"), "content", "t.first", "t.stop")
+    counts = spans.select("hash", "content").distinct().groupBy("hash").agg(F.count("*").alias("n"))
+    spans = spans.drop("content")
     often = counts.filter(F.col("n") >= min_pages)
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    often = often.select("host", "hash").withColumn("salt", salts)
-    hits = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(often, ["host", "hash", "salt"])
+    often = often.select("hash").withColumn("salt", salts)
+    hits = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(often, ["hash", "salt"])
     hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "stop")).alias("cuts"))  # at most a page's elements
     # Pages without candidates, which may be most, have nothing to look up and aren't shuffled.
-    asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "blocks", "main").join(hits, "row", "left").drop("row")
-    plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "blocks", "main", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
+    asked = parsed.filter(F.size("templates") > 0).select("row", "page_id", "url", "n_blocks", "main", "kept").join(hits, "row", "left").drop("row")
+    plain = parsed.filter(F.size("templates") == 0).select("page_id", "url", "n_blocks", "main", "kept", F.lit(None).cast(asked.schema["cuts"].dataType).alias("cuts"))
     whole = asked.union(plain)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, by_template, by_rules = [], [], []
-            for blocks, main, cuts in zip(batch.column(2), batch.column(3), batch.column(4)):
-                blocks = blocks.as_py()
-                gone = covered([(c["first"], c["stop"]) for c in cuts.as_py()], len(blocks)) if cuts.is_valid else [False] * len(blocks)
-                kept = [blocks[i] for i in main.as_py() if not gone[i]]
-                texts.append("\n".join(kept))
+            for n, main, kept, cuts in zip(*(batch.column(i) for i in range(2, 6))):
+                n, main = n.as_py(), main.as_py()
+                gone = covered([(c["first"], c["stop"]) for c in cuts.as_py()], n) if cuts.is_valid else [False] * n
+                blocks = zlib.decompress(kept.as_py()).decode("utf-8", "surrogatepass").split("\n") if main else []
+                left = [b for b, i in zip(blocks, main) if not gone[i]]
+                texts.append("\n".join(left))
                 by_template.append(sum(gone))
-                by_rules.append(len(blocks) - sum(gone) - len(kept))
+                by_rules.append(n - sum(gone) - len(left))
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(by_template, pa.int64()), pa.array(by_rules, pa.int64())], names=["page_id", "url", "text", "n_template", "n_rules"])
 
     out = whole.mapInArrow(cut, "page_id long, url string, text string, n_template long, n_rules long")
