@@ -148,7 +148,7 @@ def _next_keys(keys: DataFrame) -> DataFrame:
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each different (id, text) with its edited text's checksum, and the paragraph digests of both and of the next document.
 
-    Returns ``rid, doc_id, copies, n_chars, edited_sha256, a, e, x``.
+    Returns ``rid, doc_id, copies, next_copies, n_chars, edited_sha256, a, e, x``.
     """
     own = F.col(id_col).cast("long")
     rows = docs.select(own.alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -158,12 +158,13 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     links = _next_keys(keys)
     each = rows.groupBy(*_KEY).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     wanted = links.select(*(F.col(f"next.{c}").alias(c) for c in _KEY), F.struct(*_KEY).alias("for"), F.expr("n DIV 2").cast("int").alias("m"), "n")
-    given = each.drop("copies").join(wanted.hint("merge"), _KEY).select(*(F.col(f"for.{c}").alias(c) for c in _KEY), "n", F.expr("substring(text, 1, m)").alias("head"), F.expr(digests("text")).alias("x"))
+    # ``next_copies`` is only carried along: with the same columns, both uses of ``each`` read one shuffle of the texts.
+    given = each.join(wanted.hint("merge"), _KEY).select(*(F.col(f"for.{c}").alias(c) for c in _KEY), "n", F.col("copies").alias("next_copies"), F.expr("substring(text, 1, m)").alias("head"), F.expr(digests("text")).alias("x"))
     met = each.join(given.hint("merge"), _KEY)
     edited = F.expr("concat(substring(text, 1, CAST(n - n DIV 2 AS INT)), head)")
-    met = met.select("no_id", "place", "copies", "n", "x", F.explode(F.array(F.struct(F.expr(digests("text")).alias("a"), edited.alias("edited")))).alias("v"))
+    met = met.select("no_id", "place", "copies", "next_copies", "n", "x", F.explode(F.array(F.struct(F.expr(digests("text")).alias("a"), edited.alias("edited")))).alias("v"))
     doc_id = F.when(~F.col("no_id"), F.bitwise_not("place"))
-    met = met.select(doc_id.alias("doc_id"), "copies", F.col("n").alias("n_chars"), F.sha2("v.edited", 256).alias("edited_sha256"), "v.a", F.expr(digests("v.edited")).alias("e"), "x")
+    met = met.select(doc_id.alias("doc_id"), "copies", "next_copies", F.col("n").alias("n_chars"), F.sha2("v.edited", 256).alias("edited_sha256"), "v.a", F.expr(digests("v.edited")).alias("e"), "x")
     return materialize(met.withColumn("rid", F.monotonically_increasing_id()), "versions")
 
 
