@@ -9,6 +9,7 @@ are one SQL text that both engines run.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,9 +24,9 @@ from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, ma
 from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
 from auditlake.sources.otlp import otlp_events
-from auditlake.sources.repo import literal_actions
+from auditlake.sources.repo import drop_tree, literal_actions, read_repo, repo_skips, write_tree
 from auditlake.sources.session import Session, line_events, traces_from_messages, version_warning
-from auditlake.sources.spread import spread
+from auditlake.sources.spread import cut, shared_folder, spread
 from auditlake.streaming.detect import hook_payloads
 from auditlake.streaming.hook import hook_verdicts
 
@@ -525,6 +526,38 @@ def q_single_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.single_hits(literal_actions(commands, "scan", "command"), PACK).select(_HIT_COLS)
 
 
+_TREE_FILES = """SELECT concat(host, '/', page_id % 7, '/', CASE page_id % 3 WHEN 0 THEN '.' ELSE '' END, CASE page_id % 4 WHEN 0 THEN 'keep-' ELSE '' END, page_id, CASE page_id % 5 WHEN 0 THEN '.tmp' WHEN 1 THEN '.TXT' ELSE '.html' END) AS name, host, page_id % 7 AS sub, html AS body
+ FROM (SELECT page_id, html, split_part(split_part(url, '://', 2), '/', 1) AS host FROM pages) WHERE page_id IS NOT NULL AND html IS NOT NULL AND host <> ''"""
+_TREE_IGNORE = "# scratch\n*.tmp\n!**/keep-*.tmp\n/*/6/\n"
+
+
+def _tree(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``read`` finds in a tree of files that holds every page, a folder a host, with an ignore file."""
+    root = f"{shared_folder(spark)}/auditlake-tree-{uuid.uuid4().hex}"
+    spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).createOrReplaceTempView("pages")
+    try:
+        write_tree(spark.sql(_TREE_FILES).select("name", "body").union(spark.createDataFrame([(".gitignore", _TREE_IGNORE)], "name string, body string")), root)
+        return cut(read(root))
+    finally:
+        drop_tree(spark, root)
+
+
+def q_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file's path and head, numbered in the order of the walk."""
+    return _tree(spark, sf_dir, lambda root: read_repo(spark, root)).select("seq", "source", F.sha2("value", 256).alias("value_sha256"))
+
+
+def q_repo_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that an extension filter leaves out."""
+    return _tree(spark, sf_dir, lambda root: repo_skips(spark, root, ("html", "txt"))).select("seq", "place", "reason")
+
+
+_TREE_KEPT = f"SELECT *, string_split(name, '/') AS parts FROM (SELECT name, body FROM ({_TREE_FILES}) WHERE sub <> 6 AND (NOT name LIKE '%.tmp' OR name LIKE '%/keep-%') UNION ALL SELECT '.gitignore', {_lit(_TREE_IGNORE)})"
+_TREE_SQL = f"""WITH t AS (SELECT *, row_number() OVER (ORDER BY parts) - 1 AS pos FROM ({_TREE_KEPT}))
+SELECT 2 * pos AS seq, concat('repo-path:', name) AS source, sha256(name) AS value_sha256 FROM t UNION ALL SELECT 2 * pos + 1, concat('repo-file:', name), sha256(body) FROM t"""
+_TREE_SKIPS_SQL = f"SELECT row_number() OVER (ORDER BY parts) - 1 AS seq, name AS place, 'extension not in the wanted ones' AS reason FROM ({_TREE_KEPT}) WHERE NOT (lower(name) LIKE '%.html' OR lower(name) LIKE '%.txt')"
+
+
 def q_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each command before it runs: blocked if it has a candidate."""
     calls = _events(spark, sf_dir).filter("source = 'session:Bash.input'").select(F.concat(F.lit("c"), F.col("seq").cast("string")).alias("call"), F.col("value").alias("command"))
@@ -587,6 +620,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "baseline_counts": (lambda s, d: derive.baseline_counts(_baseline(s, d)), "SELECT " + ", ".join(f"count(*) FILTER (baseline_state = '{x}') AS {_lit(x).replace(chr(39), chr(34))}" for x in ("new", "unchanged", "absent")) + f" FROM ({_DIFF_SQL})"),
     "config_thresholds": (q_config, _CONFIG_SQL),
     "single_action": (q_single_action, f"SELECT {_HITS} FROM ({_single_sql(PACK, _COMMAND_SCANS)})"),
+    "repo_actions": (q_repo, _TREE_SQL),
+    "repo_skips": (q_repo_skips, _TREE_SKIPS_SQL),
     "version_gate": (lambda s, d: _view(s, d, _VERSIONS).select("event_id", version_warning(F.col("version")).alias("warning")), f"SELECT event_id, CASE WHEN event_id % 4 = 3 AND event_id <> 1 THEN concat('warning: session version ', version, ' differs from the tested 2.1.x family; parsing best-effort') END AS warning FROM ({_VERSIONS})"),
     "otlp_deep": (lambda s, d: otlp_events(_view(s, d, _OTLP_DEEP)).select("path", "what", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, 'action' AS what, 'otlp:log' AS source, concat(repeat('a ', CAST(event_id % 13 AS INT)), 'x', event_type) AS value FROM events"),
     "otlp_typed": (lambda s, d: otlp_events(_view(s, d, _OTLP_TYPED)).select("path", "source", "value"), "SELECT concat('e', CAST(event_id AS VARCHAR)) AS path, concat('session:', event_type, '.input') AS source, concat('s do ', event_type, ' last ', CAST(event_id AS VARCHAR), CASE event_id % 2 WHEN 0 THEN '' ELSE '.5' END, ' false 7 z') AS value FROM events"),

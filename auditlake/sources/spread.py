@@ -1,8 +1,10 @@
-"""Small inputs over all cores."""
+"""Small inputs over all cores, and plans cut between jobs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -12,3 +14,20 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for tables between jobs, ``spark.checkpoint.dir``; a ``local`` session without it gets a temporary one."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
+    return named or context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as it is now, written to the shared folder, so that later jobs don't repeat or depend on what made it."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

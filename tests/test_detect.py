@@ -383,6 +383,49 @@ def test_repo(spark, tmp_path):
     assert [r["value"] for r in read_repo(spark, tmp_path, ("py",)).orderBy("seq").collect()] == ["b/c.PY", "�"]
 
 
+def test_tree_by_levels(spark, tmp_path):
+    """A walk by levels in tasks gives what one process finds, in its order."""
+    import random
+
+    from tests.plain_walk import walk
+
+    pick = random.Random(5)
+    names = ["a", "b.py", ".c", "out", "x.PY", "a.b.py", "keep.tmp", "d.tmp", "é", "B", "a b", ".git"]
+    rules = ["*.tmp", "!keep.tmp", "out/", "/a/**", "b.p?", "**/x.PY", "[!a]b", "# no", "", ".c", "!a", "a/b.py"]
+    for n in range(300):
+        place = tmp_path.joinpath(*(pick.choice(names) + "_"[: pick.randrange(2)] for _ in range(pick.randrange(5))), f"{pick.choice(names)}{pick.choice(['', '.md'])}")
+        try:
+            place.parent.mkdir(parents=True, exist_ok=True)
+            place.write_bytes(b"%d \xff" % n)
+            if n % 9 == 0:
+                (place.parent / pick.choice([".gitignore", ".ignore"])).write_text("\n".join(pick.sample(rules, 4)))
+        except OSError:
+            continue  # a file where a folder would be, or the other way
+    (tmp_path / "link").symlink_to(tmp_path)
+    (tmp_path / "file-link.py").symlink_to(tmp_path / "none")
+    for wanted in ((), ("py", ".MD")):
+        plain = list(walk(tmp_path, wanted))
+        rows = read_repo(spark, str(tmp_path), wanted).orderBy("seq").collect()
+        kept = [n for n, ok in plain if ok]
+        assert len(kept) > 20 and [r["value"] for r in rows if r["seq"] % 2 == 0] == kept
+        assert [r["seq"] for r in rows] == list(range(2 * len(kept)))
+        assert all(r["value"] == (tmp_path / r["source"][10:]).read_bytes().decode("utf-8", "replace") for r in rows if r["seq"] % 2)
+        skipped = repo_skips(spark, "file://" + str(tmp_path).replace(" ", "%20"), wanted).orderBy("seq").collect()
+        assert [r["place"] for r in skipped] == [n for n, ok in plain if not ok]
+
+
+def test_tree_edges(spark, tmp_path):
+    """Nothing in it, nothing there, names that aren't text, heads of long files."""
+    (tmp_path / "none").mkdir()
+    assert read_repo(spark, str(tmp_path / "none")).count() == 0
+    assert [r["reason"] for r in repo_skips(spark, str(tmp_path / "gone")).collect()] == ["walk error: FileNotFoundError"]
+    (tmp_path / "odd").mkdir()
+    with open(bytes(tmp_path / "odd") + b"/\xff.txt", "wb") as file:
+        file.write(b"q" * 300_000)
+    rows = read_repo(spark, str(tmp_path / "odd"), ("txt",)).orderBy("seq").collect()
+    assert [r["source"] for r in rows] == ["repo-path:\ufffd.txt", "repo-file:\ufffd.txt"] and len(rows[1]["value"]) == 256 * 1024
+
+
 @pytest.mark.parametrize("word, fires", [("shred it", True), ("ſhred it", True), ("shredder", False), ("éshred", False), ("SHRED", True)])
 def test_boundaries(spark, word, fires):
     assert ("AGT-MIS-001" in ids(detect(single_action(spark, word), PACK).findings)) == fires
