@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import glob_regex
@@ -34,6 +34,62 @@ def allowlisted(rules: list[SuppressRule], code: Column, signal: Column, source:
     return F.coalesce(*made, _none())
 
 
+#: Columns of an allowlist kept as a table; ``entry`` is its place, the first that matches counts.  Null fields match anything.
+ALLOWLIST = "entry long, code string, signal string, source_glob string, reason string, raw string"
+#: Kinds of entries: which of code and signal they name, and whether they have a glob.
+_BOTH, _CODE, _SIGNAL, _ANY = "code", "code only", "signal only", "any"
+
+
+def allowlist_table(spark: SparkSession, rules: list[SuppressRule]) -> DataFrame:
+    """Entries as rows."""
+    return spark.createDataFrame([(i, r.code, r.signal, r.source_glob, r.reason, r.raw) for i, r in enumerate(rules)], ALLOWLIST)
+
+
+def _keyed(code: Column, signal: Column) -> list[tuple[str, Column, Column]]:
+    """(kind, code, signal) that an entry of a kind has to have."""
+    any_ = F.lit("*")
+    return [(_BOTH, code, signal), (_CODE, code, any_), (_SIGNAL, any_, signal), (_ANY, any_, any_)]
+
+
+def route_by_table(findings: DataFrame, entries: DataFrame) -> DataFrame:
+    """Findings with ``reason, suppressed_by, origin`` from an allowlist of any length, a table of ``ALLOWLIST``; all null for active ones.
+
+    Findings are reduced to their distinct code, signal and source, and those meet the entries by hash joins. An entry's key is what it
+    names of code and signal, and of its glob the literal start up to 64 characters; the
+    lengths of such starts that a kind of entries has, 65 at most, are the keys that a finding
+    looks up.  What remains of a glob is tested on the pairs that agree so far.
+    ``entry`` numbers decide; entries that repeat, and ties of numbers, count by
+    their text.  Without entries all findings are active.
+    """
+    e = entries.select(F.col("entry").cast("long").alias("entry"), *(F.col(c).cast("string").alias(c) for c in ("code", "signal", "source_glob", "reason", "raw")))
+    kind = F.when(F.col("code").isNotNull() & F.col("signal").isNotNull(), _BOTH).when(F.col("code").isNotNull(), _CODE).when(F.col("signal").isNotNull(), _SIGNAL).otherwise(_ANY)
+    start = F.substring(F.coalesce(F.substring_index("source_glob", "*", 1), F.lit("")), 1, _START)
+    e = e.select("*", kind.alias("kind"), F.coalesce("code", F.lit("*")).alias("k_code"), F.coalesce("signal", F.lit("*")).alias("k_signal"), start.alias("k_start"))
+    # Of entries that match the same findings the first one counts, so each key and glob is one row.
+    first = F.min(F.struct("entry", "raw", F.coalesce("reason", F.lit("allowlisted")).alias("reason"))).alias("e")
+    e = e.groupBy("kind", "k_code", "k_signal", "k_start", "source_glob").agg(first)
+    lengths = e.select("kind", F.length("k_start").alias("n")).distinct()  # at most 4 kinds x 65 lengths
+    known = findings.select("id", "triggering_signal", "source").distinct()
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("k_code"), s.alias("k_signal")) for k, c, s in _keyed(F.col("id"), F.col("triggering_signal"))))
+    probes = known.select("*", F.inline(keys)).join(F.broadcast(lengths), "kind")
+    probes = probes.filter(F.col("k_code").isNotNull() & F.col("k_signal").isNotNull()).withColumn("k_start", F.expr("substring(coalesce(source, ''), 1, n)")).filter(F.length("k_start") == F.col("n"))
+    met = probes.join(e, ["kind", "k_code", "k_signal", "k_start"]).filter(F.col("source_glob").isNull() | _glob_matches(F.col("source"), F.col("source_glob")))
+    best = met.groupBy("id", "triggering_signal", "source").agg(F.min("e").alias("e"))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "triggering_signal", "source")]
+    out = findings.alias("f").join(best.alias("b"), reduce(lambda a, b: a & b, same), "left")
+    return out.select("f.*", F.col("b.e.reason").alias("reason"), F.col("b.e.raw").alias("suppressed_by"), F.when(F.col("b.e").isNotNull(), "allowlist").alias("origin"))
+
+
+#: Characters of a glob's literal start that are part of its key.
+_START = 64
+
+
+def _glob_matches(source: Column, glob: Column) -> Column:
+    """Whether a glob that knows ``*`` only, in a column, matches the whole source: as LIKE, with the signs of LIKE escaped."""
+    pattern = F.replace(F.replace(F.replace(F.replace(glob, F.lit("!"), F.lit("!!")), F.lit("%"), F.lit("!%")), F.lit("_"), F.lit("!_")), F.lit("*"), F.lit("%"))
+    return F.like(source, pattern, F.lit("!"))
+
+
 def _number(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else repr(float(x))
 
@@ -58,12 +114,17 @@ def below_threshold(pack: RulePack, config: Config, min_confidence: float | None
     return F.coalesce(*out, _none())
 
 
-def route(findings: DataFrame, pack: RulePack, suppress: list[SuppressRule] = (), config: Config = Config(), min_confidence: float | None = None, min_severity: int | None = None) -> DataFrame:
+def route(findings: DataFrame, pack: RulePack, suppress: list[SuppressRule] | DataFrame = (), config: Config = Config(), min_confidence: float | None = None, min_severity: int | None = None) -> DataFrame:
     """Findings with ``reason, suppressed_by, origin``; all null for active ones.
 
-    The allowlist is asked first; thresholds are the call's, else the config's.
+    The allowlist, a short list or a table of ``ALLOWLIST``, is asked first; thresholds are the call's, else the config's.
     """
     confidence = min_confidence if min_confidence is not None else config.min_confidence
     severity = min_severity if min_severity is not None else config.min_severity
+    if isinstance(suppress, DataFrame):
+        names = ("reason", "suppressed_by", "origin")
+        below = below_threshold(pack, config, confidence, severity)
+        found = route_by_table(findings, suppress).withColumn("_m", below)
+        return found.select(*findings.columns, *(F.when(F.col("origin").isNotNull(), F.col(c)).otherwise(F.col(f"_m.{c}")).alias(c) for c in names))
     moved = F.coalesce(allowlisted(list(suppress), F.col("id"), F.col("triggering_signal"), F.col("source")), below_threshold(pack, config, confidence, severity))
     return findings.withColumn("_m", moved).select("*", "_m.reason", "_m.suppressed_by", "_m.origin").drop("_m")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditlake.operators import derive
 from auditlake.operators.enrich import enrich
 from auditlake.operators.match import all_hits
-from auditlake.operators.route import route
+from auditlake.operators.route import allowlist_table, route
 from auditlake.plans.pack import Config, RulePack, SuppressRule, embedded_pack, merged_suppress
 
 
@@ -45,7 +45,7 @@ class Report:
 def detect(
     actions: DataFrame,
     pack: RulePack | None = None,
-    suppress: list[SuppressRule] = (),
+    suppress: list[SuppressRule] | DataFrame = (),
     config: Config = Config(),
     min_confidence: float | None = None,
     min_severity: int | None = None,
@@ -56,10 +56,16 @@ def detect(
 ) -> Report:
     """Findings and suppressed findings of any number of scans; runs no job.
 
-    The order of stages: match, allowlist, thresholds, rollup, baseline.
+    The order of stages: match, allowlist, thresholds, rollup, baseline.  A long
+    allowlist is a table (``operators.route.ALLOWLIST``).
     """
     pack = pack or embedded_pack()
-    entries = merged_suppress(list(suppress), config)
+    if isinstance(suppress, DataFrame):  # entries of the config come after those of the table
+        more = [r for r in merged_suppress([], config)]
+        last = suppress.agg(F.coalesce(F.max("entry") + 1, F.lit(0)).alias("_n"))
+        entries = suppress.unionByName(allowlist_table(actions.sparkSession, more).join(last).withColumn("entry", F.col("entry") + F.col("_n")).drop("_n")) if more else suppress
+    else:
+        entries = merged_suppress(list(suppress), config)
     routed = route(enrich(all_hits(actions, pack, shell_ast), pack), pack, entries, config, min_confidence, min_severity)
     report = Report(routed.filter(F.col("origin").isNull()).drop("reason", "suppressed_by", "origin"), routed.filter(F.col("origin").isNotNull()), pack, routed)
     if by_asi:

@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from auditlake.functions import shell, text
 from auditlake.operators import derive, match, metrics
 from auditlake.operators.enrich import enrich, known_refs, ref_counts, rules_table
-from auditlake.operators.route import route
+from auditlake.operators.route import route, route_by_table
 from auditlake.plans.detect import detect
 from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, merged_suppress, parse_config, parse_suppress
 from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
+from auditlake.sources.baseline import diff_with_table, save_baseline
 from auditlake.sources.otlp import otlp_events
 from auditlake.sources.repo import drop_tree, literal_actions, read_repo, repo_skips, write_tree
 from auditlake.sources.session import Session, line_events, traces_from_messages, version_warning
@@ -411,6 +412,33 @@ def q_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _baseline(spark, sf_dir).select("scan_id", "id", "triggering_signal", "seq", "baseline_state")
 
 
+def q_baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``q_baseline``, with the odd events' findings kept as a table."""
+    name = f"auditlake_baseline_{uuid.uuid4().hex}"
+    odd, even = (enrich(match.all_hits(_view(spark, sf_dir, EVENT_ACTIONS).filter(F.col("seq") % 2 == k), PACK), PACK) for k in (1, 0))
+    try:
+        save_baseline(odd, name)
+        return cut(diff_with_table(even, name).select("scan_id", "id", "triggering_signal", "seq", "baseline_state"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name} PURGE")
+
+
+#: An allowlist with an entry an event.
+_ENTRIES = f"""SELECT event_id AS entry, CASE event_id % 3 WHEN 0 THEN NULL ELSE {_pick("event_id", [r.code for r in PACK.rules])} END AS code, CASE event_id % 5 WHEN 0 THEN {_pick("event_id", sorted({s for r in PACK.rules for s in r.main.signals})[:40])} END AS signal,
+ CASE event_type WHEN 'view' THEN concat('tool-result:', event_id, '*') WHEN 'error' THEN concat('session:*', event_id % 50, '.input') WHEN 'signup' THEN concat('otlp:', event_id % 9, '%g*') ELSE concat('*:src/', event_id, '_pp*') END AS source_glob,
+ concat('reason ', event_id) AS reason, concat('entry ', event_id) AS raw FROM events"""
+
+
+def q_suppress_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings against an allowlist as long as the table of events."""
+    return route_by_table(_enriched(spark, sf_dir), _view(spark, sf_dir, _ENTRIES)).select("scan_id", "pass", "seq", "rule_ord", "id", "triggering_signal", _REASON, _BY, _ORIGIN)
+
+
+_SUPPRESS_TABLE_SQL = f"""WITH f AS ({_findings_sql()}), e AS ({_ENTRIES}), k AS (SELECT DISTINCT id, triggering_signal, source FROM f),
+m AS (SELECT k.*, min(entry) AS entry FROM k JOIN e ON (e.code IS NULL OR e.code = k.id) AND (e.signal IS NULL OR e.signal = k.triggering_signal) AND k.source LIKE replace(replace(replace(e.source_glob, '%', '!%'), '_', '!_'), '*', '%') ESCAPE '!' GROUP BY ALL)
+SELECT f.scan_id, f.pass, f.seq, f.rule_ord, f.id, f.triggering_signal, e.reason, e.raw AS suppressed_by, CASE WHEN e.raw IS NOT NULL THEN 'allowlist' END AS origin FROM f LEFT JOIN m USING (id, triggering_signal, source) LEFT JOIN e USING (entry)"""
+
+
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan, active findings and suppressed ones, in the order of output."""
     r = detect(_events(spark, sf_dir), PACK, SUPPRESS, min_severity=9)
@@ -608,6 +636,8 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "xref_integrity": (lambda s, d: ref_counts(_enriched(s, d), PACK), f"SELECT ref, ref IN ({', '.join(map(_lit, sorted(known_refs(PACK))))}) AS resolved, n FROM ({_FOUND_REFS})"),
     "suppress_route": (lambda s, d: _flat(route(_enriched(s, d), PACK, SUPPRESS), _REASON, _BY, _ORIGIN), _routed_sql(SUPPRESS)),
     "suppress_glob": (lambda s, d: _flat(route(_enriched(s, d), PACK, SUPPRESS_GLOB), _REASON, _BY, _ORIGIN), _routed_sql(SUPPRESS_GLOB)),
+    "suppress_table": (q_suppress_table, _SUPPRESS_TABLE_SQL),
+    "baseline_table_diff": (q_baseline_table, _DIFF_SQL),
     "threshold_confidence": (lambda s, d: route(_enriched(s, d), PACK, min_confidence=0.7).select("scan_id", "id", "triggering_signal", _REASON, _BY, _ORIGIN), f"SELECT scan_id, id, triggering_signal, CASE WHEN confidence < 0.7 THEN 'below min-confidence 0.7' END AS reason, CASE WHEN confidence < 0.7 THEN 'threshold:min-confidence 0.7' END AS suppressed_by, CASE WHEN confidence < 0.7 THEN 'threshold' END AS origin FROM ({_findings_sql()})"),
     "threshold_severity": (lambda s, d: route(_enriched(s, d), PACK, config=CONFIG, min_severity=9).select("scan_id", "id", "triggering_signal", _REASON, _BY, _ORIGIN), f"SELECT scan_id, id, triggering_signal, CASE WHEN severity < 9 THEN concat('below min-severity 9 (effective severity ', CAST(severity AS VARCHAR), ')') END AS reason, CASE WHEN severity < 9 THEN 'threshold:min-severity 9' END AS suppressed_by, CASE WHEN severity < 9 THEN 'threshold' END AS origin FROM ({_findings_sql()}) LEFT JOIN {_SEVERITY} USING (id)"),
     "asi_rollup": (lambda s, d: derive.asi_rollup(_enriched(s, d), PACK).select("scan_id", "id", "title", "triggering_signal", F.array_join("suggested_controls", ",").alias("controls"), "confidence"), _ASI_SQL),
