@@ -1,7 +1,7 @@
 """Reports as JSON, SARIF 2.1.0 and Markdown.
 
-``findings_json`` stays distributed, a JSON text per finding.  The documents
-are rendered on the driver for one scan each, which a reader can take in.
+``findings_json`` stays distributed, a JSON text per finding.  ``to_json`` and its
+like render one scan on the driver; ``plans.documents`` writes those of all scans where the findings are.
 """
 
 from __future__ import annotations
@@ -27,14 +27,14 @@ GAP_SCOPE = "Only the controls of the catalogue are looked at; standards that it
 _ORDER = ["pass", "seq", "rule_ord"]
 
 
-def findings_json(findings: DataFrame) -> DataFrame:
-    """``scan_id, pass, seq, rule_ord, json``; ``ambiguity`` only if true, ``baseline_state`` only if set."""
+def findings_json(findings: DataFrame, *more: str) -> DataFrame:
+    """``scan_id, pass, seq, rule_ord, json`` and the columns ``more``; ``ambiguity`` only if true, ``baseline_state`` only if set."""
     body = F.struct(
         "id", "title", "status", "confidence", "triggering_signal", F.struct(F.col("citation_url").alias("url"), F.col("citation_version").alias("version")).alias("citation"),
         "suggested_controls", "cross_refs", "rules_source", "rules_source_collapsed", "is_candidate", F.when(F.col("ambiguity"), F.lit(True)).alias("ambiguity"), "baseline_state",
         *[c for c in ("reason", "suppressed_by", "origin") if c in findings.columns],
     )
-    return findings.select("scan_id", *_ORDER, F.to_json(body).alias("json"))
+    return findings.select("scan_id", *_ORDER, F.to_json(body).alias("json"), *more)
 
 
 def _rows(df: DataFrame, scan_id: str) -> list[dict]:
@@ -48,7 +48,11 @@ def report_document(report: Report, scan_id: str) -> dict:
 
 
 def to_json(report: Report, scan_id: str) -> str:
-    return json.dumps(report_document(report, scan_id), indent=2, ensure_ascii=False)
+    return json_text(report_document(report, scan_id))
+
+
+def json_text(doc: dict) -> str:
+    return json.dumps(doc, indent=2, ensure_ascii=False)
 
 
 def _sarif_result(f: dict) -> dict:
@@ -77,7 +81,10 @@ def _descriptor(id_: str, title: str, status: str) -> dict:
 
 def to_sarif(report: Report, scan_id: str) -> str:
     """Active results, then suppressed ones; a descriptor per id, by id."""
-    doc = report_document(report, scan_id)
+    return sarif_text(report_document(report, scan_id))
+
+
+def sarif_text(doc: dict) -> str:
     every = doc["findings"] + doc["suppressed"]
     descriptors = {}
     for f in every:
@@ -101,7 +108,10 @@ def _md_finding(f: dict) -> Iterator[str]:
 
 def to_markdown(report: Report, scan_id: str) -> str:
     """Counts, then sections for findings, allowlisted ones and those below a threshold."""
-    doc = report_document(report, scan_id)
+    return markdown_text(report_document(report, scan_id))
+
+
+def markdown_text(doc: dict) -> str:
     out = ["# Agent action audit — candidate findings", "", f"**Rules source:** `{doc['rules_source_collapsed']}` · **Findings:** {len(doc['findings'])} · **Suppressed:** {len(doc['suppressed'])}", ""]
     if not doc["findings"] and not doc["suppressed"]:
         return "\n".join([*out, "No candidate signals matched.", ""])

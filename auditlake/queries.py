@@ -20,6 +20,7 @@ from auditlake.operators import derive, match, metrics
 from auditlake.operators.enrich import enrich, known_refs, ref_counts, rules_table
 from auditlake.operators.route import route, route_by_table
 from auditlake.plans.detect import detect
+from auditlake.plans.documents import write_documents
 from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, merged_suppress, parse_config, parse_suppress
 from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
@@ -439,6 +440,21 @@ m AS (SELECT k.*, min(entry) AS entry FROM k JOIN e ON (e.code IS NULL OR e.code
 SELECT f.scan_id, f.pass, f.seq, f.rule_ord, f.id, f.triggering_signal, e.reason, e.raw AS suppressed_by, CASE WHEN e.raw IS NOT NULL THEN 'allowlist' END AS origin FROM f LEFT JOIN m USING (id, triggering_signal, source) LEFT JOIN e USING (entry)"""
 
 
+def q_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A SARIF document for each scan, written by executors and read back."""
+    root = f"{shared_folder(spark)}/auditlake-documents-{uuid.uuid4().hex}"
+    schema = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,suppressions:array<struct<kind:string>>>>>>"
+    actions = _events(spark, sf_dir)
+    try:
+        write_documents(detect(actions, PACK, SUPPRESS, min_severity=9), root, "sarif", actions)
+        docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root)
+        scan = F.regexp_replace("_metadata.file_name", r"\.sarif$", "").alias("scan_id")
+        rows = docs.select(scan, F.posexplode_outer(F.flatten("runs.results")).alias("pos", "r"))
+        return cut(rows.select("scan_id", F.col("pos").cast("long").alias("pos"), F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"), F.col("r.suppressions")[0]["kind"].alias("suppression")))
+    finally:
+        drop_tree(spark, root)
+
+
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan, active findings and suppressed ones, in the order of output."""
     r = detect(_events(spark, sf_dir), PACK, SUPPRESS, min_severity=9)
@@ -599,6 +615,8 @@ _FOUND_REFS = f"SELECT ref, count(*) AS n FROM (SELECT unnest(string_split(refs,
 _ASI_IDS = ", ".join(_lit(i) for i, *_ in PACK.asi)
 _XREF_SQL = f"SELECT id, unnest(string_split(refs, ',')) AS ref FROM (SELECT id, refs FROM (WITH {_rules_sql(PACK)} SELECT * FROM dim) WHERE refs <> '')"
 
+_DOCUMENTS_SQL = """SELECT a.scan_id, pos, rule_id, level, message, suppression FROM (SELECT DISTINCT scan_id FROM ({actions})) a LEFT JOIN
+ (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY suppression IS NOT NULL OR dropped_reason IS NOT NULL, pass, seq, rule_ord) - 1 AS pos FROM ({sarif})) s USING (scan_id)"""
 _SARIF_SQL = f"""SELECT scan_id, pass, seq, rule_ord, id AS rule_id, CASE status WHEN 'draft' THEN 'note' ELSE 'warning' END AS level,
  concat('CANDIDATE — ', title, ' (signal: ', triggering_signal, '). Review suggested control(s): ', replace(controls, ',', ', '), '. Source provenance: ', status, '.') AS message,
  CASE WHEN suppressed_by IS NOT NULL THEN 'external' END AS suppression, reason AS justification, CASE WHEN suppressed_by IS NULL AND severity < 9 THEN concat('below min-severity 9 (effective severity ', CAST(severity AS VARCHAR), ')') END AS dropped_reason
@@ -667,6 +685,7 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "contact_tokens": (q_contacts, _CONTACTS_SQL),
     "xref_broken": (q_xref_broken, f"SELECT ref, n FROM ({_FOUND_REFS}) WHERE starts_with(ref, 'AML.') OR (starts_with(ref, 'OWASP-LLM:') AND ref NOT IN ({', '.join(_lit(c.id) for c in PACK.controls)}))"),
     "sarif_results": (lambda s, d: sarif_results(detect(_events(s, d), PACK, SUPPRESS, min_severity=9).routed), _SARIF_SQL),
+    "sarif_documents": (q_documents, _DOCUMENTS_SQL.format(actions=EVENT_ACTIONS, sarif=_SARIF_SQL)),
     "audit_log": (
         q_audit,
         f"""SELECT scan_id, 0 AS pass, 0 AS rule_ord, concat('rules_source: embedded-fallback; actions: ', CAST(count(*) AS VARCHAR)) AS line FROM ({EVENT_ACTIONS}) GROUP BY scan_id

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 from urllib.parse import unquote, urlsplit
@@ -76,6 +77,20 @@ class Store:
             with self.files.open_output_stream(name) as opened:
                 opened.write(body)
 
+    def move(self, folder: bytes, to: bytes) -> None:
+        if self.local:
+            os.rename(os.path.join(self.root, folder), os.path.join(self.root, to))
+        else:
+            self.files.move(self._name(folder), self._name(to))
+
+    def drop(self, folder: bytes) -> None:
+        """A folder with all in it goes, if it is there."""
+        if self.local:
+            shutil.rmtree(os.path.join(self.root, folder), ignore_errors=True)
+        else:
+            self.files.delete_dir_contents(self._name(folder), missing_dir_ok=True)
+            self.files.delete_dir(self._name(folder))
+
     def _name(self, below: bytes) -> str:
         return f"{self.root.rstrip('/')}/{below.decode()}".rstrip("/")
 

@@ -10,6 +10,7 @@ from auditlake.functions import text
 from auditlake.operators import derive, match, metrics
 from auditlake.plans import render
 from auditlake.plans.detect import detect
+from auditlake.plans.documents import document_name, write_documents
 from auditlake.operators.route import allowlist_table, route, route_by_table
 from auditlake.plans.pack import Config, SuppressRule, embedded_pack, parse_suppress
 from auditlake.plans.schema import ACTIONS
@@ -423,6 +424,29 @@ def test_baseline_as_table(spark):
         spark.sql("DROP TABLE baseline_test")
 
 
+def test_documents_of_all_scans(spark, tmp_path):
+    """Executors write what the driver renders, a document a scan, and a job that fails writes none."""
+    ids_ = ["a/b", "", "é ü", "x" * 300, ".", *map(str, range(200))]
+    rows = [(ids_[i % len(ids_)], i, *pick) for i in range(900) for pick in [[("session:Bash.input", "sudo rm -rf /"), ("repo-file:x", "nothing to see"), ("repo-file:y", "wipe the disk and shred it")][i % 7 % 3]]]
+    actions = spark.createDataFrame([*rows, ("quiet", 0, "repo-file:z", "calm"), (None, 0, "session:Bash.input", "rm -rf b")], ACTIONS)
+    report = detect(actions, PACK, parse_suppress("AGT-MIS-002 # ok"), min_severity=7)
+    for kind, plain in (("sarif", render.to_sarif), ("json", render.to_json), ("md", render.to_markdown)):
+        write_documents(report, tmp_path / kind, kind, actions)
+        files = {f.name: f.read_text() for f in (tmp_path / kind).glob("part-*/*")}
+        assert set(files) == {document_name(i, kind) for i in [*ids_, "quiet", None]} and not list((tmp_path / kind).glob(".pending*"))
+        for i in ("a/b", "", "x" * 300, "17", "quiet"):
+            assert files[document_name(i, kind)] == plain(report, i)
+    write_documents(detect(actions, PACK).by_asi(), tmp_path / "sarif", "sarif", overwrite=True)
+    files = {f.name: f.read_text() for f in (tmp_path / "sarif").glob("part-*/*")}
+    assert files["3.sarif"] == render.to_sarif(detect(actions, PACK).by_asi(), "3") and "quiet.sarif" not in files
+    worse = detect(actions.withColumn("value", F.when(F.col("scan_id") == "7", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("value"))), PACK)
+    with pytest.raises(Exception):
+        write_documents(worse, tmp_path / "sarif", "sarif", overwrite=True)
+    assert {f.name: f.read_text() for f in (tmp_path / "sarif").glob("part-*/*")} == files
+    with pytest.raises(ValueError):
+        write_documents(report, tmp_path / "no", "pdf")
+
+
 def test_tree_by_levels(spark, tmp_path):
     """A walk by levels in tasks gives what one process finds, in its order."""
     import random
