@@ -578,9 +578,9 @@ _TREE_IGNORE = "# scratch\n*.tmp\n!**/keep-*.tmp\n/*/6/\n"
 def _tree(spark: SparkSession, sf_dir: str, read: Callable[[str], DataFrame]) -> DataFrame:
     """What ``read`` finds in a tree of files that holds every page, a folder a host, with an ignore file."""
     root = f"{shared_folder(spark)}/auditlake-tree-{uuid.uuid4().hex}"
-    spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).createOrReplaceTempView("pages")
+    files = spark.sql(_TREE_FILES.replace("FROM pages)", "FROM {t})"), t=spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     try:
-        write_tree(spark.sql(_TREE_FILES).select("name", "body").union(spark.createDataFrame([(".gitignore", _TREE_IGNORE)], "name string, body string")), root)
+        write_tree(files.select("name", "body").union(spark.createDataFrame([(".gitignore", _TREE_IGNORE)], "name string, body string")), root)
         return cut(read(root))
     finally:
         drop_tree(spark, root)

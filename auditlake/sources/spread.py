@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for tables between jobs, ``spark.checkpoint.dir``; a ``local`` session without it gets a temporary one."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if named is None and not context.master.startswith("local"):
+    if named is None and not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
