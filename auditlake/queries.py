@@ -227,11 +227,15 @@ SELECT scan_id, pass, seq, rule_ord, id, title, status, confidence, signal AS tr
 # ---- the queries ------------------------------------------------------------
 
 
+#: Bytes of events a task: up to 150,000 rows, each of which becomes a text.
+_EVENT_BYTES = 1 << 20
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view's SQL over the table it names, without touching the session's catalogue."""
     (name,) = re.findall(r"FROM (\w+)\s*$", sql)
     body = re.sub(r"FROM \w+\s*$", "", sql).replace("{", "{{").replace("}", "}}")
-    return spark.sql(body + "FROM {t}", t=spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")))
+    return spark.sql(body + "FROM {t}", t=spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), _EVENT_BYTES if name == "events" else None))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

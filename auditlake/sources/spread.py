@@ -7,13 +7,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Tasks that a table is dealt to at most; beyond, its files have partitions enough.
+TASKS = 4096
+
+
+def spread(df: DataFrame, task_bytes: int | None = None) -> DataFrame:
     """``df`` dealt over all cores where its files give fewer partitions, as a file of one row group does.
 
-    Tables of a cluster's size have more partitions than cores and stay as they are.
+    Tables of a cluster's size have more partitions than cores and stay as they are, unless ``task_bytes`` is given:
+    narrow rows that long expressions follow go to a task for so many bytes of files, so that no task grows with the table.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if task_bytes is not None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # from the listing of files
+        tasks = max(tasks, min(-(-size // task_bytes), TASKS))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def shared_folder(spark: SparkSession) -> str:

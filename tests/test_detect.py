@@ -11,6 +11,7 @@ from auditlake.operators import derive, match, metrics
 from auditlake.plans import render
 from auditlake.plans.detect import detect
 from auditlake.plans.documents import document_name, write_documents
+from auditlake.operators.route import _agreeing as agreeing
 from auditlake.operators.route import allowlist_table, route, route_by_table
 from auditlake.plans.pack import Config, SuppressRule, embedded_pack, parse_suppress
 from auditlake.plans.schema import ACTIONS
@@ -520,3 +521,26 @@ def test_signal_table_is_the_patterns(spark):
             if r[f"s{n}"]:
                 want.setdefault(n // 5, s)
         assert got[r.i] == want, r.i
+
+
+def test_allowlist_of_globs_without_a_start(spark):
+    """Globs that start with a star, or share their start, are looked up by what else they hold, not tried one by one."""
+    import random
+    from fnmatch import fnmatchcase
+
+    rng = random.Random(8)
+    sources = ["", "a", "s/é_%1!.py", *(f"repo-file:src/{i}/x_{i * 37}.py" for i in range(300)), "z" * 200 + "end", None]
+    findings = spark.createDataFrame([(str(i), rng.choice("AB"), rng.choice("xy"), s) for i, s in enumerate(sources)], "scan_id string, id string, triggering_signal string, source string")
+    globs = [None, "*", "**", "", "a", "*é*_%1*", "*.py", "*/x_37.py", "*src/*_74.py*", "z*end", "z" * 70 + "*", "*" + "z" * 150 + "e*", "*zzend", "repo-file:*/111.py", *(f"*src/{i}/x*" for i in range(0, 9000, 7)), *(f"repo-file:*/x_{i}.p?" for i in range(99)), *(f"repo-file:src/*/x_{i * 37}.*" for i in range(50, 900))]
+    rng.shuffle(globs)
+    rules = [SuppressRule(rng.choice(["A", "B", None]), rng.choice(["x", None]), g, f"r{i}", f"e{i}") for i, g in enumerate(globs) if g not in (None, "*", "**") or i > 2000]
+    got = {r["scan_id"]: r["suppressed_by"] for r in route_by_table(findings, allowlist_table(spark, rules)).collect()}
+
+    def fits(r, f):
+        return (r.code in (None, f["id"])) and (r.signal in (None, f["triggering_signal"])) and (r.source_glob is None or f["source"] is not None and fnmatchcase(f["source"], r.source_glob.replace("?", "[?]")))
+
+    assert got == {f["scan_id"]: next((r.raw for r in rules if fits(r, f)), None) for f in findings.collect()}
+    assert sum(v is not None for v in got.values()) > 100
+    # The pairs that a glob is tried on grow with the sources, not with the product.
+    many = allowlist_table(spark, [SuppressRule("A", None, f"*:src/{i}_pp*", "r", f"e{i}") for i in range(4000)])
+    assert agreeing(findings.select("id", "triggering_signal", "source").distinct(), many).count() < 400
