@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +24,8 @@ def parsed_line(text: Column) -> Column:
     before a closing mark, and must be all that stands before it.
     """
     whole = F.try_parse_json(F.concat(F.lit("["), F.btrim(text, F.lit(SPACE)), F.lit(f', "{_END}"]')))
-    items = F.try_variant_get(whole, "$", "array<variant>")
-    return F.when((F.size(items) == 2) & (F.try_variant_get(whole, "$[1]", "string") == _END), F.get(items, F.lit(0)))
+    # The parts of an array are copies, so they are made once.
+    return let(F.try_variant_get(whole, "$", "array<variant>"), lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(F.get(x, F.lit(1)), "$", "string") == _END), F.get(x, F.lit(0))))
 
 
 def part(value: Column, path: str) -> Column:
@@ -36,6 +38,21 @@ def parts(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "array<variant>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` evaluated once: a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def is_object(value: Column) -> Column:
+    """Whether a value is a JSON object; unlike its schema, this doesn't look at what it holds."""
+    return F.try_variant_get(value, "$", "struct<name:variant>").isNotNull()
+
+
+def fields(value: Column, *names: str) -> Column:
+    """A struct of an object's fields, null for anything else."""
+    return F.try_variant_get(value, "$", f"struct<{','.join(f'{n}:variant' for n in names)}>")
+
+
 def string(value: Column) -> Column:
     """The text of a JSON string; null for anything else, numbers included."""
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))

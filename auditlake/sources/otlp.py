@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.functions.variant import SPACE, allow_repeated_keys, parsed_line, part, parts, string
+from auditlake.functions.variant import SPACE, allow_repeated_keys, fields, is_object, let, parsed_line, part, parts, string
 from auditlake.sources.otlp_split import split_records
 
 # Attributes that name a tool, by precedence, and the files that are read.
@@ -37,24 +37,36 @@ def _number(v: Column) -> Column:
     return F.when(whole, v.cast("long").cast("string")).otherwise(v.cast("string"))
 
 
+_KINDS = ("stringValue", "intValue", "doubleValue", "boolValue", "arrayValue", "kvlistValue")
+
+
 def any_value(v: Column, depth: int = DEPTH) -> Column:
     """Text of a typed value: text, whole number, number, truth value, and lists of these joined by blanks."""
-    kind = F.schema_of_variant
-    whole, number, truth = part(v, "$.intValue"), part(v, "$.doubleValue"), part(v, "$.boolValue")
-    numeric = kind(number).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    out = [
-        string(v), string(part(v, "$.stringValue")), string(whole), F.when(kind(whole) == "BIGINT", F.try_variant_get(whole, "$", "string")),
-        F.when(numeric, _number(F.try_variant_get(number, "$", "double"))), F.when(kind(truth) == "BOOLEAN", F.try_variant_get(truth, "$", "string")),
-    ]
-    if depth:
-        def texts(items: Column) -> Column:
-            return F.filter(F.transform(items, lambda x: any_value(x, depth - 1)), lambda t: t.isNotNull())
-
-        # Both kinds of lists in one, so that the nested expression stands here once; written twice, it would double with each level.
-        lists = F.array(parts(v, "$.arrayValue.values"), F.transform(parts(v, "$.kvlistValue.values"), lambda x: part(x, "$.value")))
-        found = F.filter(F.transform(lists, texts), lambda t: F.size(t) > 0)
-        out.append(F.get(F.transform(found, lambda t: F.array_join(t, " ")), F.lit(0)))
-    return F.coalesce(*out)
+    kind = F.schema_of_variant  # asked of parts only, as it reads all that a value holds
+
+    def plain(o: Column) -> list[Column]:
+        whole, number, truth = o["intValue"], o["doubleValue"], o["boolValue"]
+        numeric = kind(number).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return [
+            F.when(o["stringValue"].isNotNull(), string(o["stringValue"])),
+            F.when(whole.isNotNull() & kind(whole).isin("STRING", "BIGINT"), F.try_variant_get(whole, "$", "string")),
+            F.when(number.isNotNull() & numeric, _number(F.try_variant_get(number, "$", "double"))),
+            F.when(truth.isNotNull() & (kind(truth) == "BOOLEAN"), F.try_variant_get(truth, "$", "string")),
+        ]
+
+    def text(o: Column) -> Column:
+        out = plain(o)
+        if depth:
+            def texts(items: Column) -> Column:
+                return F.filter(F.transform(items, lambda x: any_value(x, depth - 1)), lambda t: t.isNotNull())
+
+            # Both kinds of lists in one, so that the nested expression stands here once; written twice, it would double with each level.
+            lists = F.array(parts(o["arrayValue"], "$.values"), F.transform(parts(o["kvlistValue"], "$.values"), lambda x: part(x, "$.value")))
+            found = F.filter(F.transform(lists, texts), lambda t: F.size(t) > 0)
+            out.append(F.when(o["arrayValue"].isNotNull() | o["kvlistValue"].isNotNull(), let(found, lambda f: F.array_join(F.get(f, F.lit(0)), " "))))
+        return F.coalesce(*out)
+
+    return let(F.struct(v.alias("v"), fields(v, *_KINDS).alias("o")), lambda x: F.when(x["o"].isNull(), string(x["v"])).otherwise(text(x["o"])))
 
 
 def _plain(v: object) -> str | None:
@@ -122,68 +134,81 @@ def _blank(text: Column) -> Column:
 def record_actions(rows: DataFrame) -> DataFrame:
     """``rows`` with ``what, source, value`` for their ``record`` (a log record or, where ``span``, a span), which goes; a skip if it holds no text."""
     keep = [c for c in rows.columns if c not in ("record", "span")]
-    pairs = F.transform(parts(F.col("record"), "$.attributes"), lambda a: F.struct(string(part(a, "$.key")).alias("k"), part(a, "$.value").alias("v")))
+    pairs = F.transform(parts(F.col("record"), "$.attributes"), lambda a: let(fields(a, "key", "value"), lambda o: F.struct(string(o["key"]).alias("k"), o["value"].alias("v"))))
     pairs = F.coalesce(F.filter(pairs, lambda a: a["k"].isNotNull()), F.array().cast("array<struct<k:string,v:variant>>"))
     # The body is one more value, before the attributes.
     values = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("k"), F.when(~F.col("span"), part(F.col("record"), "$.body")).alias("v"))), pairs)
     rows = rows.select(*keep, "span", string(part(F.col("record"), "$.name")).alias("_name"), values.alias("_values"))
     lists = F.expr("regexp_count(to_json(_values), '(arrayValue|kvlistValue)')")
     rows = rows.withColumn("_deep", lists > DEPTH)
+    # Values stay here: what waits for the helper is copied, texts only.
     shallow = F.when(~F.col("_deep"), F.transform("_values", lambda a: any_value(a["v"])))
-    deep = _deep_texts(F.when(F.col("_deep"), F.transform("_values", lambda a: F.to_json(a["v"]))))
-    rows = rows.select(*keep, "span", "_name", F.transform("_values", lambda a: a["k"]).alias("_keys"), F.coalesce(shallow, deep).alias("_texts"))
+    deep = F.when(F.col("_deep"), F.transform("_values", lambda a: F.to_json(a["v"])))
+    rows = rows.select(*keep, "span", "_name", F.transform("_values", lambda a: a["k"]).alias("_keys"), shallow.alias("_shallow"), deep.alias("_lists"))
+    rows = rows.select(*keep, "span", "_name", "_keys", F.coalesce("_shallow", _deep_texts("_lists")).alias("_texts"))
 
     def make(r: Column) -> Column:
-        named = F.filter(F.slice(r["pairs"], 2, 1 << 30), lambda a: a["t"].isNotNull())
+        return let(F.filter(F.slice(r["pairs"], 2, 1 << 30), lambda a: a["t"].isNotNull()), lambda named: told(r, named))
 
+    def told(r: Column, named: Column) -> Column:
         def first(key: str) -> Column:
-            text = F.get(F.filter(named, lambda a: a["k"] == key), F.lit(0))["t"]
-            return F.when(~_blank(text), text)
+            return let(F.get(F.filter(named, lambda a: a["k"] == key), F.lit(0))["t"], lambda t: F.when(~_blank(t), t))
 
         tool = F.coalesce(*(first(k) for k in TOOL_KEYS), F.when(r["span"], r["name"]))
         head = F.when(r["span"], r["name"]).otherwise(F.get(r["pairs"], F.lit(0))["t"])
         texts = F.filter(F.concat(F.array(head), F.transform(named, lambda a: a["t"])), lambda t: ~_blank(t))
-        words = F.split(F.btrim(tool, F.lit(SPACE)), r"(?U)\s+")
         kind = F.when(r["span"], "otlp:span").otherwise("otlp:log")
-        source = F.when(~_blank(tool), F.concat(F.lit("session:"), F.element_at(words, -1), F.lit(".input"))).otherwise(kind)
-        made = F.struct(F.lit("action").alias("what"), source.alias("source"), F.array_join(texts, " ").alias("value"))
-        none = F.struct(F.lit("skip").alias("what"), kind.alias("source"), F.lit("record carried no observable string").alias("value"))
-        return F.when(F.size(texts) > 0, made).otherwise(none)
+
+        def event(x: Column) -> Column:
+            words = F.split(F.btrim(x["tool"], F.lit(SPACE)), r"(?U)\s+")
+            source = F.when(~_blank(x["tool"]), F.concat(F.lit("session:"), F.element_at(words, -1), F.lit(".input"))).otherwise(kind)
+            made = F.struct(F.lit("action").alias("what"), source.alias("source"), F.array_join(x["texts"], " ").alias("value"))
+            none = F.struct(F.lit("skip").alias("what"), kind.alias("source"), F.lit("record carried no observable string").alias("value"))
+            return F.when(F.size(x["texts"]) > 0, made).otherwise(none)
+
+        return let(F.struct(tool.alias("tool"), texts.alias("texts")), event)
 
     pairs = F.arrays_zip(F.col("_keys").alias("k"), F.col("_texts").alias("t"))
     # A lambda's variable is evaluated once.
     made = F.transform(F.array(F.struct(F.col("span"), F.col("_name").alias("name"), pairs.cast("array<struct<k:string,t:string>>").alias("pairs"))), make)
-    return rows.select(*keep, F.explode(made).alias("_e")).select(*keep, "_e.what", "_e.source", "_e.value")
+    # Outer, as a plain explode makes the optimiser evaluate its expression once more, to see whether it is empty.
+    return rows.select(*keep, F.explode_outer(made).alias("_e")).select(*keep, "_e.what", "_e.source", "_e.value")
 
 
-def _records(doc: Column, first: str, second: str, third: str) -> Column:
-    """Objects of nested lists."""
+def _records(top: Column, second: str, third: str) -> Column:
+    """Objects of nested lists, of which ``top`` is the outermost."""
     none = F.array().cast("array<variant>")
 
     def below(items: Column, name: str) -> Column:
         return F.flatten(F.transform(items, lambda x: F.coalesce(parts(x, f"$.{name}"), none)))
 
-    found = below(below(F.coalesce(parts(doc, f"$.{first}"), none), second), third)
-    return F.filter(found, lambda r: F.schema_of_variant(r).startswith("OBJECT"))
+    return F.filter(below(below(F.coalesce(top, none), second), third), is_object)
 
 
 def _document_events(docs: DataFrame) -> DataFrame:
     """``path, pos, what, source, value`` of documents given as ``path, number`` (0: the whole file, else its line)``, doc`` (null: can't be parsed)."""
     doc = F.col("doc")
-    known = parts(doc, "$.resourceLogs").isNotNull() | parts(doc, "$.resourceSpans").isNotNull()
+
+    def item(failed: Column, span: bool | None = None, record: Column = F.lit(None).cast("variant")) -> Column:
+        return F.struct(failed.alias("failed"), F.lit(span).cast("boolean").alias("span"), record.alias("record"))
 
     def skip(source: Column, reason: str) -> Column:
-        return F.struct(F.lit("skip").alias("what"), source.alias("source"), F.lit(reason).alias("value"))
+        return F.array(item(F.struct(F.lit("skip").alias("what"), source.alias("source"), F.lit(reason).alias("value"))))
 
-    failed = F.when(doc.isNull(), skip(F.concat(F.lit("line "), F.col("number").cast("string")), "json parse error")).when(~known, skip(F.lit("document"), "neither resourceLogs nor resourceSpans"))
+    def marked(top: Column, kind: str) -> Column:
+        none = F.lit(None).cast("struct<what:string,source:string,value:string>")
+        return F.transform(_records(top, *_LISTS[kind][1:]), lambda r: item(none, kind == "span", r))
 
-    def marked(kind: str) -> Column:
-        return F.transform(_records(doc, *_LISTS[kind]), lambda r: F.struct(F.lit(kind == "span").alias("span"), r.alias("record")))
+    def found(x: Column) -> Column:
+        return F.when(x["log"].isNull() & x["span"].isNull(), skip(F.lit("document"), "neither resourceLogs nor resourceSpans")).otherwise(F.concat(marked(x["log"], "log"), marked(x["span"], "span")))
 
-    none = F.array(F.struct(F.lit(None).cast("boolean").alias("span"), F.lit(None).cast("variant").alias("record")))
-    rows = docs.select("path", "number", failed.alias("failed"), F.posexplode(F.when(failed.isNotNull(), none).otherwise(F.concat(marked("log"), marked("span")))).alias("i", "r"))
+    # The lists of a document are copies of all it holds, so they are made once.
+    tops = F.struct(*(parts(doc, f"$.{names[0]}").alias(kind) for kind, names in _LISTS.items()))
+    items = F.when(doc.isNull(), skip(F.concat(F.lit("line "), F.col("number").cast("string")), "json parse error")).otherwise(let(tops, found))
+    # Outer, as below.
+    rows = docs.select("path", "number", F.posexplode_outer(items).alias("i", "r")).filter("i IS NOT NULL")
     fits = F.when((F.col("number") == 0) | (F.col("i") < PER_LINE), F.col("i")).otherwise(F.raise_error(F.lit("too many records in a line")))
-    rows = rows.select("path", (F.col("number") * F.lit(PER_LINE) + fits).alias("pos"), "failed", F.coalesce("r.span", F.lit(False)).alias("span"), F.col("r.record").alias("record"))
+    rows = rows.select("path", (F.col("number") * F.lit(PER_LINE) + fits).alias("pos"), F.col("r.failed").alias("failed"), F.coalesce("r.span", F.lit(False)).alias("span"), F.col("r.record").alias("record"))
     events = record_actions(rows)
     return events.select("path", "pos", *(F.coalesce(F.col(f"failed.{c}"), F.col(c)).alias(c) for c in ("what", "source", "value")))
 

@@ -121,7 +121,8 @@ def line_events(lines: DataFrame) -> DataFrame:
     told = F.when(acted, F.transform("actions", lambda a, i: event("action", a["source"], a["value"], F.col("at") + i, a["plain"]))).otherwise(F.array(event("skip", place, reason)))
     typed = F.when(kind.isNotNull(), F.array(event("type", kind, kind))).otherwise(none)
     events = F.concat(F.array_compact(F.array(*evidence)), typed, told)
-    return rows.select("scan_id", F.explode(events).alias("e")).select("scan_id", "e.*")
+    # No list is empty; outer, as a plain explode makes the optimiser evaluate its expression once more, to see whether one is.
+    return rows.select("scan_id", F.explode_outer(events).alias("e")).select("scan_id", "e.*")
 
 
 def session_events(texts: DataFrame) -> DataFrame:

@@ -544,3 +544,14 @@ def test_allowlist_of_globs_without_a_start(spark):
     # The pairs that a glob is tried on grow with the sources, not with the product.
     many = allowlist_table(spark, [SuppressRule("A", None, f"*:src/{i}_pp*", "r", f"e{i}") for i in range(4000)])
     assert agreeing(findings.select("id", "triggering_signal", "source").distinct(), many).count() < 400
+
+
+def test_views_of_events_have_short_tasks(spark, tmp_path):
+    """A file of one row group is dealt to tasks by its bytes, not to the cores only."""
+    from auditlake.sources.spread import spread
+
+    spark.range(200_000).withColumn("x", F.xxhash64("id")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    assert spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    dealt = spread(table, 1 << 17)
+    assert dealt.rdd.getNumPartitions() >= 12 and dealt.count() == 200_000
