@@ -7,7 +7,7 @@ import re
 import unicodedata
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,9 +169,19 @@ def plain_llm_id(text: str) -> str:
     return "OWASP-LLM:" + text.split(":", 1)[0] if text.startswith("LLM") else text
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+#: Texts that are Python strings at a time.
+_TEXTS = 64
+
+
+def nfkc_array(values: pa.Array) -> pa.Array:
+    """NFKC of texts, of which a few at a time are strings: beside the batch itself only the result is held."""
+    parts = [pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.slice(i, _TEXTS).to_pylist()], pa.string()) for i in range(0, len(values), _TEXTS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(values: pa.Array) -> pa.Array:
+    return nfkc_array(values)
 
 
 def normalize(value: Column) -> Column:

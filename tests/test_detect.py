@@ -555,3 +555,22 @@ def test_views_of_events_have_short_tasks(spark, tmp_path):
     assert spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     dealt = spread(table, 1 << 17)
     assert dealt.rdd.getNumPartitions() >= 12 and dealt.count() == 200_000
+
+
+def test_normalize_holds_few_strings():
+    """A batch of texts is normalised a few at a time: strings beside Arrow's buffers stay far below its size."""
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    signs = [*"aA=` ", "\u0301", "ﬁ", "１", "㎏", "é", "か", "\u3099", "\U0001d400"]
+    texts = [None, "", *("".join(random.Random(i).choices(signs, k=2000)) for i in range(2000))]
+    batch = pa.array(texts, pa.string())
+    want = [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+    tracemalloc.start()
+    got = text.nfkc_array(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want and text.nfkc_array(batch[:0]).to_pylist() == []
+    assert peak < sum(len(t or "") for t in texts) / 2
