@@ -1,9 +1,14 @@
 """Collocations: frequent phrases by vertical positional inverted lists.
 
 1. Texts are cut into blocks of ``BLOCK`` word places.  A block's words become
-   positional lists, a row per word: its places in the block, ascending.
+   positional lists: their places in the block, ascending.  The lists of words of one
+   language and one bucket of hashes share a row, so a block has a bounded number of
+   rows, whatever its vocabulary.
 2. The length of a list, summed over the blocks, is the exact frequency of its word
    or phrase; lists below ``min_count`` go, as no phrase with such a part can be frequent.
+   Words get their numbers bucket by bucket: a bucket's frequent words come first, then
+   the words of each block, without their places, stream past them.  Longer phrases
+   have buckets of their own, each of which is counted and numbered in one task.
 3. A frequent phrase is extended within each block: the places of its list are
    merge-joined with those of the adjacent words, one place after its end.  Only
    words that end a frequent phrase of the same length can follow, so the lists of
@@ -21,10 +26,12 @@ a language's share of all words.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +41,12 @@ from auditlake.llm.scratch import discard, materialize
 BLOCK = 6_000_000
 #: Bytes of a text that are split at once.
 _SLICE = 1 << 22
-_ROWS = 8192
+#: Buckets of a language's words; a row of lists holds those of a block's words in one.
+BUCKETS = 64
+#: Bits of a longer phrase's bucket: a task holds the numbers of a bucket's phrases in all blocks.
+_BITS = 10
+#: Rows of lists that are built at once.
+_ROWS = 16
 _NO_LANG = "und"
 # A separator of pieces is no part of a word, so it can stand between words as a word of its own.
 _BREAK = b","
@@ -46,7 +58,7 @@ _TABLE[ord("\t")] = ord(" ")
 _TABLE = bytes(_TABLE)
 _RUN = re.compile(rb",[, ]*")
 
-LISTS = "block long, lang string, word string, n long, places binary"
+LISTS = "block long, lang string, bucket int, words array<string>, n array<long>, places array<binary>"
 
 
 class _Numbers(dict):
@@ -88,27 +100,44 @@ def _packed(order: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 4).astype("<i4").tobytes()), data])
 
 
-def _block_lists(places: np.ndarray, langs: list[str], kinds: np.ndarray, names: list[list[bytes]], block: int, owned: int) -> Iterator[pa.RecordBatch]:
-    """``LISTS`` of one block: ``places`` holds word numbers of the language that ``kinds`` gives."""
+def _listed(cuts: np.ndarray, values: pa.Array) -> pa.Array:
+    """Consecutive stretches of values as lists."""
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+
+
+def _block_lists(places: np.ndarray, langs: list[str], kinds: np.ndarray, names: list[list[bytes]], buckets: list[np.ndarray], block: int, owned: int) -> Iterator[pa.RecordBatch]:
+    """``LISTS`` of one block: ``places`` holds word numbers of the language that ``kinds`` gives, ``buckets`` the bucket of each word."""
     at = np.flatnonzero(places >= 0)
-    key = (kinds[at].astype(np.int64) << 32) | places[at]
+    if not len(at):
+        return
+    kind, number = kinds[at].astype(np.int64), places[at]
+    base = np.cumsum([0, *map(len, names)])
+    key = (kind << 48) | (np.concatenate(buckets)[base[kind] + number].astype(np.int64) << 32) | number
     order = np.argsort(key, kind="stable")
     key, at = key[order], at[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     cuts = np.append(starts, len(key))
-    n = np.add.reduceat((at < owned).astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
-    kind, number = (key[starts] >> 32).tolist(), (key[starts] & 0xFFFFFFFF).tolist()
-    for i in range(0, len(starts), _ROWS):
-        z = min(i + _ROWS, len(starts))
-        words = pa.array([names[k][w].decode() for k, w in zip(kind[i:z], number[i:z])], pa.string())
+    n = np.add.reduceat((at < owned).astype(np.int64), starts)
+    group = key[starts] >> 32
+    firsts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    edges = np.append(firsts, len(starts))
+    kind, number = (group >> 16).tolist(), (key[starts] & 0xFFFFFFFF).tolist()
+    for i in range(0, len(firsts), _ROWS):
+        some = edges[i : i + _ROWS + 1]
+        a, z = some[0], some[-1]
+        words = pa.array([names[k][w].decode() for k, w in zip(kind[a:z], number[a:z])], pa.string())
+        rows, lists = group[some[:-1]], some - a
         yield pa.record_batch(
-            [pa.array(np.full(z - i, block)), pa.array([langs[k] for k in kind[i:z]], pa.string()), words, pa.array(n[i:z]), _packed(at[cuts[i] : cuts[z]], cuts[i : z + 1] - cuts[i])],
-            names=["block", "lang", "word", "n", "places"],
-        )
+            [
+                pa.array(np.full(len(rows), block)), pa.array([langs[k] for k in (rows >> 16).tolist()], pa.string()), pa.array((rows & 0xFFFF).astype(np.int32)),
+                _listed(lists, words), _listed(lists, pa.array(n[a:z])), _listed(lists, _packed(at[cuts[a] : cuts[z]], cuts[a : z + 1] - cuts[a])),
+            ],
+            names=["block", "lang", "bucket", "words", "n", "places"],
+        )
 
 
 def word_lists(docs: DataFrame, text_col: str, lang_col: str, max_words: int, block: int) -> DataFrame:
-    """Positional lists (``LISTS``) of every word of every block; ``n``: how many of the places are the block's own."""
+    """Positional lists (``LISTS``) of every word of every block, a row a bucket; ``n``: how many of the places are the block's own."""
     ahead = max_words - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,9 +154,10 @@ def word_lists(docs: DataFrame, text_col: str, lang_col: str, max_words: int, bl
             places = np.concatenate(parts)
             kind = np.repeat(np.array(kinds, np.int32), [len(p) for p in parts])
             names = [x.names for _, x in numbers.values()]
+            buckets = [np.fromiter((zlib.crc32(w) % BUCKETS for w in x), np.int32, len(x)) for x in names]
             for start in range(0, len(places), block):
                 z = start + block + ahead
-                yield from _block_lists(places[start:z], list(numbers), kind[start:z], names, number, block)
+                yield from _block_lists(places[start:z], list(numbers), kind[start:z], names, buckets, number, block)
                 number += 1
             for x in (numbers, parts, kinds):
                 x.clear()
@@ -150,11 +180,62 @@ def word_lists(docs: DataFrame, text_col: str, lang_col: str, max_words: int, bl
     return rows.mapInArrow(run, LISTS)
 
 
-EXTENDED = "block long, head long, tail long, n long, places binary"
-
+def _numbered(lists: DataFrame, level: DataFrame) -> DataFrame:
+    """``block, lang, bucket, ids``: the ids of the words of each row of ``LISTS``, null where ``level`` doesn't have the word."""
 
-def extend(table: pa.Table, block: int, owned: int) -> Iterator[pa.RecordBatch]:
-    """Lists (``EXTENDED``) of all phrases one word longer in a block, from its lists ``id, places``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, ids = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lang, bucket = batch.column(0), batch.column(1).to_numpy()
+            rank, is_list = lang.dictionary_encode().indices.to_numpy(), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            new = np.diff(rank).astype(bool) | np.diff(bucket).astype(bool) | np.diff(is_list.astype(np.int8)).astype(bool)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, z in zip(edges[:-1], edges[1:]):
+                if (key := (lang[a].as_py(), bucket[a])) != now:
+                    now, names, ids = key, [], []
+                part = batch.slice(a, z - a)
+                if not is_list[a]:  # they come first
+                    names.append(part.column(3))
+                    ids.append(part.column(4))
+                    continue
+                words, cuts = part.column(5).flatten(), np.append(0, np.cumsum(pc.list_value_length(part.column(5)).to_numpy()))
+                if names:
+                    names, ids = [pa.concat_arrays(names)], [pa.concat_arrays(ids)]
+                    found = ids[0].take(pc.index_in(words, value_set=names[0]))
+                else:
+                    found = pa.nulls(len(words), pa.int64())
+                yield pa.record_batch([part.column(2), part.column(0), part.column(1), _listed(cuts, found)], names=["block", "lang", "bucket", "ids"])
+
+    none = F.lit(None)
+    known = level.select("lang", "bucket", none.cast("long").alias("block"), F.col("phrase").alias("word"), "id", none.cast("array<string>").alias("words"))
+    rows = known.union(lists.select("lang", "bucket", "block", none.cast("string"), none.cast("long"), "words"))
+    rows = rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", F.asc_nulls_first("block"))
+    return rows.mapInArrow(run, "block long, lang string, bucket int, ids array<long>")
+
+
+def _frequent(held: list[pa.RecordBatch]) -> pa.Table:
+    """Lists ``id, places`` of the frequent words of a block, from its rows of ids and its rows of places in the same order."""
+    table = pa.Table.from_batches(held)
+    ids, places = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("ids", "places"))
+    frequent = ids.is_valid()
+    return pa.table({"id": ids.filter(frequent), "places": places.filter(frequent)})
+
+
+EXTENDED = "block long, bucket int, heads array<long>, tails array<long>, n array<int>, places array<binary>"
+
+
+def _buckets(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Buckets of pairs of ids."""
+    x = (head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ tail.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+def extend(table: pa.Table, block: int, owned: int, placed: bool) -> Iterator[pa.RecordBatch]:
+    """Lists (``EXTENDED``) of all phrases one word longer in a block, from its lists ``id, places``; null places unless ``placed``."""
+    if not table.num_rows:
+        return
     ids, column = table.column("id").to_numpy(), table.column("places").combine_chunks()
     cuts = np.frombuffer(column.buffers()[1], "<i4")[column.offset : column.offset + len(column) + 1]
     at = np.frombuffer(column.buffers()[2], "<i4")[cuts[0] // 4 : cuts[-1] // 4]
@@ -164,43 +245,91 @@ def extend(table: pa.Table, block: int, owned: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
     meet = np.flatnonzero(np.diff(at) == 1)
-    at, key = at[meet], row[meet] * np.int64(len(ids)) + row[meet + 1]
+    if not len(meet):
+        return
+    at, pair = at[meet], row[meet] * np.int64(len(ids)) + row[meet + 1]
+    # A block has fewer lists than 2 ** 24, so pairs leave room for the bucket.
+    key = (_buckets(ids[row[meet]], ids[row[meet + 1]]) << 48) | pair
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
-    if not len(starts):
-        return
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     cuts = np.append(starts, len(key))
-    n = np.add.reduceat((at < owned).astype(np.int64), starts)
-    head, tail = ids[key[starts] // len(ids)], ids[key[starts] % len(ids)]
-    for i in range(0, len(starts), 65536):
-        z = min(i + 65536, len(starts))
+    n = np.add.reduceat((at < owned).astype(np.int32), starts)
+    bucket, pair = key[starts] >> 48, key[starts] & ((1 << 48) - 1)
+    head, tail = ids[pair // len(ids)], ids[pair % len(ids)]
+    firsts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    edges = np.append(firsts, len(starts))
+    for i in range(0, len(firsts), 4 * _ROWS):
+        some = edges[i : i + 4 * _ROWS + 1]
+        a, z = some[0], some[-1]
+        lists, size = some - a, len(some) - 1
+        places = _listed(lists, _packed(at[cuts[a] : cuts[z]], cuts[a : z + 1] - cuts[a])) if placed else pa.nulls(size, pa.list_(pa.binary()))
         yield pa.record_batch(
-            [pa.array(np.full(z - i, block)), pa.array(head[i:z]), pa.array(tail[i:z]), pa.array(n[i:z]), _packed(at[cuts[i] : cuts[z]], cuts[i : z + 1] - cuts[i])],
-            names=["block", "head", "tail", "n", "places"],
+            [pa.array(np.full(size, block)), pa.array(bucket[some[:-1]].astype(np.int32)), _listed(lists, pa.array(head[a:z])), _listed(lists, pa.array(tail[a:z])), _listed(lists, pa.array(n[a:z].astype(np.int32))), places],
+            names=["block", "bucket", "heads", "tails", "n", "places"],
         )
 
 
-def _longer(lists: DataFrame, owned: int) -> DataFrame:
-    """Lists of phrases one word longer (``EXTENDED``), block by block."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """The rows of each value of the first column of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        values = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, z in zip(edges[:-1], edges[1:]):
+            if z > a:
+                if held and values[a] != now:
+                    yield now, held
+                    held = []
+                now = int(values[a])
+                held.append(batch.slice(a, z - a))
+    if held:
+        yield now, held
+
+
+def _longer(lists: DataFrame, owned: int, order: tuple[str, ...], placed: bool) -> DataFrame:
+    """Lists of phrases one word longer (``EXTENDED``), block by block, from rows ``block, ids, places`` in pairs that agree in ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        now = None
-        for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for a, z in zip(edges[:-1], edges[1:]):
-                if z > a:
-                    if held and blocks[a] != now:
-                        yield from extend(pa.Table.from_batches(held), now, owned)
-                        held = []
-                    now = int(blocks[a])
-                    held.append(batch.slice(a, z - a))
-        if held:
-            yield from extend(pa.Table.from_batches(held), now, owned)
+        for block, held in _together(batches):
+            yield from extend(_frequent(held), block, owned, placed)
 
-    return lists.repartition("block").sortWithinPartitions("block").mapInArrow(run, EXTENDED)
+    return lists.repartition("block").sortWithinPartitions("block", *order).mapInArrow(run, EXTENDED)
+
+
+COUNTED = "head long, tail long, a long, id long, block long, bucket int, ids array<long>"
+
+
+def _counted(longer: DataFrame, min_count: int, numbered: bool) -> DataFrame:
+    """``head, tail, a, id`` of the frequent phrases of ``EXTENDED`` and, if ``numbered``, ``block, bucket, ids`` for each of its rows, null ids for rare phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, held in _together(batches):
+            blocks = np.concatenate([x.column(1).to_numpy() for x in held])
+            sizes = np.concatenate([pc.list_value_length(x.column(2)).to_numpy() for x in held])
+            head, tail, n = (np.concatenate([x.column(i).flatten().to_numpy() for x in held]) for i in (2, 3, 4))
+            held.clear()
+            order = np.lexsort((tail, head))
+            head, tail = head[order], tail[order]
+            starts = np.flatnonzero(np.append(True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])))
+            a = np.add.reduceat(n[order].astype(np.int64), starts)
+            often = a >= min_count
+            found = np.where(often, (bucket << 32) + np.cumsum(often) - 1, -1)
+            some, size = starts[often], int(often.sum())
+            yield pa.record_batch([pa.array(x) for x in (head[some], tail[some], a[often], found[often])] + [pa.nulls(size, t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int64()))], names=[x.split()[0] for x in COUNTED.split(", ")])
+            if numbered:
+                ids = np.empty(len(head), np.int64)
+                ids[order] = np.repeat(found, np.diff(np.append(starts, len(head))))
+                cuts = np.append(0, np.cumsum(sizes))
+                for i in range(0, len(blocks), 256):
+                    some = cuts[i : i + 257]
+                    mine, size = ids[some[0] : some[-1]], len(some) - 1
+                    rows = [pa.array(blocks[i : i + 256]), pa.array(np.full(size, bucket, np.int32)), _listed(some - some[0], pa.array(mine, mask=mine < 0))]
+                    yield pa.record_batch([pa.nulls(size, pa.int64())] * 4 + rows, names=[x.split()[0] for x in COUNTED.split(", ")])
+
+    rows = longer.select("bucket", "block", "heads", "tails", "n")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 30, max_words: int = 4, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
@@ -212,27 +341,29 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     and, from 2 words on, ``head, tail`` (ids of the phrase without its last and without its first word).
     """
     lists = materialize(word_lists(docs, text_col, lang_col, max_words, block), "word-lists")
-    counts = materialize(lists.groupBy("lang", "word").agg(F.sum("n").alias("a")), "words")
+    each = lists.select("lang", "bucket", F.explode(F.arrays_zip("words", "n")).alias("e"))
+    counts = materialize(each.groupBy("lang", "bucket", F.col("e.words").alias("word")).agg(F.sum("e.n").alias("a")), "words")
     total = counts.groupBy("lang").agg(F.sum("a").alias("n"))
-    level = counts.filter(F.col("a") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
+    level = counts.filter(F.col("a") >= min_count).select(F.monotonically_increasing_id().alias("id"), "lang", "bucket", F.col("word").alias("phrase"), "a", F.array("a").alias("heads"), F.array("a").alias("tails"))
     levels = [materialize(level, "phrases-1")]
     used = [counts]
-    named = lists.select("block", "lang", F.col("word").alias("phrase"), "places").join(levels[0].select("id", "lang", "phrase").hint("merge"), ["lang", "phrase"])
+    none = F.lit(None).cast("array<binary>").alias("places")
+    numbers = _numbered(lists, levels[0])
     for length in range(2, max_words + 1):
-        longer = materialize(_longer(named.select("block", "id", "places"), block), f"lists-{length}")
+        order = ("lang", "bucket") if length == 2 else ("bucket",)
+        rows = numbers.select("block", *order, "ids", none).union(lists.select("block", *order, F.lit(None).cast("array<long>"), "places"))
+        longer = materialize(_longer(rows, block, order, length < max_words), f"lists-{length}")
         discard(lists)
         lists, old = longer, levels[-1]
-        found = longer.groupBy("head", "tail").agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
-        found = materialize(found.withColumn("id", F.monotonically_increasing_id()), f"found-{length}")
+        made = materialize(_counted(longer, min_count, length < max_words), f"found-{length}")
+        found, numbers = made.filter("id IS NOT NULL"), made.filter("id IS NULL")
+        used.append(made)
         first = old.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("first"), "heads")
         last = old.select(F.col("id").alias("tail"), F.col("phrase").alias("last"), "tails")
-        level = found.join(first.hint("merge"), "head").join(last.hint("merge"), "tail")
+        level = found.select("head", "tail", "a", "id").join(first.hint("merge"), "head").join(last.hint("merge"), "tail")
         phrase = F.concat_ws(" ", "first", F.substring_index("last", " ", -1))
         level = level.select("id", "lang", phrase.alias("phrase"), "a", F.array_append("heads", F.col("a")).alias("heads"), F.array_append("tails", F.col("a")).alias("tails"), "head", "tail")
         levels.append(materialize(level, f"phrases-{length}"))
-        if length < max_words:
-            named = longer.select("block", "head", "tail", "places").join(found.select("id", "head", "tail").hint("merge"), ["head", "tail"])
-        used.append(found)
     discard(lists)
     return total, levels, used
 

@@ -76,3 +76,13 @@ def test_exact_beyond_64_bits(spark):
     level = spark.createDataFrame([(a, [a + 1, a], [a + 2, a])], "a long, heads array<long>, tails array<long>")
     whole = phrases.cut_score(1, 2)
     assert level.select(whole.alias("s")).first().s == 2_000_000 * a // (2 * a + 3)
+
+
+def test_rows_of_a_block_do_not_grow_with_its_words(spark):
+    # A row a word and block made the join that names words grow with blocks times vocabulary.
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(4000)), "en")] * 4, "text string, lang string").repartition(4)
+    lists = phrases.word_lists(docs, "text", "lang", 4, phrases.BLOCK).cache()
+    blocks = lists.select("block").distinct().count()
+    assert lists.count() <= 64 * blocks
+    assert lists.selectExpr("sum(size(words)) AS w").first().w == 4000 * blocks
+    assert lists.selectExpr("explode(n) AS n").agg({"n": "sum"}).first()[0] == 16000
