@@ -5,7 +5,9 @@
    which stands for its documents from here on.
 2. Every class is posted under each (coordinate, value) of its prefix.  Classes
    that agree in at least ``MATCHES`` coordinates share one of the first
-   ``COORDS - MATCHES + 1``, so other postings aren't needed.  Lists of one
+   ``COORDS - MATCHES + 1`` in any order of all values, so other postings aren't needed.
+   Hot values, those of more than a block of classes, come last in that order: classes that
+   share a frequent passage and little else meet in no list.  Lists of one
    class, nearly all, are skipped before anything but keys is moved.
 3. In each list collisions are counted coordinate by coordinate.  A pair counts
    in the first list it shares and is skipped in the others; a class is skipped
@@ -116,26 +118,47 @@ def _long(sig: list[bytes]) -> np.ndarray:
     return np.concatenate([np.ascontiguousarray(raw[:, : 4 * PREFIX]).view("<u4"), raw[:, 4 * PREFIX :]], axis=1)
 
 
+def _keys() -> list[Column]:
+    """Names of a class's values: 64-bit hashes of coordinate and value."""
+    return [F.xxhash64(F.lit(i), F.substring("sig", 8 * i + 1, 8)) for i in range(COORDS)]
+
+
 def _posted(classes: DataFrame) -> DataFrame:
-    """``id, at, key``: a row per class and coordinate of the prefix, named by a 64-bit hash of coordinate and value."""
-    names = [F.xxhash64(F.lit(i), F.substring("sig", 8 * i + 1, 8)) for i in range(PREFIX)]
-    return classes.select("id", F.posexplode(F.array(*names)).alias("at", "key"))
+    """``id, hot, late, at, key``: a row per class and value of the prefix, whose hot values (``hot``: bits of their coordinates) come last (``late``)."""
+    ordered = F.sort_array(F.array(*(F.struct((F.col("hot").bitwiseAND(F.lit(1 << i)) != 0).alias("late"), F.lit(i).alias("at"), key.alias("key")) for i, key in enumerate(_keys()))))
+    first = F.when(F.col("hot") == 0, F.array(*(F.struct(F.lit(False).alias("late"), F.lit(i).alias("at"), key.alias("key")) for i, key in enumerate(_keys()[:PREFIX])))).otherwise(F.slice(ordered, 1, PREFIX))
+    return classes.select("id", "hot", F.explode(first).alias("p")).select("id", "hot", "p.late", "p.at", "p.key")
+
+
+def _marked(classes: DataFrame, counted: DataFrame) -> DataFrame:
+    """``id, n, sig, hot`` of all classes; ``counted``: how many classes have each value."""
+    hot = materialize(counted.filter(F.col("c") > BLOCK).select("key"), "hot")
+    rows = classes.select("id", "n", "sig")
+    if hot.isEmpty():
+        return rows.withColumn("hot", F.lit(0).cast("long"))
+    values = classes.select("id", F.posexplode(F.array(*_keys())).alias("at", "key"))
+    masks = values.join(hot, "key").groupBy("id").agg(F.expr("bit_or(shiftleft(1L, at))").alias("hot"))
+    return materialize(rows.join(masks, "id", "left").fillna(0, ["hot"]), "marked")
 
 
 def _shared_lists(classes: DataFrame) -> DataFrame:
-    """Posting lists of two classes or more: ``key, c`` (length)``, id, at`` (coordinate)``, n, sig``."""
+    """Posting lists of two classes or more: ``key, c`` (length, or more where it is no more than a block)``, id, at`` (coordinate)``, hot, n, sig``."""
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), _short(batch, 2)], names=["id", "n", "sig"])
 
-    counted = _posted(classes).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    counted = classes.select(F.explode(F.array(*_keys())).alias("key")).groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     counted = materialize(counted, "keys")
+    marked = _marked(classes, counted)
+    posted = _posted(marked)
+    late = posted.filter("late").groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    lists = counted.filter(F.col("c") <= BLOCK).union(late)
     # Signatures join what is left, as most postings are in lists of their own.
-    posted = _posted(classes).join(counted.hint("merge"), "key")
+    posted = posted.drop("late").join(lists.hint("merge"), "key")
     signed = classes.select("id", "n", "sig").mapInArrow(shorten, "id long, n long, sig binary")
     out = materialize(posted.join(signed.hint("merge"), "id"), "postings")
-    discard(counted)
+    discard(counted, marked)
     return out
 
 
@@ -185,8 +208,16 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         parts = [table.slice(cuts[-1])] if cuts[-1] < table.num_rows else []
 
 
-def list_forest(sig: np.ndarray, n: np.ndarray, at: int, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars of the candidates of a list: pairs that agree in ``MATCHES`` coordinates at least, and in none before ``at``.
+def _before(at: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which coordinates come before a posting's own in the order of values, hot ones last; of the first ``PREFIX``, whose values are told apart."""
+    place = np.arange(PREFIX)
+    warm = (hot[:, None] >> place) & 1 == 0
+    late = ((hot >> at) & 1 == 1)[:, None]
+    return np.where(late, warm | (place < at[:, None]), warm & (place < at[:, None]))
+
+
+def list_forest(sig: np.ndarray, n: np.ndarray, before: np.ndarray, label: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars of the candidates of a list: pairs that agree in ``MATCHES`` coordinates at least, and in none ``before`` the list's.
 
     ``label``: members of one component aren't compared, so copies are met once.
     Collisions are counted over the first coordinates, then over the others
@@ -199,8 +230,8 @@ def list_forest(sig: np.ndarray, n: np.ndarray, at: int, label: np.ndarray, perc
         same = sig[rest, :_FIRST] == sig[i, :_FIRST]
         count = same.sum(axis=1)
         hope = count + (COORDS - _FIRST) >= MATCHES
-        if at:
-            hope &= ~same[:, :at].any(axis=1)
+        if before[i].any():
+            hope &= ~same[:, :PREFIX][:, before[i]].any(axis=1)
         rest, count = rest[hope], count[hope]
         if len(rest):
             rest = rest[count + (sig[rest, _FIRST:] == sig[i, _FIRST:]).sum(axis=1) >= MATCHES]
@@ -217,17 +248,18 @@ def list_forest(sig: np.ndarray, n: np.ndarray, at: int, label: np.ndarray, perc
 
 def _list_stars(table: pa.Table, cuts: list[int], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Spanning stars of the candidates of each list or pair of its blocks."""
-    ids, n, label, at = (table.column(c).to_numpy() for c in ("id", "n", "label", "at"))
+    ids, n, label, at, hot = (table.column(c).to_numpy() for c in ("id", "n", "label", "at", "hot"))
+    before = _before(at, hot)
     sig = _long(table.column("sig").to_pylist())
     starts, sizes = np.array(cuts[:-1]), np.diff(cuts)
     two = starts[sizes == 2]  # most lists, all at once
     if len(two):
         same = sig[two] == sig[two + 1]
-        earlier = (same & (np.arange(COORDS) < at[two][:, None])).any(axis=1)
+        earlier = (same[:, :PREFIX] & before[two]).any(axis=1)
         good = (same.sum(axis=1) >= MATCHES) & ~earlier & (label[two] != label[two + 1]) & _size_ok(n[two], n[two + 1], percent)
         yield ids[two[good]], ids[two[good] + 1]
     for a, z in zip(starts[sizes > 2].tolist(), (starts + sizes)[sizes > 2].tolist()):
-        node, root = list_forest(sig[a:z], n[a:z], int(at[a]), label[a:z], percent)
+        node, root = list_forest(sig[a:z], n[a:z], before[a:z], label[a:z], percent)
         yield ids[a:z][node], ids[a:z][root]
 
 

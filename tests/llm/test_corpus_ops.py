@@ -453,6 +453,20 @@ def test_shards_spread_a_hot_id(spark):
     assert interleave(spark.createDataFrame([(1, "y" * 3_000_000, None)], "doc_id long, text string, source string"), shards=2).first()["size"] == 3_000_016
 
 
+def test_near_duplicates_that_share_a_passage_meet_in_no_list(spark, monkeypatch):
+    # Lists of a frequent passage's values had all texts that hold it and cost the square of their number.
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(150)]
+    texts += [t + " more" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes = neardup.shingle_sets(docs, "doc_id", "text", 4).selectExpr("doc_id AS id", "n_shingles AS n", "sig")
+    assert neardup._shared_lists(classes).groupBy("key").count().agg({"count": "max"}).first()[0] <= 20
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, shingle=4).collect()}
+    assert found == {i: i - 150 if i >= 150 else i for i in range(160)}
+
+
 def test_near_duplicates_with_a_hot_family(spark):
     """A third of the rows are near copies of one text and share an id with nothing else."""
     rng = random.Random(31)
