@@ -165,9 +165,11 @@ def audit_log(actions: DataFrame, report: Report, skips: DataFrame | None = None
     out = head.select("scan_id", F.lit(0).alias("pass"), F.lit(-1).cast("long").alias("seq"), F.lit(0).alias("rule_ord"), "line")
     if skips is not None:
         out = out.union(skips.select("scan_id", F.lit(0), "seq", F.lit(0), F.concat(F.lit("skip: "), "place", F.lit(": "), "reason")))
-    hit = report.findings.select("scan_id", *_ORDER, F.concat(F.lit("match: "), "id", F.lit(" "), "triggering_signal", F.lit(" in "), F.coalesce("source", F.lit("-"))))
-    moved = report.suppressed.select("scan_id", *_ORDER, F.concat(F.lit("suppressed: "), "id", F.lit(" by "), "suppressed_by"))
-    return out.union(hit).union(moved)
+    hit = F.concat(F.lit("match: "), "id", F.lit(" "), "triggering_signal", F.lit(" in "), F.coalesce("source", F.lit("-")))
+    moved = F.concat(F.lit("suppressed: "), "id", F.lit(" by "), "suppressed_by")
+    if report.routed is not None:  # one read of the actions
+        return out.union(report.routed.select("scan_id", *_ORDER, F.when(F.col("origin").isNull(), hit).otherwise(moved)))
+    return out.union(report.findings.select("scan_id", *_ORDER, hit)).union(report.suppressed.select("scan_id", *_ORDER, moved))
 
 
 def sarif_results(routed: DataFrame) -> DataFrame:

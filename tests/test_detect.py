@@ -574,3 +574,15 @@ def test_normalize_holds_few_strings():
     tracemalloc.stop()
     assert got.to_pylist() == want and text.nfkc_array(batch[:0]).to_pylist() == []
     assert peak < sum(len(t or "") for t in texts) / 2
+
+
+def test_audit_log_reads_the_actions_once(spark):
+    # Findings and suppressed ones were two runs of the whole detection.
+    actions = acts(spark, ("session:Bash.input", "sudo rm -rf /var/cache"), ("session:Bash.input", "ls"))
+    report = detect(actions, PACK, [SuppressRule("AGT-MIS-001", None, None, "known", "AGT-MIS-001 known")])
+    leaves = lambda df: df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    log = render.audit_log(actions, report)
+    assert leaves(log) == 1 + leaves(report.routed)
+    apart = detect(actions, PACK, [SuppressRule("AGT-MIS-001", None, None, "known", "AGT-MIS-001 known")])
+    apart.routed = None
+    assert sorted(map(tuple, log.collect())) == sorted(map(tuple, render.audit_log(actions, apart).collect()))
