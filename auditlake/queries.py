@@ -20,7 +20,7 @@ from auditlake.operators import derive, match, metrics
 from auditlake.operators.enrich import enrich, known_refs, ref_counts, rules_table
 from auditlake.operators.route import route, route_by_table
 from auditlake.plans.detect import detect
-from auditlake.plans.documents import write_documents
+from auditlake.plans.documents import list_documents, read_documents, write_documents
 from auditlake.plans.pack import Config, Rule, RulePack, Step, embedded_pack, make_rule, merged_suppress, parse_config, parse_suppress
 from auditlake.plans.render import audit_log, findings_json, sarif_results
 from auditlake.plans.schema import PASSES
@@ -450,10 +450,9 @@ def q_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,suppressions:array<struct<kind:string>>>>>>"
     actions = _events(spark, sf_dir)
     try:
-        write_documents(detect(actions, PACK, SUPPRESS, min_severity=9), root, "sarif", actions)
-        docs = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(root)
-        scan = F.regexp_replace("_metadata.file_name", r"\.sarif$", "").alias("scan_id")
-        rows = docs.select(scan, F.posexplode_outer(F.flatten("runs.results")).alias("pos", "r"))
+        write_documents(detect(actions, PACK, SUPPRESS, min_severity=9), root, "sarif", actions, archives=True)
+        docs = read_documents(list_documents(spark, root), root).select(F.regexp_replace("name", r"\.sarif$", "").alias("scan_id"), F.from_json("text", schema, {"mode": "FAILFAST"}).alias("doc"))
+        rows = docs.select("scan_id", F.posexplode_outer(F.flatten("doc.runs.results")).alias("pos", "r"))
         return cut(rows.select("scan_id", F.col("pos").cast("long").alias("pos"), F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("message"), F.col("r.suppressions")[0]["kind"].alias("suppression")))
     finally:
         drop_tree(spark, root)

@@ -38,7 +38,7 @@ class Store:
     """Folders and files below an address, whose relative paths are bytes; links are neither."""
 
     def __init__(self, root: str):
-        url = urlsplit(root)
+        url, self.made = urlsplit(root), set()
         self.local = url.scheme in ("", "file")
         if self.local:
             self.root = os.fsencode(unquote(url.path) if url.scheme else root)
@@ -64,18 +64,30 @@ class Store:
         with self.files.open_input_stream(self._name(file)) as opened:
             return opened.read(size)
 
-    def write(self, file: bytes, body: bytes) -> None:
-        """A file with its folders."""
+    def open(self, file: bytes):
+        """A file opened for reading anywhere in it."""
+        return open(os.path.join(self.root, file), "rb") if self.local else self.files.open_input_file(self._name(file))
+
+    def create(self, file: bytes):
+        """A new file with its folders, opened for writing."""
         if self.local:
             place = os.path.join(self.root, file)
-            os.makedirs(os.path.dirname(place), exist_ok=True)
-            with open(place, "wb") as opened:
-                opened.write(body)
-        else:
-            name = self._name(file)
-            self.files.create_dir(name.rpartition("/")[0])
-            with self.files.open_output_stream(name) as opened:
-                opened.write(body)
+            self._make(os.path.dirname(place), lambda folder: os.makedirs(folder, exist_ok=True))
+            return open(place, "wb")
+        name = self._name(file)
+        self._make(name.rpartition("/")[0], self.files.create_dir)
+        return self.files.open_output_stream(name)
+
+    def write(self, file: bytes, body: bytes) -> None:
+        """A file with its folders."""
+        with self.create(file) as opened:
+            opened.write(body)
+
+    def _make(self, folder: bytes | str, make) -> None:
+        """A folder once, however many files go there."""
+        if folder not in self.made:
+            make(folder)
+            self.made = {folder}
 
     def move(self, folder: bytes, to: bytes) -> None:
         if self.local:

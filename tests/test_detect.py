@@ -10,7 +10,7 @@ from auditlake.functions import text
 from auditlake.operators import derive, match, metrics
 from auditlake.plans import render
 from auditlake.plans.detect import detect
-from auditlake.plans.documents import document_name, write_documents
+from auditlake.plans.documents import document_name, list_documents, read_documents, write_documents
 from auditlake.operators.route import _agreeing as agreeing
 from auditlake.operators.route import allowlist_table, route, route_by_table
 from auditlake.plans.pack import Config, SuppressRule, embedded_pack, parse_suppress
@@ -448,6 +448,68 @@ def test_documents_of_all_scans(spark, tmp_path):
         write_documents(report, tmp_path / "no", "pdf")
 
 
+def test_documents_in_archives(spark, tmp_path):
+    """Archives hold the documents that stand as files otherwise, in few files, and both are read back by tasks."""
+    import json
+
+    rows = [(str(i % 300), i, *pick) for i in range(900) for pick in [[("session:Bash.input", "sudo rm -rf /"), ("repo-file:x", "nothing to see"), ("repo-file:y", "wipe the disk and shred it")][i % 7 % 3]]]
+    actions = spark.createDataFrame([*rows, ("quiet", 0, "repo-file:z", "calm"), (None, 0, "session:Bash.input", "rm -rf b")], ACTIONS)
+    report = detect(actions, PACK, parse_suppress("AGT-MIS-002 # ok"), min_severity=7)
+    for kind in ("sarif", "md"):
+        write_documents(report, tmp_path / kind, kind, actions)
+        write_documents(report, tmp_path / f"{kind}-zip", kind, actions, archives=True)
+        files = {f.name: f.read_text() for f in (tmp_path / kind).glob("part-*/*")}
+        packed = list((tmp_path / f"{kind}-zip").glob("part-*/*"))
+        assert len(files) == 302 and 1 <= len(packed) <= 8 and all(f.name.endswith(f".{kind}.zip") for f in packed)
+        for place in (kind, f"{kind}-zip"):
+            got = read_documents(list_documents(spark, tmp_path / place, kind), tmp_path / place).collect()
+            assert len(got) == 302 and {r["name"]: r["text"] for r in got} == files
+    assert all(json.dumps(json.loads(t), indent=2, ensure_ascii=False) == t for t in ({f.name: f.read_text() for f in (tmp_path / "sarif").glob("part-*/*")}).values())
+
+
+def test_archives_end_in_time(tmp_path, monkeypatch):
+    """An archive ends at its number of documents or bytes, so none grows with a task."""
+    from zipfile import ZipFile
+
+    from auditlake.plans import documents
+    from auditlake.sources.repo import Store
+
+    monkeypatch.setattr(documents, "_PER_TASK", 3)
+    monkeypatch.setattr(documents, "_ARCHIVE", 50)
+    out = documents._Archives(Store(str(tmp_path)), "a", "md")
+    for i in range(8):
+        out.add(f"{i}.md", b"x" * (60 if i == 3 else 5))
+    out.close()
+    assert [ZipFile(f).namelist() for f in sorted((tmp_path / "a").iterdir())] == [["0.md", "1.md", "2.md"], ["3.md"], ["4.md", "5.md", "6.md"], ["7.md"]]
+
+
+def test_contexts_of_one_pattern(spark):
+    """Fragments joined to one pattern hold what each holds alone, and the code of a detection is of methods that the JVM compiles."""
+    import contextlib
+    import io
+    import re
+
+    from auditlake.functions.text import FLAGS, _joinable, holds_context, sql_text
+
+    fragments = ("dry run", r"\bIBAN\b", "(?-i)Wire", r"(a+)b\1", "x|yz", "no-?reply@", "(c)(d)", r"[[:x]", r"\$[0-9]")
+    assert [f for f in fragments if not _joinable(f)] == ["(?-i)Wire", r"(a+)b\1", r"[[:x]"]
+    fragments = tuple(f for f in fragments if f != r"[[:x]")
+    values = ["a DRY RUN b", "ibans", "an Iban.", "wire", "Wire", "aabaa", "aab", "YZ", "X", "NOREPLY@a", "cd", "DC", "$5", "$ 5", "", "ſ dry ruN"]
+    one = " OR ".join(f"rlike(value, {sql_text(FLAGS + f)})" for f in fragments)
+    got = spark.createDataFrame([(v,) for v in values], "value string").selectExpr("value", f"{holds_context(fragments)} AS a", f"{one} AS b").collect()
+    assert all(r["a"] == r["b"] for r in got) and {r["a"] for r in got} == {True, False}
+    printed, rows = io.StringIO(), spark.createDataFrame([("s", 0, "repo-file:x", "y")], ACTIONS)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # code is shown at once
+    try:
+        with contextlib.redirect_stdout(printed):
+            detect(rows, PACK).routed.explain(mode="codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", printed.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
 def test_tree_by_levels(spark, tmp_path):
     """A walk by levels in tasks gives what one process finds, in its order."""
     import random
